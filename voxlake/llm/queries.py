@@ -10,10 +10,12 @@ from .mixing import OP5_SQL, op5_mixing
 from .packing import op4_packing
 from .quality_rank import op10_quality_rank
 from .quality_rules import op6_quality_rules
+from .suffix_dedup import op2_suffix_dedup
 from .url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_chat": op3_chat,
     "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
