@@ -9,7 +9,7 @@ from ..operators import composite as N
 from ..operators import geometry as M
 from ..operators import image as I
 from ..sources.volumes import read_table, vox, vox_sql
-from .registry import query
+from .register import query
 from .render_queries import u8
 
 IMAGE = """img AS (SELECT CAST(p_partkey // 40 AS INTEGER) AS i, CAST(p_partkey % 40 AS INTEGER) AS j, CAST(CASE WHEN p_size % 7 = 0 THEN 0 ELSE p_size * 5 END AS INTEGER) AS val FROM part WHERE p_partkey BETWEEN 40 AND 199)"""

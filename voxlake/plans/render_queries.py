@@ -10,7 +10,7 @@ from ..operators import shaded as S
 from ..operators.sample import lod_fallback, pick_lod
 from ..functions.coords import to_u8
 from ..sources.volumes import vox, vox_sql
-from .registry import query
+from .register import query
 from .sample_queries import CORNERS, TRI, levels, levels_sql, quad, resident
 
 W, H, STEPS = 20, 16, 17

@@ -9,7 +9,7 @@ from ..operators import geometry as M
 from ..operators import sample as J
 from ..operators import volume as V
 from ..sources.volumes import read_table, vox, vox_sql
-from .registry import query
+from .register import query
 from .volume_queries import SURFACE, surface
 
 VOX32, VOX64 = f"WITH vox AS ({vox_sql(32)})", f"WITH vox AS ({vox_sql(64)})"

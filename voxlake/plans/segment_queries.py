@@ -1 +1,290 @@
-"""To come."""
+"""Queries of filters, masks, components, morphology, distances and tracing."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..functions.coords import AXES
+from ..operators import aggregate as A
+from ..operators import segment as P
+from ..operators import trace as T
+from ..operators import volume as V
+from ..sources.volumes import grid_sql, volume_from_function, vox, vox_sql
+from .register import query
+
+D = 16
+DIMS = (D, D, D)
+DENSE = f"vox AS ({vox_sql(D)}), g AS ({grid_sql(D, D, D)}), dense AS (SELECT z, y, x, coalesce(v, 0) AS v FROM g LEFT JOIN vox USING (z, y, x))"
+MASK = f"vox AS ({vox_sql(D)}), mask AS (SELECT z, y, x, (z * {D} + y) * {D} + x AS id FROM vox WHERE v >= 249)"
+INSIDE = f"z BETWEEN 0 AND {D - 1} AND y BETWEEN 0 AND {D - 1} AND x BETWEEN 0 AND {D - 1}"
+
+
+def dense(spark, sf):
+    return P.densify(vox(spark, sf, D), DIMS)
+
+
+def mask(spark, sf):
+    return vox(spark, sf, D).where("v >= 249").select(*AXES)
+
+
+def blur_sql(source: str, columns: list[str], sigma: float, tag: str, carry: str = "") -> tuple[str, str]:
+    """CTEs of the separable blur, written as lookups of clamped neighbours."""
+    weights = P.gaussian_kernel(sigma)
+    kernel = ", ".join(f"({k}, {weights[abs(k)]!r})" for k in range(1 - len(weights), len(weights)))
+    parts, last = [f"k{tag}(o, h) AS (VALUES {kernel})"], source
+    for axis in AXES:
+        name = f"{tag}_{axis}"
+        at = ", ".join(f"least(greatest(a.{axis} + o, 0), {D - 1}) AS {c}" if c == axis else f"a.{c} AS {c}" for c in AXES)
+        keys = "".join(f"a.{c} AS o{c}, " for c in AXES)
+        carried = f", a.{carry} AS {carry}" if carry else ""
+        parts.append(f"{name}_n AS (SELECT {keys}{at}, h{carried} FROM {last} a, k{tag})")
+        sums = ", ".join(f"sum(h * b.{c}) AS {c}" for c in columns)
+        group = "oz, oy, ox" + (f", n.{carry}" if carry else "")
+        parts.append(f"{name} AS (SELECT oz AS z, oy AS y, ox AS x{f', n.{carry} AS {carry}' if carry else ''}, {sums} FROM {name}_n n JOIN {last} b USING (z, y, x) GROUP BY {group})")
+        last = name
+    return ", ".join(parts), last
+
+
+_B1, _B1_LAST = blur_sql("src", ["f"], 1.0, "g1", "v")
+
+
+@query("p1_gaussian_blur", f"WITH {DENSE}, src AS (SELECT z, y, x, v, CAST(v AS DOUBLE) AS f FROM dense), {_B1} SELECT z, y, x, round(f, 4) AS f FROM {_B1_LAST}")
+def p1(spark, sf):
+    return P.gaussian_blur(dense(spark, sf).withColumn("f", F.col("v").cast("double")), 1.0, ["f"]).select(*AXES, F.round("f", 4).alias("f"))
+
+
+def box_sql(column="f"):
+    parts, last = [], "src"
+    for axis in reversed(AXES):
+        others = ", ".join(a for a in AXES if a != axis)
+        parts.append(f"b_{axis} AS (SELECT z, y, x, v, avg({column}) OVER (PARTITION BY {others} ORDER BY {axis} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS {column} FROM {last})")
+        last = f"b_{axis}"
+    return f"src AS (SELECT z, y, x, v, CAST(v AS DOUBLE) AS f FROM dense), {', '.join(parts)}", last
+
+
+_BOX, _BOX_LAST = box_sql()
+
+
+def boxed(spark, sf):
+    return P.box_blur(dense(spark, sf).withColumn("f", F.col("v").cast("double")), 5, "f")
+
+
+@query("p1_box_blur", f"WITH {DENSE}, {_BOX} SELECT z, y, x, round(f, 4) AS f FROM {_BOX_LAST}")
+def p1b(spark, sf):
+    return boxed(spark, sf).select(*AXES, F.round("f", 4).alias("f"))
+
+
+@query("c13_air_mask", f"WITH {DENSE}, {_BOX} SELECT z, y, x, CASE WHEN round(f, 6) < 30 THEN 0 ELSE greatest(v, 1) END AS v FROM {_BOX_LAST}")
+def c13(spark, sf):
+    rounded = boxed(spark, sf).withColumn("f", F.round("f", 6))
+    return rounded.select(*AXES, V.apply_cut(rounded, "f", 30).alias("v"))
+
+
+@query("g9_valley")
+def g9(spark, sf):
+    """The two tallest peaks of the value histogram and the valley between them; one row."""
+    counts = {r["bin"]: r["n"] for r in A.histogram(vox(spark, sf).where("v > 0"), F.col("v")).collect()}
+    found = A.valley(counts)
+    row = (*found, A.cut_level(found)) if found else (None, None, None, None, A.cut_level(None))
+    return spark.createDataFrame([row], "dark int, light int, valley int, depth double, cut int")
+
+
+@query("g10_cut_level", "SELECT * FROM (VALUES (120, 1.0e0, 120), (120, 0.5e0, 80), (30, 1.0e0, 39)) t(valley, strength, cut)")
+def g10(spark, sf):
+    rows = [(v, s, A.cut_level((0, 0, v, 0.0), 39, s)) for v, s in ((120, 1.0), (120, 0.5), (30, 1.0))]
+    return spark.createDataFrame(rows, "valley int, strength double, cut int")
+
+
+def _detect_sql():
+    one, last = blur_sql("src", ["f"], 1.0, "s1", "v")
+    grads = ", ".join(f"0.5e0 * (coalesce(lead(f) OVER (PARTITION BY {', '.join(b for b in AXES if b != a)} ORDER BY {a}), f) - coalesce(lag(f) OVER (PARTITION BY {', '.join(b for b in AXES if b != a)} ORDER BY {a}), f)) AS g{a}" for a in AXES)
+    names = ["xx", "yy", "zz", "xy", "xz", "yz"]
+    two, end = blur_sql("prod", [f"t{n}" for n in names], 2.0, "s2", "v")
+    return f"""WITH {DENSE}, src AS (SELECT z, y, x, v, CAST(v AS DOUBLE) AS f FROM dense), {one}, grad AS (SELECT z, y, x, v, {grads} FROM {last}),
+prod AS (SELECT z, y, x, v, {", ".join(f"g{n[0]} * g{n[1]} AS t{n}" for n in names)} FROM grad), {two},
+q AS (SELECT z, y, x, v, txx AS a, tyy AS b, tzz AS c, txy AS d, txz AS e, tyz AS f, (txx + tyy + tzz) / 3 AS q, txy * txy + txz * txz + tyz * tyz AS o FROM {end}),
+p AS (SELECT *, sqrt(((a - q) * (a - q) + (b - q) * (b - q) + (c - q) * (c - q) + 2 * o) / 6) AS p FROM q),
+r AS (SELECT *, CASE WHEN p > 0 THEN ((a - q) / p * ((b - q) / p * ((c - q) / p) - f / p * (f / p)) - d / p * (d / p * ((c - q) / p) - f / p * (e / p)) + e / p * (d / p * (f / p) - (b - q) / p * (e / p))) / 2 ELSE 0 END AS r FROM p),
+l AS (SELECT *, q + 2 * p * cos(acos(greatest(least(r, 1), -1)) / 3) AS l0, q + 2 * p * cos(acos(greatest(least(r, 1), -1)) / 3 + {2 * math.pi / 3!r}) AS l2 FROM r)
+SELECT z, y, x FROM l WHERE v >= 40 AND l0 > 1e-6 AND (l0 - (3 * q - l0 - l2)) / (l0 + 1e-6) >= 0.4"""
+
+
+@query("p2_detect_sheets", _detect_sql())
+def p2(spark, sf):
+    return P.detect_sheets(dense(spark, sf), DIMS, threshold=0.4, value_low=40, tile=8)
+
+
+LABELS = f"""WITH RECURSIVE {MASK}, e AS (SELECT a.id AS a, b.id AS b FROM mask a JOIN mask b ON abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+r(a, b) AS (SELECT id, id FROM mask UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), roots AS (SELECT b AS id, min(a) AS root FROM r GROUP BY b),
+labels AS (SELECT z, y, x, root, dense_rank() OVER (ORDER BY root) AS label FROM mask JOIN roots USING (id))"""
+
+
+@query("p3_label_components", f"{LABELS} SELECT z, y, x, CAST(root AS BIGINT) AS root, CAST(label AS INTEGER) AS label FROM labels")
+def p3(spark, sf):
+    return P.label(mask(spark, sf), D, D)
+
+
+@query("g14_component_sizes", f"{LABELS} SELECT CAST(label AS INTEGER) AS label, count(*) AS size FROM labels GROUP BY label")
+def g14(spark, sf):
+    return P.component_sizes(P.label(mask(spark, sf), D, D))
+
+
+@query("p3_remove_small", f"{LABELS} SELECT z, y, x FROM labels WHERE root IN (SELECT root FROM labels GROUP BY root HAVING count(*) >= 3)")
+def p3b(spark, sf):
+    return P.remove_small(mask(spark, sf), D, D, 3)
+
+
+def _plug_sql(passes):
+    parts, last = ["c8(dz, dy, dx) AS (SELECT i // 4, i // 2 % 2, i % 2 FROM range(8) t(i))"], "mask"
+    for k in range(passes):
+        parts.append(f"n{k} AS (SELECT z - dz AS z, y - dy AS y, x - dx AS x FROM {last}, c8), f{k} AS (SELECT z, y, x FROM n{k} WHERE z BETWEEN 0 AND {D - 2} AND y BETWEEN 0 AND {D - 2} AND x BETWEEN 0 AND {D - 2} GROUP BY ALL HAVING count(*) BETWEEN 5 AND 7)")
+        parts.append(f"m{k} AS (SELECT z, y, x FROM {last} UNION SELECT z + dz, y + dy, x + dx FROM f{k}, c8)")
+        last = f"m{k}"
+    return f"WITH {MASK.replace('>= 249', '>= 180')}, {', '.join(parts)} SELECT CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM {last}"
+
+
+@query("p4_plug_holes", _plug_sql(2))
+def p4(spark, sf):
+    return P.plug_holes(vox(spark, sf, D).where("v >= 180").select(*AXES), DIMS, 2)
+
+
+@query("p4_plug_holes_raster")
+def p4b(spark, sf):
+    """The in-place variant of one chunk, which depends on the scan's order."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros(DIMS, bool)
+        m[pdf["z"], pdf["y"], pdf["x"]] = True
+        return pd.DataFrame(np.argwhere(P.plug_holes_raster(m, 1)[0]), columns=list(AXES))
+
+    chunk = vox(spark, sf, D).where("v >= 180").select(*AXES)
+    return chunk.groupBy(F.expr(f"z DIV {D}")).applyInPandas(run, "z int, y int, x int")
+
+
+BALL = "ball(dz, dy, dx) AS (VALUES " + ", ".join(map(str, P.ball(1))) + ")"
+
+
+@query("p5_closing", f"""WITH {MASK}, {BALL}, d AS (SELECT DISTINCT z + dz AS z, y + dy AS y, x + dx AS x FROM mask, ball), di AS (SELECT * FROM d WHERE {INSIDE}),
+c AS (SELECT z - dz AS z, y - dy AS y, x - dx AS x FROM di, ball) SELECT CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM c GROUP BY ALL HAVING count(*) = 7""")
+def p5(spark, sf):
+    return P.close(mask(spark, sf), 1, DIMS)
+
+
+@query("p6_fill_cavities", f"""WITH RECURSIVE vox AS ({vox_sql(D)}), mask AS (SELECT z, y, x FROM vox WHERE v >= 120), g AS ({grid_sql(D, D, D)}), air AS (SELECT g.* FROM g ANTI JOIN mask USING (z, y, x)),
+six(dz, dy, dx) AS (VALUES (0, 0, 1), (0, 1, 0), (1, 0, 0), (0, 0, -1), (0, -1, 0), (-1, 0, 0)), e AS (SELECT a.z AS z0, a.y AS y0, a.x AS x0, b.z, b.y, b.x FROM air a, six JOIN air b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx),
+f AS (SELECT z, y, x FROM air WHERE z IN (0, {D - 1}) OR y IN (0, {D - 1}) OR x IN (0, {D - 1}) UNION SELECT e.z, e.y, e.x FROM f JOIN e ON e.z0 = f.z AND e.y0 = f.y AND e.x0 = f.x)
+SELECT z, y, x FROM g ANTI JOIN f USING (z, y, x)""")
+def p6(spark, sf):
+    return P.fill_cavities(vox(spark, sf, D).where("v >= 120").select(*AXES), DIMS)
+
+
+_D2 = f"WITH {MASK}, g AS ({grid_sql(D, D, D)}), d AS (SELECT g.z, g.y, g.x, min((g.z - m.z) * (g.z - m.z) + (g.y - m.y) * (g.y - m.y) + (g.x - m.x) * (g.x - m.x)) AS d2 FROM g, mask m GROUP BY ALL)"
+
+
+@query("p7_distance", f"{_D2} SELECT z, y, x, round(sqrt(d2), 4) AS d FROM d")
+def p7(spark, sf):
+    return P.distance(mask(spark, sf), DIMS).select(*AXES, F.round("d", 4).alias("d"))
+
+
+@query("p8_signed_distance", f"""{_D2}, air AS (SELECT g.* FROM g ANTI JOIN mask USING (z, y, x)), i AS (SELECT m.z, m.y, m.x, min((a.z - m.z) * (a.z - m.z) + (a.y - m.y) * (a.y - m.y) + (a.x - m.x) * (a.x - m.x)) AS i2 FROM mask m, air a GROUP BY ALL)
+SELECT d.z, d.y, d.x, round(CASE WHEN d2 > 0 THEN sqrt(d2) ELSE -sqrt(i2) END, 4) AS d FROM d LEFT JOIN i USING (z, y, x)""")
+def p8(spark, sf):
+    return P.signed_distance(mask(spark, sf), DIMS).select(*AXES, F.round("d", 4).alias("d"))
+
+
+@query("p9_detect_pipeline")
+def p9(spark, sf):
+    sheet = F.when(F.col("z").between(9, 10), 220).otherwise(40)
+    return P.detect_pipeline(volume_from_function(spark, 20, 20, 20, sheet), (20, 20, 20), 20, value_low=80)
+
+
+# ---------------------------------------------------------------- solver and tracer
+
+
+@query("t2_distance_residual", """WITH p AS (SELECT p_partkey AS pid, p_size / 10.0e0 AS len FROM part)
+SELECT pid, round(CASE WHEN len < 1e-9 THEN 100.0e0 WHEN len >= 2 THEN len / 2 - 1 ELSE 2 / len - 1 END, 6) AS r FROM p""")
+def t2(spark, sf):
+    """The distance residual as a column over pairs of points."""
+    from ..sources.volumes import read_table
+
+    length = F.col("p_size") / 10.0
+    r = F.when(length < 1e-9, 100.0).when(length >= 2, length / 2 - 1).otherwise(2 / length - 1)
+    return read_table(spark, sf, "part").select(F.col("p_partkey").alias("pid"), F.round(r, 6).alias("r"))
+
+
+@query("t1_least_squares")
+def t1(spark, sf):
+    """A chain of points between fixed ends for every group, solved in parallel: equal spacing."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = len(pdf)
+        x = np.zeros((n, 3))
+        x[:, 0] = np.linspace(0, 10.0 * (n - 1), n) + np.where((np.arange(n) > 0) & (np.arange(n) < n - 1), 3.0, 0.0)
+        frozen = np.zeros(n, bool)
+        frozen[[0, -1]] = True
+        problem = T.Problem(x, frozen)
+        for k in range(n - 1):
+            problem.add(T.distance_term(10.0), (k, k + 1))
+        first, last, steps = problem.solve()
+        return pdf.sort_values("k").assign(x=problem.x[:, 0].round(3), improved=bool(last <= first))
+
+    rows = spark.range(40).select((F.col("id") % 8).alias("gid"), F.expr("id DIV 8").cast("int").alias("k"))
+    return rows.groupBy("gid").applyInPandas(run, "gid long, k int, x double, improved boolean")
+
+
+def _cells(spark, n_grids, rows, cols, seed):
+    cells = spark.range(n_grids * rows * cols).select(F.expr(f"id DIV {rows * cols}").alias("gid"), F.expr(f"(id DIV {cols}) % {rows}").cast("int").alias("r"), (F.col("id") % cols).cast("int").alias("c"))
+    inside = F.col("r").between(rows // 2 - seed // 2, rows // 2 + seed // 2) & F.col("c").between(cols // 2 - seed // 2, cols // 2 + seed // 2)
+    return cells.select("gid", "r", "c", F.when(inside, F.col("c") * 10.0).alias("x"), F.when(inside, F.col("r") * 10.0).alias("y"), F.when(inside, F.col("gid") * 5.0).alias("z"))
+
+
+@query("t5_grow_grids", """SELECT CAST(i // 49 AS BIGINT) AS gid, CAST(i // 7 % 7 AS INTEGER) AS r, CAST(i % 7 AS INTEGER) AS c, (i % 7) * 10.0e0 AS x, (i // 7 % 7) * 10.0e0 AS y, (i // 49) * 5.0e0 AS z FROM range(98) t(i)""")
+def t5(spark, sf):
+    """Two flat seeds grown to 7 x 7: the plane is filled exactly."""
+    grown = T.grow_grids(_cells(spark, 2, 7, 7, 3), 10.0, T.Growth(radius=2))
+    return grown.select("gid", "r", "c", *((F.round(a, 3) + F.lit(0.0)).alias(a) for a in "xyz"))
+
+
+@query("t8_trace_to_surface", """SELECT CAST(i // 7 AS INTEGER) AS gy, CAST(i % 7 AS INTEGER) AS gx, 0.0e0 AS pz, (i // 7) * 10.0e0 AS py, (i % 7) * 10.0e0 AS px, 2.0e0 AS depth FROM range(49) t(i)""")
+def t8(spark, sf):
+    return T.to_surface(t5(spark, sf).where("gid = 0"), 2.0)
+
+
+@query("t7_seed_from_sdf")
+def t7(spark, sf):
+    """A seed patch on a cylinder's zero set, made in a task from the signed distance of its chunk."""
+
+    def run(batches):
+        for pdf in batches:
+            z, _, x = np.meshgrid(np.arange(40), np.arange(40), np.arange(40), indexing="ij")
+            field = T.Field(np.hypot(x - 19.5, z - 19.5) - 12)
+            for gid in pdf["id"]:
+                grid = T.seed_patch(field, (33.0, 15.0 + gid, 19.0), (5, 5), 3.0)
+                r, c = np.nonzero(~np.isnan(grid[..., 0]))
+                at = grid[r, c]
+                yield pd.DataFrame({"gid": gid, "r": r, "c": c, "x": at[:, 0], "y": at[:, 1], "z": at[:, 2], "residual": [abs(field.at(p)[0]) for p in at]})
+
+    return spark.range(2).mapInPandas(run, "gid long, r int, c int, x double, y double, z double, residual double")
+
+
+@query("t10_trace_pipeline")
+def t10(spark, sf):
+    """Detect, signed distance, seed and grow over one chunk with a flat sheet."""
+    dims = (20, 20, 20)
+    sheet = F.when(F.col("z").between(9, 10), 220).otherwise(40)
+    found = P.remove_small(P.detect_sheets(volume_from_function(spark, *dims, sheet), dims, value_low=80), 20, 20, 50)
+    sdf = P.signed_distance(found, dims)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = np.zeros(dims)
+        data[pdf["z"], pdf["y"], pdf["x"]] = pdf["d"]
+        field = T.Field(data)
+        grid, _, _ = T.grow(T.seed_patch(field, (10.0, 10.0, 12.0), (5, 5), 3.0), 3.0, T.Growth(radius=2), field)
+        r, c = np.nonzero(~np.isnan(grid[..., 0]))
+        return pd.DataFrame({"r": r, "c": c, "x": grid[r, c, 0], "y": grid[r, c, 1], "z": grid[r, c, 2]})
+
+    return sdf.groupBy(F.expr("z DIV 256")).applyInPandas(run, "r int, c int, x double, y double, z double")

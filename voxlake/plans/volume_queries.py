@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregate as A
 from ..operators import volume as V
 from ..sources.volumes import grid_sql, read_table, vox, vox_sql
-from .registry import query
+from .register import query
 
 VOX32, VOX64 = f"WITH vox AS ({vox_sql(32)})", f"WITH vox AS ({vox_sql(64)})"
 EDGE, CHUNK_EDGE = 4, 16
@@ -69,7 +69,7 @@ def g5(spark, sf):
     return A.prefix_offsets(k, ["cz", "cy", "cx"], "block_index", "len")
 
 
-QUANTISED = "CASE WHEN v = 0 THEN 0 ELSE least(255, ((v + 4) // 8) * 8) END"
+QUANTISED = "CASE WHEN coalesce(v, 0) = 0 THEN 0 ELSE least(255, ((v + 4) // 8) * 8) END"
 
 
 @query("g6_error_metrics", f"""{VOX32}, e AS (SELECT abs(v - CAST({QUANTISED} AS INTEGER)) AS e, v > 0 OR {QUANTISED} > 0 AS m FROM vox),
