@@ -1 +1,71 @@
-"""To come."""
+"""Queries that write a store or file into the shared folder and read it back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.scratch import scratch_path
+from ..sources.store import Archive, Geometry
+from ..sources.volumes import vox, vox_sql
+from .register import query
+
+VOX64 = f"WITH vox AS ({vox_sql(64)})"
+LOSSLESS = 1e-3
+
+
+def _archive(spark, sf, nlods=1):
+    out = Archive.create(spark, scratch_path(spark, "archive"), Geometry(64, 64, 64, 16, 32, LOSSLESS, 0, nlods), "volume from order lines")
+    out.build(vox(spark, sf, 64))
+    return Archive.open(spark, out.path, (64, 64, 64))
+
+
+@query("a17_build_and_read", f"""{VOX64}, l1 AS (SELECT CAST(z // 2 AS INTEGER) AS z, CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, CAST((CAST(sum(v) AS BIGINT) + count(*) // 2) // count(*) AS INTEGER) AS v FROM vox WHERE v > 0 GROUP BY 1, 2, 3)
+SELECT CAST(0 AS INTEGER) AS lod, z, y, x, v FROM vox WHERE v > 0 AND z BETWEEN 10 AND 40 AND y BETWEEN 3 AND 22 AND x BETWEEN 0 AND 63 UNION ALL SELECT 1, z, y, x, v FROM l1 WHERE z BETWEEN 10 AND 40 AND y BETWEEN 3 AND 22 AND x BETWEEN 0 AND 63""")
+def a17(spark, sf):
+    """Builds a store of two levels and reads a box of each; at the finest quality the voxels come back exactly."""
+    store = _archive(spark, sf, 2)
+    return store.region(10, 3, 0, 31, 20, 64).select(F.lit(0).alias("lod"), "*").unionByName(store.region(10, 3, 0, 31, 20, 64, 1).select(F.lit(1).alias("lod"), "*"))
+
+
+@query("a20_append_last_wins", f"{VOX64} SELECT z, y, x, v FROM vox WHERE v > 0 AND NOT (z < 32 AND y < 32 AND x < 32) UNION ALL SELECT z, y, x, 7 FROM vox WHERE v > 0 AND z < 32 AND y < 32 AND x < 32")
+def a20(spark, sf):
+    """A chunk that is appended again replaces its earlier version."""
+    store = _archive(spark, sf)
+    first = vox(spark, sf, 64).where("v > 0 AND z < 32 AND y < 32 AND x < 32")
+    store.append(first.withColumn("v", F.lit(7)))
+    return store.region(0, 0, 0, 64, 64, 64)
+
+
+@query("a26_verbatim_copy", f"{VOX64} SELECT z, y, x, v FROM vox WHERE v > 0 AND z < 32")
+def a26(spark, sf):
+    """Payloads of a box of chunks are copied without recoding."""
+    store = _archive(spark, sf)
+    other = Archive.create(spark, scratch_path(spark, "copy"), store.geometry)
+    other.copy_from(store, (0, 0, 0, 1, 2, 2))
+    return other.region(0, 0, 0, 64, 64, 64)
+
+
+@query("a24_metadata", "SELECT 'second text' AS metadata, CAST(64 AS INTEGER) AS nz")
+def a24(spark, sf):
+    store = Archive.create(spark, scratch_path(spark, "meta"), Geometry(64, 64, 64), "first")
+    store.set_metadata("second text")
+    return spark.range(1).select(F.lit(store.metadata).alias("metadata"), F.lit(Archive.open(spark, store.path).geometry.nz).alias("nz"))
+
+
+@query("a27_export_order", f"""{VOX64}, b AS (SELECT DISTINCT CAST(z // 16 AS INTEGER) AS bz, CAST(y // 16 AS INTEGER) AS by, CAST(x // 16 AS INTEGER) AS bx FROM vox WHERE v > 0)
+SELECT bz, by, bx, CAST(row_number() OVER (ORDER BY (bz // 2) * 4 + (by // 2) * 2 + bx // 2, bz, by, bx) - 1 AS INTEGER) AS position FROM b""")
+def a27(spark, sf):
+    return _archive(spark, sf).export_order().select("bz", "by", "bx", F.col("position").cast("int").alias("position"))
+
+
+@query("c15_verify_store", "SELECT CAST(0 AS BIGINT) AS n_corrupt")
+def c15(spark, sf):
+    return _archive(spark, sf).verify().agg(F.count(F.lit(1)).alias("n_corrupt"))
+
+
+@query("c5_block_bytes")
+def c5(spark, sf):
+    """Compressed size of every block."""
+    return _archive(spark, sf).blocks().select("bz", "by", "bx", F.octet_length("payload").alias("n_bytes"))
+
+
