@@ -2,7 +2,7 @@
 
 A block is a cube of edge N (16) as N^3 bytes. The relational forms (a row per coefficient) serve
 analysis; the Arrow kernels encode and decode whole batches of blocks at once. The payload is
-int16 levels and corrections under zstd: the numeric contract (dc, levels, bound), not a bit format.
+levels and corrections as integers under zstd: the numeric contract (dc, levels, bound), not a bit format.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def encode_blocks(blocks: np.ndarray, codec: Codec) -> list[bytes | None]:
         if not block.any():
             out.append(None)
             continue
-        flat = np.clip(levels[k].ravel(), -32768, 32767).astype("<i2")
+        flat = levels[k].ravel().astype("<i4")
         last = int(np.flatnonzero(flat)[-1]) + 1 if flat.any() else 0
         fixes = b""
         if decoded is not None:
@@ -120,12 +120,12 @@ def decode_blocks(payloads: list[bytes | None], codec: Codec, n: int = 16) -> np
             continue
         body = zstandard.ZstdDecompressor().decompress(payload)
         dc[k], last, m = struct.unpack_from("<BHH", body)
-        if len(body) != 5 + 2 * last + 4 * m or last > n**3:
+        if len(body) != 5 + 4 * last + 4 * m or last > n**3:
             raise ValueError("a block's payload is damaged")
         live[k] = True
-        levels[k, :last] = np.frombuffer(body, "<i2", last, 5)
+        levels[k, :last] = np.frombuffer(body, "<i4", last, 5)
         if m:
-            fixes.append((k, np.frombuffer(body, "<u2", m, 5 + 2 * last).astype(np.int64), np.frombuffer(body, "<i2", m, 5 + 2 * last + 2 * m).astype(np.int32)))
+            fixes.append((k, np.frombuffer(body, "<u2", m, 5 + 4 * last).astype(np.int64), np.frombuffer(body, "<i2", m, 5 + 4 * last + 2 * m).astype(np.int32)))
     out = _decoded(levels.reshape(-1, n, n, n), dc, steps(n, codec.quality)).reshape(len(payloads), -1)
     for k, at, value in fixes:
         out[k, at] += value

@@ -115,7 +115,7 @@ def detect_sheets(dense: DataFrame, dims: tuple[int, int, int], sigma_gradient:
     for a, n in zip(AXES, dims, strict=True):
         sent = sent.withColumn(f"t{a}", F.explode(F.sequence(F.expr(f"CAST(greatest({a} - {halo}, 0) DIV {tile} AS INT)"), F.expr(f"CAST(least({a} + {halo}, {n - 1}) DIV {tile} AS INT)"))))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         lo = [max(k * tile - halo, 0) for k in key]
         hi = [min((k + 1) * tile + halo, n) for k, n in zip(key, dims, strict=True)]
         box = np.zeros([b - a for a, b in zip(lo, hi, strict=True)])

@@ -1 +1,80 @@
-"""To come."""
+"""Queries of the access log, in batch; the streaming forms are tested against them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import access as S
+from ..sources.volumes import read_table
+from .register import query
+
+LOG = "log AS (SELECT event_id AS seq, ts, CAST(user_id % 3 AS INTEGER) AS lod, CAST(event_id % 16 AS INTEGER) AS bz, CAST(user_id % 16 AS INTEGER) AS by_, CAST((event_id + user_id) % 16 AS INTEGER) AS bx FROM events)"
+
+
+def log(spark, sf):
+    return S.access_log(read_table(spark, sf, "events"))
+
+
+def _replay(policy):
+    @query(f"s4_cache_replay_{policy}")
+    def run(spark, sf):
+        keyed = log(spark, sf).select("seq", S.block_key())
+        return S.replay(keyed, 1024, policy, 16)
+
+    return run
+
+
+_replay("s3fifo")
+_replay("clock")
+
+
+@query("g15_cache_counters", "SELECT CAST(count(*) AS BIGINT) AS n FROM events")
+def g15(spark, sf):
+    """Counters summed over shards; hits and misses add up to the accesses."""
+    total = S.counters(S.replay(log(spark, sf).select("seq", S.block_key()), 1024, "s3fifo", 16))
+    return total.select((F.col("hits") + F.col("misses")).alias("n"))
+
+
+@query("s5_distinct_misses", f"WITH {LOG} SELECT lod, bz, by_ AS by, bx, min(seq) AS first_seq FROM log WHERE NOT (lod = 1 AND bz < 8) GROUP BY ALL")
+def s5(spark, sf):
+    rows = log(spark, sf)
+    resident = rows.where("lod = 1 AND bz < 8").select("lod", "bz", "by", "bx").distinct()
+    return S.distinct_misses(rows, resident)
+
+
+@query("s7_serve_blocks", f"WITH {LOG} SELECT CAST(CASE WHEN (bz + by_ + bx) % 3 = 0 THEN 1 WHEN (bz + by_ + bx) % 3 = 1 THEN 2 ELSE 0 END AS INTEGER) AS state, count(*) AS n FROM log GROUP BY 1")
+def s7(spark, sf):
+    rows = log(spark, sf)
+    kind = F.expr("(bz + by + bx) % 3")
+    chunks = rows.where(kind < 2).select("lod", "bz", "by", "bx", F.when(kind == 0, 1).otherwise(2).alias("state")).distinct()
+    return S.serve(rows, chunks).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s8_request_queue", f"WITH {LOG} SELECT lod, bz, by_ AS by, bx, max(seq) AS last_seq FROM log GROUP BY ALL ORDER BY last_seq DESC LIMIT 50")
+def s8(spark, sf):
+    """A report of the 50 newest requests, each region once."""
+    return S.request_queue(log(spark, sf), 50)
+
+
+@query("s10_region_generations", f"WITH {LOG} SELECT lod, bz, by_ AS by, bx, max(seq) AS generation FROM log GROUP BY ALL UNION ALL SELECT NULL, NULL, NULL, NULL, max(seq) FROM log")
+def s10(spark, sf):
+    return S.region_generations(log(spark, sf))
+
+
+RANGES = "ranges AS (SELECT l_suppkey % 4 AS file, l_orderkey * 700 AS start, CAST(l_quantity * 10 AS BIGINT) AS length FROM lineitem WHERE l_partkey % 8 = 0)"
+
+
+def ranges(spark, sf):
+    return read_table(spark, sf, "lineitem").where("l_partkey % 8 = 0").select((F.col("l_suppkey") % 4).alias("file"), (F.col("l_orderkey") * 700).alias("start"), (F.col("l_quantity") * 10).cast("long").alias("length"))
+
+
+@query("s11_coalesce_ranges", f"""WITH {RANGES}, r AS (SELECT *, max(start + length) OVER (PARTITION BY file ORDER BY start, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ranges),
+s AS (SELECT *, sum(CASE WHEN start <= reach + 2000 THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY start, length ROWS UNBOUNDED PRECEDING) AS run FROM r)
+SELECT file, min(start) AS run_start, max(start + length) AS run_end, count(*) AS n FROM s GROUP BY file, run""")
+def s11(spark, sf):
+    return S.coalesce_ranges(ranges(spark, sf), ["file"], 2000)
+
+
+@query("s11_coalesce_ranges_capped")
+def s11c(spark, sf):
+    return S.coalesce_ranges(ranges(spark, sf), ["file"], 2000, 20_000)

@@ -10,7 +10,7 @@ from ..sources.volumes import vox, vox_sql
 from .register import query
 
 VOX64 = f"WITH vox AS ({vox_sql(64)})"
-LOSSLESS = 1e-3
+LOSSLESS = 0.01
 
 
 def _archive(spark, sf, nlods=1):
@@ -52,8 +52,8 @@ def a24(spark, sf):
     return spark.range(1).select(F.lit(store.metadata).alias("metadata"), F.lit(Archive.open(spark, store.path).geometry.nz).alias("nz"))
 
 
-@query("a27_export_order", f"""{VOX64}, b AS (SELECT DISTINCT CAST(z // 16 AS INTEGER) AS bz, CAST(y // 16 AS INTEGER) AS by, CAST(x // 16 AS INTEGER) AS bx FROM vox WHERE v > 0)
-SELECT bz, by, bx, CAST(row_number() OVER (ORDER BY (bz // 2) * 4 + (by // 2) * 2 + bx // 2, bz, by, bx) - 1 AS INTEGER) AS position FROM b""")
+@query("a27_export_order", f"""{VOX64}, b AS (SELECT DISTINCT CAST(z // 16 AS INTEGER) AS bz, CAST(y // 16 AS INTEGER) AS by_, CAST(x // 16 AS INTEGER) AS bx FROM vox WHERE v > 0)
+SELECT bz, by_ AS by, bx, CAST(row_number() OVER (ORDER BY (bz // 2) * 4 + (by_ // 2) * 2 + bx // 2, bz, by_, bx) - 1 AS INTEGER) AS position FROM b""")
 def a27(spark, sf):
     return _archive(spark, sf).export_order().select("bz", "by", "bx", F.col("position").cast("int").alias("position"))
 

@@ -159,6 +159,7 @@ class Zarr2(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Zarr2)
 
 
