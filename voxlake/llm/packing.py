@@ -14,6 +14,8 @@ counted within salted sub-groups, so one very frequent length is spread over man
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from dataclasses import dataclass
@@ -27,12 +29,27 @@ from .common import materialize, read_table, shuffle_partitions
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 BATCH_ROWS = 64
 
 # ---------------------------------------------------------------- tokens
 
-_cache: dict[bytes, bytes] = {}
+_LAST_MARK = re.compile(rb"[.,](?<=[a-z0-9][.,])(?=[ \t\n\x0b\x0c\r]|\Z)")
+
+
+class _Cache(dict):
+    """Ids of chunks; a chunk that isn't there is encoded, and kept while there is room (what is frequent comes early)."""
+
+    tokenizer = None
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = _encode(self.tokenizer, chunk)
+        if len(self) < CACHE_WORDS:
+            self[chunk] = ids
+        return ids
+
+
+_cache = _Cache()
 _loaded: dict[str, object] = {}
 
 
@@ -49,7 +66,7 @@ def _tokenizer(path: str | None):
         from tokenizers import Tokenizer
 
         _loaded.clear(), _cache.clear()
-        _loaded[path] = Tokenizer.from_file(path)
+        _loaded[path] = _cache.tokenizer = Tokenizer.from_file(path)
     return _loaded[path]
 
 
@@ -58,20 +75,41 @@ def token_bytes(text: str, path: str | None = None) -> bytes:
 
     This vocabulary drops white space and no token spans it, so the ids of a text are those of
     its white-space-delimited chunks, one after another; chunks seen before come from a cache.
+    It ignores case too and keeps letters and digits apart from punctuation, so chunks are
+    lower-cased in A to Z and a single stop or comma at a word's end is a chunk of its own. Texts
+    that may hold one of its control strings, which are told apart by case, are left as they are.
     """
-    tok = _tokenizer(path)
-    chunks = text.encode("utf-8", "replace").split()
-    try:
-        return b"".join(map(_cache.__getitem__, chunks))
-    except KeyError:
-        pass
-    fresh = list({c for c in chunks if c not in _cache})
-    if len(_cache) + len(fresh) > CACHE_WORDS:
-        _cache.clear()
-        fresh = list(set(chunks))
-    encoded = tok.encode_batch_fast([c.decode() for c in fresh], add_special_tokens=False)
-    _cache.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(fresh, encoded, strict=True))
-    return b"".join(map(_cache.__getitem__, chunks))
+    _tokenizer(path)
+    data = text.encode("utf-8", "replace")
+    if b"<|" not in data:
+        data = _LAST_MARK.sub(rb" \g<0>", data.lower())
+    return b"".join(map(_cache.__getitem__, data.split()))
+
+
+#: A chunk of small Latin letters alone is one word to this tokenizer, already in its normal form.
+_PLAIN_WORD = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_LETTER_OF_BYTE = _byte_letters()
+
+
+def _encode(tok, chunk: bytes) -> bytes:
+    """Ids of a chunk: a plain word by the tokenizer's model alone, another by the whole tokenizer."""
+    word = chunk.decode()
+    if _PLAIN_WORD.fullmatch(word):
+        if len(word) != len(chunk):
+            word = "".join(map(_LETTER_OF_BYTE.__getitem__, chunk))
+        ids = [t.id for t in tok.model.tokenize(word)]
+    else:
+        ids = tok.encode(word, add_special_tokens=False).ids
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
