@@ -7,7 +7,6 @@ text and never the number of rows in a batch.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import materialize, shared_dir  # noqa: F401
+
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
 
@@ -33,24 +34,6 @@ ASCII_LOWER[ord("A") : ord("Z") + 1] += 32
 # ---------------------------------------------------------------- scratch tables
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or "file:///tmp/checkpoints").rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs the tasks that it ran, and a result
-    that several later steps read is computed once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/voxlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

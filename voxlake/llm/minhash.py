@@ -6,10 +6,11 @@ shifted circularly by k. Coordinates are banded; documents that share a band are
 and a link is confirmed on the full shingle sets. Components of links are the groups.
 
 Skew. Documents with equal shingle sets are one representative, found by a grouped minimum, so a
-group of exact copies of any size is one row. Within a band bucket the first rounds compare
-members with one leader each (a linear number of pairs), and a bucket whose members are all in
-one component is done. What is left, members of one bucket in different components, is compared
-pair by pair, so no link between different components is lost. With 32 bands of 6 rows two
+group of exact copies of any size is one row. Members of a band bucket are compared with the
+bucket's leader, a linear number of pairs. Members of one leader that are still in different
+components are compared only if they share a rare shingle among those that set them apart from the
+leader. That is an exact filter (see near_duplicates), so no link is lost, and a large group of
+copies of one document, each changed in its own places, gives no pairs. With 32 bands of 6 rows two
 documents at the threshold of 0.85 miss every bucket with probability 3e-7.
 """
 
@@ -21,11 +22,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, materialize, mix, read_table, shingle_hashes, slices, text_buffers
-from .components import connected_components
+from ..operators.graph import connected_components
 
 UNIVERSE_BITS = 20
 
@@ -37,7 +38,6 @@ class Settings:
     rows: int = 6
     shingle_words: int = 5
     seed: int = 20
-    leader_rounds: int = 2
 
 
 @lru_cache(maxsize=2)
@@ -99,18 +99,44 @@ def shingle_sets(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Those pairs (a, b) whose full sets meet the threshold. Sets are made anew from the texts of the documents in pairs."""
-    pairs = materialize(pairs, "op7-pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(shingle_sets(texts, settings), "op7-sets")
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    n, m = F.size("x"), F.size("y")
-    both = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(one, "a").join(two, "b").where(100 * F.least(n, m) >= settings.percent * F.greatest(n, m))
-    return joined.select("a", "b", both.alias("i"), (n + m).alias("s")).where(100 * F.col("i") >= settings.percent * (F.col("s") - F.col("i"))).select("a", "b")
+def _sets_of(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
+    """(doc_id, shingles) of the documents in ``wanted`` (doc_id), made anew from their texts.
+
+    The texts meet a Bloom filter of the wanted ids before the join, so about the wanted texts alone are
+    shuffled. The filter has a fixed greatest size; beyond it the join does without.
+    """
+    rows = docs.select("doc_id", "text")
+    bits = 1 << 23
+    if wanted.count() * 12 <= bits:
+        at = [F.pmod(F.xxhash64(F.lit(j), "doc_id"), F.lit(bits)) for j in range(4)]
+        words = wanted.select(F.explode(F.array(*at)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
+        table = np.zeros(bits // 64, np.int64)
+        for r in words.toLocalIterator():
+            table[r["word"]] = r["bits"]
+        shared = docs.sparkSession.sparkContext.broadcast(table)
+
+        def likely(batches):
+            for batch in batches:
+                n = batch.num_columns - 4
+                hit = np.ones(batch.num_rows, bool)
+                for j in range(4):
+                    k = batch.column(n + j).to_numpy(zero_copy_only=False)
+                    hit &= (shared.value[k >> 6].view(np.uint64) >> (k & 63).astype(np.uint64)) & U64(1) == 1
+                yield batch.select(list(range(n))).filter(pa.array(hit))
+
+        rows = rows.select("doc_id", "text", *(c.alias(f"_{j}") for j, c in enumerate(at))).mapInArrow(likely, "doc_id long, text string")
+    texts = rows.join(wanted, "doc_id", "left_semi")
+    sets = shingle_sets(texts, settings)
+    # Rows that repeat a doc_id: any one of its texts, the same each time.
+    return materialize(sets.groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "op7-sets")
+
+
+def _linked(n, m, both, percent: int):
+    return 100 * both >= percent * (n + m - both)
+
+
+def _similar_size(n, m, percent: int):
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -120,45 +146,55 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     doc_id are taken as copies of it. An empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
+    percent = settings.percent
     signed = materialize(signatures(docs, settings), "op7-signatures")
     filled = signed.where("n_shingles > 0")
     classes = filled.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"))
     member = materialize(filled.join(classes, ["set_hi", "set_lo"]), "op7-members")
-    reps = member.where("doc_id = rep").dropDuplicates(["rep"]).select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = reps.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    buckets = materialize(reps.join(shared, "key"), "op7-buckets")
-
-    none = docs.sparkSession.createDataFrame([], "a long, b long")
-    links, labels, done = none, None, none
-    for turn in range(settings.leader_rounds + 1):
-        current = buckets if labels is None else buckets.join(labels, buckets["rep"] == labels["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        if labels is not None:
-            open_keys = current.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-            current = materialize(current.join(open_keys, "key"), "op7-open")
-            buckets = current.select("key", "rep", "n")
-            if current.isEmpty():
-                break
-        similar = lambda p, q: 100 * F.least(p, q) >= settings.percent * F.greatest(p, q)
-        if turn < settings.leader_rounds:
-            # Leaders differ from bucket to bucket and round to round, by a XOR of ids with a hash of the key.
-            code = F.xxhash64("key", F.lit(turn))
-            leader = current.groupBy("key").agg(F.min(F.struct(F.col("rep").bitwiseXOR(code).alias("x"), F.col("rep").alias("leader"), F.col("n").alias("m"), *([F.col("component").alias("other")] if labels is not None else []))).alias("l")).select("key", "l.*")
-            met = current.join(leader, "key").where(F.col("rep") != F.col("leader"))
-            met = met.where(similar(F.col("n"), F.col("m")))
-            if labels is not None:
-                met = met.where(F.col("component") != F.col("other"))
-            pairs = met.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
-        else:
-            left, right = current.alias("l"), current.alias("r")
-            apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.component") != F.col("r.component"))
-            pairs = left.join(right, apart & similar(F.col("l.n"), F.col("r.n"))).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
-        pairs = pairs.distinct().join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "op7-round")
-        found = materialize(confirm(pairs, docs, settings), "op7-links")
-        done, links = done.unionByName(pairs), links.unionByName(found)
-        labels = materialize(connected_components(links), "op7-labels")
-
-    labels = labels if labels is not None else none.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    reps = member.where("doc_id = rep").dropDuplicates(["rep"]).select("rep", F.explode("bands").alias("key"))
+    # A bucket's leader is its least document; a bucket of one has nothing to compare.
+    leaders = reps.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "leader")
+    stars = materialize(reps.join(leaders, "key").where("rep <> leader").select("leader", "rep").distinct(), "op7-stars")
+    wanted = materialize(stars.select(F.col("leader").alias("doc_id")).unionByName(stars.select(F.col("rep").alias("doc_id"))).distinct(), "op7-wanted")
+    sets = _sets_of(docs, wanted, settings)
+    one = sets.select(F.col("doc_id").alias("leader"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("y"))
+
+    # Every member against its leaders: the link, and what sets the two apart.
+    apart = F.concat(F.array_except("y", "x"), F.array_except("x", "y"))
+    met = stars.join(one, "leader").join(two, "rep").select("leader", "rep", F.size("x").alias("m"), F.size("y").alias("n"), apart.alias("apart"))
+    met = materialize(met.withColumn("both", ((F.col("m") + F.col("n") - F.size("apart")) / 2).cast("int")), "op7-met")
+    links = materialize(met.where(_linked(F.col("n"), F.col("m"), F.col("both"), percent)).select(F.col("leader").alias("a"), F.col("rep").alias("b")), "op7-links")
+    labels = materialize(connected_components(links), "op7-labels")
+
+    # Stars with members in several components. If nothing that sets x apart from the leader also sets y apart,
+    # x and y can be linked only where both are linked to the leader. A linked pair of different components
+    # thus has such shingles in common, and as it differs in k = n (100 - percent) / percent shingles at most, the
+    # k + 1 rarest of x's meet the k + 1 rarest of y's (prefix filter). Nothing else is paired.
+    ends = met.select("leader", F.col("rep").alias("node"), "n", "apart")
+    named = ends.join(labels, "node", "left").select("leader", F.col("node").alias("rep"), "n", "apart", F.coalesce("component", "node").alias("component"))
+    named = materialize(named, "op7-named")
+    open_ = named.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leader")
+    parts = named.join(open_, "leader").select("leader", "rep", "n", "component", F.explode("apart").alias("e"))
+    rare = parts.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # An element of one member alone meets no other, but it takes its place among the rarest.
+    alone = F.size("apart")
+    shared = parts.join(rare, ["leader", "e"])
+    own = named.select("leader", "rep", alone.alias("size"))
+    rank = F.row_number().over(Window.partitionBy("leader", "rep").orderBy("c", "e"))
+    listed = shared.withColumn("k", rank).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("leader", "rep"))).join(own, ["leader", "rep"])
+    most = F.floor(F.col("n") * (100 - percent) / percent) + 1
+    prefix = materialize(listed.where(F.col("k") + F.col("size") - F.col("of") <= most).select("leader", "e", "rep", "n", "component"), "op7-prefix")
+    p, q = prefix.alias("p"), prefix.alias("q")
+    on = (F.col("p.leader") == F.col("q.leader")) & (F.col("p.e") == F.col("q.e")) & (F.col("p.rep") < F.col("q.rep")) & (F.col("p.component") != F.col("q.component"))
+    more = p.join(q, on & _similar_size(F.col("p.n"), F.col("q.n"), percent)).select(F.col("p.rep").alias("leader"), F.col("q.rep").alias("rep")).distinct()
+    more = materialize(more, "op7-pairs")
+    both = F.size(F.array_intersect("x", "y"))
+    found = more.join(one, "leader").join(two, "rep").select(F.col("leader").alias("a"), F.col("rep").alias("b"), F.size("x").alias("m"), F.size("y").alias("n"), both.alias("both"))
+    found = materialize(found.where(_linked(F.col("n"), F.col("m"), F.col("both"), percent)).select("a", "b"), "op7-links")
+    if not found.isEmpty():
+        labels = materialize(connected_components(links.unionByName(found)), "op7-labels")
+
     grouped = member.select("doc_id", "n_shingles", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = grouped.unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -169,6 +205,10 @@ def op7_minhash(spark, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document of the smallest id stays, with its columns as they are."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Pipeline stage: of each group the document of the smallest id stays, with its columns as they are.
+
+    Of rows that repeat a doc_id one stays; rows without a doc_id stay.
+    """
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    alone = docs.where("doc_id IS NULL")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(alone)
