@@ -26,14 +26,12 @@ from voxlake.llm.suffix_dedup import remove_repeated
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with what is left of its text."""
+    """Every document with what is left of its text; n_chars follows where something was cut out."""
     names = docs.columns
-    left = remove_repeated(docs, with_text=True).where("n_removed > 0").select("doc_id", "text_key", "kept_text").distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    on = keyed["doc_id"].eqNullSafe(left["doc_id"]) & (keyed["_key"] == left["text_key"])
-    text = F.coalesce(left["kept_text"], keyed["text"])
-    out = {"text": text, "n_chars": F.when(left["kept_text"].isNotNull(), F.length(left["kept_text"]).cast("long")).otherwise(keyed["n_chars"])}
-    return keyed.join(left, on, "left").select(*(out[n].alias(n) if n in out else keyed[n] for n in names))
+    left = remove_repeated(docs, with_text=True, carry=tuple(n for n in names if n != "text"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("carried.n_chars"))
+    out = {"text": F.col("kept_text"), "n_chars": n_chars}
+    return left.select(*(out.get(n, F.col(f"carried.`{n}`")).alias(n) for n in names))
 
 
 STAGES = [

@@ -344,26 +344,31 @@ def _removed(body: bytes, spans, with_text: bool) -> tuple:
     return len(body), removed, count, hashlib.sha256(b"".join(kept)).hexdigest(), out
 
 
-def remove_repeated(docs: DataFrame, with_text: bool = False, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """doc_id with n_bytes, n_removed, n_spans and kept_sha256; ``with_text`` adds the text that is left.
+def remove_repeated(docs: DataFrame, with_text: bool = False, group_limit: int = GROUP_LIMIT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id with n_bytes, n_removed, n_spans and kept_sha256; ``with_text`` adds kept_text, the text that is left.
 
-    The digest is of the remaining bytes. In kept_text a character stays whole if any of its bytes does.
+    The digest is of the remaining bytes. In kept_text a character stays whole if any of its bytes does; a
+    null text stays null. ``carry`` names columns to hand through, in a struct ``carried``.
     """
-    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text")).select("doc_id", "text_key", "text")
-    found = repeated_spans(named, group_limit)
+    text = F.coalesce("text", F.lit(""))
+    carried = F.struct(F.col("text").isNull().alias("_null"), *carry)
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"), carried.alias("carried"))
+    found = repeated_spans(rows.select("doc_id", "text_key", "text"), group_limit)
     spans = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    on = named["doc_id"].eqNullSafe(spans["doc_id"]) & (named["text_key"] == spans["text_key"])
-    joined = named.join(spans, on, "left").select(named["doc_id"], named["text_key"], F.col("text"), F.col("spans"))
+    on = rows["doc_id"].eqNullSafe(spans["doc_id"]) & (rows["text_key"] == spans["text_key"])
+    joined = rows.join(spans, on, "left").select(rows["doc_id"], F.col("text"), F.col("spans"), F.col("carried"))
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 small = batch.slice(lo, 256)
-                rows = [_removed(t.encode(), s, with_text) for t, s in zip(small.column(2).to_pylist(), small.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([small.column(0), small.column(1), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), REMOVED, strict=True))], names=["doc_id", "text_key", *REMOVED.names])
+                found = [_removed(t.encode(), s, with_text) for t, s in zip(small.column(1).to_pylist(), small.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([small.column(0), small.column(3), *(pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), REMOVED, strict=True))], names=["doc_id", "carried", *REMOVED.names])
 
-    out = joined.mapInArrow(run, "doc_id long, text_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    return out if with_text else out.drop("text_key", "kept_text")
+    out = joined.mapInArrow(run, f"doc_id long, carried {rows.schema['carried'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    if not with_text:
+        return out.drop("carried", "kept_text")
+    return out.withColumn("kept_text", F.when(~F.col("carried._null"), F.col("kept_text")))
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
