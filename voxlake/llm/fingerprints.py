@@ -79,10 +79,12 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     rows = docs.select(part.alias("part"), F.lit(0).alias("follower"), "doc_id", "text")
     if not heads:
         return rows
-    sends = F.array()
-    for (before, _), (_, head) in zip([heads[-1], *heads[:-1]], heads, strict=True):
-        sends = F.when(F.col("doc_id").eqNullSafe(F.lit(head)), F.array(F.lit(before))).otherwise(sends)
-    to = F.concat(F.array(F.struct("part", "follower")), F.transform(sends.cast("array<int>"), lambda p: F.struct(p.alias("part"), F.lit(1).alias("follower"))))
+    # A row per part, however many rows the table has: a bounded broadcast.
+    before = [(head, prior) for (prior, _), (_, head) in zip([heads[-1], *heads[:-1]], heads, strict=True)]
+    sends = F.broadcast(spark.createDataFrame(before, "head long, prior int"))
+    rows = rows.join(sends, F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    again = F.when(F.col("prior").isNotNull(), F.array(F.struct(F.col("prior").alias("part"), F.lit(1).alias("follower"))))
+    to = F.concat(F.array(F.struct("part", "follower")), F.coalesce(again, F.expr("CAST(array() AS array<struct<part: int, follower: int>>)")))
     rows = rows.select(F.explode(to).alias("to"), "doc_id", "text").select("to.part", "to.follower", "doc_id", "text")
     return rows.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "follower", F.desc_nulls_last("doc_id"), "text")
 
