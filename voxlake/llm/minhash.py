@@ -184,10 +184,14 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     rank = F.row_number().over(Window.partitionBy("leader", "rep").orderBy("c", "e"))
     listed = shared.withColumn("k", rank).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("leader", "rep"))).join(own, ["leader", "rep"])
     most = F.floor(F.col("n") * (100 - percent) / percent) + 1
-    prefix = materialize(listed.where(F.col("k") + F.col("size") - F.col("of") <= most).select("leader", "e", "rep", "n", "component"), "op7-prefix")
+    listed = listed.withColumn("rest", F.col("of") - F.col("k"))
+    prefix = materialize(listed.where(F.col("size") - F.col("rest") <= most).select("leader", "e", "rep", "n", "component", "size", "rest"), "op7-prefix")
     p, q = prefix.alias("p"), prefix.alias("q")
     on = (F.col("p.leader") == F.col("q.leader")) & (F.col("p.e") == F.col("q.e")) & (F.col("p.rep") < F.col("q.rep")) & (F.col("p.component") != F.col("q.component"))
-    more = p.join(q, on & _similar_size(F.col("p.n"), F.col("q.n"), percent)).select(F.col("p.rep").alias("leader"), F.col("q.rep").alias("rep")).distinct()
+    # Where x and y first meet, what is left of both lists must still suffice for their overlap.
+    k = F.floor(F.least(F.col("p.n"), F.col("q.n")) * (100 - percent) / percent)
+    enough = 2 * (1 + F.least("p.rest", "q.rest")) >= F.col("p.size") + F.col("q.size") - k
+    more = p.join(q, on & enough & _similar_size(F.col("p.n"), F.col("q.n"), percent)).select(F.col("p.rep").alias("leader"), F.col("q.rep").alias("rep")).distinct()
     more = materialize(more, "op7-pairs")
     both = F.size(F.array_intersect("x", "y"))
     found = more.join(one, "leader").join(two, "rep").select(F.col("leader").alias("a"), F.col("rep").alias("b"), F.size("x").alias("m"), F.size("y").alias("n"), both.alias("both"))
