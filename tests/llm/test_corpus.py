@@ -318,6 +318,17 @@ def test_near_threshold_groups_lose_no_link(spark):
     assert {d: (r["n_shingles"], r["component_id"], r["kept"]) for d, r in got.items()} == components_by_brute_force(rows)
 
 
+def test_near_duplicate_stage_links_from_80_percent(spark, docs, texts):
+    """The stage keeps what brute force keeps at 80; the pair of 0.80 to 0.849 in it is none at 85."""
+    words = [f"p{k}" for k in range(204)]
+    rows = [(k * 3 + 1, t) for k, t in enumerate(texts)] + [(5000 + d, " ".join(w)) for d, w in enumerate([words, words[:50] + ["q1"] + words[51:100] + ["q2"] + words[101:150] + ["q3"] + words[151:190] + ["q4"] + words[191:]])]
+    want = {percent: {d for d, (_, _, kept) in components_by_brute_force(rows, percent).items() if kept} for percent in (80, 85)}
+    assert 5001 in want[85] - want[80]
+    extra = spark.createDataFrame([(d, t, "en", "pair", len(t)) for d, t in rows[-2:]], DOCS)
+    got = minhash.near_duplicate_stage(spark, docs.unionByName(extra), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(want[80])
+
+
 def test_signature_is_circulant_minhash():
     s = minhash.Settings()
     pi = np.random.default_rng(s.seed).permutation(1 << 20)

@@ -11,7 +11,8 @@ bucket's leader, a linear number of pairs. Members of one leader that are still
 components are compared only if they share a rare shingle among those that set them apart from the
 leader. That is an exact filter (see near_duplicates), so no link is lost, and a large group of
 copies of one document, each changed in its own places, gives no pairs. With 32 bands of 6 rows two
-documents at the threshold of 0.85 miss every bucket with probability 3e-7.
+documents at the query's threshold of 0.85 miss every bucket with probability 3e-7, and two at the
+pipeline stage's threshold of 0.8 with probability 6e-5.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import U64, materialize, mix, read_table, shingle_hashes, slices, t
 from ..operators.graph import connected_components
 
 UNIVERSE_BITS = 20
+#: Least similarity of a link in the pipeline, in percent; the query has the default of Settings.
+STAGE_PERCENT = 80
 
 
 @dataclass(frozen=True)
@@ -211,8 +214,8 @@ def op7_minhash(spark, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the document of the smallest id stays, with its columns as they are.
 
-    Of rows that repeat a doc_id one stays; rows without a doc_id stay.
+    Documents are linked from a similarity of 0.8 on. Of rows that repeat a doc_id one stays; rows without a doc_id stay.
     """
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = near_duplicates(docs, Settings(percent=STAGE_PERCENT)).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     alone = docs.where("doc_id IS NULL")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(alone)
