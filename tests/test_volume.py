@@ -12,7 +12,8 @@ from voxlake.operators import geometry as M
 from voxlake.operators import image as I
 from voxlake.operators import sample as J
 from voxlake.operators import volume as V
-from voxlake.sources.volumes import volume_from_function
+from voxlake.plans.registry import QUERIES
+from voxlake.sources.volumes import vox, volume_from_function
 
 
 
@@ -145,3 +146,17 @@ def test_valley_between_two_peaks():
 def test_percentile_rank_is_by_index(values_):
     s = sorted(values_)
     assert s[int(50 / 100 * (len(s) - 1))] in values_
+
+
+def test_crops_cover_every_order(spark, small):
+    cube = np.zeros((64, 64, 64), int)
+    for r in vox(spark, small, 64).collect():
+        cube[r["z"], r["y"], r["x"]] = r["v"]
+    want = []
+    for k, c in spark.read.parquet(f"{small}/orders.parquet").select("o_orderkey", "o_custkey").collect():
+        z, y, x = k * 7 % 56, c * 5 % 56, k * 3 % 56
+        box = cube[z : z + 8, y : y + 8, x : x + 8]
+        want += [(k, *map(int, at), int(box[tuple(at)])) for at in np.argwhere(box > 0)]
+    got = QUERIES["c8_batched_crops"](spark, small).select("box_id", "z", "y", "x", "v")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert any(k % 10 for k, *_ in want)

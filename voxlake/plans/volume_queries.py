@@ -186,7 +186,7 @@ def c7(spark, sf):
 SELECT box_id, CAST(z - z0 AS INTEGER) AS z, CAST(y - y0 AS INTEGER) AS y, CAST(x - x0 AS INTEGER) AS x, v FROM b JOIN vox ON z BETWEEN z0 AND z0 + 7 AND y BETWEEN y0 AND y0 + 7 AND x BETWEEN x0 AND x0 + 7 WHERE v > 0""")
 def c8(spark, sf):
     k = F.col("o_orderkey")
-    boxes = read_table(spark, sf, "orders").where(k % 10 == 0).select(k.alias("box_id"), (k * 7 % 56).cast("int").alias("z0"), (F.col("o_custkey") * 5 % 56).cast("int").alias("y0"), (k * 3 % 56).cast("int").alias("x0"))
+    boxes = read_table(spark, sf, "orders").select(k.alias("box_id"), (k * 7 % 56).cast("int").alias("z0"), (F.col("o_custkey") * 5 % 56).cast("int").alias("y0"), (k * 3 % 56).cast("int").alias("x0"))
     return V.regions(vox(spark, sf, 64), boxes, 8, 8, 8, 8)
 
 
