@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from voxlake.operators import access as S
+from voxlake.plans.registry import QUERIES
 from voxlake.streaming import access_stream as X
 
 
@@ -35,6 +36,29 @@ def test_runs_are_capped_greedily(spark):
     assert sorted(map(tuple, S.coalesce_ranges(rows, ["f"], 5).collect())) == [(0, 0, 40, 4), (0, 500, 510, 1)]
 
 
+def test_ranges_are_all_order_lines(spark, small):
+    """Both queries against a loop over the sorted ranges of the whole table."""
+    files = {}
+    for supplier, order, quantity in spark.read.parquet(f"{small}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_quantity").collect():
+        files.setdefault(supplier % 4, []).append((order * 700, int(quantity * 10)))
+    for name, longest in (("s11_coalesce_ranges", None), ("s11_coalesce_ranges_capped", 20_000)):
+        want = []
+        for file, rows in files.items():
+            runs, reach = [], None
+            for start, length in sorted(rows):
+                end = start + length
+                joined = reach is not None and start <= reach + 2000
+                if joined and (longest is None or end - runs[-1][1] <= longest):
+                    runs[-1] = (file, runs[-1][1], max(runs[-1][2], end), runs[-1][3] + 1)
+                else:
+                    runs.append((file, start, end, 1))
+                reach = end if reach is None else max(reach, end)
+            want += runs
+        got = sorted(map(tuple, QUERIES[name](spark, small).select("file", "run_start", "run_end", "n").collect()))
+        assert got == sorted(want) and len(got) > 4
+        assert sum(r[3] for r in got) == spark.read.parquet(f"{small}/lineitem.parquet").count()
+
+
 def run_stream(spark, frame, mode, name, tmp_path):
     q = frame.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"file://{tmp_path}/{name}").start()
     q.processAllAvailable()

@@ -65,7 +65,7 @@ RANGES = "ranges AS (SELECT l_suppkey % 4 AS file, l_orderkey * 700 AS start, CA
 
 
 def ranges(spark, sf):
-    return read_table(spark, sf, "lineitem").where("l_partkey % 8 = 0").select((F.col("l_suppkey") % 4).alias("file"), (F.col("l_orderkey") * 700).alias("start"), (F.col("l_quantity") * 10).cast("long").alias("length"))
+    return read_table(spark, sf, "lineitem").select((F.col("l_suppkey") % 4).alias("file"), (F.col("l_orderkey") * 700).alias("start"), (F.col("l_quantity") * 10).cast("long").alias("length"))
 
 
 @query("s11_coalesce_ranges", f"""WITH {RANGES}, r AS (SELECT *, max(start + length) OVER (PARTITION BY file ORDER BY start, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ranges),
