@@ -440,6 +440,28 @@ def test_pairwise_ranking_recovers_an_order(spark, docs):
     assert quality_rank.score(empty(spark), model).count() == 0
 
 
+def test_quality_cut_follows_the_share_of_all_labels(spark, tmp_path, monkeypatch):
+    """A tenth of the labels is bad and the classes overlap; the sample for the fit is half and half."""
+    rng = random.Random(3)
+    bad = {d: d % 10 == 3 for d in range(1200)}
+    rows = [(d, " ".join("BUY" if rng.random() < rng.uniform(0.1, 0.5) + 0.1 * b else f"w{rng.randrange(90)}" for _ in range(60))) for d, b in bad.items()]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, int(not b)) for d, b in bad.items()], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    real = quality_rank.Settings
+    monkeypatch.setattr(quality_rank, "Settings", lambda: real(sample_docs=60))
+    got = [r for r in quality_rank.op10_quality_rank(spark, str(tmp_path)).collect() if not r["held_out"]]
+    share = np.mean([bad[r["doc_id"]] for r in got])
+    assert 0.05 < share < 0.15
+    assert abs(np.mean([r["predicted"] == 0 for r in got]) - share) < 0.01
+
+
+def test_order_statistics_are_exact(spark):
+    values = [float(v) for v in np.random.default_rng(4).normal(0, 1, 3000).round(2)] + [1e6, 7.0, 7.0]
+    ranks = {0, 1, 300, 1500, 2999, 3002}
+    got = quality_rank.order_statistics(spark.createDataFrame([(v,) for v in values], "_raw double"), ranks, most=20, buckets=16)
+    assert got == {k: sorted(values)[k] for k in ranks}
+
+
 # ---------------------------------------------------------------- all
 
 

@@ -4,19 +4,20 @@ Every pair of a good and a bad labelled document is a comparison that the good o
 model's score is linear in text features, ``P(a beats b) = sigmoid(w . (f(a) - f(b)))``, and w
 minimises the logistic loss on the feature differences of sampled pairs with a ridge penalty
 (Newton steps). The decision threshold is the quantile of the training scores that leaves as
-large a share below as there are bad documents; a logistic link maps it to score 0.7.
+large a share below as there are bad documents, over all labelled training documents, sampled or
+not; a logistic link maps it to score 0.7.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_bucket, read_table, slices, text_buffers, word_spans
+from .common import fold_bucket, materialize, read_table, slices, text_buffers, word_spans
 
 
 @dataclass(frozen=True)
@@ -72,9 +73,11 @@ class Model:
     spread: float
     threshold: float
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.center) / self.scale).clip(-8, 8) @ self.weights
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        raw = ((x - self.center) / self.scale).clip(-8, 8) @ self.weights
-        z = (raw - self.cut) / self.spread + np.log(self.threshold / (1 - self.threshold))
+        z = (self.raw(x) - self.cut) / self.spread + np.log(self.threshold / (1 - self.threshold))
         return 1 / (1 + np.exp(-z.clip(-40, 40)))
 
     @staticmethod
@@ -103,7 +106,7 @@ class Model:
         return Model(center, scale, w, float((lo + hi) / 2), float(max(raw.std() / 4, 1e-6)), settings.threshold)
 
 
-SCHEMA = pa.schema([("score", pa.float64()), ("predicted", pa.int32())])
+ADDED = ("score", "predicted")
 
 
 def learn(labelled: DataFrame, settings: Settings = Settings()) -> Model:
@@ -126,27 +129,69 @@ def learn(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     return Model.fit(x[1], x[0], settings)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Columns of ``docs`` but the text, with score and predicted (score at or above the threshold).
-
-    Null texts count as empty; an empty text has zero features and the score that follows.
-    """
+def raw_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Columns of ``docs`` but the text, score and predicted, with _raw, the score before the link."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop(*(c for c in SCHEMA.names if c != text))
+    kept = docs.drop(*(c for c in ADDED if c != text))
     others = [c for c in kept.columns if c != text]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != text] + ["score double", "predicted int"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != text] + ["_raw double"])
 
     def run(batches):
         m = shared.value
         for batch in batches:
             data, offsets = text_buffers(batch.column(batch.schema.get_field_index(text)))
-            parts = [m.score(features(part, off)) for _, _, part, off in slices(data, offsets)]
-            s = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in others] + [pa.array(s), pa.array((s >= 0.7).astype(np.int32))], names=[*others, *SCHEMA.names])
+            parts = [m.raw(features(part, off)) for _, _, part, off in slices(data, offsets)]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in others] + [pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*others, "_raw"])
 
     return kept.mapInArrow(run, schema)
 
 
+def order_statistics(values: DataFrame, ranks: set[int], most: int = 50_000, buckets: int = 1024) -> dict[int, float]:
+    """The values of ``values`` (_raw) at ranks from 0, exactly: buckets that hold a rank are split until few rows are left."""
+    lo, hi, n = values.agg(F.min("_raw"), F.max("_raw"), F.count("_raw")).first()
+    if lo == hi:
+        return dict.fromkeys(ranks, lo)
+    if n <= most:
+        found = np.sort([r["_raw"] for r in values.select("_raw").collect()])
+        return {k: float(found[k]) for k in ranks}
+    bucket = F.least(F.floor((F.col("_raw") - lo) / (hi - lo) * buckets), F.lit(buckets - 1))
+    below, out = 0, {}
+    for b, count in sorted(map(tuple, values.groupBy(bucket.alias("b")).count().collect())):
+        here = {k - below for k in ranks if below <= k < below + count}
+        if here:
+            out |= {k + below: v for k, v in order_statistics(values.where(bucket == b), here, most, buckets).items()}
+        below += count
+    return out
+
+
+def calibrate(model: Model, labelled: DataFrame) -> Model:
+    """``model`` with cut and spread from all rows of ``labelled`` (quality, _raw), at the share of bad ones among them."""
+    n, bad, std = labelled.agg(F.count(F.lit(1)), F.count_if(F.col("quality") == 0), F.stddev_pop("_raw")).first()
+    if bad in (0, n) or not model.weights.any():
+        return model
+    share = bad / n
+    # Between the scores on either side of the quantile, so a clean separation gets its middle.
+    at = [q * (n - 1) for q in (max(share - 0.01, 0), min(share + 0.01, 1))]
+    got = order_statistics(labelled, {k for p in at for k in (int(p), min(int(p) + 1, n - 1))})
+    sides = [got[int(p)] + (got[min(int(p) + 1, n - 1)] - got[int(p)]) * (p - int(p)) for p in at]
+    return replace(model, cut=sum(sides) / 2, spread=max(std / 4, 1e-6))
+
+
+def linked(raw: DataFrame, model: Model) -> DataFrame:
+    """score and predicted (score at or above the threshold) in place of _raw."""
+    z = (F.col("_raw") - model.cut) / model.spread + float(np.log(model.threshold / (1 - model.threshold)))
+    scored = raw.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0)))))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int")).drop("_raw")
+
+
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Columns of ``docs`` but the text, with score and predicted (score at or above the threshold).
+
+    Null texts count as empty; an empty text has zero features and the score that follows.
+    """
+    return linked(raw_scores(docs, model, text), model)
+
+
 def op10_quality_rank(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold_bucket(F.col("doc_id"), 4) == 2
@@ -161,4 +206,6 @@ def op10_quality_rank(spark, sf_dir: str) -> DataFrame:
     # About sample_docs rows of each class, whatever the input: a bounded broadcast, so no text is shuffled.
     chosen = labels.where(at < limit)
     model = learn(docs.join(F.broadcast(chosen), "doc_id"), settings)
-    return score(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    # Every document is scored once; the labels meet the scores, not the texts.
+    raw = materialize(raw_scores(docs.select("doc_id", "text", held_out.alias("held_out")), model), "op10-raw")
+    return linked(raw, calibrate(model, raw.join(labels, "doc_id").select("quality", "_raw")))
