@@ -10,7 +10,7 @@ from ..operators import sample as J
 from ..operators import volume as V
 from ..sources.volumes import read_table, vox, vox_sql
 from .register import query
-from .volume_queries import SURFACE, surface
+from .volume_queries import SURFACE, surface, surface_height
 
 VOX32, VOX64 = f"WITH vox AS ({vox_sql(32)})", f"WITH vox AS ({vox_sql(64)})"
 POINTS = "points AS (SELECT o_orderkey AS pid, (o_orderkey * 13 % 640) / 20.0e0 - 0.5e0 AS pz, (o_custkey * 7 % 640) / 20.0e0 AS py, ((o_orderkey * 3 + o_custkey) % 640) / 20.0e0 AS px FROM orders)"
@@ -100,7 +100,9 @@ normals AS (SELECT i, j, pz, py, px, mz / sqrt(mz * mz + my * my + mx * mx) AS n
 
 
 def quad(spark, sf):
-    return M.quad_points(surface(spark, sf).where("gy < 5"), 40, 5, 0.5, 0.25, 0.5, 36, 10)
+    """Pixels half a control point apart, over all rows of the surface."""
+    height = surface_height(spark, sf)
+    return M.quad_points(surface(spark, sf), 40, height, 0.5, 0.25, 0.5, 36, 2 * height)
 
 
 @query("m2_quad_points", f"""WITH {QUAD} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {", ".join(f"round(CAST({c} AS DOUBLE), 4) AS {c}" for c in ("pz", "py", "px", "nz", "ny", "nx"))} FROM normals""")

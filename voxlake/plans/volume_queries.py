@@ -109,10 +109,15 @@ def surface(spark, sf):
     ok = F.col("p_size") % 17 != 0
     k = F.col("p_partkey")
     row = F.expr("p_partkey DIV 40")
-    return read_table(spark, sf, "part").where(k < 1600).select(
+    return read_table(spark, sf, "part").select(
         row.cast("int").alias("gy"), (k % 40).cast("int").alias("gx"), F.when(ok, k % 97 / 4.0).alias("pz"), F.when(ok, row * 2.0).alias("py"), F.when(ok, (k % 40) * 1.5).alias("px"), (5 + F.col("p_size") / 10.0).alias("depth"))
 
 
+def surface_height(spark, sf) -> int:
+    """Rows of the surface grid, by the greatest key."""
+    return (read_table(spark, sf, "part").agg(F.max("p_partkey")).first()[0] or 0) // 40 + 1
+
+
 @query("g11_surface_stats", f"WITH {SURFACE} SELECT round(CAST(avg(depth) FILTER (pz IS NOT NULL) AS DOUBLE), 4) AS mean_depth, count(*) FILTER (pz IS NOT NULL) AS n_valid, count(*) FILTER (pz IS NULL) AS n_invalid FROM grid")
 def g11(spark, sf):
     return A.surface_stats(surface(spark, sf)).withColumn("mean_depth", F.round("mean_depth", 4))
@@ -122,7 +127,7 @@ def g11(spark, sf):
 SELECT round(CAST(coalesce(avg(sqrt((b.pz - a.pz) ** 2 + (b.py - a.py) ** 2 + (b.px - a.px) ** 2)), 1.0) AS DOUBLE), 4) AS spacing
 FROM t JOIN grid a USING (gy, gx) JOIN grid b ON b.gy = t.gy AND b.gx = t.gx + 1""")
 def g12(spark, sf):
-    return A.quad_spacing(surface(spark, sf), 40, 5).select(F.round("spacing", 4).alias("spacing"))
+    return A.quad_spacing(surface(spark, sf), 40, surface_height(spark, sf)).select(F.round("spacing", 4).alias("spacing"))
 
 
 @query("g13_covariance", f"""WITH {SURFACE}, p AS (SELECT px AS x, py AS y, pz AS z FROM grid WHERE pz IS NOT NULL), m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM p)
