@@ -35,3 +35,8 @@ def test_surface_is_the_whole_table(spark, larger, name, changes):
 @pytest.mark.parametrize("name", ["n11_render_quad_max", "n10_render_surface_light"])
 def test_rendered_surface_is_the_whole_table(spark, larger, name):
     assert QUERIES[name](spark, larger).select("i").distinct().count() == 100
+
+
+@pytest.mark.parametrize("name", ["i3_apply_lut", "i4_local_contrast", "i5_ambient_occlusion", "i6_auto_window"])
+def test_image_is_the_whole_table(spark, larger, name):
+    assert_same(QUERIES[name](spark, larger), connect(larger), whole(name, (" WHERE p_partkey BETWEEN 40 AND 199", "")))

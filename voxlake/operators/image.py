@@ -94,7 +94,7 @@ def tap_offsets(radius: float) -> list[tuple[int, int]]:
 
 
 def occlusion(depth: DataFrame, image: DataFrame, radius: float, strength: float) -> DataFrame:
-    """Darkens pixels that nearer neighbours of the depth image (i, j, val) surround."""
+    """Darkens pixels that nearer neighbours of the depth image (i, j, val) surround; halves round up, whatever the order of a sum."""
     s = 0.7 if strength <= 0 else min(strength, 1.0)
     taps = F.array(*(F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj")) for dj, di in tap_offsets(radius)))
     live = depth.where("val > 0")
@@ -103,7 +103,7 @@ def occlusion(depth: DataFrame, image: DataFrame, radius: float, strength: float
     dd = F.col("dc") - F.col("dn") - 2.0
     o = F.least(dd / 8.0, F.lit(1.0)) * F.when(dd > 24.0, 24.0 / dd).otherwise(1.0)
     occ = met.groupBy("i", "j").agg(F.avg(F.when(dd <= 0, 0.0).otherwise(o)).alias("occ"))
-    return image.join(occ, ["i", "j"], "left").select("i", "j", F.when(F.col("occ").isNull(), F.col("val")).otherwise(to_u8(F.col("val") * (1.0 - s * F.col("occ")))).alias("val"))
+    return image.join(occ, ["i", "j"], "left").select("i", "j", F.when(F.col("occ").isNull(), F.col("val")).otherwise(to_u8(F.round(F.col("val") * (1.0 - s * F.col("occ")), 6))).alias("val"))
 
 
 def auto_window(image: DataFrame) -> DataFrame:

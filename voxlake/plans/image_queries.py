@@ -11,14 +11,14 @@ from ..operators import image as I
 from ..sources.volumes import read_table, vox, vox_sql
 from .register import query
 from .render_queries import u8
+from .volume_queries import surface_height
 
 IMAGE = """img AS (SELECT CAST(p_partkey // 40 AS INTEGER) AS i, CAST(p_partkey % 40 AS INTEGER) AS j, CAST(CASE WHEN p_size % 7 = 0 THEN 0 ELSE p_size * 5 END AS INTEGER) AS val FROM part WHERE p_partkey BETWEEN 40 AND 199)"""
-HEIGHT = 5
 
 
 def image(spark, sf):
     k = F.col("p_partkey")
-    return read_table(spark, sf, "part").where(k.between(40, 199)).select(F.expr("p_partkey DIV 40").cast("int").alias("i"), (k % 40).cast("int").alias("j"), F.when(F.col("p_size") % 7 == 0, 0).otherwise(F.col("p_size") * 5).cast("int").alias("val"))
+    return read_table(spark, sf, "part").select(F.expr("p_partkey DIV 40").cast("int").alias("i"), (k % 40).cast("int").alias("j"), F.when(F.col("p_size") % 7 == 0, 0).otherwise(F.col("p_size") * 5).cast("int").alias("val"))
 
 
 @query("i1_colormap_ids", "SELECT * FROM (VALUES ('gray', 0), ('viridis', 1), ('magma', 2), ('fire', 3), ('red', 4), ('green', 5), ('blue', 6), ('cyan', 7), ('magenta', 8), ('other', 0)) t(name, id)")
@@ -52,7 +52,7 @@ def _dog_sql(r=2, gain=0.8):
 
 @query("i4_local_contrast", _dog_sql())
 def i4(spark, sf):
-    return I.difference_of_gaussians(image(spark, sf), 40, HEIGHT, 2.0, 0.8)
+    return I.difference_of_gaussians(image(spark, sf), 40, surface_height(spark, sf), 2.0, 0.8)
 
 
 TAPS_SQL = ", ".join(f"({di}, {dj})" for dj, di in I.tap_offsets(4.0))
