@@ -40,3 +40,7 @@ def test_rendered_surface_is_the_whole_table(spark, larger, name):
 @pytest.mark.parametrize("name", ["i3_apply_lut", "i4_local_contrast", "i5_ambient_occlusion", "i6_auto_window"])
 def test_image_is_the_whole_table(spark, larger, name):
     assert_same(QUERIES[name](spark, larger), connect(larger), whole(name, (" WHERE p_partkey BETWEEN 40 AND 199", "")))
+
+
+def test_mesh_is_the_whole_table(spark, larger):
+    assert_same(QUERIES["m5_grid_from_mesh"](spark, larger), connect(larger), whole("m5_grid_from_mesh", (" WHERE p_partkey < 400", "")))

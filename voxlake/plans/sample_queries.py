@@ -148,7 +148,7 @@ SELECT CAST(c.gy AS INTEGER) AS gy, CAST(c.gx AS INTEGER) AS gx, CASE WHEN n.vid
 FROM c LEFT JOIN n ON n.gy = c.gy AND n.gx = c.gx AND n.k = 1""")
 def m5(spark, sf):
     k = F.col("p_partkey")
-    v = read_table(spark, sf, "part").where(k < 400).select(k.alias("vid"), ((k % 23) * 1.0 + F.col("p_size") / 100.0).alias("x"), ((k % 17) * 0.7).alias("y"), F.lit(2.5).alias("z"))
+    v = read_table(spark, sf, "part").select(k.alias("vid"), ((k % 23) * 1.0 + F.col("p_size") / 100.0).alias("x"), ((k % 17) * 0.7).alias("y"), F.lit(2.5).alias("z"))
     return M.grid_from_mesh(v, 12, 10, 4.0)
 
 
