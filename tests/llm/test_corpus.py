@@ -421,6 +421,15 @@ def test_cascade_is_exact_over_its_universe(spark):
 # ---------------------------------------------------------------- 10
 
 
+def test_language_of_long_texts_is_learned(spark):
+    """All labelled texts of one language are longer than 250,000 bytes, of the other one short."""
+    rows = [(d, f"aba cab bac {d} " * 20, "short") for d in range(5)] + [(10 + d, "xyz zyx yxz " * (25_000 + d), "long") for d in range(2)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(model.langs) == ["long", "short"]
+    asked = spark.createDataFrame([(1, "zyx xyz yxz"), (2, "cab aba bac")], "doc_id long, text string")
+    assert {d: r["lang_pred"] for d, r in by_id(langid.predict(asked, model)).items()} == {1: "long", 2: "short"}
+
+
 def test_quality_held_out(spark, small):
     out = QUERIES["op10_quality_rank"](spark, small)
     assert out.where("score IS NULL OR score < 0 OR score > 1 OR predicted <> CAST(score >= 0.7 AS INT)").count() == 0

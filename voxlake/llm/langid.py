@@ -30,11 +30,13 @@ UNDETERMINED = "und"
 @dataclass(frozen=True)
 class Settings:
     """``sample_docs`` whole texts at most (and those within ``sample_bytes``) are learned from per
-    language, chosen by a hash of doc_id among all labelled documents; ``min_context`` is how often a
+    language, chosen by a hash of doc_id among labelled documents of ``text_bytes`` at most; a language
+    without such a text has its shortest ones, one at least; ``min_context`` is how often a
     3-byte context must occur to become a node of the tree."""
 
     sample_docs: int = 300
     sample_bytes: int = 2_000_000
+    text_bytes: int = 250_000
     min_context: int = 12
     score_bytes: int = 16
 
@@ -130,17 +132,27 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     at = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 40))
-    limits = labelled.groupBy("lang").count().collect()
+    rows = labelled.select("lang", at.alias("at"), F.octet_length("text").alias("n"), "text")
+    short = F.col("n") <= settings.text_bytes
+    limits = {r["lang"]: r["count"] for r in rows.groupBy("lang").agg(F.count_if(short).alias("count")).collect()}
     # Twice the bound is admitted by hash, the bound itself is applied in hash order.
     rate = F.lit(0)
-    for row in limits:
-        rate = F.when(F.col("lang") == row["lang"], F.lit(min(1 << 40, int((1 << 40) * 2 * settings.sample_docs / row["count"])))).otherwise(rate)
-    texts: dict[str, list[bytes]] = {row["lang"]: [] for row in limits}
+    for lang, count in limits.items():
+        if count:
+            rate = F.when(F.col("lang") == lang, F.lit(min(1 << 40, int((1 << 40) * 2 * settings.sample_docs / count)))).otherwise(rate)
+    found = sorted(rows.where((F.col("at") < rate) & short).collect(), key=lambda r: (r["lang"], r["at"]))
+    for lang in (k for k, count in limits.items() if not count):
+        # More of them than this don't fit into sample_bytes.
+        most = max(1, min(settings.sample_docs, settings.sample_bytes // (settings.text_bytes + 1)))
+        own = rows.where(F.col("lang") == lang)
+        sizes = [r["n"] for r in own.select("n", "at").orderBy("n", "at").limit(most).collect()]
+        fit = max(1, int((np.cumsum(sizes) <= settings.sample_bytes).sum()))
+        found += own.orderBy("n", "at").limit(fit).collect()
+    texts: dict[str, list[bytes]] = {lang: [] for lang in limits}
     spent = dict.fromkeys(texts, 0)
-    share = labelled.select("lang", at.alias("at"), F.octet_length("text").alias("n"), "text").where((F.col("at") < rate) & (F.col("n") <= settings.sample_bytes // 8))
-    for row in sorted(share.collect(), key=lambda r: (r["lang"], r["at"])):
+    for row in found:
         lang = row["lang"]
-        if len(texts[lang]) < settings.sample_docs and spent[lang] + row["n"] <= settings.sample_bytes:
+        if not texts[lang] or (len(texts[lang]) < settings.sample_docs and spent[lang] + row["n"] <= settings.sample_bytes):
             texts[lang].append(row["text"].encode())
             spent[lang] += row["n"]
     return Model.learn({k: v for k, v in texts.items() if v}, settings.min_context)
