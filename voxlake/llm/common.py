@@ -7,11 +7,14 @@ text and never the number of rows in a batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+ROW = ("id_key", "no_id", "text_key")
+ROW_SQL = "id_key long, no_id boolean, text_key long"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds ROW, keys without nulls that are equal for rows alike in doc_id and text."""
+    return docs.withColumns({"id_key": F.coalesce(F.col("doc_id"), F.lit(0)).cast("long"), "no_id": F.col("doc_id").isNull(), "text_key": F.xxhash64(F.coalesce("text", F.lit("")))})
+
+
 # ---------------------------------------------------------------- text buffers
 
 
@@ -81,14 +93,21 @@ _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base modulo 2**64, and their inverses."""
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            step = np.full(size, base, U64)
-            step[0] = 1
-            _powers[k] = np.multiply.accumulate(step)
-    return _powers[0][:n], _powers[1][:n]
+    """The first n powers of the hash base modulo 2**64, and their inverses; tables of up to a slice's length are kept."""
+    if n <= SLICE_BYTES + 1:
+        if len(_powers[0]) < n:
+            _powers[:] = _power_tables(SLICE_BYTES + 1)
+        return _powers[0][:n], _powers[1][:n]
+    return _power_tables(n)
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASE, _INVERSE):
+        step = np.full(n, base, U64)
+        step[0] = 1
+        out.append(np.multiply.accumulate(step))
+    return out[0], out[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,7 +121,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Polynomial prefix hashes modulo 2**64: entry i covers data[:i]."""
+    """Polynomial prefix hashes modulo 2**64: entry i covers data[:i]. They deal strings out; nothing is equal by them alone."""
     out = np.zeros(len(data) + 1, U64)
     if len(data):
         np.cumsum((data.astype(U64) + U64(1)) * powers(len(data))[0], out=out[1:])
@@ -114,6 +133,78 @@ def range_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     return (prefix[end] - prefix[start]) * powers(len(prefix))[1][start]
 
 
+PRIME = (1 << 61) - 1
+_PRIME_BASE = 0x1B7E9A5D3C84F061 % PRIME
+_low30, _low31, _prime = U64((1 << 30) - 1), U64((1 << 31) - 1), U64(PRIME)
+_prime_powers = [np.ones(1, U64)]
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x >> U64(61)) + (x & _prime)
+    return np.where(x >= _prime, x - _prime, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2**61 - 1, by halves."""
+    a1, a0, b1, b0 = a >> U64(31), a & _low31, b >> U64(31), b & _low31
+    mid = a0 * b1 + a1 * b0
+    return _reduced(U64(2) * a1 * b1 + (mid >> U64(30)) + ((mid & _low30) << U64(31)) + a0 * b0)
+
+
+def prime_powers(n: int) -> np.ndarray:
+    """The first n powers of the seeded base modulo 2**61 - 1."""
+    got = _prime_powers[0]
+    while len(got) < n:
+        step = times(got[-1:], np.array([_PRIME_BASE], U64))
+        got = np.concatenate([got, times(got, step)])
+    _prime_powers[0] = got
+    return got[:n]
+
+
+def prime_prefixes(data: np.ndarray) -> np.ndarray:
+    """Polynomial prefix hashes modulo 2**61 - 1 of up to 2**22 bytes: entry i covers data[:i]."""
+    power, code = prime_powers(len(data)), data.astype(U64) + U64(1)
+    low, high = np.cumsum((power & _low31) * code, dtype=U64), np.cumsum((power >> U64(31)) * code, dtype=U64)
+    return np.concatenate([np.zeros(1, U64), _reduced(_reduced(low) + ((high & _low30) << U64(31)) + (high >> U64(30)))])
+
+
+# ---------------------------------------------------------------- skew and memory
+
+
+def map_arrow(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow whose workers give freed memory back when a task ends; an idle worker would keep it."""
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return rows.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def hot_keys(rows: DataFrame, keys: list[str], total: int, per_row: int = 1, share: int = 1000) -> DataFrame:
+    """The keys that hold at least one in ``share`` of ``total`` input rows; ``rows`` has ``per_row`` rows of each at most.
+
+    Each such key takes total / share of total * per_row rows, so there are share * per_row of them at
+    most: a table that may be broadcast at any input size.
+    """
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * share >= max(total, share)).drop("_n")
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, whose keys are unique. Rows of the few ``hot`` keys meet their entry by
+    broadcast, where they lie; all others are shuffled, so no task gets the rows of a frequent key."""
+    hot = F.broadcast(hot)
+    there = rows.join(F.broadcast(table.join(hot, keys, "left_semi")), keys)
+    return there.unionByName(rows.join(hot, keys, "left_anti").join(table.join(hot, keys, "left_anti"), keys, how))
+
+
 # ---------------------------------------------------------------- words and shingles
 
 
@@ -135,26 +226,48 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+class _WordHashes(dict):
+    """Seeded 64-bit hashes of words; the first hundred thousand short ones are kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = xxhash.xxh3_64_intdigest(word, 20)
+        if len(word) <= 48 and len(self) < 100_000:
+            self[word] = code
+        return code
+
+
+_word_hashes = _WordHashes()
+_SEPARATOR = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_codes(text: bytes) -> np.ndarray:
+    """Hashes of the words of a text, lower-cased in A to Z, taken from pieces of a slice's length."""
+    parts, at = [], 0
+    while at < len(text):
+        cut = _SEPARATOR.search(text, at + SLICE_BYTES) if len(text) - at > SLICE_BYTES else None
+        end = cut.start() if cut else len(text)
+        words = text[at:end].lower().split()  # bytes split on exactly the separators of the contract
+        parts.append(np.fromiter(map(_word_hashes.__getitem__, words), U64, len(words)))
+        at = end
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, U64), *parts])
+
+
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> Iterator[np.ndarray]:
-    """For each row the sorted distinct hashes of its word shingles.
+    """For each row the sorted distinct 64-bit hashes of its word shingles.
 
     Words are lower-cased in A to Z. A row of fewer than ``size`` words has one shingle,
     the whole sequence; a row without words has none.
     """
-    data = ASCII_LOWER[data]
-    starts, ends, first = word_spans(data, offsets)
-    prefix = prefix_hashes(data)
-    words = mix(range_hashes(prefix, starts, ends) + (ends - starts).astype(U64))
     weights = mix(np.arange(1, size + 1, dtype=U64)) | U64(1)
-    n = len(words)
-    grams = np.zeros(max(n - size + 1, 0), U64)
-    for j in range(size if len(grams) else 0):
-        grams += words[j : j + len(grams)] * weights[j]
-    grams = mix(grams)
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        if b - a >= size:
-            yield np.unique(grams[a : b - size + 1])
-        elif b > a:
-            yield mix((words[a:b] * weights[: b - a]).sum(keepdims=True, dtype=U64) + U64(int(b - a)))
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        words = word_codes(data[a:b].tobytes())
+        n = len(words)
+        if n >= size:
+            grams = words[: n - size + 1] * weights[0]
+            for j in range(1, size):
+                grams += words[j : n - size + 1 + j] * weights[j]
+            yield np.unique(mix(grams))
+        elif n:
+            yield mix((words * weights[:n]).sum(keepdims=True, dtype=U64) + U64(n))
         else:
             yield np.zeros(0, U64)

@@ -13,6 +13,7 @@ language knows) with a table of code lengths, so a text is scored by two array l
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,10 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_bucket, read_table, slices, text_buffers
+from .common import fold_bucket, give_back, read_table, slices, text_buffers
 
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
+PIECE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -96,22 +98,27 @@ class Model:
         return Model(langs, symbol.astype(np.int32), deep, bits)
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Bits of every row under every language."""
+        """Bits of every row under every language, added up over pieces of PIECE bytes, so a long text needs no more memory."""
         rows, langs = len(offsets) - 1, len(self.langs)
         out = np.zeros((rows, langs))
         if not len(data) or not langs:
             return out
         size = np.int32(int(self.symbol.max()) + 1)
-        s = self.symbol[data]
-        ctx = np.full((3, len(s)), size - 1, np.int32)  # before a text's start stands the symbol that no language has
-        pos = np.arange(len(s)) - np.repeat(offsets[:-1], np.diff(offsets))
-        for back in (1, 2, 3):
-            ctx[3 - back, back:] = s[:-back]
-            ctx[3 - back, pos < back] = size - 1
-        state = self.deep[(ctx[0] * size + ctx[1]) * size + ctx[2]]
-        cost = self.bits[state.astype(np.int64) * size + s]
-        full = np.flatnonzero(np.diff(offsets))
-        out[full] = np.add.reduceat(cost, offsets[:-1][full], axis=0, dtype=np.float64)
+        for lo in range(0, len(data), PIECE):
+            hi, lead = min(lo + PIECE, len(data)), min(lo, 3)
+            s = self.symbol[data[lo - lead : hi]]
+            first, last = int(np.searchsorted(offsets, lo, side="right")) - 1, int(np.searchsorted(offsets, hi, side="left"))
+            begin = offsets[first:last]
+            pos = np.arange(lo, hi) - np.repeat(begin, np.minimum(offsets[first + 1 : last + 1], hi) - np.maximum(begin, lo))
+            state = np.zeros(hi - lo, np.int32)
+            for back in (3, 2, 1):  # before a text's start stands the symbol that no language has
+                past = np.full(hi - lo, size - 1, np.int32)
+                know = np.flatnonzero(pos >= back)
+                past[know] = s[know + lead - back]
+                state = state * size + past
+            cost = self.bits[self.deep[state].astype(np.int64) * size + s[lead:]]
+            some = np.flatnonzero(np.minimum(offsets[first + 1 : last + 1], hi) > np.maximum(begin, lo))
+            out[first + some] += np.add.reduceat(cost, np.maximum(begin[some], lo) - lo, axis=0, dtype=np.float64)
         return out
 
 
@@ -127,8 +134,9 @@ def _refine(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Trees from ``docs`` (doc_id, text, lang); rows of null lang or text don't count.
 
-    A count per language sets the sampling rate of a hash of doc_id, so the rows that reach the
-    driver stay within the bound at any input size.
+    A count per language sets the sampling rate of a hash of doc_id. Only ids and sizes of candidates reach
+    the driver at first; texts follow for those that fit into the language's bytes, so what is gathered is
+    ``sample_bytes`` a language (or one text, if it is larger) at any input size.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     at = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 40))
@@ -140,22 +148,26 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> Model:
     for lang, count in limits.items():
         if count:
             rate = F.when(F.col("lang") == lang, F.lit(min(1 << 40, int((1 << 40) * 2 * settings.sample_docs / count)))).otherwise(rate)
-    found = sorted(rows.where((F.col("at") < rate) & short).collect(), key=lambda r: (r["lang"], r["at"]))
+    found = sorted(map(tuple, rows.where((F.col("at") < rate) & short).select("lang", "at", "n").collect()))
     for lang in (k for k, count in limits.items() if not count):
         # More of them than this don't fit into sample_bytes.
         most = max(1, min(settings.sample_docs, settings.sample_bytes // (settings.text_bytes + 1)))
-        own = rows.where(F.col("lang") == lang)
-        sizes = [r["n"] for r in own.select("n", "at").orderBy("n", "at").limit(most).collect()]
-        fit = max(1, int((np.cumsum(sizes) <= settings.sample_bytes).sum()))
-        found += own.orderBy("n", "at").limit(fit).collect()
-    texts: dict[str, list[bytes]] = {lang: [] for lang in limits}
-    spent = dict.fromkeys(texts, 0)
-    for row in found:
-        lang = row["lang"]
-        if not texts[lang] or (len(texts[lang]) < settings.sample_docs and spent[lang] + row["n"] <= settings.sample_bytes):
-            texts[lang].append(row["text"].encode())
-            spent[lang] += row["n"]
-    return Model.learn({k: v for k, v in texts.items() if v}, settings.min_context)
+        own = rows.where(F.col("lang") == lang).orderBy("n", "at").limit(most)
+        found += [tuple(r) for r in own.select("lang", "at", "n").collect()]
+    chosen: dict[str, list[int]] = {lang: [] for lang in limits}
+    spent = dict.fromkeys(chosen, 0)
+    for lang, at, n in found:
+        if not chosen[lang] or (len(chosen[lang]) < settings.sample_docs and spent[lang] + n <= settings.sample_bytes):
+            chosen[lang].append(at)
+            spent[lang] += n
+    wanted = F.lit(False)
+    for lang, ats in chosen.items():
+        wanted = wanted | (F.col("lang") == lang) & F.col("at").isin(ats)
+    texts: dict[str, list[bytes]] = {}
+    # Rows that repeat a doc_id share its hash: of those one is learned from.
+    for row in rows.where(wanted).groupBy("lang", "at").agg(F.min("text").alias("text")).orderBy("lang", "at").collect():
+        texts.setdefault(row["lang"], []).append(row["text"].encode())
+    return Model.learn(texts, settings.min_context)
 
 
 PREDICTED = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
@@ -166,19 +178,18 @@ def predict(docs: DataFrame, model: Model, settings: Settings = Settings(), text
 
     The score is the posterior of the best language over ``score_bytes`` average bytes of the text.
     Null texts, texts without a letter, and a model without languages give ``und`` with score 0.
-    Equal code lengths go to the language that sorts first.
+    Equal code lengths go to the language that sorts first. Rows that repeat are judged alike, texts of any
+    length whole, other columns and null ids don't matter; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop(*(c for c in PREDICTED.names if c != text))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
-    def run(batches):
+    def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
+        for column in columns:
             data, offsets = text_buffers(column)
             best, score, rate = [], [], []
-            for lo, hi, part, off in slices(data, offsets):
+            for _, _, part, off in slices(data, offsets):
                 cost = m.code_lengths(part, off)
                 blob = part.tobytes()
                 for row, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
@@ -190,10 +201,13 @@ def predict(docs: DataFrame, model: Model, settings: Settings = Settings(), text
                     best.append(m.langs[k])
                     score.append(float(1 / np.exp2(-settings.score_bytes * (mean - mean[k])).sum()))
                     rate.append(float(mean[k]))
-            arrays = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(v, f.type) for v, f in zip((best, score, rate), PREDICTED, strict=True))], names=[*batch.schema.names, *PREDICTED.names])
+            yield pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip((best, score, rate), PREDICTED, strict=True)], names=PREDICTED.names)
+        give_back()
 
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double, bits_per_byte double")
+    # Only the text goes to Python, and only the verdict comes back. Said to vary, so that it runs once for filter and output.
+    judged = F.arrow_udf(judge, "lang_pred string, score double, bits_per_byte double").asNondeterministic()
+    rows = kept.select(F.struct(*kept.columns).alias("_row"), judged(F.col(text)).alias("_is"))
+    return rows.select(*(F.col(f"_row.`{c}`").alias(c) for c in kept.columns), "_is.lang_pred", "_is.score", "_is.bits_per_byte")
 
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -204,6 +218,7 @@ def _has_letter(blob: bytes, a: int, b: int) -> bool:
 
 
 def op8_language(spark, sf_dir: str) -> DataFrame:
+    """The language of every document, learned outside the held-out fold; awkward rows as in ``predict``."""
     docs = read_table(spark, sf_dir, "documents")
     held_out = fold_bucket(F.col("doc_id"), 5) == 0
     model = learn(docs.select("doc_id", "text", "lang").where(~held_out))
@@ -211,8 +226,11 @@ def op8_language(spark, sf_dir: str) -> DataFrame:
 
 
 def identify_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a recognised language go; the columns stay as they are."""
+    """Pipeline stage: documents without a recognised language go; the columns stay as they are.
+
+    Null texts and texts without a letter go; the rest as in ``predict``. Without any labelled document nothing
+    can be recognised, and all go. Columns named like the verdict's are kept as they are.
+    """
     model = learn(docs.select("doc_id", "text", "lang"))
-    names = docs.columns
-    scored = predict(docs, model)
-    return scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= 0.5)).select(*names)
+    scored = predict(docs.select(F.struct(*docs.columns).alias("_doc"), "text"), model)
+    return scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= 0.5)).select(*(F.col(f"_doc.`{n}`").alias(n) for n in docs.columns))

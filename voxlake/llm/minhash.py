@@ -1,18 +1,25 @@
 """MinHash near-duplicate groups with circulant signatures.
 
 Two permutations make all signature coordinates: sigma places a shingle hash in a universe of
-2**20 positions, and coordinate k is the least value of pi over the document's positions, pi
-shifted circularly by k. Coordinates are banded; documents that share a band are candidates,
-and a link is confirmed on the full shingle sets. Components of links are the groups.
-
-Skew. Documents with equal shingle sets are one representative, found by a grouped minimum, so a
-group of exact copies of any size is one row. Members of a band bucket are compared with the
-bucket's leader, a linear number of pairs. Members of one leader that are still in different
-components are compared only if they share a rare shingle among those that set them apart from the
-leader. That is an exact filter (see near_duplicates), so no link is lost, and a large group of
-copies of one document, each changed in its own places, gives no pairs. With 32 bands of 6 rows two
-documents at the query's threshold of 0.85 miss every bucket with probability 3e-7, and two at the
-pipeline stage's threshold of 0.8 with probability 6e-5.
+2**32 positions, and coordinate k is the least value of pi over the document's positions, pi shifted
+circularly by k. Two shingles share a position with probability 2**-32, so a set of a million
+shingles fills less than a thousandth of the universe. Coordinates are banded; documents that share a band are candidates, and a
+link is confirmed on the full shingle sets. Components of links are the groups.
+
+Identity. Documents of equal shingle sets, compared by 128-bit digests, form a class, whatever their
+doc_ids; all that follows works on classes. A group of exact copies of any size is one class.
+
+Candidates. Members of a band bucket are compared with the bucket's leader: a linear number of
+pairs. Members of one leader that are in different components afterwards can be linked only if they
+share a shingle that sets both apart from the leader (see ``_buckets``). Those of the least frequent
+of them form new buckets: small ones are compared pair by pair, a large one gets a leader of its
+own first, and what is then left of it is compared pair by pair, in blocks. Pairs whose remaining
+lists or sizes rule a link out are not formed; all these filters are exact, so no link is lost. With 32 bands of 6 rows two documents at the query's threshold of 0.85
+miss every bucket with probability 3e-7, two at the stage's threshold of 0.8 with 6e-5.
+
+Skew. Whatever is joined by a key that many rows can share (a band, a leader, a class) takes the
+few keys of more than a thousandth of the rows by broadcast, and a frequent leader's members are
+dealt over all partitions, with a copy of its set in each.
 """
 
 from __future__ import annotations
@@ -26,12 +33,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, materialize, mix, read_table, shingle_hashes, slices, text_buffers
+from .common import ROW, ROW_SQL, U64, hot_keys, keyed, lookup, map_arrow, materialize, mix, read_table, shingle_hashes, shuffle_partitions, slices, text_buffers
 from ..operators.graph import connected_components
 
-UNIVERSE_BITS = 20
+U32 = np.uint32
+RING_BITS = 20
+RING = 1 << RING_BITS
 #: Least similarity of a link in the pipeline, in percent; the query has the default of Settings.
 STAGE_PERCENT = 80
+#: Buckets of so many members are compared pair by pair, larger ones by a leader for so many rounds.
+SMALL_BUCKET = 32
+LED_ROUNDS = 1
 
 
 @dataclass(frozen=True)
@@ -43,20 +55,37 @@ class Settings:
     seed: int = 20
 
 
+def sigma(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Positions in the universe: the upper half of a bijection of 64-bit hashes."""
+    return (mix(hashes ^ U64(seed)) >> U64(32)).astype(U32)
+
+
 @lru_cache(maxsize=2)
-def _pi(seed: int, coordinates: int) -> np.ndarray:
-    """pi, continued past its end so that each circular shift is a contiguous window."""
-    pi = np.random.default_rng(seed).permutation(1 << UNIVERSE_BITS).astype(np.uint32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[: coordinates - 1]]), coordinates)
+def _rings(seed: int, coordinates: int) -> tuple[np.ndarray, np.ndarray]:
+    """A permutation of RING places, continued past its end so that each circular shift is a contiguous window, and an offset a ring."""
+    rng = np.random.default_rng(seed)
+    ring = rng.permutation(RING).astype(U32) << U32(32 - RING_BITS)
+    rings = 1 << (32 - RING_BITS)
+    offset = (rng.integers(0, RING, rings).astype(U32) << U32(32 - RING_BITS)) | np.arange(rings, dtype=U32)
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([ring, ring[: coordinates - 1]]), coordinates), offset
+
+
+def pi(at: np.ndarray, settings: Settings = Settings()) -> np.ndarray:
+    """The second permutation of the universe, shifted circularly by each coordinate's number: a row a position, a column a coordinate.
+
+    The universe is 2**12 rings of 2**20 places; a shift turns every ring. A place's value is that of its place in the ring plus
+    the ring's offset. The lowest bits of it name the ring, the others then the place, so it is a bijection of 2**32 numbers.
+    """
+    windows, offset = _rings(settings.seed, settings.bands * settings.rows)
+    return windows[at & U32(RING - 1)] + offset[at >> U32(RING_BITS)][:, None]
 
 
 def signature(hashes: np.ndarray, settings: Settings = Settings()) -> np.ndarray:
     """All coordinates of a non-empty set of shingle hashes."""
-    windows = _pi(settings.seed, settings.bands * settings.rows)
-    at = (mix(hashes ^ U64(settings.seed)) >> U64(64 - UNIVERSE_BITS)).astype(np.int64)
-    out = windows[at[:2048]].min(0)
-    for k in range(2048, len(at), 2048):
-        np.minimum(out, windows[at[k : k + 2048]].min(0), out=out)
+    at = sigma(hashes, settings.seed)
+    out = pi(at[:1024], settings).min(0)
+    for k in range(1024, len(at), 1024):
+        np.minimum(out, pi(at[k : k + 1024], settings).min(0), out=out)
     return out
 
 
@@ -66,156 +95,251 @@ def band_keys(sig: np.ndarray, settings: Settings = Settings()) -> np.ndarray:
     return mix((parts * weights).sum(1, dtype=U64)).view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
+def digest(shingles: np.ndarray) -> np.ndarray:
+    """128-bit identity of a shingle set, as two longs."""
+    return np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
 
 
-def signatures(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Per document the size and 128-bit hash of its shingle set and its band keys (none for an empty set)."""
+SIGNED = f"{ROW_SQL}, n_shingles long, set_hi long, set_lo long, bands array<long>"
 
-    def run(batches):
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            for lo, hi, part, off in slices(data, offsets):
-                sizes, high, low, bands = [], [], [], []
-                for h in shingle_hashes(part, off, settings.shingle_words):
-                    sizes.append(len(h))
-                    code = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
-                    high.append(code[0]), low.append(code[1])
-                    bands.append(band_keys(signature(h, settings), settings) if len(h) else np.zeros(0, np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bands)]), pa.int32()), pa.array(np.concatenate(bands)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), lists], names=["doc_id", "n_shingles", "set_hi", "set_lo", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
 
 
-def shingle_sets(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, shingles): the full set as sorted 64-bit hashes."""
+def signatures(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Per row of ``keyed`` documents the size and digest of its shingle set and its band keys (none for an empty set)."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
+            data, offsets = text_buffers(batch.column(3))
             for lo, hi, part, off in slices(data, offsets):
-                sets = [h.view(np.int64) for h in shingle_hashes(part, off, settings.shingle_words)]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=["doc_id", "shingles"])
+                sizes, codes, bands = [], [], []
+                for h in shingle_hashes(part, off, settings.shingle_words):
+                    sizes.append(len(h)), codes.append(digest(h))
+                    bands.append(band_keys(signature(h, settings), settings) if len(h) else np.zeros(0, np.int64))
+                codes = np.array(codes).reshape(-1, 2)
+                keys = [batch.column(k).slice(lo, hi - lo) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(sizes, pa.int64()), pa.array(codes[:, 0]), pa.array(codes[:, 1]), _lists(bands)], names=[*ROW, "n_shingles", "set_hi", "set_lo", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return map_arrow(docs.select(*ROW, "text"), run, SIGNED)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, shingles) of the documents in ``wanted`` (doc_id), made anew from their texts.
+# ---------------------------------------------------------------- comparing sets
 
-    The texts meet a Bloom filter of the wanted ids before the join, so about the wanted texts alone are
-    shuffled. The filter has a fixed greatest size; beyond it the join does without.
-    """
-    rows = docs.select("doc_id", "text")
-    bits = 1 << 23
-    if wanted.count() * 12 <= bits:
-        at = [F.pmod(F.xxhash64(F.lit(j), "doc_id"), F.lit(bits)) for j in range(4)]
-        words = wanted.select(F.explode(F.array(*at)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
-        table = np.zeros(bits // 64, np.int64)
-        for r in words.toLocalIterator():
-            table[r["word"]] = r["bits"]
-        shared = docs.sparkSession.sparkContext.broadcast(table)
 
-        def likely(batches):
-            for batch in batches:
-                n = batch.num_columns - 4
-                hit = np.ones(batch.num_rows, bool)
-                for j in range(4):
-                    k = batch.column(n + j).to_numpy(zero_copy_only=False)
-                    hit &= (shared.value[k >> 6].view(np.uint64) >> (k & 63).astype(np.uint64)) & U64(1) == 1
-                yield batch.select(list(range(n))).filter(pa.array(hit))
+def _salted(stars: DataFrame) -> DataFrame:
+    """Adds ``salt``: members of a leader of more than a thousandth of all stars are dealt over the partitions."""
+    hot = hot_keys(stars, ["leader"], stars.count()).withColumn("_hot", F.lit(True))
+    spread = F.pmod(F.xxhash64("class"), F.lit(shuffle_partitions(stars.sparkSession))).cast("int")
+    return stars.join(F.broadcast(hot), "leader", "left").withColumn("salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
 
-        rows = rows.select("doc_id", "text", *(c.alias(f"_{j}") for j, c in enumerate(at))).mapInArrow(likely, "doc_id long, text string")
-    texts = rows.join(wanted, "doc_id", "left_semi")
-    sets = shingle_sets(texts, settings)
-    # Rows that repeat a doc_id: any one of its texts, the same each time.
-    return materialize(sets.groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "op7-sets")
 
+SET_ROWS = pa.schema([("leader", pa.int64()), ("salt", pa.int32()), ("member", pa.bool_()), ("class", pa.int64()), ("deep", pa.bool_()), ("shingles", pa.binary())])
+MET = "leader long, class long, m long, n long, both long, deep boolean, apart array<long>"
 
-def _linked(n, m, both, percent: int):
-    return 100 * both >= percent * (n + m - both)
 
+def compared(docs: DataFrame, classes: DataFrame, stars: DataFrame, settings: Settings) -> DataFrame:
+    """(leader, class, m, n, both, deep, apart): sizes and overlap of the sets of every star, and for deep ones what
+    is in one set alone.
 
-def _similar_size(n, m, percent: int):
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    The sets are made anew from a text of each class, one join with the texts for all of them; each is
+    then sent to the leaders it is compared with.
+    """
+    stars = materialize(_salted(stars), "op7-stars")
+    lead = stars.groupBy("leader", "salt").agg(F.max("deep").alias("deep")).select("leader", "salt", F.lit(False).alias("member"), F.col("leader").alias("class"), "deep")
+    sends = stars.select("leader", "salt", F.lit(True).alias("member"), "class", "deep").unionByName(lead)
+    # A class has a leader a bucket at most, a leader as many copies as there are partitions.
+    sends = sends.groupBy("class").agg(F.collect_list(F.struct("leader", "salt", "member", "deep")).alias("to"))
+    wanted = sends.join(classes.select("class", "set_hi", "set_lo", "ref.*"), "class")
+    texts = docs.join(wanted, list(ROW)).select("class", "set_hi", "set_lo", "to", "text")
+
+    def make(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(4))
+            for lo, hi, part, off in slices(data, offsets):
+                names, his, los, tos = (batch.column(k).slice(lo, hi - lo).to_pylist() for k in range(4))
+                out, size = [], 0
+                for name, high, low, to, h in zip(names, his, los, tos, shingle_hashes(part, off, settings.shingle_words), strict=True):
+                    if tuple(digest(h)) != (high, low):  # another text of the same 64-bit key
+                        continue
+                    body = h.tobytes()
+                    for s in to:
+                        out.append((s["leader"], s["salt"], s["member"], name, s["deep"], body))
+                        size += len(body)
+                        if size > 1 << 22:
+                            yield _rows(out, SET_ROWS)
+                            out, size = [], 0
+                if out:
+                    yield _rows(out, SET_ROWS)
+
+    sets = map_arrow(texts, make, "leader long, salt int, member boolean, class long, deep boolean, shingles binary")
+    sets = sets.repartition(shuffle_partitions(docs.sparkSession), "leader", "salt").sortWithinPartitions("leader", "salt", "member", "class")
+
+    def meet(batches):
+        at, own, last = None, None, None
+        for batch in batches:
+            for small in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+                out, lists = [], []
+                for leader, salt, member, name, deep, body in zip(*(small.column(k).to_pylist() for k in range(6)), strict=True):
+                    h = np.frombuffer(body, U64)
+                    if not member:
+                        at, own, last = (leader, salt), h, None
+                        continue
+                    if (leader, salt) != at:
+                        raise ValueError("a leader's set is missing")
+                    if name == last:  # a row that occurs twice in the corpus
+                        continue
+                    last = name
+                    place = np.minimum(np.searchsorted(own, h), len(own) - 1)
+                    hit = own[place] == h
+                    both = int(hit.sum())
+                    out.append((leader, name, len(own), len(h), both, deep))
+                    if deep:
+                        left = np.ones(len(own), bool)
+                        left[place[hit]] = False
+                        lists.append(np.concatenate([h[~hit], own[left]]).view(np.int64))
+                    else:
+                        lists.append(np.zeros(0, np.int64))
+                if out:
+                    cols = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 5 + [pa.bool_()], strict=True)), _lists(lists)], names=["leader", "class", "m", "n", "both", "deep", "apart"])
+
+    return materialize(map_arrow(sets, meet, MET), "op7-met")
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+# ---------------------------------------------------------------- candidates
+
+
+def _band_stars(classes: DataFrame, n_classes: int) -> DataFrame:
+    """(leader, class): every class with the least class of each of its band buckets."""
+    keys = classes.select("class", F.explode("bands").alias("key"))
+    buckets = materialize(keys.groupBy("key").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1"), "op7-buckets")
+    # A class has a row a band, so frequent buckets are few.
+    hot = buckets.where(F.col("size") * 1000 >= max(n_classes, 1000)).select("key")
+    return lookup(keys, buckets.select("key", "leader"), ["key"], hot).where("class <> leader").select("leader", "class").distinct()
+
+
+def _buckets(met: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(leader, e, class, n, size, rest, component): members of a leader that share shingle e and may be linked.
+
+    Let x and y be linked, and x' and y' be what sets them apart from the leader. A shingle in which x and y differ is in
+    one of x' and y' alone. If x' and y' have nothing in common, the leader lies between x and y, and both are
+    linked to it. So linked members of different components share some of x' and y', and as they differ in
+    k = n (100 - percent) / percent shingles at most, the k + 1 least frequent of x' meet the k + 1 least frequent
+    of y' (prefix filter).
+    """
+    named = met.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = materialize(named.select("leader", "class", "n", "component", "apart", F.size("apart").alias("size")), "op7-named")
+    total = named.count()
+    open_ = named.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leader")
+    parts = lookup(named, materialize(open_, "op7-open"), ["leader"], hot_keys(named, ["leader"], total)).withColumn("e", F.explode("apart")).drop("apart")
+    parts = materialize(parts, "op7-parts")
+    # An element of one member alone meets no other, but it takes its place among the least frequent.
+    often = materialize(parts.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "op7-often")
+    most = parts.count()
+    shared = lookup(parts, often, ["leader", "e"], often.where(F.col("c") * 10_000 >= max(most, 10_000)).select("leader", "e"))
+    own = Window.partitionBy("leader", "class")
+    listed = shared.withColumn("k", F.row_number().over(own.orderBy("c", "e"))).withColumn("rest", F.count(F.lit(1)).over(own) - F.col("k"))
+    prefix = F.floor(F.col("n") * (100 - percent) / percent) + 1
+    return materialize(listed.where(F.col("size") - F.col("rest") <= prefix).select("leader", "e", "class", "n", "component", "size", "rest"), "op7-prefix")
+
+
+def _next_stars(prefix: DataFrame, percent: int, lead: bool) -> DataFrame:
+    """(leader, class, deep): pairs of buckets, and with ``lead`` large buckets' members with a leader of their own (deep)."""
+    buckets = prefix.groupBy("leader", "e").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    buckets = materialize(buckets.where("lo < hi").select("leader", "e", "first", "c"), "op7-buckets")
+    large = (F.col("c") > SMALL_BUCKET) if lead else F.lit(False)
+    hot = buckets.where(F.col("c") * 10_000 >= max(prefix.count(), 10_000)).select("leader", "e")
+    # A bucket's pairs are found in blocks of about a thousand of its members, each by a task of its own.
+    blocks = F.floor(F.col("c") / 1024) + 1
+    few = lookup(prefix, buckets.where(~large).select("leader", "e", blocks.alias("blocks")), ["leader", "e"], hot)
+    p = few.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))).alias("p")
+    q = few.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("q")
+    on = (F.col("p.leader") == F.col("q.leader")) & (F.col("p.e") == F.col("q.e")) & (F.col("p.block") == F.col("q.block")) & (F.col("p.class") < F.col("q.class")) & (F.col("p.component") != F.col("q.component"))
+    # Where x and y first meet, what is left of both lists must still suffice for their overlap.
+    n, m = F.col("p.n"), F.col("q.n")
+    k = F.floor(F.least(n, m) * (100 - percent) / percent)
+    enough = 2 * (1 + F.least("p.rest", "q.rest")) >= F.col("p.size") + F.col("q.size") - k
+    similar = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    out = p.join(q, on & enough & similar).select(F.col("p.class").alias("leader"), F.col("q.class").alias("class"), F.lit(False).alias("deep"))
+    if lead:
+        led = lookup(prefix, buckets.where(large).select("leader", "e", "first"), ["leader", "e"], hot)
+        out = out.unionByName(led.where("class <> first").select(F.col("first").alias("leader"), "class", F.lit(True).alias("deep")))
+    return out.groupBy("leader", "class").agg(F.max("deep").alias("deep"))
 
 
-def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
+def _groups(docs: DataFrame, settings: Settings) -> DataFrame:
+    """(*ROW, n_shingles, set_hi, set_lo, class, component, component_id) for every row of ``keyed`` documents.
 
-    Null and empty texts have no shingles, link with nothing and are kept. Rows that repeat a
-    doc_id are taken as copies of it. An empty table gives an empty result.
+    A row without shingles has no class. ``component`` is a class, ``component_id`` the least doc_id of its rows.
     """
-    docs = docs.select("doc_id", "text")
     percent = settings.percent
     signed = materialize(signatures(docs, settings), "op7-signatures")
     filled = signed.where("n_shingles > 0")
-    classes = filled.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"))
-    member = materialize(filled.join(classes, ["set_hi", "set_lo"]), "op7-members")
-    reps = member.where("doc_id = rep").dropDuplicates(["rep"]).select("rep", F.explode("bands").alias("key"))
-    # A bucket's leader is its least document; a bucket of one has nothing to compare.
-    leaders = reps.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "leader")
-    stars = materialize(reps.join(leaders, "key").where("rep <> leader").select("leader", "rep").distinct(), "op7-stars")
-    wanted = materialize(stars.select(F.col("leader").alias("doc_id")).unionByName(stars.select(F.col("rep").alias("doc_id"))).distinct(), "op7-wanted")
-    sets = _sets_of(docs, wanted, settings)
-    one = sets.select(F.col("doc_id").alias("leader"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("y"))
-
-    # Every member against its leaders: the link, and what sets the two apart.
-    apart = F.concat(F.array_except("y", "x"), F.array_except("x", "y"))
-    met = stars.join(one, "leader").join(two, "rep").select("leader", "rep", F.size("x").alias("m"), F.size("y").alias("n"), apart.alias("apart"))
-    met = materialize(met.withColumn("both", ((F.col("m") + F.col("n") - F.size("apart")) / 2).cast("int")), "op7-met")
-    links = materialize(met.where(_linked(F.col("n"), F.col("m"), F.col("both"), percent)).select(F.col("leader").alias("a"), F.col("rep").alias("b")), "op7-links")
-    labels = materialize(connected_components(links), "op7-labels")
-
-    # Stars with members in several components. If nothing that sets x apart from the leader also sets y apart,
-    # x and y can be linked only where both are linked to the leader. A linked pair of different components
-    # thus has such shingles in common, and as it differs in k = n (100 - percent) / percent shingles at most, the
-    # k + 1 rarest of x's meet the k + 1 rarest of y's (prefix filter). Nothing else is paired.
-    ends = met.select("leader", F.col("rep").alias("node"), "n", "apart")
-    named = ends.join(labels, "node", "left").select("leader", F.col("node").alias("rep"), "n", "apart", F.coalesce("component", "node").alias("component"))
-    named = materialize(named, "op7-named")
-    open_ = named.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leader")
-    parts = named.join(open_, "leader").select("leader", "rep", "n", "component", F.explode("apart").alias("e"))
-    rare = parts.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    # An element of one member alone meets no other, but it takes its place among the rarest.
-    alone = F.size("apart")
-    shared = parts.join(rare, ["leader", "e"])
-    own = named.select("leader", "rep", alone.alias("size"))
-    rank = F.row_number().over(Window.partitionBy("leader", "rep").orderBy("c", "e"))
-    listed = shared.withColumn("k", rank).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("leader", "rep"))).join(own, ["leader", "rep"])
-    most = F.floor(F.col("n") * (100 - percent) / percent) + 1
-    listed = listed.withColumn("rest", F.col("of") - F.col("k"))
-    prefix = materialize(listed.where(F.col("size") - F.col("rest") <= most).select("leader", "e", "rep", "n", "component", "size", "rest"), "op7-prefix")
-    p, q = prefix.alias("p"), prefix.alias("q")
-    on = (F.col("p.leader") == F.col("q.leader")) & (F.col("p.e") == F.col("q.e")) & (F.col("p.rep") < F.col("q.rep")) & (F.col("p.component") != F.col("q.component"))
-    # Where x and y first meet, what is left of both lists must still suffice for their overlap.
-    k = F.floor(F.least(F.col("p.n"), F.col("q.n")) * (100 - percent) / percent)
-    enough = 2 * (1 + F.least("p.rest", "q.rest")) >= F.col("p.size") + F.col("q.size") - k
-    more = p.join(q, on & enough & _similar_size(F.col("p.n"), F.col("q.n"), percent)).select(F.col("p.rep").alias("leader"), F.col("q.rep").alias("rep")).distinct()
-    more = materialize(more, "op7-pairs")
-    both = F.size(F.array_intersect("x", "y"))
-    found = more.join(one, "leader").join(two, "rep").select(F.col("leader").alias("a"), F.col("rep").alias("b"), F.size("x").alias("m"), F.size("y").alias("n"), both.alias("both"))
-    found = materialize(found.where(_linked(F.col("n"), F.col("m"), F.col("both"), percent)).select("a", "b"), "op7-links")
-    if not found.isEmpty():
-        labels = materialize(connected_components(links.unionByName(found)), "op7-labels")
+    same = ["set_hi", "set_lo"]
+    classes = filled.groupBy(*same).agg(F.min(F.struct("no_id", "id_key", "text_key")).alias("ref"), F.count(F.lit(1)).alias("n_rows"), F.first("bands").alias("bands"))
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "op7-classes")
+    n_classes = classes.count()
+
+    stars = materialize(_band_stars(classes, n_classes).withColumn("deep", F.lit(True)), "op7-stars")
+    labels = None
+    for lead in [True] * LED_ROUNDS + [False, False]:
+        met = compared(docs, classes, stars, settings)
+        found = met.where(100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))).select(F.col("leader").alias("a"), F.col("class").alias("b"))
+        if labels is None:
+            labels = materialize(connected_components(found), "op7-labels")
+        elif not found.isEmpty():  # the components so far are stars already
+            labels = materialize(connected_components(found.unionByName(labels.toDF("a", "b"))), "op7-labels")
+        deep = met.where("deep")
+        if deep.isEmpty():
+            break
+        stars = materialize(_next_stars(_buckets(deep, labels, percent), percent, lead), "op7-next")
+        if stars.isEmpty():
+            break
+
+    # Least doc_id of each component, by way of its classes; a component of one class has its own.
+    first = F.when(~F.col("ref.no_id"), F.col("ref.id_key")).alias("first")
+    member = classes.select("class", *same, "n_rows", first).join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    member = materialize(member, "op7-members")
+    least = materialize(member.groupBy("component").agg(F.min("first").alias("component_id")), "op7-least")
+    member = materialize(lookup(member, least, ["component"], hot_keys(member, ["component"], n_classes)), "op7-members")
+    hot = member.where(F.col("n_rows") * 1000 >= max(signed.count(), 1000)).select(*same)
+    grouped = lookup(filled.drop("bands"), member.drop("n_rows", "first"), same, hot)
+    own = F.when(~F.col("no_id"), F.col("id_key"))
+    return grouped.unionByName(signed.where("n_shingles = 0").select(*ROW, "n_shingles", *same, F.lit(None).cast("long").alias("class"), F.lit(None).cast("long").alias("component"), own.alias("component_id")))
 
-    grouped = member.select("doc_id", "n_shingles", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = grouped.unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text); other columns don't matter.
+
+    Null and empty texts have no shingles, link with nothing and are kept. Texts of any length are taken whole.
+    Every row counts by its text: rows that repeat a doc_id have a row each, and are in one group only if their
+    texts are linked. Rows without a doc_id take part; a group of none but them has a null component_id. An
+    empty table gives an empty result.
+    """
+    out = _groups(keyed(docs.select("doc_id", "text")), settings)
+    return out.select(F.when(~F.col("no_id"), F.col("id_key")).alias("doc_id"), "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op7_minhash(spark, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicates of all documents, linked from a similarity of 0.85 on; awkward rows as in ``near_duplicates``."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document of the smallest id stays, with its columns as they are.
+    """Pipeline stage: of each group one document stays, the one of the least doc_id, with its columns as they are.
 
-    Documents are linked from a similarity of 0.8 on. Of rows that repeat a doc_id one stays; rows without a doc_id stay.
+    Documents are linked from a similarity of 0.8 on. Of rows alike in doc_id and text one stays. Rows that
+    repeat a doc_id with unlike texts stay; null and empty texts stay; a row without a doc_id stays only if its group
+    has none with one. An empty table stays empty.
     """
-    kept = near_duplicates(docs, Settings(percent=STAGE_PERCENT)).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    alone = docs.where("doc_id IS NULL")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(alone)
+    names, rows = docs.columns, keyed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text"))
+    groups = _groups(rows.select("doc_id", "text", *ROW), Settings(percent=STAGE_PERCENT))
+    one = groups.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("no_id", "id_key", "text_key")).alias("r")).select("r.*")
+    kept = one.unionByName(groups.where("component IS NULL").select("no_id", "id_key", "text_key").distinct())
+    return rows.join(kept, list(ROW), "left_semi").dropDuplicates(list(ROW)).select(*(F.col(f"_row.`{n}`").alias(n) for n in names))
