@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, shuffle_partitions
+from .common import map_arrow, materialize, read_table, shuffle_partitions
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 100_000
 BATCH_ROWS = 64
 
 # ---------------------------------------------------------------- tokens
@@ -38,13 +38,19 @@ _LAST_MARK = re.compile(rb"[.,](?<=[a-z0-9][.,])(?=[ \t\n\x0b\x0c\r]|\Z)")
 
 
 class _Cache(dict):
-    """Ids of chunks; a chunk that isn't there is encoded, and kept while there is room (what is frequent comes early)."""
+    """Ids of chunks in two generations of CACHE_WORDS at most: what was asked for lately stays, whatever the texts hold."""
 
     tokenizer = None
+    older: dict[bytes, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = _encode(self.tokenizer, chunk)
-        if len(self) < CACHE_WORDS:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = _encode(self.tokenizer, chunk)
+        if len(chunk) <= 48:
+            if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
             self[chunk] = ids
         return ids
 
@@ -65,7 +71,7 @@ def _tokenizer(path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded.clear(), _cache.clear()
+        _loaded.clear(), _cache.clear(), _cache.older.clear()
         _loaded[path] = _cache.tokenizer = Tokenizer.from_file(path)
     return _loaded[path]
 
@@ -133,7 +139,7 @@ def tokenize_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None
                     rows += [(doc, k, at // 4, len(ids[at : at + step]) // 4, zlib.crc32(ids[at : at + step])) for k, at in enumerate(range(0, len(ids), step))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # ---------------------------------------------------------------- the plan
@@ -213,15 +219,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Step
 
 
 def ranked(pieces: DataFrame, salts: int | None = None) -> DataFrame:
-    """Adds ``rank`` from 0 among the pieces of equal length: offsets of salted sub-groups plus the place inside."""
+    """Adds ``rank`` from 0 among the pieces of equal length: offsets of salted sub-groups plus the place inside.
+
+    Pieces are shuffled once, by length and salt; the offsets, a row a sub-group, meet them where they then are.
+    """
     salts = salts or max(16, shuffle_partitions(pieces.sparkSession))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    # At most capacity x salts rows, whatever the corpus.
-    return salted.withColumn("_k", F.row_number().over(inside) - 1).join(F.broadcast(starts), ["length", "_salt"]).withColumn("rank", F.col("_before") + F.col("_k")).drop("_salt", "_before", "_k")
+    return salted.withColumn("_k", F.row_number().over(inside) - 1).join(starts, ["length", "_salt"]).withColumn("rank", F.col("_before") + F.col("_k")).drop("_salt", "_before", "_k")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -244,13 +252,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             out = [cols[c] for c in PIECES.names] + [pa.array(step[:, 2] + k // step[:, 1]), pa.array(step[:, 3] + k % step[:, 1] * length)]
             yield pa.RecordBatch.from_arrays(out, names=[*PIECES.names, "sequence_id", "offset"])
 
-    return ranked(pieces).select(*PIECES.names, "rank").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_arrow(ranked(pieces).select(*PIECES.names, "rank"), run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their place in a sequence; awkward rows as in ``pack_stage``."""
     return pack_stage(spark, read_table(spark, sf_dir, "documents"), sf_dir)
 
 
 def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: pieces of all documents with their place in a sequence."""
+    """Pipeline stage: pieces of all documents with their place in a sequence.
+
+    Null and empty texts are a piece of one id. Texts of any length are tokenised whole and cut into pieces; rows that
+    repeat have pieces each; pieces of equal length are told apart by rank, so ties don't matter. Null ids and
+    other columns don't matter either. An empty table stays empty.
+    """
     return pack(materialize(tokenize_pieces(docs), "op4-pieces"))
