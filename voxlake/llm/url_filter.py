@@ -9,17 +9,22 @@ number. Nothing is joined: a level is a bit array that the expression carries.
 
 Size bounds: a cascade holds O(listed keys) bits per level, whatever the corpus size,
 because level 0 gets ``log2(universe / listed)`` more bits a key as the universe grows and
-later levels encode only the survivors. ``max_bits`` is checked before a level is built.
+later levels encode only the survivors. The list is what the caller passes. A list that would need
+more than ``part_bits`` in a level is dealt by key hash into parts with a cascade each, so
+no array grows beyond that; a key asks its own part.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The production rules of the query, as (verdict, host, path).
@@ -71,12 +76,14 @@ def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit(f"{level}:{j}"), key), F.lit(bits)) for j in range(hashes)]
 
 
-def _build(keys: DataFrame, count: int, rate: float, level: int, max_bits: int) -> Level:
+def _hashes(rate: float) -> int:
+    return max(1, round(-math.log2(rate)))
+
+
+def _build(keys: DataFrame, count: int, rate: float, level: int) -> Level:
     """A Bloom filter of the distinct ``key`` column; only its bit array reaches the driver."""
-    hashes = max(1, round(-math.log2(rate)))
+    hashes = _hashes(rate)
     bits = max(64, math.ceil(count * hashes / math.log(2)))
-    if bits > max_bits:
-        raise ValueError(f"level {level} needs {bits} bits; max_bits is {max_bits}: split the list by key hash")
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), level, bits, hashes))).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
     out = [0] * (bits // 64 + 1)
@@ -86,7 +93,8 @@ def _build(keys: DataFrame, count: int, rate: float, level: int, max_bits: int)
 
 
 def _contains(level: Level, number: int, key: Column) -> Column:
-    words = F.array(*map(F.lit, level.words)).cast("array<bigint>")
+    # One constant for Catalyst, however long: an array of literals would be a tree of as many nodes.
+    words = F.from_json(F.lit(json.dumps(level.words)), "array<bigint>")
     hit = F.lit(True)
     for at in _positions(key, number, level.bits, level.hashes):
         word = F.element_at(words, (F.shiftright(at, 6) + 1).cast("int"))
@@ -100,39 +108,59 @@ class Cascade:
     Null keys are ignored while building and are not members. An empty list has no members.
     """
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, universe_size: int, max_bits: int = 1 << 23):
+    def __init__(self, listed: DataFrame, universe: DataFrame, universe_size: int, part_bits: int = 1 << 23):
         listed = listed.where(F.col("key").isNotNull()).distinct()
+        universe = universe.where(F.col("key").isNotNull())
         count = listed.count()
-        self.levels: list[Level] = []
+        self.parts: list[list[Level]] = []
         if not count:
             return
         rate = min(0.5, max(count / max(2.0 * universe_size, 1), 2.0**-30))
-        inside, outside = listed, universe.where(F.col("key").isNotNull())
+        n = math.ceil(count * _hashes(rate) / math.log(2) / part_bits)
+        for part in range(n):
+            here = self._part(n) == part
+            self.parts.append(self._levels(listed.where(here), universe.where(here), rate) if n > 1 else self._levels(listed, universe, rate))
+
+    @staticmethod
+    def _part(n: int, key: Column | None = None) -> Column:
+        return F.pmod(F.xxhash64(F.lit("part"), F.col("key") if key is None else key), F.lit(n))
+
+    @staticmethod
+    def _levels(listed: DataFrame, universe: DataFrame, rate: float) -> list[Level]:
+        levels: list[Level] = []
+        inside, outside, count = listed, universe, listed.count()
         # Listed keys leave the other side by the first levels' answers alone: what level 0
         # takes for listed is few keys, so the list itself can be subtracted from them.
-        first = True
         while count:
-            level = _build(inside, count, rate, len(self.levels), max_bits)
-            self.levels.append(level)
-            passed = outside.where(_contains(level, len(self.levels) - 1, F.col("key"))).distinct()
-            wrong = passed.exceptAll(listed) if first else passed
-            first = False
-            inside, outside = wrong.persist(), inside
+            levels.append(_build(inside, count, rate, len(levels)))
+            passed = outside.where(_contains(levels[-1], len(levels) - 1, F.col("key"))).distinct()
+            wrong = passed.exceptAll(listed) if len(levels) == 1 else passed
+            inside, outside = materialize(wrong, "op9-level"), inside
             count, rate = inside.count(), 0.5
+        return levels
+
+    @staticmethod
+    def _in_part(levels: list[Level], key: Column) -> Column:
+        out = F.lit(len(levels) % 2 == 1)
+        for number in reversed(range(len(levels))):
+            out = F.when(_contains(levels[number], number, key), out).otherwise(F.lit(number % 2 == 1))
+        return out
 
     def contains(self, key: Column) -> Column:
-        out = F.lit(len(self.levels) % 2 == 1)
-        for number in reversed(range(len(self.levels))):
-            out = F.when(_contains(self.levels[number], number, key), out).otherwise(F.lit(number % 2 == 1))
-        return F.coalesce(out, F.lit(False))
+        out = F.lit(False)
+        for part, levels in enumerate(self.parts):
+            own = self._in_part(levels, key)
+            out = own if len(self.parts) == 1 else F.when(self._part(len(self.parts), key) == part, own).otherwise(out)
+        return F.coalesce(F.when(key.isNotNull(), out), F.lit(False))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, url: str = "url", default: str = "allow") -> DataFrame:
     """Adds host, path, rule and verdict to ``pages``.
 
     The longest listed key among a URL's candidates is its rule; the verdict is the rule's, else
-    ``default`` (not listed). Null URLs, URLs without ``://`` and an empty table are defined:
-    empty host and path, no rule, the default. Columns of those names in the input are replaced.
+    ``default`` (not listed); of rules of one length the one that sorts first. Null URLs and URLs without ``://``
+    have empty host and path, no rule and the default verdict. URLs of any length are taken whole, rows that repeat
+    are judged alike, null ids don't matter. An empty table stays empty. Columns of those names in the input are replaced.
     """
     if not rules:
         raise ValueError("filter_urls needs at least one rule")
@@ -156,6 +184,7 @@ def filter_urls(pages: DataFrame, rules=RULES, url: str = "url", default: str =
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; awkward rows as in ``filter_urls``."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
