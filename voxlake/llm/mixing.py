@@ -1,13 +1,15 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions alone.
 
 Tokens are counted by cell (source, language, topic). The cells' weights are raked until their
-sums meet a target for every source, every language and every topic; a document is then kept
+sums meet a target share for every source, every language and every topic: one that is given, or the
+present share flattened by a power. What is left between sums and targets is a column, the residual. A document is then kept
 with the probability of its cell, the fitted share over the present share, scaled so that the
 largest is 1. Only the cells' table is iterated on: its size is the product of the numbers of
 sources, languages and topics, not of documents.
 
-Nulls in source or lang are a value of their own (``?``); null texts have no tokens. Documents
-without tokens carry no weight and are never kept. An empty table gives an empty result.
+Nulls in source or lang are a value of their own (``?``); null and empty texts have no tokens. Documents
+without tokens carry no weight and are never kept. Long texts count whole. Rows that repeat are drawn by their doc_id, so
+together; those without a doc_id draw one number. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,11 +26,14 @@ DIMENSIONS = ("source", "lang", "topic")
 
 @dataclass(frozen=True)
 class Settings:
-    """A target share is proportional to the present share to the given power: below 1 it flattens.
+    """A target share that isn't given is proportional to the present share to the given power: below 1 it flattens.
+    ``rounds`` of raking are made, and as many again, ``most_rounds`` at most, while the residual is above ``tolerance``.
     ``broadcast_cells`` is the checked size up to which the cells' table is broadcast."""
 
     powers: tuple[float, float, float] = (0.8, 0.85, 0.95)
     rounds: int = 10
+    most_rounds: int = 200
+    tolerance: float = 1e-7
     seed: str = "mix-1"
     broadcast_cells: int = 100_000
 
@@ -52,23 +57,52 @@ def cell_sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("tokens")).where(F.col("tokens") > 0)
 
 
-def rake(cells: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Adds weight (sums to 1) and probability to cells (source, lang, topic, tokens)."""
+def target_table(spark, shares: dict[str, dict[str, float]]) -> DataFrame:
+    """(dimension, value, share) from shares by dimension and value, for ``rake``."""
+    rows = [(d, v, float(x)) for d, of in shares.items() for v, x in of.items()]
+    return spark.createDataFrame(rows, "dimension string, value string, share double")
+
+
+def rake(cells: DataFrame, settings: Settings = Settings(), targets: DataFrame | None = None) -> DataFrame:
+    """Adds weight (sums to 1), residual and probability to cells (source, lang, topic, tokens).
+
+    ``targets`` (dimension, value, share) sets the shares of a dimension; they are scaled to 1 over the values that occur,
+    and a value that it doesn't name gets none of that dimension. Dimensions that it lacks have powers of
+    their present shares. The residual is the greatest distance of a share from its target. Targets that no weights of
+    the present cells can meet leave one.
+    """
     everything = Window.partitionBy(F.lit(0))
+    given = {r["dimension"] for r in targets.select("dimension").distinct().collect()} if targets is not None else set()
+    if given - set(DIMENSIONS):
+        raise ValueError(f"unknown dimensions: {sorted(given - set(DIMENSIONS))}")
     out = cells.withColumn("weight", F.col("tokens") / F.sum("tokens").over(everything))
     for name, power in zip(DIMENSIONS, settings.powers, strict=True):
-        out = out.withColumn(f"_own_{name}", F.sum("tokens").over(Window.partitionBy(name)))
-        wanted = F.pow(F.col(f"_own_{name}"), F.lit(power))
+        own = F.sum("tokens").over(Window.partitionBy(name))
+        if name in given:
+            want = targets.where(F.col("dimension") == name).groupBy(F.col("value").alias(name)).agg(F.sum("share").alias("_want"))
+            out = out.join(want, name, "left").withColumn("_want", F.coalesce("_want", F.lit(0.0)))
+        else:
+            out = out.withColumn("_want", F.pow(own, F.lit(power)))
         # Each value's wanted size once: its cells add up to it.
-        out = out.withColumn(f"_to_{name}", wanted / F.sum(wanted * F.col("tokens") / F.col(f"_own_{name}")).over(everything)).drop(f"_own_{name}")
-    for k in range(settings.rounds):
-        for name in DIMENSIONS:
-            out = out.withColumn("weight", F.col("weight") * F.col(f"_to_{name}") / F.sum("weight").over(Window.partitionBy(name)))
-        if k % 3 == 2 and k + 1 < settings.rounds:
-            out = materialize(out, "op5-rake")
+        out = out.withColumn("_own", own).withColumn(f"_to_{name}", F.col("_want") / F.sum(F.col("_want") * F.col("tokens") / F.col("_own")).over(everything)).drop("_own", "_want")
+    done = 0
+    while True:
+        for k in range(settings.rounds):
+            for name in DIMENSIONS:
+                sums = F.sum("weight").over(Window.partitionBy(name))
+                out = out.withColumn("weight", F.when(sums > 0, F.col("weight") * F.col(f"_to_{name}") / sums).otherwise(0.0))
+            if k % 3 == 2:
+                out = materialize(out, "op5-rake")
+        done += settings.rounds
+        off = F.greatest(*(F.abs(F.sum("weight").over(Window.partitionBy(n)) - F.col(f"_to_{n}")) for n in DIMENSIONS))
+        out = materialize(out.withColumn("residual", F.max(off).over(everything)), "op5-rake")
+        left = out.agg(F.max("residual")).first()[0]
+        if left is None or left <= settings.tolerance or done >= settings.most_rounds:
+            break
+        out = out.drop("residual")
     ratio = F.col("weight") / F.col("tokens")
     out = out.withColumn("probability", ratio / F.max(ratio).over(everything))
-    return out.select(*DIMENSIONS, "tokens", "weight", "probability")
+    return out.select(*DIMENSIONS, "tokens", "weight", "residual", "probability")
 
 
 def uniform(doc_id: Column, seed: str) -> Column:
@@ -78,8 +112,8 @@ def uniform(doc_id: Column, seed: str) -> Column:
 
 
 def assign(rows: DataFrame, cells: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Adds weight, probability and sampled to rows that carry the dimensions."""
-    fitted = cells.select(*DIMENSIONS, "weight", "probability")
+    """Adds weight, residual, probability and sampled to rows that carry the dimensions."""
+    fitted = cells.select(*DIMENSIONS, "weight", "residual", "probability")
     if cells.count() <= settings.broadcast_cells:
         fitted = F.broadcast(fitted)
     joined = rows.join(fitted, list(DIMENSIONS), "left")
@@ -88,14 +122,15 @@ def assign(rows: DataFrame, cells: DataFrame, settings: Settings = Settings()) -
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
+    """Weight, probability and draw of every document; awkward rows as in the module's header."""
     rows = materialize(described(read_table(spark, sf_dir, "documents")), "op5-rows")
     cells = materialize(rake(materialize(cell_sizes(rows), "op5-cells")), "op5-weights")
     out = assign(rows, cells)
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("residual", 5).alias("residual"), F.round("probability", 6).alias("probability"), "sampled")
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the sampled documents, with their columns as they are."""
+    """Pipeline stage: the sampled documents, with their columns as they are; awkward rows as in the module's header."""
     cells = materialize(rake(materialize(cell_sizes(described(docs)), "mix-cells")), "mix-weights")
     names = docs.columns
     tokens = token_count(F.col("text"))
@@ -126,11 +161,12 @@ c0 AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM
 c1 AS (SELECT *, tokens / sum(tokens) OVER () AS weight, {", ".join(to)} FROM c0),
 c2 AS (SELECT source, lang, topic, tokens, weight, {", ".join(f"want_{n} / sum(want_{n} * part_{n}) OVER () AS to_{n}" for n in DIMENSIONS)} FROM c1),
 {", ".join(steps)},
-fitted AS (SELECT source, lang, topic, weight, (weight / tokens) / max(weight / tokens) OVER () AS probability FROM {last}),
+ended AS (SELECT *, {", ".join(f"abs(sum(weight) OVER (PARTITION BY {n}) - to_{n}) AS off_{n}" for n in DIMENSIONS)} FROM {last}),
+fitted AS (SELECT source, lang, topic, weight, max(greatest({", ".join(f"off_{n}" for n in DIMENSIONS)})) OVER () AS residual, (weight / tokens) / max(weight / tokens) OVER () AS probability FROM ended),
 joined AS (
-  SELECT r.*, coalesce(f.weight, 0.0) AS weight, CASE WHEN r.n_tokens > 0 THEN coalesce(f.probability, 0.0) ELSE 0.0 END AS probability
+  SELECT r.*, coalesce(f.weight, 0.0) AS weight, f.residual, CASE WHEN r.n_tokens > 0 THEN coalesce(f.probability, 0.0) ELSE 0.0 END AS probability
   FROM rows_ r LEFT JOIN fitted f USING (source, lang, topic))
-SELECT doc_id, source, lang, topic, n_tokens, round(CAST(weight AS DOUBLE), 6) AS weight, round(CAST(probability AS DOUBLE), 6) AS probability,
+SELECT doc_id, source, lang, topic, n_tokens, round(CAST(weight AS DOUBLE), 6) AS weight, round(CAST(residual AS DOUBLE), 5) AS residual, round(CAST(probability AS DOUBLE), 6) AS probability,
        CAST('0x' || substr(md5('{settings.seed}:' || coalesce(CAST(doc_id AS VARCHAR), '?')), 1, 13) AS BIGINT) / {float(1 << 52)} < probability AS sampled
 FROM joined
 """
