@@ -5,8 +5,9 @@ are the holdout: for a rule and a stratum the cutoffs are tested from the mildes
 strictest, and testing stops at the first whose false rejections are too many, judged by the
 exact (Clopper-Pearson) upper bound of the binomial. The error probability ``delta`` is divided
 by the number of rules and strata (Bonferroni); within a sequence the fixed order needs no
-further share. So with probability 1 - delta no rule rejects more than ``alpha`` of the good
-documents of any stratum. A stratum with too few labels gets no cutoff, and rejects nothing.
+further share. Each rule may reject ``alpha`` divided by the number of rules, so by the union of the
+rules: with probability 1 - delta, of no stratum are more than ``alpha`` of the good documents
+rejected. A rule without enough labels in a stratum gets no cutoff there, and rejects nothing.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SEPARATOR, materialize, read_table, slices, text_buffers, word_spans
+from .common import IS_SEPARATOR, map_arrow, materialize, read_table, slices, text_buffers, word_spans
 
 #: Fixed values of the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -30,10 +31,10 @@ MAX_REPEAT_PERCENT = 30
 
 @dataclass(frozen=True)
 class Settings:
-    """alpha: bound on false rejections per rule and stratum. delta: chance that any bound fails.
-    grid: cutoffs of every rule, mildest first; a document is rejected if its feature is above."""
+    """alpha: bound on the share of a stratum's good documents that the rules reject together. delta: chance that the
+    bound fails for any stratum. grid: cutoffs of every rule, mildest first; a document is rejected if its feature is above."""
 
-    alpha: float = 0.02
+    alpha: float = 0.04
     delta: float = 0.05
     grid: tuple[float, ...] = (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01)
 
@@ -104,7 +105,7 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             found = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * len(STATISTICS)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in others] + [pa.array(x) for x in found], names=[*others, *STATISTICS])
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)
 
 
 def log_binomial_tail(k: int, n: int, p: float) -> float:
@@ -137,12 +138,12 @@ def select_cutoffs(good: DataFrame, stratum: str, settings: Settings = Settings(
     rules = rules or RULES
     counts = {f"{r}:{k}": F.count_if(f() > F.lit(c)) for r, f in rules.items() for k, c in enumerate(settings.grid)}
     rows = good.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *(c.alias(name) for name, c in counts.items())).collect()
-    share = settings.delta / max(1, len(rules) * len(rows))
+    share, most = settings.delta / max(1, len(rules) * len(rows)), settings.alpha / max(1, len(rules))
     out = {}
     for row in rows:
         for rule in rules:
             for k, cutoff in enumerate(settings.grid):
-                if row["n"] == 0 or row[f"{rule}:{k}"] > settings.alpha * row["n"] or upper_bound(row[f"{rule}:{k}"], row["n"], share) > settings.alpha:
+                if row["n"] == 0 or row[f"{rule}:{k}"] > most * row["n"] or upper_bound(row[f"{rule}:{k}"], row["n"], share) > most:
                     break
                 out[rule, row[stratum]] = cutoff
     return out
@@ -165,6 +166,12 @@ def base_failed() -> Column:
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document, cutoffs by language from the good ones among the labels.
+
+    Null and empty texts have no words and fail the base rule; long texts are taken whole; a null language is the
+    stratum ``und``; rows that repeat are judged alike, each with a row; a doc_id that is labelled more than once is
+    good if any label says so. Without labels no rule rejects; an empty table gives an empty result.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("und")).alias("stratum"), "text")
     stats = materialize(text_statistics(docs), "op6-statistics")
     labels = read_table(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id").distinct()
