@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import U64, read_table, shuffle_partitions, shingle_hashes, text_buffers
+from .common import U64, map_arrow, read_table, shingle_hashes, shuffle_partitions, text_buffers
 
 K = 256
 SHINGLE_WORDS = 5
@@ -59,6 +60,45 @@ def decode(text: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(text), "<u8").astype(U64)
 
 
+def merged_sketches(docs: DataFrame, group: str, k: int = K, size: int = SHINGLE_WORDS) -> DataFrame:
+    """(group, sketch, distinct_shingles): the sketch of all texts of each value of ``group``, merged across parts.
+
+    Each task merges what it sees of a group; parts are then merged in two steps, by group and a salt and by group, so
+    a group that holds most rows is no burden to one task. ``sketch`` is encoded like a document's. Null texts count
+    as empty; a null group is a group; an empty table gives none.
+    """
+    n = shuffle_partitions(docs.sparkSession)
+
+    def part(batches):
+        held: dict = {}
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for name, h in zip(batch.column(0).to_pylist(), shingle_hashes(data, offsets, size), strict=True):
+                held[name] = merge(held[name], h[:k], k) if name in held else h[:k]
+            if len(held) > 1000:
+                yield rows(held)
+                held = {}
+        if held:
+            yield rows(held)
+
+    kind = docs.schema[group].dataType
+
+    def rows(held):
+        return pa.RecordBatch.from_arrays([pa.array(list(held), to_arrow_type(kind)), pa.array([encode(h) for h in held.values()])], names=["group", "sketch"])
+
+    def union(pdf: pa.Table) -> pa.Table:
+        whole = np.zeros(0, U64)
+        for s in pdf.column("sketch").to_pylist():
+            whole = merge(whole, decode(s), k)
+        return pa.table({"group": pdf.column("group")[:1].cast(to_arrow_type(kind)), "sketch": [encode(whole)], "distinct_shingles": [distinct_count(whole, k)]})
+
+    name = kind.simpleString()
+    parts = map_arrow(docs.select(F.col(group).alias("group"), "text"), part, f"group {name}, sketch string")
+    salted = parts.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(n)))
+    some = salted.groupBy("group", "salt").applyInArrow(union, f"group {name}, sketch string, distinct_shingles double")
+    return some.select("group", "sketch").groupBy("group").applyInArrow(union, f"group {name}, sketch string, distinct_shingles double")
+
+
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows (part, follower, doc_id, text) where within a part, ordered by follower, descending doc_id and
     text, the row after a row is the document that follows it in the whole table.
@@ -89,14 +129,16 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     return rows.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "follower", F.desc_nulls_last("doc_id"), "text")
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("distinct_shingles", pa.float64())])
+OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("distinct_shingles", pa.float64()), ("next_contained", pa.float64())])
 
 
 def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
-    """For every document its sketch, that of its edited text and their resemblances (see OUT).
+    """For every document its sketch, that of its edited text and their resemblances, and how much of the next
+    document it holds (see OUT).
 
-    Null texts count as empty. Rows of equal doc_id are ordered by text. A table of one row is
-    its own follower; an empty table gives an empty result.
+    Null texts count as empty. Rows of equal doc_id are ordered by text, and rows that repeat follow each other; rows
+    without a doc_id come last. Long texts are taken whole; other columns don't matter. A table of one row
+    is its own follower; an empty table gives an empty result.
     """
 
     def emit(chunk, nxt):
@@ -113,6 +155,7 @@ def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
             [resemblance(a, b, k) for a, b in zip(own, other, strict=False)],
             [resemblance(a, b, k) for a, b in zip(own, own[1:], strict=False)],
             [distinct_count(a, k) for a in own[:-1]],
+            [containment(b, a, k) for a, b in zip(own, own[1:], strict=False)],
         )
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, OUT, strict=True)], schema=OUT)
 
@@ -141,8 +184,9 @@ def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
         if held and not ended:
             yield emit(held, "")
 
-    return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, distinct_shingles double")
+    return map_arrow(with_next(docs), run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, distinct_shingles double, next_contained double")
 
 
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts; awkward rows as in ``fingerprint_edits``."""
     return fingerprint_edits(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
