@@ -2,7 +2,8 @@
 
 Rows of a conversation stream through one task in turn order: the formatter keeps the state
 of the machine and emits text segments with a loss flag each, the reader parses the joined
-segments back. Neither holds more than one turn, so a conversation of any length passes.
+segments back. Neither holds more than a turn and a bounded batch of rows, so a conversation of
+any length passes.
 """
 
 from __future__ import annotations
@@ -15,16 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, shuffle_partitions
+from .common import map_arrow, read_table, shuffle_partitions
 
 
 @dataclass(frozen=True)
 class Template:
     """What surrounds a turn, which roles are learned from, and which turn may follow which.
 
-    ``transitions`` maps (state, role) to the next state; a pair that is missing is out of order.
+    ``transitions`` maps (state, role) to the next state; a pair that is missing is out of order. ``mark``
+    is what the control strings start with: texts are escaped so that it never stands in them.
     """
 
+    mark: str = "<|"
+
     open: str = "<|im_start|>"
     header_end: str = "\n"
     close: str = "<|im_end|>"
@@ -44,12 +48,21 @@ class Template:
     )
 
 
+    def __post_init__(self):
+        if len(set(self.mark)) != len(self.mark) or len(self.mark) < 2 or "\\" in self.mark:
+            raise ValueError("a mark has two characters at least, all different and no backslash")
+        if not (self.open.startswith(self.mark) and self.close.startswith(self.mark)) or self.open == self.close:
+            raise ValueError("the control strings around a turn start with the mark and differ")
+        if self.header_end != "\n":
+            raise ValueError("a header ends with a line break, which roles escape")
+
+
 CHATML = Template()
 
 
-def escape(text: str) -> str:
-    r"""Breaks every ``<|`` by a backslash and doubles backslashes, so no control string survives."""
-    return text.replace("\\", "\\\\").replace("<|", "<\\|")
+def escape(text: str, mark: str = CHATML.mark) -> str:
+    r"""Breaks every mark by a backslash after its first character and doubles backslashes, so no control string survives."""
+    return text.replace("\\", "\\\\").replace(mark, f"{mark[0]}\\{mark[1:]}")
 
 
 def unescape(text: str) -> str:
@@ -57,8 +70,8 @@ def unescape(text: str) -> str:
     return "\\".join(part.replace("\\", "") for part in text.split("\\\\")) if "\\" in text else text
 
 
-def escape_role(role: str) -> str:
-    return escape(role).replace("\n", "\\n")
+def escape_role(role: str, mark: str = CHATML.mark) -> str:
+    return escape(role, mark).replace("\n", "\\n")
 
 
 def unescape_role(role: str) -> str:
@@ -67,8 +80,8 @@ def unescape_role(role: str) -> str:
 
 def turn_segments(role: str, text: str, template: Template = CHATML) -> Iterator[tuple[str, bool]]:
     """(text, loss) pieces of one turn: header, escaped text, end."""
-    yield f"{template.open}{escape_role(role)}{template.header_end}", False
-    yield escape(text), role in template.loss_roles
+    yield f"{template.open}{escape_role(role, template.mark)}{template.header_end}", False
+    yield escape(text, template.mark), role in template.loss_roles
     yield f"{template.close}{template.after}", False
 
 
@@ -113,7 +126,7 @@ def ordered(conversations: DataFrame) -> DataFrame:
 
 def _rows(batches) -> Iterator[tuple]:
     for batch in batches:
-        for small in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
+        for small in (batch.slice(k, 64) for k in range(0, batch.num_rows, 64)):
             yield from zip(*(small.column(k).to_pylist() for k in range(4)), strict=True)
 
 
@@ -125,7 +138,7 @@ def format_segments(conversations: DataFrame, template: Template = CHATML) -> Da
     """
 
     def run(batches):
-        out, last, state, seq = [], object(), None, 0
+        out, size, last, state, seq = [], 0, object(), None, 0
         for conv, turn, role, text in _rows(batches):
             if conv != last:
                 last, state, seq = conv, template.start, 0
@@ -134,13 +147,14 @@ def format_segments(conversations: DataFrame, template: Template = CHATML) -> Da
             for piece, loss in turn_segments(role, text, template):
                 out.append((conv, seq, turn, piece, loss, state is not None))
                 seq += 1
-            if len(out) >= 3000:
+            size += len(text)
+            if len(out) >= 3000 or size >= 1 << 22:
                 yield _batch(out, SEGMENTS)
-                out = []
+                out, size = [], 0
         if out:
             yield _batch(out, SEGMENTS)
 
-    return ordered(conversations).mapInArrow(run, "conv_id long, seq long, turn long, text string, loss boolean, in_order boolean")
+    return map_arrow(ordered(conversations), run, "conv_id long, seq long, turn long, text string, loss boolean, in_order boolean")
 
 
 SEGMENTS = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("turn", pa.int64()), ("text", pa.string()), ("loss", pa.bool_()), ("in_order", pa.bool_())])
@@ -176,10 +190,16 @@ def read_back(segments_df: DataFrame, template: Template = CHATML) -> DataFrame:
         if out:
             yield _batch(out, DIGESTS)
 
-    return segments_df.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, in_order boolean")
+    return map_arrow(segments_df, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, in_order boolean")
 
 
 def op3_chat(spark, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted text; conversation -1 is one of the query's own.
+
+    Null texts and roles are empty; rows of a null conv_id are one conversation; rows of one turn are ordered by
+    role and text, and rows that repeat stay; long texts pass whole; extra columns don't matter. An empty table
+    leaves conversation -1.
+    """
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
