@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_bucket, materialize, read_table, slices, text_buffers, word_spans
+from .common import fold_bucket, map_arrow, materialize, read_table, slices, text_buffers, word_spans
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,6 @@ class Settings:
     doc_id, and ``pairs`` random pairs of them; ``threshold`` is where the quantile is mapped to."""
 
     sample_docs: int = 2500
-    sample_bytes: int = 4_000_000
     pairs: int = 20_000
     ridge: float = 1e-3
     steps: int = 12
@@ -124,7 +123,7 @@ def learn(labelled: DataFrame, settings: Settings = Settings()) -> Model:
                 x = features(part, off).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo).cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
-    rows = sorted(found.mapInArrow(run, "doc_id long, quality int, x binary").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["quality"], r["x"]))
+    rows = sorted(map_arrow(found, run, "doc_id long, quality int, x binary").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["quality"], r["x"]))
     x = {q: np.array([np.frombuffer(r["x"], np.float32) for r in rows if r["quality"] == q], np.float64).reshape(-1, N_FEATURES) for q in (1, 0)}
     return Model.fit(x[1], x[0], settings)
 
@@ -143,7 +142,7 @@ def raw_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             parts = [m.raw(features(part, off)) for _, _, part, off in slices(data, offsets)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in others] + [pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*others, "_raw"])
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)
 
 
 def order_statistics(values: DataFrame, ranks: set[int], most: int = 50_000, buckets: int = 1024) -> dict[int, float]:
@@ -193,18 +192,21 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def op10_quality_rank(spark, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document, learned outside the held-out fold.
+
+    Null and empty texts have zero features and the score that follows; long texts are taken whole; rows that
+    repeat are scored alike, each with a row. A doc_id with several labels counts by its least, one with several texts
+    by each. Without labels of both classes every score is 0.5. An empty table gives an empty result.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold_bucket(F.col("doc_id"), 4) == 2
     settings = Settings()
     labels = read_table(spark, sf_dir, "labels").where(F.col("quality").isin(0, 1) & ~(fold_bucket(F.col("doc_id"), 4) == 2))
     labels = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    counts = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect()}
     at = F.pmod(F.xxhash64(F.lit("labels"), "doc_id"), F.lit(1 << 40))
-    limit = F.lit(0)
-    for q, n in counts.items():
-        limit = F.when(F.col("quality") == q, F.lit(min(1 << 40, int((1 << 40) * settings.sample_docs / n)))).otherwise(limit)
-    # About sample_docs rows of each class, whatever the input: a bounded broadcast, so no text is shuffled.
-    chosen = labels.where(at < limit)
+    # The sample_docs rows of each class that come first by hash: a bounded broadcast, so no text is shuffled.
+    good, bad = (labels.where(F.col("quality") == q).orderBy(at, "doc_id").limit(settings.sample_docs) for q in (1, 0))
+    chosen = good.unionByName(bad)
     model = learn(docs.join(F.broadcast(chosen), "doc_id"), settings)
     # Every document is scored once; the labels meet the scores, not the texts.
     raw = materialize(raw_scores(docs.select("doc_id", "text", held_out.alias("held_out")), model), "op10-raw")
