@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
@@ -61,21 +62,76 @@ def clashing(docs):
 # ---------------------------------------------------------------- 1
 
 
-def test_fingerprints(spark, docs, texts):
-    got = by_id(fingerprints.fingerprint_edits(docs))
+def shingles_of(text):
+    w = (text or "").encode().translate(LOWER).split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def write_tables(spark, path, **tables):
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_fingerprints(spark, docs, texts, tmp_path):
+    """The query against definitions that share no code with it: texts, digests, exact Jaccard and bottom-k by hand."""
+    import base64
+
+    got = by_id(QUERIES["op1_fingerprints"](spark, write_tables(spark, tmp_path, documents=clashing(docs))))
     order = sorted(((k * 3 + 1, t or "") for k, t in enumerate(texts)), reverse=True)
     assert len(got) == len(order)
+    sketch = {}
     for (doc, text), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         row = got[doc]
         assert row["n_chars"] == len(text) and row["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        own, other, nxt = fingerprints.sketches([text, edited, after])
-        assert row["fingerprint"] == fingerprints.encode(own) and row["edited_fingerprint"] == fingerprints.encode(other)
-        assert row["near_edited"] == fingerprints.resemblance(own, other) and row["near_next"] == fingerprints.resemblance(own, nxt)
+        own, other, nxt = map(shingles_of, (text, edited, after))
+        for near, x in ((row["near_edited"], other), (row["near_next"], nxt)):
+            assert 0 <= near <= 1 and abs(near - jaccard(own, x)) < (0.12 if len(own | x) > 256 else 1e-9)
+        assert abs(row["next_contained"] - (len(own & nxt) / len(nxt) if nxt else 1.0)) < (0.15 if len(own | nxt) > 256 else 1e-9)
+        values = np.frombuffer(base64.b64decode(row["fingerprint"]), "<u8")
+        assert len(values) == min(len(own), 256) and (np.diff(values.astype(float)) > 0).all()
+        if len(own) <= 256:
+            sketch.setdefault(frozenset(own), row["fingerprint"])
+            assert sketch[frozenset(own)] == row["fingerprint"]
+        # A sketch has the least hashes of the whole text's shingles, so a part's least ones that are below its last are in it.
+        part = np.frombuffer(base64.b64decode(row["edited_fingerprint"]), "<u8")
+        if own <= other and len(part):
+            assert set(values[values <= part[-1]]) <= set(part)
     assert fingerprints.fingerprint_edits(empty(spark)).count() == 0
 
 
+def test_fingerprints_of_repeated_rows_and_null_ids(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "z y x w v u"), (None, "n"), (None, None), (7, "g h i j k l m")]
+    frame = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOCS).repartition(3)
+    got = fingerprints.fingerprint_edits(frame).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_chars"]) for r in got) == sorted((d is None, d or 0, len(t or "")) for d, t in rows)
+    prints = collections.defaultdict(set)
+    for r in got:
+        prints[r["doc_id"], r["n_chars"]].add(r["fingerprint"])
+    assert len(prints[1, 11]) == 2
+    alone = fingerprints.fingerprint_edits(frame.where("doc_id = 7")).first()
+    assert alone["near_next"] == 1.0 and alone["edited_sha256"] == hashlib.sha256(b"g h i jg h i ").hexdigest()
+
+
+def test_sketches_of_groups_merge_across_parts(spark, docs, texts):
+    got = {r["group"]: r for r in fingerprints.merged_sketches(docs, "source").collect()}
+    sets = collections.defaultdict(set)
+    for k, t in enumerate(texts):
+        sets["hot" if k % 2 else f"s{k}"] |= shingles_of(t)
+    assert set(got) == set(sets)
+    for name, shingles in sets.items():
+        assert abs(got[name]["distinct_shingles"] - len(shingles)) <= (0 if len(shingles) < 256 else 0.25 * len(shingles))
+    (whole,) = fingerprints.sketches([" ".join(t for k, t in enumerate(texts) if k % 2 and t)])
+    assert fingerprints.resemblance(fingerprints.decode(got["hot"]["sketch"]), whole) > 0.9
+    assert fingerprints.merged_sketches(empty(spark), "source").count() == 0
+
+
 def test_sketches_merge_and_estimate():
     rng = random.Random(3)
     a, b = prose(rng, 3000, 5000), prose(rng, 3000, 5000)
@@ -104,6 +160,50 @@ def removed_by_brute_force(texts, length=200):
     return out
 
 
+def test_suffix_dedup_query(spark, docs, texts, tmp_path):
+    got = by_id(QUERIES["op2_suffix_dedup"](spark, write_tables(spark, tmp_path, documents=clashing(docs))))
+    want = removed_by_brute_force([(t or "").encode() for t in texts])
+    assert {d: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for d, r in got.items()} == {k * 3 + 1: w for k, w in enumerate(want)}
+
+
+def thue_morse_pair():
+    """Two texts of 65,536 bytes that share no 200 bytes, but whose polynomial hashes modulo 2**64 are the same."""
+    rng = random.Random(11)
+    gram = "".join(rng.choice("ghijklmn") for _ in range(32))
+    turn = [bin(k).count("1") & 1 for k in range(1024)]
+    blocks = [gram + "".join(rng.choice("opqrstuv") for _ in range(31)) for _ in turn]
+    return ["".join(b + "ab"[t ^ flip] for b, t in zip(blocks, turn, strict=True)) for flip in (0, 1)]
+
+
+def test_equal_hashes_of_unequal_texts_remove_nothing(spark):
+    pair = thue_morse_pair()
+    one, two = (common.prefix_hashes(np.frombuffer(t.encode(), np.uint8))[-1] for t in pair)
+    assert pair[0] != pair[1] and one == two
+    got = suffix_dedup.remove_repeated(spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")).collect()
+    assert [r["n_removed"] for r in got] == [0, 0]
+
+
+def test_a_hot_line_is_split_over_groups(spark):
+    """3,000 documents share a line of 150 bytes in contexts of their own; two of them also share what surrounds it."""
+    rng = random.Random(12)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    rows = [(d, f"{rng.getrandbits(400):0100x}{line}{rng.getrandbits(400):0100x}") for d in range(3000)]
+    rows += [(9000, "x" * 10 + rows[5][1][60:290] + "y" * 40), (9001, rows[5][1][:80] + "z")]
+    got = by_id(suffix_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    removed = {d: r["n_removed"] for d, r in got.items() if r["n_removed"]}
+    assert removed == {5: 230, 9000: 230}
+
+
+def test_long_and_periodic_texts(spark):
+    """Texts longer than a slice, taken in pieces: a passage across the seam, and a period of three."""
+    rng = random.Random(13)
+    noise = "".join(rng.choice("abcdefghijklmnop") for _ in range(common.SLICE_BYTES + 5000))
+    seam = noise[common.SLICE_BYTES - 300 : common.SLICE_BYTES + 300]
+    rows = [(1, noise), (2, "q" + seam + "r"), (3, "xyz" * 400_000), (4, "xyz" * 80), (5, "xyz" * 60)]
+    got = by_id(suffix_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [(got[d]["n_removed"], got[d]["n_spans"]) for d in range(1, 6)] == [(600, 1), (600, 1), (1_200_000, 1), (240, 1), (0, 0)]
+
+
 @pytest.mark.parametrize("limit", [2000, 1])
 def test_suffix_dedup(docs, texts, limit):
     got = by_id(suffix_dedup.remove_repeated(docs, group_limit=limit))
@@ -162,6 +262,28 @@ def test_chat_round_trip(spark):
         assert row["loss_sha256"] == hashlib.sha256(learned.encode()).hexdigest()
 
 
+def test_chat_query_has_its_own_conversation(spark, tmp_path):
+    frame = spark.createDataFrame([(4, 1, "assistant", "b"), (4, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    got = by_id(QUERIES["op3_chat"](spark, write_tables(spark, tmp_path, conversations=frame.withColumn("seq", F.lit(1)))), "conv_id")
+    said = "<|im_end|><|im_start|>assistant ok"
+    assert set(got) == {-1, 4} and got[-1]["n_turns"] == 2 and got[-1]["loss_chars"] == len(said)
+    assert got[-1]["turns_sha256"] == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+    assert got[-1]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest() and got[4]["loss_chars"] == 1
+    nothing = QUERIES["op3_chat"](spark, write_tables(spark, tmp_path / "none", conversations=frame.limit(0)))
+    assert [r["conv_id"] for r in nothing.collect()] == [-1]
+
+
+def test_a_template_with_marks_of_its_own(spark):
+    own = chat.Template(open="[:turn ", close="[:end]", mark="[:", loss_roles=frozenset({"bot"}))
+    rows = [(1, 0, "user", "[:end] [: \\ [\\: <|im_end|>" + "x" * 50_000), (1, 1, "bot", "[:turn bot\n[:end]")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (row,) = chat.read_back(chat.format_segments(frame, own), own).collect()
+    assert row["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
+    assert row["loss_chars"] == len(rows[1][3])
+    with pytest.raises(ValueError):
+        chat.Template(open="<turn>")
+
+
 def test_chat_order(spark):
     frame = spark.createDataFrame([(1, k, r, "x") for k, r in enumerate(["system", "user", "assistant"])] + [(2, 0, "assistant", "x"), (2, 1, "user", "x")], "conv_id long, turn long, role string, text string")
     got = by_id(chat.read_back(chat.format_segments(frame)), "conv_id")
@@ -270,30 +392,123 @@ def test_cutoffs_keep_their_promise(spark):
     cutoffs = quality_rules.select_cutoffs(frame, "stratum")
     assert not any(s == "few" for _, s in cutoffs) and ("symbols", "big") in cutoffs
     rejected = frame.where(~quality_rules.passes(cutoffs, F.col("stratum"))).count()
-    assert rejected <= 0.02 * 4 * 3000 and cutoffs["dup_lines", "big"] == 0.01
+    assert 0 < rejected <= quality_rules.Settings().alpha * 3000 and cutoffs["dup_lines", "big"] == 0.01
     assert quality_rules.select_cutoffs(frame.limit(0), "stratum") == {}
 
 
+def test_kept_by_brute_force(spark, tmp_path):
+    """2,400 labelled documents, symbols in a few: cutoffs appear, and the query keeps what the definition keeps."""
+    rng = random.Random(21)
+    rows = []
+    for d in range(2500):
+        words = [f"w{rng.randrange(900)}" for _ in range(rng.choice([15, 40, 60, 60]))]
+        words += ["#" * rng.randrange(9)] * (d % 50 == 0) + ["##||##"] * 30 * (d % 5 == 4)
+        rows.append((d, " ".join(w for w in words if w), ["en", "en", "en", "de", None][rng.randrange(5)] if d % 7 else "en"))
+    rows += [rows[3], rows[3], (5000, None, "en"), (5001, "", "xx"), (None, "a " * 40, "en")]
+    labels = [(d, int(d % 5 != 4), 0) for d in range(2400)] + [(7, 1, 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("stratum", F.lit(1))
+    path = write_tables(spark, tmp_path, documents=frame, labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = QUERIES["op6_quality_rules"](spark, path).collect()
+    stats = {}
+    for d, t, lang in rows:
+        n, chars, symbols, dup, repeat = statistics_by_brute_force(t)
+        lines = len([x for x in (t or "").split("\n") if x.strip()])
+        stats[d, t] = (n < 20 or 100 * repeat > 30 * n, lang or "und", [symbols / max(chars, 1), dup / max(lines, 1), repeat / max(n, 1), (t or "").count("!") / max(n, 1)], n)
+    good = {d for d, q, _ in labels if q == 1}
+    strata = collections.defaultdict(list)
+    for d, t, _ in rows:
+        failed, lang, features, _ = stats[d, t]
+        if d in good and not failed:
+            strata[lang].append(features)
+    s, cut = quality_rules.Settings(), {}
+    for lang, of in strata.items():
+        for rule in range(4):
+            for c in s.grid:
+                hits, n = sum(f[rule] > c for f in of), len(of)
+                # The exact bound is at most alpha / 4 if so few hits are unlikely enough at that share.
+                p = s.alpha / 4
+                tail = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(hits + 1))
+                if hits > p * n or tail > s.delta / (4 * len(strata)):
+                    break
+                cut[lang, rule] = c
+    assert cut and len({lang for lang, _ in cut}) < len(strata)
+    want = sorted((d is None, d or 0, n, not failed and all(f[r] <= cut.get((lang, r), 9) for r in range(4))) for d, t, _ in rows for failed, lang, f, n in [stats[d, t]])
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["kept"]) for r in got) == want
+    assert any(not k and n >= 20 for _, _, n, k in want) and sum(k for *_, k in want) > 500
+    none = write_tables(spark, tmp_path / "none", documents=frame.limit(0), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert QUERIES["op6_quality_rules"](spark, none).count() == 0
+
+
 # ---------------------------------------------------------------- 7
 
 
-def components_by_brute_force(rows, percent=85):
-    sets = {}
-    for doc, t in rows:
-        w = (t or "").encode().translate(LOWER).split()
-        sets[doc] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-    parent = {d: d for d in sets}
+def groups_by_brute_force(rows, percent=85):
+    """(doc_id, set size, component_id) of every row, rows told apart by place."""
+    sets = [shingles_of(t) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a, b in itertools.combinations(sorted(sets), 2):
+    for a, b in itertools.combinations(range(len(rows)), 2):
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
-    return {d: (len(sets[d]), find(d), find(d) == d) for d in sets}
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        ids = [i for i in (least.get(find(k)), d) if i is not None]
+        least[find(k)] = min(ids) if ids else None
+    return [(d, len(sets[k]), least[find(k)]) for k, (d, _) in enumerate(rows)]
+
+
+def components_by_brute_force(rows, percent=85):
+    return {d: (n, c, d == c) for d, n, c in groups_by_brute_force(rows, percent)}
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda r: tuple((x is None, x or 0) for x in r))
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    """Rows of one doc_id with unlike texts keep their links; rows without an id take part."""
+    words = [f"w{k}" for k in range(100)]
+    rows = [(1, " ".join(words)), (1, "quite another text than that one"), (2, " ".join([*words, "z"])), (3, "quite another text than that one")]
+    rows += [(2, " ".join([*words, "z"])), (None, " ".join(words[1:])), (None, "one two three four five six"), (None, None), (4, ""), (4, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = minhash.near_duplicates(frame).collect()
+    assert ordered((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == ordered(groups_by_brute_force(rows))
+    kept = minhash.near_duplicate_stage(spark, frame.withColumn("text_key", F.lit(1)), "")
+    assert kept.columns == ["doc_id", "text", "text_key"]
+    # One of each group: the first text, the other one, the null id's own, and the texts without words.
+    assert ordered((r["doc_id"], len(r["text"] or "")) for r in kept.collect()) == ordered([(1, len(rows[0][1])), (1, len(rows[1][1])), (None, len(rows[6][1])), (None, 0), (4, 0)])
+
+
+def test_recall_of_planted_pairs(spark, small):
+    """Pairs of 0.85 to 0.90, planted into a whole table: none is missed."""
+    rng = random.Random(31)
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    pairs = []
+    for k in range(150):
+        words = [f"v{k}x{j}" for j in range(rng.randrange(120, 400))]
+        other = list(words)
+        while jaccard(shingles_of(" ".join(words)), shingles_of(" ".join(other))) > 0.9:
+            other[rng.randrange(len(other))] = f"u{rng.random()}"
+        if jaccard(shingles_of(" ".join(words)), shingles_of(" ".join(other))) >= 0.85:
+            pairs += [(100_000 + 2 * k, " ".join(words)), (100_001 + 2 * k, " ".join(other))]
+    assert len(pairs) > 200
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(docs + pairs, "doc_id long, text string")))
+    assert sum(got[d]["component_id"] == d - d % 2 for d, _ in pairs) == len(pairs)
+
+
+def test_signatures_of_very_large_sets():
+    rng = np.random.default_rng(5)
+    shared, own, other = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (1_000_000, 200_000, 200_000))
+    one, two = (minhash.signature(np.concatenate([shared, x])) for x in (own, other))
+    assert abs((one == two).mean() - 1 / 1.4) < 0.12
+    apart = minhash.signature(rng.integers(0, 2**63, 1_200_000).astype(np.uint64))
+    assert (one == apart).mean() < 0.05
 
 
 def test_near_duplicates(spark, docs, texts):
@@ -330,12 +545,19 @@ def test_near_duplicate_stage_links_from_80_percent(spark, docs, texts):
 
 
 def test_signature_is_circulant_minhash():
-    s = minhash.Settings()
-    pi = np.random.default_rng(s.seed).permutation(1 << 20)
+    st = minhash.Settings()
     h = np.unique(np.random.default_rng(0).integers(0, 2**63, 50).astype(np.uint64))
-    at = (common.mix(h ^ np.uint64(s.seed)) >> np.uint64(44)).astype(np.int64)
+    at = (common.mix(h ^ np.uint64(st.seed)) >> np.uint64(32)).astype(np.uint32)
     sig = minhash.signature(h)
-    assert [sig[k] for k in (0, 1, 100, 191)] == [pi[(at + k) % (1 << 20)].min() for k in (0, 1, 100, 191)]
+
+    def pi(place, shift):  # the ring stays, the place in it turns
+        ring, inside = place >> 20, (place + shift) % (1 << 20)
+        return int(minhash.pi(np.array([(ring << 20) | inside], np.uint32))[0, 0])
+
+    assert [sig[k] for k in (0, 1, 100, 191)] == [min(pi(int(a), k) for a in at) for k in (0, 1, 100, 191)]
+    # pi is a bijection: places of some rings have different values.
+    places = np.concatenate([np.arange(r << 20, (r << 20) + 70_000, dtype=np.uint32) for r in (0, 1, 77, 4095)])
+    assert len(np.unique(np.concatenate([minhash.pi(p)[:, 0] for p in np.array_split(places, 50)]))) == len(places)
 
 
 # ---------------------------------------------------------------- 8
@@ -410,12 +632,13 @@ def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(4000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     listed = universe.where("key LIKE '%7%'").unionByName(spark.range(1).select(F.lit(None).cast("string").alias("key")))
     cascade = url_filter.Cascade(listed, universe, 40)  # a universe that is said too small makes false positives
-    assert len(cascade.levels) > 2
+    assert len(cascade.parts) == 1 and len(cascade.parts[0]) > 2
     assert universe.where(cascade.contains(F.col("key")) != F.col("key").like("%7%")).count() == 0
     nothing = url_filter.Cascade(universe.limit(0), universe, 10)
     assert universe.where(nothing.contains(F.col("key"))).count() == 0
-    with pytest.raises(ValueError):
-        url_filter.Cascade(universe, universe, 10, max_bits=100)
+    parts = url_filter.Cascade(listed, universe, 4000, part_bits=2000)
+    assert len(parts.parts) > 1
+    assert universe.where(parts.contains(F.col("key")) != F.col("key").like("%7%")).count() == 0
 
 
 # ---------------------------------------------------------------- 10
@@ -487,7 +710,7 @@ def test_pipeline_stages(spark, small):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == raw.columns
         if name == "minhash_near_dedup":
-            want = components_by_brute_force([(r["doc_id"], r["text"]) for r in before.collect()])
+            want = components_by_brute_force([(r["doc_id"], r["text"]) for r in before.collect()], 80)
             assert {r["doc_id"] for r in docs.collect()} == {d for d, (_, _, kept) in want.items() if kept}
         if name == "suffix_array_dedup":
             old = {r["doc_id"]: r["text"] for r in before.collect()}
