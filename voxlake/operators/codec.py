@@ -192,6 +192,25 @@ def decode(blocks: DataFrame, codec: Codec, edge: int = 16) -> DataFrame:
     return _per_batch(blocks, "payload", "data", lambda v: [b.tobytes() for b in decode_blocks(v, codec, edge)], edge)
 
 
+def decode_mixed(blocks: DataFrame, max_error: int = 0, edge: int = 16) -> DataFrame:
+    """``payload`` becomes ``data``, each block by the quality in its row, however many qualities there are."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 128):
+                small = batch.slice(k, 128)
+                quality = small.column(3).to_numpy(zero_copy_only=False)
+                payload = small.column(4).to_pylist()
+                data: list = [None] * len(payload)
+                for q in np.unique(quality):
+                    at = np.flatnonzero(quality == q)
+                    for i, block in zip(at.tolist(), decode_blocks([payload[i] for i in at], Codec.of(float(q), max_error), edge), strict=True):
+                        data[i] = block.tobytes()
+                yield pa.RecordBatch.from_arrays([*(small.column(c) for c in range(3)), pa.array(data, pa.binary())], names=["bz", "by", "bx", "data"])
+
+    return blocks.select("bz", "by", "bx", "quality", "payload").mapInArrow(run, "bz int, by int, bx int, data binary")
+
+
 def quality_for_ratio(blocks: DataFrame, codec: Codec, ratio: float, edge: int = 16) -> float:
     """Quality that should reach a ratio, from the blocks on one diagonal per chunk: q (estimate / wanted)^(1 / 0.75), within 0.5 to 24."""
     per = 256 // edge

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
 from ..sources.store import Archive, Geometry
-from ..sources.volumes import vox, vox_sql
+from ..operators import volume as V
+from ..sources.volumes import grid_sql, read_table, vox, vox_sql
 from .register import query
 
 VOX64 = f"WITH vox AS ({vox_sql(64)})"
@@ -45,11 +46,54 @@ def a26(spark, sf):
     return other.region(0, 0, 0, 64, 64, 64)
 
 
-@query("a24_metadata", "SELECT 'second text' AS metadata, CAST(64 AS INTEGER) AS nz")
+@query("a24_metadata", "SELECT 'volume of ' || count(*) || ' lines' AS metadata, CAST(64 AS INTEGER) AS nz, CAST(0 AS INTEGER) AS codec FROM lineitem")
 def a24(spark, sf):
+    """Text that is stored anew with the store, its dims and its block codec, read back from the files."""
     store = Archive.create(spark, scratch_path(spark, "meta"), Geometry(64, 64, 64), "first")
-    store.set_metadata("second text")
-    return spark.range(1).select(F.lit(store.metadata).alias("metadata"), F.lit(Archive.open(spark, store.path).geometry.nz).alias("nz"))
+    store.set_metadata(f"volume of {read_table(spark, sf, 'lineitem').count()} lines")
+    again = Archive.open(spark, store.path)
+    return spark.range(1).select(F.lit(again.metadata).alias("metadata"), F.lit(again.geometry.nz).alias("nz"), F.lit(again.geometry.codec).alias("codec"))
+
+
+@query("a7_all_air", f"""{VOX64}, c AS (SELECT z // 32 AS cz, y // 32 AS cy, x // 32 AS cx, max(v) AS top FROM vox WHERE z < 32 OR y < 32 GROUP BY 1, 2, 3), g AS ({grid_sql(2, 2, 2)})
+SELECT g.z AS cz, g.y AS cy, g.x AS cx, CAST(CASE WHEN top IS NULL THEN -1 WHEN top > 0 THEN 0 ELSE 1 END AS INTEGER) AS air FROM g LEFT JOIN c ON c.cz = g.z AND c.cy = g.y AND c.cx = g.x""")
+def a7(spark, sf):
+    """Which chunks are all air, known from the chunk table alone."""
+    store = Archive.create(spark, scratch_path(spark, "air"), Geometry(64, 64, 64, 16, 32, LOSSLESS))
+    store.append(vox(spark, sf, 64).where("z < 32 OR y < 32"))
+    return store.all_air()
+
+
+@query("a22_append_target", f"{VOX64} SELECT true AS within, count(DISTINCT (z // 16, y // 16, x // 16)) AS n_blocks FROM vox WHERE v > 0")
+def a22(spark, sf):
+    """A quality chosen for a ratio lies within its limits, is stored with the blocks, and they decode."""
+    store = Archive.create(spark, scratch_path(spark, "target"), Geometry(64, 64, 64, 16, 32))
+    q = store.append_target(vox(spark, sf, 64), 12.0)
+    return store.blocks().agg((F.min("quality").eqNullSafe(F.max("quality")) & (F.abs(F.min("quality") - q) < 1e-9) & F.min("quality").between(0.5, 24.0)).alias("within"), F.count(F.lit(1)).alias("n_blocks"))
+
+
+@query("a33_box_fetch", f"""{VOX64}, g AS ({grid_sql(20, 30, 17)}) SELECT CAST(g.z + 7 AS INTEGER) AS z, CAST(g.y + 20 AS INTEGER) AS y, CAST(g.x + 50 AS INTEGER) AS x, CAST(coalesce(v, 0) AS INTEGER) AS v
+FROM g LEFT JOIN vox ON vox.z = g.z + 7 AND vox.y = g.y + 20 AND vox.x = g.x + 50""")
+def a33(spark, sf):
+    """A dense box out of a store, air and what lies outside as 0."""
+    return V.region(_archive(spark, sf).region(7, 20, 50, 20, 30, 17), 7, 20, 50, 20, 30, 17)
+
+
+@query("b10_priors_store", f"SELECT CAST(p_size AS INTEGER) AS band, CAST(CASE WHEN p_size <= 3 THEN 2048 ELSE least(greatest(count(*) * 7, 32), 4064) END AS INTEGER) AS p FROM part GROUP BY p_size")
+def b10(spark, sf):
+    """Priors stored with a store; those of some bands are stored again, and count."""
+    store = Archive.create(spark, scratch_path(spark, "priors"), Geometry(64, 64, 64))
+    counts = read_table(spark, sf, "part").groupBy(F.col("p_size").cast("int").alias("band")).agg(F.least(F.greatest(F.count(F.lit(1)) * 7, F.lit(32)), F.lit(4064)).cast("int").alias("p"))
+    store.set_priors(counts)
+    store.set_priors(counts.where("band <= 3").withColumn("p", F.lit(2048)))
+    return store.priors()
+
+
+@query("b12_stored_fractions", f"""{VOX64} SELECT CAST(z // 16 AS INTEGER) AS bz, CAST(y // 16 AS INTEGER) AS by, CAST(x // 16 AS INTEGER) AS bx, round(greatest((count(*) FILTER (v > 0) * 15 + 2048) // 4096, 1) / 15.0e0, 6) AS fraction
+FROM vox GROUP BY 1, 2, 3 HAVING count(*) FILTER (v > 0) > 0""")
+def b12(spark, sf):
+    """The fraction map that was written with each chunk, read back without its blocks."""
+    return _archive(spark, sf).fractions().withColumn("fraction", F.round("fraction", 6))
 
 
 @query("a27_export_order", f"""{VOX64}, b AS (SELECT DISTINCT CAST(z // 16 AS INTEGER) AS bz, CAST(y // 16 AS INTEGER) AS by_, CAST(x // 16 AS INTEGER) AS bx FROM vox WHERE v > 0)

@@ -101,7 +101,8 @@ def g8(spark, sf):
 
 SURFACE = """grid AS (SELECT CAST(p_partkey // 40 AS INTEGER) AS gy, CAST(p_partkey % 40 AS INTEGER) AS gx,
   CASE WHEN p_size % 17 <> 0 THEN p_partkey % 97 / 4.0 END AS pz, CASE WHEN p_size % 17 <> 0 THEN (p_partkey // 40) * 2.0 END AS py,
-  CASE WHEN p_size % 17 <> 0 THEN (p_partkey % 40) * 1.5 END AS px, 5 + p_size / 10.0 AS depth FROM part WHERE p_partkey < 1600)"""
+  CASE WHEN p_size % 17 <> 0 THEN (p_partkey % 40) * 1.5 END AS px, 5 + p_size / 10.0 AS depth FROM part),
+dim AS (SELECT CAST(coalesce(max(p_partkey), 0) // 40 + 1 AS INTEGER) AS h FROM part)"""
 
 
 def surface(spark, sf):
@@ -123,7 +124,7 @@ def g11(spark, sf):
     return A.surface_stats(surface(spark, sf)).withColumn("mean_depth", F.round("mean_depth", 4))
 
 
-@query("g12_quad_spacing", f"""WITH {SURFACE}, t AS (SELECT CAST(i * 4 // 4 AS INTEGER) AS gy, CAST(i * 38 // 4 AS INTEGER) AS gx FROM range(5) r(i))
+@query("g12_quad_spacing", f"""WITH {SURFACE}, t AS (SELECT CAST(i * (h - 1) // greatest(least(h, 32) - 1, 1) AS INTEGER) AS gy, CAST(i * 38 // greatest(least(h, 32) - 1, 1) AS INTEGER) AS gx FROM dim, range(32) r(i) WHERE i < least(h, 32))
 SELECT round(CAST(coalesce(avg(sqrt((b.pz - a.pz) ** 2 + (b.py - a.py) ** 2 + (b.px - a.px) ** 2)), 1.0) AS DOUBLE), 4) AS spacing
 FROM t JOIN grid a USING (gy, gx) JOIN grid b ON b.gy = t.gy AND b.gx = t.gx + 1""")
 def g12(spark, sf):
@@ -172,14 +173,23 @@ SELECT CAST(g.z + {z0} AS INTEGER) AS z, CAST(g.y + {y0} AS INTEGER) AS y, CAST(
 FROM g LEFT JOIN vox ON vox.z = g.z + {z0} AND vox.y = g.y + {y0} AND vox.x = g.x + {x0}"""
 
 
+def store_of(spark, sf):
+    """The volume in a store of chunks of 32, at a quality at which it comes back exactly."""
+    from .store_queries import _archive
+
+    return _archive(spark, sf)
+
+
 @query("c4_block_decode", _region_sql(16, 0, 16, 16, 16, 16, 64))
 def c4(spark, sf):
-    return V.region(vox(spark, sf, 64), 16, 0, 16, 16, 16, 16)
+    """A block out of a store: its payload alone is read and decoded."""
+    return V.region(store_of(spark, sf).region(16, 0, 16, 16, 16, 16), 16, 0, 16, 16, 16, 16)
 
 
 @query("c6_chunk_decode", _region_sql(32, 32, 0, 32, 32, 32, 64))
 def c6(spark, sf):
-    return V.region(vox(spark, sf, 64), 32, 32, 0, 32, 32, 32)
+    """A chunk out of a store."""
+    return V.region(store_of(spark, sf).region(32, 32, 0, 32, 32, 32), 32, 32, 0, 32, 32, 32)
 
 
 @query("c7_region_read", _region_sql(5, -3, 20, 11, 13, 17))
@@ -187,8 +197,8 @@ def c7(spark, sf):
     return V.region(vox(spark, sf), 5, -3, 20, 11, 13, 17)
 
 
-@query("c8_batched_crops", f"""{VOX64}, b AS (SELECT o_orderkey AS box_id, CAST(o_orderkey * 7 % 56 AS INTEGER) AS z0, CAST(o_custkey * 5 % 56 AS INTEGER) AS y0, CAST(o_orderkey * 3 % 56 AS INTEGER) AS x0 FROM orders WHERE o_orderkey % 10 = 0)
-SELECT box_id, CAST(z - z0 AS INTEGER) AS z, CAST(y - y0 AS INTEGER) AS y, CAST(x - x0 AS INTEGER) AS x, v FROM b JOIN vox ON z BETWEEN z0 AND z0 + 7 AND y BETWEEN y0 AND y0 + 7 AND x BETWEEN x0 AND x0 + 7 WHERE v > 0""")
+@query("c8_batched_crops", f"""{VOX64}, b AS (SELECT o_orderkey AS box_id, CAST(o_orderkey * 7 % 56 AS INTEGER) AS z0, CAST(o_custkey * 5 % 56 AS INTEGER) AS y0, CAST(o_orderkey * 3 % 56 AS INTEGER) AS x0 FROM orders)
+SELECT box_id, CAST(z - z0 AS INTEGER) AS z, CAST(y - y0 AS INTEGER) AS y, CAST(x - x0 AS INTEGER) AS x, v FROM (SELECT *, unnest(range(8)) AS dz FROM b) JOIN vox ON z = z0 + dz AND y BETWEEN y0 AND y0 + 7 AND x BETWEEN x0 AND x0 + 7 WHERE v > 0""")
 def c8(spark, sf):
     k = F.col("o_orderkey")
     boxes = read_table(spark, sf, "orders").select(k.alias("box_id"), (k * 7 % 56).cast("int").alias("z0"), (F.col("o_custkey") * 5 % 56).cast("int").alias("y0"), (k * 3 % 56).cast("int").alias("x0"))

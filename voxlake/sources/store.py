@@ -11,13 +11,16 @@ from __future__ import annotations
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coords import ABSENT, AXES, PRESENT, ZERO, block_box, cell_of, dense_grid, morton, shift_of, voxel_box
+from ..functions.order import ranked
+from ..functions.scratch import materialize
 from ..operators import codec as B
+from ..operators.volume import block_stats
 
-META = "nz int, ny int, nx int, block int, chunk int, quality double, max_error int, nlods int, metadata string, written long"
+META = "nz int, ny int, nx int, block int, chunk int, quality double, max_error int, nlods int, codec int, metadata string, written long"
 CHUNK_KEYS = ["lod", "cz", "cy", "cx"]
 META_LIMIT = 128 * 1024
 
@@ -32,6 +35,11 @@ class Geometry:
     quality: float = 8.0
     max_error: int = 0
     nlods: int = 1
+    codec: int = 0
+
+    def __post_init__(self):
+        if self.codec != 0:
+            raise ValueError("0 is the only block codec")
 
 
 class Archive:
@@ -89,17 +97,24 @@ class Archive:
         """
         g, codec = self.geometry, B.Codec.of(quality, self.geometry.max_error) if quality is not None else self.codec
         version = version if version is not None else self._next_version()
-        coded = B.encode(B.pack_blocks(voxels, g.block), codec, g.block)
+        coded = materialize(B.encode(B.pack_blocks(voxels, g.block), codec, g.block), "coded")  # a range partitioner looks at its rows twice
         self._write_blocks(coded.select(F.lit(lod).alias("lod"), *self._chunk_of_block(), F.lit(version).alias("version"), "bz", "by", "bx", F.lit(float(codec.quality)).alias("quality"), "payload"))
         state = F.when(F.max("v") > 0, PRESENT).otherwise(ZERO).alias("state")
         chunks = voxels.groupBy(*(cell_of(a, g.chunk).alias(f"c{a}") for a in AXES)).agg(state)
-        chunks.select(F.lit(lod).alias("lod"), "cz", "cy", "cx", F.lit(version).alias("version"), "state").write.mode("append").parquet(f"{self.path}/chunks")
+        # The fraction map: a nibble for each block with material, as many as a chunk has blocks at most.
+        per = g.chunk // g.block
+        inside = (F.pmod("bz", F.lit(per)) * per + F.pmod("by", F.lit(per))) * per + F.pmod("bx", F.lit(per))
+        nibbles = block_stats(voxels, g.block).where("present").select(*self._chunk_of_block(), F.struct(inside.cast("int").alias("k"), "nibble").alias("e"))
+        nibbles = nibbles.groupBy("cz", "cy", "cx").agg(F.map_from_entries(F.collect_list("e")).alias("nibbles"))
+        chunks = chunks.join(nibbles, ["cz", "cy", "cx"], "left")
+        chunks.select(F.lit(lod).alias("lod"), "cz", "cy", "cx", F.lit(version).alias("version"), "state", "nibbles").write.mode("append").parquet(f"{self.path}/chunks")
 
     def build(self, voxels: DataFrame) -> None:
         """All levels of detail of a volume."""
         from ..operators.aggregate import decimate
 
         for lod in range(self.geometry.nlods):
+            voxels = materialize(voxels, "level")  # written once: its blocks, its chunks and the next level come from it
             self.append(voxels, lod)
             voxels = decimate(voxels)
 
@@ -111,7 +126,24 @@ class Archive:
                 blocks, chunks = (d.where(F.col(f"c{a}").between(lo, hi - 1)) for d in (blocks, chunks))
         version = self._next_version()
         self._write_blocks(blocks.withColumn("version", F.lit(version)))
-        chunks.withColumn("version", F.lit(version)).select(*CHUNK_KEYS, "version", "state").write.mode("append").parquet(f"{self.path}/chunks")
+        chunks.withColumn("version", F.lit(version)).select(*CHUNK_KEYS, "version", "state", "nibbles").write.mode("append").parquet(f"{self.path}/chunks")
+
+    def append_target(self, voxels: DataFrame, ratio: float, lod: int = 0) -> float:
+        """Appends at the quality that should reach a compression ratio, by a sample of blocks on a diagonal; returns it."""
+        q = B.quality_for_ratio(B.pack_blocks(voxels, self.geometry.block), self.codec, ratio, self.geometry.block)
+        self.append(voxels, lod, q)
+        return q
+
+    def set_priors(self, priors: DataFrame) -> None:
+        """Stores a table of priors (band, p); of a band that is stored again the newest counts."""
+        priors.select("band", "p", F.lit(self._next_version()).alias("version")).write.mode("append").parquet(f"{self.path}/priors")
+
+    def priors(self) -> DataFrame:
+        """The stored priors (band, p); none, if none were stored."""
+        if not self._exists("priors"):
+            return self.spark.createDataFrame([], "band int, p int")
+        rows = self.spark.read.schema("band int, p int, version long").parquet(f"{self.path}/priors")
+        return rows.groupBy("band").agg(F.max_by("p", "version").alias("p"))
 
     def _chunk_of_block(self):
         s = shift_of(self.geometry.chunk // self.geometry.block)
@@ -136,12 +168,24 @@ class Archive:
         return at.getFileSystem(conf).exists(at)
 
     def chunks(self) -> DataFrame:
-        """The newest row of every chunk (lod, cz, cy, cx, version, state)."""
-        schema = "lod int, cz int, cy int, cx int, version long, state int"
+        """The newest row of every chunk (lod, cz, cy, cx, version, state, nibbles)."""
+        schema = "lod int, cz int, cy int, cx int, version long, state int, nibbles map<int, int>"
         if not self._exists("chunks"):
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).parquet(f"{self.path}/chunks")
-        return rows.groupBy(*CHUNK_KEYS).agg(F.max(F.struct("version", "state")).alias("m")).select(*CHUNK_KEYS, "m.*")
+        return rows.groupBy(*CHUNK_KEYS).agg(F.max("version").alias("version"), F.max_by("state", "version").alias("state"), F.max_by("nibbles", "version").alias("nibbles"))
+
+    def fractions(self, lod: int = 0) -> DataFrame:
+        """(bz, by, bx, fraction) of blocks with material, from the stored maps alone: no block is read."""
+        per = self.geometry.chunk // self.geometry.block
+        rows = self.chunks().where(F.col("lod") == lod).select("cz", "cy", "cx", F.explode("nibbles").alias("k", "nibble"))
+        at = {"bz": F.expr(f"k DIV {per * per}"), "by": F.expr(f"k DIV {per} % {per}"), "bx": F.col("k") % per}
+        return rows.select(*((F.col(f"c{b[1]}") * per + e).cast("int").alias(b) for b, e in at.items()), (F.col("nibble") / 15.0).alias("fraction"))
+
+    def all_air(self, lod: int = 0) -> DataFrame:
+        """(cz, cy, cx, air) of the whole grid from the chunk table: 1 all air, 0 with material, -1 never written."""
+        air = F.when(F.col("state") == ZERO, 1).when(F.col("state") == PRESENT, 0).otherwise(-1)
+        return self.coverage(lod).select("cz", "cy", "cx", air.alias("air"))
 
     def blocks(self) -> DataFrame:
         """Blocks of the newest version of every chunk. Filters on lod, chunk and block reach the scan."""
@@ -159,13 +203,7 @@ class Archive:
 
     def decode(self, blocks: DataFrame) -> DataFrame:
         """(z, y, x, v) of encoded blocks, each by the quality it was written with."""
-        qualities = [r["quality"] for r in blocks.select("quality").distinct().collect()]  # few: presets
-        out = None
-        for q in qualities or [self.codec.quality]:
-            part = blocks.where(F.col("quality") == q).select("bz", "by", "bx", "payload")
-            v = B.unpack_blocks(B.decode(part, B.Codec.of(q, self.geometry.max_error), self.geometry.block), self.geometry.block)
-            out = v if out is None else out.unionByName(v)
-        return out
+        return B.unpack_blocks(B.decode_mixed(blocks, self.geometry.max_error, self.geometry.block), self.geometry.block)
 
     def region(self, z0: int, y0: int, x0: int, dz: int, dy: int, dx: int, lod: int = 0) -> DataFrame:
         """Material voxels of a box: only the blocks that it touches are read and decoded."""
@@ -196,8 +234,8 @@ class Archive:
 
     def export_order(self) -> DataFrame:
         """Blocks with their position in an export: coarsest level first, then Morton order."""
-        w = Window.orderBy(F.desc("lod"), "code", "bz", "by", "bx")
-        return self.blocks().withColumn("code", morton(F.col("cz"), F.col("cy"), F.col("cx"))).withColumn("position", F.row_number().over(w) - 1)
+        coded = self.blocks().withColumn("code", morton(F.col("cz"), F.col("cy"), F.col("cx")))
+        return ranked(coded, [F.desc("lod"), F.col("code"), F.col("bz"), F.col("by"), F.col("bx")], "position").withColumn("position", F.col("position") - 1)
 
 
 def probe(spark: SparkSession, path: str) -> Geometry:
