@@ -151,7 +151,7 @@ def coalesce_ranges(ranges: DataFrame, keys: list[str], gap: int, longest: int |
 
     Runs are sessions over the sorted ranges: a flag where the gap is too wide, its running sum as
     the run's number. ``longest`` cuts runs greedily at that many bytes, which depends on the
-    order, so runs (not ranges) are then folded, each within itself.
+    order, so each run's ranges then pass in order through a fold that holds one open run.
     """
     w = Window.partitionBy(*keys).orderBy("start", "length")
     end = F.col("start") + F.col("length")
@@ -161,16 +161,28 @@ def coalesce_ranges(ranges: DataFrame, keys: list[str], gap: int, longest: int |
     if longest is None:
         return numbered.groupBy(*keys, "_run").agg(F.min("start").alias("run_start"), F.max(end).alias("run_end"), F.count(F.lit(1)).alias("n")).drop("_run")
 
-    def cut(state, r):
-        fits = (F.size(state) > 0) & (r["start"] + r["length"] - F.element_at(state, -1)["run_start"] <= longest)
-        last = F.element_at(state, -1)
-        grown = F.struct(last["run_start"].alias("run_start"), F.greatest(last["run_end"], r["start"] + r["length"]).alias("run_end"), (last["n"] + 1).alias("n"))
-        fresh = F.struct(r["start"].alias("run_start"), (r["start"] + r["length"]).alias("run_end"), F.lit(1).cast("long").alias("n"))
-        return F.when(fits, F.concat(F.slice(state, 1, F.greatest(F.size(state) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(state, F.array(fresh)))
+    kinds = {f.name: f.dataType.simpleString() for f in numbered.schema}
+    own = [*keys, "_run"]
 
-    zero = F.expr("CAST(array() AS array<struct<run_start: bigint, run_end: bigint, n: bigint>>)")
-    folded = numbered.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("r"))
-    return folded.select(*keys, F.explode(F.aggregate("r", zero, cut)).alias("x")).select(*keys, "x.*")
+    def cut(batches):
+        """Runs of a stream of sorted ranges; only the run that is open is held."""
+        at, first, end, n, out = None, 0, 0, 0, []
+        for pdf in batches:
+            for row in pdf[[*own, "start", "length"]].itertuples(index=False, name=None):
+                key, start, stop = row[:-2], row[-2], row[-2] + row[-1]
+                if key == at and stop - first <= longest:
+                    end, n = max(end, stop), n + 1
+                    continue
+                if n:
+                    out.append((*at[:-1], first, end, n))
+                at, first, end, n = key, start, stop, 1
+            yield pd.DataFrame(out, columns=[*keys, "run_start", "run_end", "n"])
+            out = []
+        if n:
+            yield pd.DataFrame([(*at[:-1], first, end, n)], columns=[*keys, "run_start", "run_end", "n"])
+
+    rows = numbered.select(*own, "start", "length").repartition(*own).sortWithinPartitions(*own, "start", "length")
+    return rows.mapInPandas(cut, ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["run_start long, run_end long, n long"]))
 
 
 def serve(log: DataFrame, chunks: DataFrame) -> DataFrame:
