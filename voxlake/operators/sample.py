@@ -28,7 +28,7 @@ def _nearest(points: DataFrame, voxels: DataFrame, extra: list[str]) -> DataFram
 
 
 def corner_weights() -> Column:
-    """The eight voxels around a point with their trilinear weights, as an array of (z, y, x, w)."""
+    """The eight voxels around a point with their trilinear weights, as an array of (z, y, x, corner, w)."""
     out = []
     for k in range(8):
         d = dict(zip(AXES, (k >> 2 & 1, k >> 1 & 1, k & 1), strict=True))
@@ -36,17 +36,19 @@ def corner_weights() -> Column:
         for a in AXES:
             frac = F.col(f"p{a}") - F.floor(f"p{a}")
             w = w * (frac if d[a] else 1.0 - frac)
-        out.append(F.struct(*((F.floor(f"p{a}").cast("int") + d[a]).alias(a) for a in AXES), w.alias("w")))
+        out.append(F.struct(*((F.floor(f"p{a}").cast("int") + d[a]).alias(a) for a in AXES), F.lit(k).alias("_corner"), w.alias("w")))
     return F.array(*out)
 
 
 def _trilinear(points: DataFrame, voxels: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
     ok = valid_point()
-    around = points.select(*keys, *extra, F.explode(F.when(ok, corner_weights()).otherwise(F.array(F.struct(*(F.lit(-1).alias(a) for a in AXES), F.lit(0.0).alias("w"))))).alias("c"))
+    around = points.select(*keys, *extra, F.explode(F.when(ok, corner_weights()).otherwise(F.array(F.struct(*(F.lit(-1).alias(a) for a in AXES), F.lit(0).alias("_corner"), F.lit(0.0).alias("w"))))).alias("c"))
     around = around.select(*keys, *extra, "c.*").where((F.col("w") > 0) | (F.col("z") < 0))
     found = voxels.where("v > 0").select(*extra, *AXES, "v")
     joined = around.join(found, [*extra, *AXES], "left")
-    return joined.groupBy(*keys, *extra).agg(F.sum(F.col("w") * F.coalesce("v", F.lit(0))).alias("f"))
+    # The corners are added in their order, so the sum doesn't depend on how rows were shuffled.
+    term = F.col("w") * F.coalesce("v", F.lit(0))
+    return joined.groupBy(*keys, *extra).agg(sum((F.coalesce(F.max(F.when(F.col("_corner") == k, term)), F.lit(0.0)) for k in range(1, 8)), F.coalesce(F.max(F.when(F.col("_corner") == 0, term)), F.lit(0.0))).alias("f"))
 
 
 def sample(points: DataFrame, voxels: DataFrame, keys: list[str], trilinear: bool = True, extra: list[str] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from .register import query
 from .render_queries import u8
 from .volume_queries import surface_height
 
-IMAGE = """img AS (SELECT CAST(p_partkey // 40 AS INTEGER) AS i, CAST(p_partkey % 40 AS INTEGER) AS j, CAST(CASE WHEN p_size % 7 = 0 THEN 0 ELSE p_size * 5 END AS INTEGER) AS val FROM part WHERE p_partkey BETWEEN 40 AND 199)"""
+IMAGE = """img AS (SELECT CAST(p_partkey // 40 AS INTEGER) AS i, CAST(p_partkey % 40 AS INTEGER) AS j, CAST(CASE WHEN p_size % 7 = 0 THEN 0 ELSE p_size * 5 END AS INTEGER) AS val FROM part)"""
 
 
 def image(spark, sf):

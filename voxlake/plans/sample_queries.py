@@ -25,10 +25,12 @@ def nearest_sql(extra=""):
     return f"""SELECT pid{extra}, CAST(coalesce(v, 0) AS DOUBLE) AS f FROM points LEFT JOIN vox ON pz >= 0 AND vox.z = floor(pz + 0.5) AND vox.y = floor(py + 0.5) AND vox.x = floor(px + 0.5)"""
 
 
-CORNERS = """c8 AS (SELECT pid, CASE WHEN pz >= 0 THEN CAST(floor(pz) AS INTEGER) + dz ELSE -1 END AS z, CAST(floor(py) AS INTEGER) + dy AS y, CAST(floor(px) AS INTEGER) + dx AS x,
+CORNERS = """c8 AS (SELECT pid, CASE WHEN pz >= 0 THEN CAST(floor(pz) AS INTEGER) + dz ELSE -1 END AS z, CAST(floor(py) AS INTEGER) + dy AS y, CAST(floor(px) AS INTEGER) + dx AS x, 4 * dz + 2 * dy + dx AS k,
   CASE WHEN dz = 1 THEN pz - floor(pz) ELSE 1 - (pz - floor(pz)) END * CASE WHEN dy = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END * CASE WHEN dx = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END AS w
   FROM points, (SELECT i // 4 AS dz, i // 2 % 2 AS dy, i % 2 AS dx FROM range(8) t(i)))"""
-TRI = "tri AS (SELECT pid, sum(w * coalesce(v, 0)) AS f FROM c8 LEFT JOIN vox USING (z, y, x) GROUP BY pid)"
+#: The eight terms in the order of the corners, as in the operator: a sum of doubles depends on its order.
+EIGHT = " + ".join(f"coalesce(sum(w * coalesce(v, 0)) FILTER (k = {k}), 0e0)" for k in range(8))
+TRI = f"tri AS (SELECT pid, {EIGHT} AS f FROM c8 LEFT JOIN vox USING (z, y, x) GROUP BY pid)"
 
 
 @query("j1_sample_nearest", f"{VOX32}, {POINTS} {nearest_sql()}")
@@ -36,9 +38,10 @@ def j1(spark, sf):
     return J.sample(points(spark, sf), vox(spark, sf), ["pid"], trilinear=False)
 
 
-@query("j2_sample_trilinear", f"{VOX32}, {POINTS}, {CORNERS}, {TRI} SELECT pid, round(CAST(f AS DOUBLE), 4) AS f FROM tri")
+@query("j2_sample_trilinear", f"{VOX32}, {POINTS}, {CORNERS}, {TRI} SELECT pid, round(CAST(f AS DOUBLE), 6) AS f FROM tri")
 def j2(spark, sf):
-    return J.sample(points(spark, sf), vox(spark, sf), ["pid"]).withColumn("f", F.round("f", 4))
+    """Coordinates are twentieths, so values are multiples of 1 / 8000: six digits hold them, and none lies between two roundings."""
+    return J.sample(points(spark, sf), vox(spark, sf), ["pid"]).withColumn("f", F.round("f", 6))
 
 
 @query("j3_sample_batch_u8", f"{VOX32}, {POINTS}, {CORNERS}, {TRI} SELECT pid, CAST(floor(least(greatest(round(CAST(f AS DOUBLE), 6), 0), 255) + 0.5) AS INTEGER) AS f FROM tri")
@@ -89,8 +92,8 @@ def j9(spark, sf):
     return J.sample(at, vox(spark, sf), ["k", "i", "j"]).withColumn("f", F.round("f", 4))
 
 
-QUAD = f"""{SURFACE}, px_ AS (SELECT i // 36 AS i, i % 36 AS j, 0.25e0 + (i // 36) * 0.5e0 AS gy_, 0.5e0 + (i % 36) * 0.5e0 AS gx_ FROM range(36 * 10) t(i)),
-cell AS (SELECT *, CASE WHEN gy_ BETWEEN 0 AND 4 AND gx_ BETWEEN 0 AND 39 THEN least(CAST(floor(gy_) AS INTEGER), 3) END AS cy, CASE WHEN gy_ BETWEEN 0 AND 4 AND gx_ BETWEEN 0 AND 39 THEN least(CAST(floor(gx_) AS INTEGER), 38) END AS cx FROM px_),
+QUAD = f"""{SURFACE}, px_ AS (SELECT i // 36 AS i, i % 36 AS j, 0.25e0 + (i // 36) * 0.5e0 AS gy_, 0.5e0 + (i % 36) * 0.5e0 AS gx_ FROM (SELECT unnest(range(36 * 2 * h)) AS i FROM dim)),
+cell AS (SELECT *, CASE WHEN gy_ BETWEEN 0 AND h - 1 AND gx_ BETWEEN 0 AND 39 THEN least(CAST(floor(gy_) AS INTEGER), h - 2) END AS cy, CASE WHEN gy_ BETWEEN 0 AND h - 1 AND gx_ BETWEEN 0 AND 39 THEN least(CAST(floor(gx_) AS INTEGER), 38) END AS cx FROM px_, dim),
 four AS (SELECT i, j, gy_ - cy AS fy, gx_ - cx AS fx, {", ".join(f"{n}.{c} AS {c}{k}" for k, n in enumerate("abcd") for c in ("pz", "py", "px"))} FROM cell
   LEFT JOIN grid a ON a.gy = cy AND a.gx = cx LEFT JOIN grid b ON b.gy = cy AND b.gx = cx + 1 LEFT JOIN grid c ON c.gy = cy + 1 AND c.gx = cx LEFT JOIN grid d ON d.gy = cy + 1 AND d.gx = cx + 1),
 quad AS (SELECT i, j, {", ".join(f"({c}0 + ({c}2 - {c}0) * fy) + (({c}1 + ({c}3 - {c}1) * fy) - ({c}0 + ({c}2 - {c}0) * fy)) * fx AS {c}" for c in ("pz", "py", "px"))},
@@ -137,7 +140,7 @@ def m3(spark, sf):
     return spark.createDataFrame(rows, "vox_per_pixel double, lod int")
 
 
-@query("m5_grid_from_mesh", """WITH v AS (SELECT p_partkey AS vid, (p_partkey % 23) * 1.0e0 + p_size / 100.0e0 AS x, (p_partkey % 17) * 0.7e0 AS y FROM part WHERE p_partkey < 400),
+@query("m5_grid_from_mesh", """WITH v AS (SELECT p_partkey AS vid, (p_partkey % 23) * 1.0e0 + p_size / 100.0e0 AS x, (p_partkey % 17) * 0.7e0 AS y FROM part),
 m AS (SELECT avg(x) AS mx, avg(y) AS my FROM v), f AS (SELECT vid, x, y, x - mx AS dx, y - my AS dy FROM v, m),
 s AS (SELECT sum(dx * dx) AS a, sum(dx * dy) AS b, sum(dy * dy) AS c FROM f), g AS (SELECT atan2(2 * b, a - c) / 2 AS th FROM s),
 ax AS (SELECT cos(th) AS ux, sin(th) AS uy, CASE WHEN sin(th) < 0 THEN -sin(th) ELSE sin(th) END AS wx, CASE WHEN sin(th) < 0 THEN cos(th) ELSE -cos(th) END AS wy FROM g),
