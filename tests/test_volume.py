@@ -134,11 +134,14 @@ def test_colormaps():
     assert all(len(set(I.lut(0, 255, k))) > 200 for k in range(9))
 
 
-def test_valley_between_two_peaks():
+def test_valley_between_two_peaks(spark):
+    def found(counts):
+        return A.valley(spark.createDataFrame(list(counts.items()), "bin int, n long")).withColumn("cut", A.cut_level("valley")).first()
+
     counts = {i: int(1000 * math.exp(-(((i - 60) / 12) ** 2)) + 800 * math.exp(-(((i - 160) / 15) ** 2))) for i in range(256)}
-    dark, light, low, depth = A.valley(counts)
-    assert (dark, light) == (60, 160) and 90 < low < 130 and depth > 0.9
-    assert A.valley({5: 10}) is None and A.cut_level(None) == 39
+    dark, light, low, depth, cut = found(counts)
+    assert (dark, light) == (60, 160) and 90 < low < 130 and depth > 0.9 and cut == low
+    assert tuple(found({5: 10})) == (None, None, None, None, 39)
 
 
 @settings(max_examples=25, deadline=None)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coords import AXES
+from ..functions.order import running
 from .volume import with_cells
 
 
@@ -81,37 +82,46 @@ def histogram(voxels: DataFrame, value: Column) -> DataFrame:
     return voxels.groupBy(F.least(F.greatest(F.floor(value + 0.5), F.lit(0)), F.lit(255)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def valley(counts: dict[int, int]) -> tuple[int, int, int, float] | None:
-    """(dark peak, light peak, valley, depth) of a 256-bin histogram, or None without two peaks."""
-    raw = [counts.get(i, 0) for i in range(256)]
-    smooth = []
-    for i in range(256):
-        near = raw[max(0, i - 2) : i + 3]
-        smooth.append(sum(near) / len(near))
-    for i in (0, 254, 255):
-        smooth[i] = 0.0
-    top = max(smooth)
-    peaks: list[int] = []
-    for u in range(3, 253):
-        if smooth[u] >= max(smooth[u - 1], smooth[u + 1]) and smooth[u] > 0.05 * top:
-            if peaks and u - peaks[-1] <= 10:
-                if smooth[u] > smooth[peaks[-1]]:
-                    peaks[-1] = u
-            else:
-                peaks.append(u)
-    if top <= 0 or len(peaks) < 2:
-        return None
-    tallest = sorted(peaks, key=lambda u: -smooth[u])[:2]
-    dark, light = sorted(tallest)
-    low = min(range(dark, light + 1), key=lambda u: (smooth[u], u))
-    return dark, light, low, 1.0 - smooth[low] / (min(smooth[dark], smooth[light]) + 1e-12)
-
-
-def cut_level(found: tuple[int, int, int, float] | None, floor_level: int = 39, strength: float = 1.0) -> int:
+#: Fixed values of the valley search: taps to each side, bins without a say, the range of peaks, their least share of
+#: the highest, and the distance within which they are one.
+SMOOTH, DEAD_BINS, FIRST_PEAK, LAST_PEAK, LEAST_SHARE, ONE_PEAK = 2, (0, 254, 255), 3, 252, 0.05, 10
+
+
+def valley(counts: DataFrame) -> DataFrame:
+    """One row (dark, light, valley, depth) from a histogram (bin, n): the two highest peaks and the lowest bin between; nulls without two.
+
+    256 rows, whatever the volume. A peak is a bin of the smoothed histogram that no neighbour exceeds; of peaks that
+    follow the last one kept closely only the higher is kept, which is a fold over the sorted peaks.
+    """
+    line = Window.partitionBy(F.lit(0)).orderBy("bin")
+    bins = counts.sparkSession.range(256).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left")
+    near = F.avg(F.coalesce("n", F.lit(0))).over(line.rowsBetween(-SMOOTH, SMOOTH))
+    smooth = bins.select("bin", F.when(F.col("bin").isin(*DEAD_BINS), 0.0).otherwise(near).alias("h"))
+    top = F.max("h").over(Window.partitionBy(F.lit(0)))
+    peak = F.col("bin").between(FIRST_PEAK, LAST_PEAK) & (F.col("h") >= F.lag("h").over(line)) & (F.col("h") >= F.lead("h").over(line)) & (F.col("h") > LEAST_SHARE * top)
+    whole = smooth.withColumn("peak", peak).agg(
+        F.array_sort(F.collect_list(F.struct("bin", "h"))).alias("bins"),
+        F.array_sort(F.collect_list(F.when(F.col("peak"), F.struct("bin", "h")))).alias("peaks"),
+    )
+
+    def keep(kept, p):
+        last = F.try_element_at(kept, F.lit(-1))
+        rest = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        close = F.coalesce(p["bin"] - last["bin"] <= ONE_PEAK, F.lit(False))
+        return F.when(close & (p["h"] > last["h"]), F.concat(rest, F.array(p))).when(close, kept).otherwise(F.concat(kept, F.array(p)))
+
+    none = F.expr("CAST(array() AS array<struct<bin: int, h: double>>)")
+    highest = F.slice(F.array_sort(F.transform(F.aggregate("peaks", none, keep), lambda p: F.struct((-p["h"]).alias("low"), p["bin"].alias("bin"), p["h"].alias("h")))), 1, 2)
+    two = whole.select("bins", highest.alias("two")).select("bins", "two", F.when(F.size("two") == 2, F.array_min("two.bin")).alias("dark"), F.when(F.size("two") == 2, F.array_max("two.bin")).alias("light"))
+    between = F.filter("bins", lambda x: x["bin"].between(F.col("dark"), F.col("light")))
+    found = two.select("dark", "light", "two", F.array_min(F.transform(between, lambda x: F.struct(x["h"].alias("h"), x["bin"].alias("bin")))).alias("low"))
+    return found.select("dark", "light", F.col("low.bin").alias("valley"), (1 - F.col("low.h") / (F.array_min("two.h") + 1e-12)).alias("depth"))
+
+
+def cut_level(valley: Column | str, floor_level: int = 39, strength: Column | float = 1.0) -> Column:
     """The air threshold: between the physical floor and the valley, the floor without a valley above it."""
-    if found is None or found[2] <= floor_level:
-        return floor_level
-    return int(floor_level + strength * (found[2] - floor_level) + 0.5)
+    low = F.col(valley) if isinstance(valley, str) else valley
+    return F.when(low > floor_level, F.floor(floor_level + strength * (low - floor_level) + 0.5)).otherwise(floor_level).cast("int")
 
 
 def surface_stats(grid: DataFrame) -> DataFrame:
@@ -142,5 +152,6 @@ def covariance(points: DataFrame, cols=("x", "y", "z")) -> DataFrame:
 def rank_percentile(values: DataFrame, column: str, percents=(50, 90, 99)) -> DataFrame:
     """Values at index int(p / 100 * (n - 1)) of the sorted column, by counts of values rather than a sort of rows."""
     counts = values.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    run = counts.withColumn("cum", F.sum("n").over(Window.orderBy(column))).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    return run.agg(*(F.min(F.when(F.col("cum") > F.floor(F.lit(p) * (F.col("total") - 1) / 100), F.col(column))).alias(f"p{p}") for p in percents))
+    run = running(counts, [F.col(column)], F.col("n"), "cum")
+    total = run.agg(F.max("cum").alias("total"))  # one row
+    return run.join(F.broadcast(total)).agg(*(F.min(F.when(F.col("cum") > F.floor(F.lit(p) * (F.col("total") - 1) / 100), F.col(column))).alias(f"p{p}") for p in percents))

@@ -13,7 +13,7 @@ from ..operators import aggregate as A
 from ..operators import segment as P
 from ..operators import trace as T
 from ..operators import volume as V
-from ..sources.volumes import grid_sql, volume_from_function, vox, vox_sql
+from ..sources.volumes import grid_sql, read_table, volume_from_function, vox, vox_sql
 from .register import query
 
 D = 16
@@ -84,19 +84,24 @@ def c13(spark, sf):
     return rounded.select(*AXES, V.apply_cut(rounded, "f", 30).alias("v"))
 
 
-@query("g9_valley")
+@query("g9_valley", f"""WITH RECURSIVE vox AS ({vox_sql(32)}), b AS (SELECT CAST(i AS INTEGER) AS bin, (SELECT count(*) FROM vox WHERE v = i AND v > 0) AS n FROM range(256) t(i)),
+s AS (SELECT bin, CASE WHEN bin IN (0, 254, 255) THEN 0e0 ELSE (SELECT avg(x.n) FROM b x WHERE abs(x.bin - b.bin) <= 2) END AS h FROM b),
+p AS (SELECT m.bin, m.h, row_number() OVER (ORDER BY m.bin) AS k FROM s m JOIN s l ON l.bin = m.bin - 1 JOIN s r ON r.bin = m.bin + 1 WHERE m.bin BETWEEN 3 AND 252 AND m.h >= l.h AND m.h >= r.h AND m.h > 0.05e0 * (SELECT max(h) FROM s)),
+f AS (SELECT k, bin, h, 1 AS g FROM p WHERE k = 1 UNION ALL SELECT p.k, CASE WHEN p.bin - f.bin <= 10 AND p.h <= f.h THEN f.bin ELSE p.bin END, CASE WHEN p.bin - f.bin <= 10 AND p.h <= f.h THEN f.h ELSE p.h END, CASE WHEN p.bin - f.bin <= 10 THEN f.g ELSE f.g + 1 END FROM f JOIN p ON p.k = f.k + 1),
+t AS (SELECT arg_max(bin, k) AS bin, arg_max(h, k) AS h FROM f GROUP BY g ORDER BY h DESC, bin LIMIT 2),
+e AS (SELECT CASE WHEN count(*) = 2 THEN min(bin) END AS dark, CASE WHEN count(*) = 2 THEN max(bin) END AS light, min(h) AS peak FROM t),
+v AS (SELECT dark, light, peak, (SELECT bin FROM s WHERE bin BETWEEN dark AND light ORDER BY h, bin LIMIT 1) AS valley FROM e)
+SELECT dark, light, valley, round(1 - (SELECT h FROM s WHERE bin = valley) / (peak + 1e-12), 6) AS depth, CAST(CASE WHEN valley > 39 THEN valley ELSE 39 END AS INTEGER) AS cut FROM v""")
 def g9(spark, sf):
     """The two tallest peaks of the value histogram and the valley between them; one row."""
-    counts = {r["bin"]: r["n"] for r in A.histogram(vox(spark, sf).where("v > 0"), F.col("v")).collect()}
-    found = A.valley(counts)
-    row = (*found, A.cut_level(found)) if found else (None, None, None, None, A.cut_level(None))
-    return spark.createDataFrame([row], "dark int, light int, valley int, depth double, cut int")
+    found = A.valley(A.histogram(vox(spark, sf).where("v > 0"), F.col("v")))
+    return found.select("dark", "light", "valley", F.round("depth", 6).alias("depth"), A.cut_level("valley").alias("cut"))
 
 
-@query("g10_cut_level", "SELECT * FROM (VALUES (120, 1.0e0, 120), (120, 0.5e0, 80), (30, 1.0e0, 39)) t(valley, strength, cut)")
+@query("g10_cut_level", "SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size * 5 AS INTEGER) AS valley, CASE WHEN p_size * 5 > 39 THEN CAST(floor(39 + (p_partkey % 5) / 4.0e0 * (p_size * 5 - 39) + 0.5) AS INTEGER) ELSE 39 END AS cut FROM part")
 def g10(spark, sf):
-    rows = [(v, s, A.cut_level((0, 0, v, 0.0), 39, s)) for v, s in ((120, 1.0), (120, 0.5), (30, 1.0))]
-    return spark.createDataFrame(rows, "valley int, strength double, cut int")
+    parts = read_table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 5).cast("int").alias("valley"), (F.col("p_partkey") % 5 / 4.0).alias("strength"))
+    return parts.select("id", "valley", A.cut_level("valley", 39, F.col("strength")).alias("cut"))
 
 
 def _detect_sql():
