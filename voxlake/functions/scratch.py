@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder only where the session names none."""
+    """``spark.checkpoint.dir``. Only a session of one machine does without: on a cluster no other folder is shared."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or "file:///tmp/checkpoints").rstrip("/")
+    if not named and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or f"file://{tempfile.gettempdir()}/voxlake").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

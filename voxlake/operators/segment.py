@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coords import AXES, dense_grid
 from ..functions.scratch import materialize
+from ..functions.order import ranked
 from .graph import connected_components
 
 OFFSETS26 = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
@@ -152,7 +153,7 @@ def label(mask: DataFrame, ny: int, nx: int, offsets=None) -> DataFrame:
     found = connected_components(links)
     rooted = ids.join(found, F.col("id") == F.col("node"), "left").select(*AXES, F.coalesce("component", "id").alias("root"))
     roots = rooted.select("root").distinct()
-    order = roots.withColumn("label", F.row_number().over(Window.orderBy("root")))
+    order = ranked(roots, [F.col("root")], "label").withColumn("label", F.col("label").cast("int"))
     return rooted.join(order, "root").select(*AXES, "root", "label")
 
 
