@@ -96,9 +96,13 @@ class FileStore:
         return os.path.exists(os.path.join(self.root, key))
 
 
-class Chunk(InputPartition):
-    def __init__(self, z: int, y: int, x: int):
-        self.at = (z, y, x)
+#: Chunks that one task reads.
+CHUNKS_PER_TASK = 16
+
+
+class Chunks(InputPartition):
+    def __init__(self, cells: list[tuple[int, int, int]]):
+        self.cells = cells
 
 
 class ZarrReader(DataSourceReader):
@@ -110,11 +114,15 @@ class ZarrReader(DataSourceReader):
         self.meta = read_meta(text.decode())
         grid = [-(-n // self.meta["edge"]) for n in self.meta["shape"]]
         self.ranges = [[0, n - 1] for n in grid]
+        self.stored_only = False
 
     def pushFilters(self, filters):
-        """Comparisons of a chunk coordinate narrow the grid; the rest is left to Spark."""
+        """Comparisons of a chunk coordinate narrow the grid, and who asks for material alone gets no task for chunks
+        that aren't stored; the rest is left to Spark."""
         for f in filters:
             name = getattr(f, "attribute", ("",))[-1]
+            if name == "state" and isinstance(f, EqualTo) and f.value == PRESENT:
+                self.stored_only = True
             if name in ("cz", "cy", "cx") and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, In)):
                 r = self.ranges[("cz", "cy", "cx").index(name)]
                 if isinstance(f, In):
@@ -126,24 +134,27 @@ class ZarrReader(DataSourceReader):
             yield f
 
     def partitions(self):
-        return [Chunk(*at) for at in itertools.product(*(range(lo, hi + 1) for lo, hi in self.ranges))]
+        cells = list(itertools.product(*(range(lo, hi + 1) for lo, hi in self.ranges)))
+        if self.stored_only:
+            store = FileStore(self.root)
+            cells = [at for at in cells if store.exists(self.key(at))]
+        return [Chunks(cells[k : k + CHUNKS_PER_TASK]) for k in range(0, len(cells), CHUNKS_PER_TASK)]
 
     def key(self, at) -> str:
         return f"{self.lod}/" + self.meta["separator"].join(map(str, at))
 
     def read(self, partition):
-        if partition is None:
-            return
-        raw = FileStore(self.root).get(self.key(partition.at))
-        data = None
-        if raw is not None:
-            data = raw if self.meta["codec"] == "raw" else blosc_decode(raw)
-            if len(data) != self.meta["edge"] ** 3:
-                raise ValueError(f"chunk {partition.at} has {len(data)} bytes")
-        state = PRESENT if data is not None and any(data) else ZERO
-        columns = [self.lod, *partition.at, state, data if state == PRESENT else None]
         schema = pa.schema([(n, pa.int32()) for n in ("lod", "cz", "cy", "cx", "state")] + [("data", pa.binary())])
-        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        for at in partition.cells if partition is not None else ():
+            raw = FileStore(self.root).get(self.key(at))
+            data = None
+            if raw is not None:
+                data = raw if self.meta["codec"] == "raw" else blosc_decode(raw)
+                if len(data) != self.meta["edge"] ** 3:
+                    raise ValueError(f"chunk {at} has {len(data)} bytes")
+            state = PRESENT if data is not None and any(data) else ZERO
+            columns = [self.lod, *at, state, data if state == PRESENT else None]
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 class Zarr2(DataSource):
