@@ -8,7 +8,6 @@ text and never the number of rows in a batch.
 from __future__ import annotations
 
 import ctypes
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -63,14 +62,18 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and row offsets of an Arrow text column; null counts as empty."""
+    """UTF-8 bytes and row offsets of an Arrow text column, without a copy of the bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        column = column.cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    column = pc.fill_null(column.cast(pa.large_string()), "")
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    kind = np.int32 if pa.types.is_string(column.type) else np.int64
+    offsets = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return data, offsets
 
@@ -226,30 +229,38 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-class _WordHashes(dict):
-    """Seeded 64-bit hashes of words; the first hundred thousand short ones are kept."""
+#: Polynomial hashes modulo 2**64 are sound for short strings only; longer words are hashed by xxh3.
+LONG_WORD = 256
 
-    def __missing__(self, word: bytes) -> int:
-        code = xxhash.xxh3_64_intdigest(word, 20)
-        if len(word) <= 48 and len(self) < 100_000:
-            self[word] = code
-        return code
 
+def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    data = ASCII_LOWER[data]
+    starts, ends, first = word_spans(data, offsets)
+    codes = mix(range_hashes(prefix_hashes(data), starts, ends) + (ends - starts).astype(U64))
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        codes[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes(), 20)
+    return codes, first
 
-_word_hashes = _WordHashes()
-_SEPARATOR = re.compile(rb"[\x20\x09-\x0D]")
 
+def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all rows, lower-cased in A to Z, and for each row the index of its first word.
 
-def word_codes(text: bytes) -> np.ndarray:
-    """Hashes of the words of a text, lower-cased in A to Z, taken from pieces of a slice's length."""
-    parts, at = [], 0
-    while at < len(text):
-        cut = _SEPARATOR.search(text, at + SLICE_BYTES) if len(text) - at > SLICE_BYTES else None
-        end = cut.start() if cut else len(text)
-        words = text[at:end].lower().split()  # bytes split on exactly the separators of the contract
-        parts.append(np.fromiter(map(_word_hashes.__getitem__, words), U64, len(words)))
-        at = end
-    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, U64), *parts])
+    A text longer than a slice is taken in pieces that end at a separator.
+    """
+    if len(data) <= 2 * SLICE_BYTES:
+        return _codes(data, offsets)
+    parts, first = [], [0]
+    for at, stop in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        count = 0
+        while at < stop:
+            end = min(at + SLICE_BYTES, stop)
+            while end < stop and not len(gap := np.flatnonzero(IS_SEPARATOR[data[end : end + 65536]])):
+                end = min(end + 65536, stop)
+            end = end + int(gap[0]) if end < stop else stop
+            parts.append(_codes(data[at:end], np.array([0, end - at]))[0])
+            count, at = count + len(parts[-1]), end
+        first.append(first[-1] + count)
+    return np.concatenate([np.zeros(0, U64), *parts]), np.array(first)
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> Iterator[np.ndarray]:
@@ -259,9 +270,10 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> Iter
     the whole sequence; a row without words has none.
     """
     weights = mix(np.arange(1, size + 1, dtype=U64)) | U64(1)
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        words = word_codes(data[a:b].tobytes())
-        n = len(words)
+    codes, first = word_codes(data, offsets)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        words = codes[a:b]
+        n = b - a
         if n >= size:
             grams = words[: n - size + 1] * weights[0]
             for j in range(1, size):

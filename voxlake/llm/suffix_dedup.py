@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, ROW_SQL, SLICE_BYTES, U64, hot_keys, keyed, lookup, map_arrow, materialize, mix, prefix_hashes, prime_powers, prime_prefixes, range_hashes, read_table, shuffle_partitions, slices, text_buffers, times
+from .common import ROW, ROW_SQL, SLICE_BYTES, U64, keyed, lookup, map_arrow, materialize, mix, prefix_hashes, prime_powers, prime_prefixes, range_hashes, read_table, shuffle_partitions, slices, text_buffers, times
 
 LENGTH = 200
 GRAM = 32
@@ -370,9 +370,8 @@ def repeated_spans(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame
     """(*ROW, start, end): byte ranges to remove, which may overlap, of ``keyed`` documents."""
     keys = run_table(docs, digests=False).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"))
     keys = materialize(keys.where("n > 1 OR twice"), "op2-keys")
-    share = max(keys.agg(F.sum("n")).first()[0] or 0, 1000)
-    hot = keys.where(F.col("n") * 1000 >= share).select("key")
-    shared = materialize(lookup(run_table(docs), keys.select("key"), ["key"], hot), "op2-runs")
+    # Runs of a frequent key are many, but narrow; a skewed join splits them.
+    shared = materialize(run_table(docs).join(keys.select("key"), "key", "left_semi"), "op2-runs")
 
     out = None
     same = ["key", "hi", "lo"]
