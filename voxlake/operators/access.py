@@ -100,12 +100,12 @@ def shard_of(key: Column, shards: int) -> Column:
 
 
 def replay(log: DataFrame, slots: int, policy: str = "s3fifo", shards: int = 64) -> DataFrame:
-    """(shard, n, hits, misses, evictions) of an access log (seq, key).
+    """(shard, n, hits, misses, evictions) of an access log (seq, key), dealt into shards by its own column ``shard`` if it has one.
 
     A shard's accesses depend on each other, so a shard is replayed in one stream; its rows come
     sorted and pass in batches, and only the cache is held, whatever the log's length.
     """
-    keyed = log.select("seq", "key", shard_of(F.col("key"), shards).alias("shard"))
+    keyed = log.select("seq", "key", (F.col("shard").cast("int") if "shard" in log.columns else shard_of(F.col("key"), shards)).alias("shard"))
 
     def run(batches):
         shard, cache, n, hits = None, None, 0, 0

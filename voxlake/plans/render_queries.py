@@ -11,7 +11,7 @@ from ..operators.sample import lod_fallback, pick_lod
 from ..functions.coords import to_u8
 from ..sources.volumes import vox, vox_sql
 from .register import query
-from .sample_queries import CORNERS, TRI, levels, levels_sql, quad, resident
+from .sample_queries import CORNERS, QUAD, TRI, levels, levels_sql, quad, resident
 
 W, H, STEPS = 20, 16, 17
 VOX32 = f"WITH vox AS ({vox_sql(32)})"
@@ -63,7 +63,8 @@ def n11(spark, sf):
     return N.render(vox(spark, sf), pixels(spark), "max", -4, 4, 0.5)
 
 
-@query("n11_render_quad_max")
+@query("n11_render_quad_max", f"""{VOX32}, {QUAD}, points AS (SELECT (i * 100 + j) * 10 + k AS pid, coalesce(pz + (k - 2) * nz, -1) AS pz, coalesce(py + (k - 2) * ny, 0) AS py, coalesce(px + (k - 2) * nx, 0) AS px, pz IS NOT NULL AND least(pz + (k - 2) * nz, py + (k - 2) * ny, px + (k - 2) * nx) >= 0 AS ok FROM normals, range(5) t(k)),
+{CORNERS.replace("pz >= 0 THEN", "ok THEN")}, {TRI} SELECT CAST(pid // 1000 AS INTEGER) AS i, CAST(pid // 10 % 100 AS INTEGER) AS j, {u8("max(coalesce(f, 0))")} AS val FROM points LEFT JOIN tri USING (pid) GROUP BY 1, 2""")
 def n11q(spark, sf):
     return N.render(vox(spark, sf), quad(spark, sf), "max", -2, 2, 1.0)
 

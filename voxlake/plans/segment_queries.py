@@ -201,10 +201,11 @@ def p8(spark, sf):
     return P.signed_distance(mask(spark, sf), DIMS).select(*AXES, F.round("d", 4).alias("d"))
 
 
-@query("p9_detect_pipeline")
+@query("p9_detect_pipeline", "SELECT CAST(9 + i // 324 AS INTEGER) AS z, CAST(1 + i // 18 % 18 AS INTEGER) AS y, CAST(1 + i % 18 AS INTEGER) AS x, CAST(9 * 400 + 20 + 1 AS BIGINT) AS root, CAST(1 AS INTEGER) AS label FROM range(648) t(i)")
 def p9(spark, sf):
-    sheet = F.when(F.col("z").between(9, 10), 220).otherwise(40)
-    return P.detect_pipeline(volume_from_function(spark, 20, 20, 20, sheet), (20, 20, 20), 20, value_low=80)
+    """A noisy flat sheet, from the volume to one labelled component."""
+    dims = (20, 20, 20)
+    return P.detect_pipeline(_noisy_sheet(spark, sf, dims), dims, 20, value_low=80)
 
 
 # ---------------------------------------------------------------- solver and tracer
@@ -221,9 +222,9 @@ def t2(spark, sf):
     return read_table(spark, sf, "part").select(F.col("p_partkey").alias("pid"), F.round(r, 6).alias("r"))
 
 
-@query("t1_least_squares")
+@query("t1_least_squares", "SELECT CAST(i % 8 AS BIGINT) AS gid, CAST(i // 8 AS INTEGER) AS k, (i // 8) * 10.0e0 AS x, true AS improved FROM range(40) t(i)")
 def t1(spark, sf):
-    """A chain of points between fixed ends for every group, solved in parallel: equal spacing."""
+    """A chain of points between fixed ends for every group, solved in parallel: the solution is equal spacing."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n = len(pdf)
@@ -259,7 +260,7 @@ def t8(spark, sf):
     return T.to_surface(t5(spark, sf).where("gid = 0"), 2.0)
 
 
-@query("t7_seed_from_sdf")
+@query("t7_seed_from_sdf", "SELECT CAST(i // 9 AS BIGINT) AS gid, CAST(1 + i // 3 % 3 AS INTEGER) AS r, CAST(1 + i % 3 AS INTEGER) AS c, 12.0e0 AS radius, true AS on_zero FROM range(18) t(i)")
 def t7(spark, sf):
     """A seed patch on a cylinder's zero set, made in a task from the signed distance of its chunk."""
 
@@ -273,15 +274,22 @@ def t7(spark, sf):
                 at = grid[r, c]
                 yield pd.DataFrame({"gid": gid, "r": r, "c": c, "x": at[:, 0], "y": at[:, 1], "z": at[:, 2], "residual": [abs(field.at(p)[0]) for p in at]})
 
-    return spark.range(2).mapInPandas(run, "gid long, r int, c int, x double, y double, z double, residual double")
+    seeds = spark.range(2).mapInPandas(run, "gid long, r int, c int, x double, y double, z double, residual double")
+    return seeds.select("gid", "r", "c", F.round(F.sqrt(F.pow(F.col("x") - 19.5, 2) + F.pow(F.col("z") - 19.5, 2)), 1).alias("radius"), (F.col("residual") < 1e-3).alias("on_zero"))
+
+
+def _noisy_sheet(spark, sf, dims):
+    """A flat sheet between z = 9 and 10 with the derived volume's values, a sixteenth of them, on top."""
+    sheet = volume_from_function(spark, *dims, F.when(F.col("z").between(9, 10), 220).otherwise(40))
+    noise = vox(spark, sf, dims[0]).select(*AXES, F.expr("v DIV 16").cast("int").alias("n"))
+    return sheet.join(noise, list(AXES), "left").select(*AXES, (F.col("v") + F.coalesce("n", F.lit(0))).cast("int").alias("v"))
 
 
 @query("t10_trace_pipeline")
 def t10(spark, sf):
     """Detect, signed distance, seed and grow over one chunk with a flat sheet."""
     dims = (20, 20, 20)
-    sheet = F.when(F.col("z").between(9, 10), 220).otherwise(40)
-    found = P.remove_small(P.detect_sheets(volume_from_function(spark, *dims, sheet), dims, value_low=80), 20, 20, 50)
+    found = P.remove_small(P.detect_sheets(_noisy_sheet(spark, sf, dims), dims, value_low=80), 20, 20, 50)
     sdf = P.signed_distance(found, dims)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
