@@ -26,7 +26,12 @@ from voxlake.llm.suffix_dedup import remove_repeated
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with what is left of its text; n_chars follows where something was cut out."""
+    """Every document with what is left of its text; n_chars follows where something was cut out.
+
+    Null texts stay null and empty ones empty; texts shorter than 200 bytes stay whole, and long ones are taken whole. Rows that
+    repeat each other lose what they share, in all of them. Null ids and other columns are handed through; an
+    empty table stays empty.
+    """
     names = docs.columns
     left = remove_repeated(docs, with_text=True, carry=tuple(n for n in names if n != "text"))
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("carried.n_chars"))
@@ -47,6 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of what the stages keep of ``documents``; awkward rows as each stage says, nothing from an empty table."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
