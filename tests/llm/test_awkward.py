@@ -34,7 +34,7 @@ def with_clashes(df):
 @pytest.fixture(scope="module")
 def awkward(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("awkward"))
-    docs = spark.createDataFrame([(d, t, [None, "xx", "yy"][k % 3], [None, "hot"][k % 2], None if t is None else len(t)) for k, (d, t) in enumerate(rows())], DOCS)
+    docs = spark.createDataFrame([(d, t, [None, "xx", "yy"][(d or 0) % 3], [None, "hot"][(d or 0) % 2], None if t is None else len(t)) for d, t in rows()], DOCS)
     pages = spark.createDataFrame([(1, "http://a.com/x"), (1, "http://a.com/x"), (2, None), (None, ""), (3, "http://net/es/" + "x" * 300_000), (4, "http://EXAMPLE.com/en/")], "page_id long, url string")
     talk = spark.createDataFrame([(1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, "assistant", None), (None, None, None, None), (2, 0, "user", "x" * 1_200_000)], "conv_id long, turn long, role string, text string")
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (None, 1, 0), (3, None, None)] + [(100 + k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")

@@ -1,6 +1,6 @@
 """Shared pieces of the corpus operators: scratch tables and vectorised text kernels.
 
-The kernels work on Arrow buffers. A batch of texts is cut into slices of about a
+The kernels work on Arrow buffers. A batch of texts is cut into slices of about half a
 megabyte (a longer text forms a slice of its own), so memory follows the longest
 text and never the number of rows in a batch.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.scratch import materialize, shared_dir  # noqa: F401
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: The separators of the contracts, space and U+0009 to U+000D.
 SEPARATORS = b" \t\n\x0b\x0c\r"
@@ -96,11 +96,12 @@ _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base modulo 2**64, and their inverses; tables of up to a slice's length are kept."""
-    if n <= SLICE_BYTES + 1:
-        if len(_powers[0]) < n:
-            _powers[:] = _power_tables(SLICE_BYTES + 1)
-        return _powers[0][:n], _powers[1][:n]
+    """The first n powers of the hash base modulo 2**64, and their inverses; tables of up to two slices' length are kept."""
+    for kept in (SLICE_BYTES + 2, 2 * SLICE_BYTES + 2):
+        if n <= kept:
+            if len(_powers[0]) < n:
+                _powers[:] = _power_tables(kept)
+            return _powers[0][:n], _powers[1][:n]
     return _power_tables(n)
 
 

@@ -167,7 +167,9 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> Model:
     # Rows that repeat a doc_id share its hash: of those one is learned from.
     for row in rows.where(wanted).groupBy("lang", "at").agg(F.min("text").alias("text")).orderBy("lang", "at").collect():
         texts.setdefault(row["lang"], []).append(row["text"].encode())
-    return Model.learn(texts, settings.min_context)
+    model = Model.learn(texts, settings.min_context)
+    give_back()  # counts of all contexts, several times the model
+    return model
 
 
 PREDICTED = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
@@ -233,4 +235,6 @@ def identify_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     model = learn(docs.select("doc_id", "text", "lang"))
     scored = predict(docs.select(F.struct(*docs.columns).alias("_doc"), "text"), model)
+    del model  # the executors have it
+    give_back()
     return scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= 0.5)).select(*(F.col(f"_doc.`{n}`").alias(n) for n in docs.columns))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_bucket, map_arrow, materialize, read_table, slices, text_buffers, word_spans
+from .common import fold_bucket, give_back, map_arrow, materialize, read_table, slices, text_buffers, word_spans
 
 
 @dataclass(frozen=True)
@@ -125,7 +125,9 @@ def learn(labelled: DataFrame, settings: Settings = Settings()) -> Model:
 
     rows = sorted(map_arrow(found, run, "doc_id long, quality int, x binary").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["quality"], r["x"]))
     x = {q: np.array([np.frombuffer(r["x"], np.float32) for r in rows if r["quality"] == q], np.float64).reshape(-1, N_FEATURES) for q in (1, 0)}
-    return Model.fit(x[1], x[0], settings)
+    model = Model.fit(x[1], x[0], settings)
+    give_back()
+    return model
 
 
 def raw_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

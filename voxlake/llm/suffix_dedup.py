@@ -42,7 +42,7 @@ GRAM = 32
 WINDOW = LENGTH - GRAM + 1
 MAX_RUN = 512
 GROUP_LIMIT = 2000
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 #: Distances of the key's gram that are taken together: within a task, and where a group is split over tasks.
 BAND = 43
 SPLIT_BANDS = (16, 1)
