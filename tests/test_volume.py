@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 from hypothesis import given, settings
@@ -163,3 +164,26 @@ def test_crops_cover_every_order(spark, small):
     got = QUERIES["c8_batched_crops"](spark, small).select("box_id", "z", "y", "x", "v")
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert any(k % 10 for k, *_ in want)
+
+
+def test_scratch_tables_are_the_sessions_own_and_can_be_dropped(spark):
+    from voxlake.functions.scratch import clear, materialize, session_dir
+
+    other = spark.newSession()
+    table = materialize(other.range(5).toDF("k"), "probe")
+    at = session_dir(spark).removeprefix("file://")
+    assert table.count() == 5 and any(n.startswith("probe-") for n in os.listdir(at))
+    clear(spark)
+    assert not os.path.exists(at)
+
+
+def test_ranks_over_ranges_are_those_of_one_window(spark):
+    from voxlake.functions.order import ranked, running
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"), (F.col("id") % 5).alias("v")).repartition(7)
+    got = {r["k"]: (r["at"], r["sum"]) for r in ranked(running(rows, [F.desc("k")], F.col("v"), "sum"), [F.desc("k")], "at").collect()}
+    total, want = 0, {}
+    for at, r in enumerate(sorted(rows.collect(), key=lambda r: -r["k"]), 1):
+        total += r["v"]
+        want[r["k"]] = (at, total)
+    assert got == want

@@ -17,8 +17,20 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or f"file://{tempfile.gettempdir()}/voxlake").rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """Where this session's tables lie, apart from those of others."""
+    return f"{shared_dir(spark)}/voxlake/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/voxlake-{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables of this session. Frames that were made from them can't be read afterwards, so write results first."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    at.getFileSystem(conf).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
