@@ -63,36 +63,40 @@ class Model:
         symbol = np.full(256, size - 1, np.int64)
         symbol[known] = np.arange(size - 1)
 
-        counts = []
+        counts, kind = [], np.uint32 if size <= 256 else np.int64
         for lang in langs:
-            c0, c1, c2 = (np.zeros(size**k, np.int64) for k in (1, 2, 3))
-            c3: dict[str, list] = {"ctx": [], "sym": []}
+            c0, c1, c2 = (np.zeros(size**k, np.int32) for k in (1, 2, 3))
+            followed = []
             for t in data[lang]:
                 s = symbol[t]
-                c0 += np.bincount(s, minlength=size)
+                c0 += np.bincount(s, minlength=size).astype(np.int32)
                 if len(s) > 1:
-                    c1 += np.bincount(s[:-1] * size + s[1:], minlength=size**2)
+                    np.add.at(c1, s[:-1] * size + s[1:], 1)
                 if len(s) > 2:
-                    c2 += np.bincount((s[:-2] * size + s[1:-1]) * size + s[2:], minlength=size**3)
+                    np.add.at(c2, (s[:-2] * size + s[1:-1]) * size + s[2:], 1)
                 if len(s) > 3:
-                    c3["ctx"].append((s[:-3] * size + s[1:-2]) * size + s[2:-1])
-                    c3["sym"].append(s[3:])
-            counts.append((c0, c1.reshape(size, size), c2.reshape(size * size, size), *(np.concatenate(v) if v else np.zeros(0, np.int64) for v in c3.values())))
-
-        nodes = [np.unique(c[3], return_counts=True) for c in counts]
-        deep_ctx = np.unique(np.concatenate([ctx[n >= min_context] for ctx, n in nodes])) if langs else np.zeros(0, np.int64)
+                    followed.append((((s[:-3] * size + s[1:-2]) * size + s[2:-1]) * size + s[3:]).astype(kind))
+            # Contexts of three with their followers, each once with its count: far fewer than bytes.
+            codes, often = np.unique(np.concatenate(followed) if followed else np.zeros(0, kind), return_counts=True)
+            counts.append((c0, c1.reshape(size, size), c2.reshape(size * size, size), codes.astype(np.int64) // size, codes.astype(np.int64) % size, often))
+
+        nodes = []
+        for *_, ctx, _, often in counts:
+            known, at = np.unique(ctx, return_inverse=True)
+            nodes.append(known[np.bincount(at, often, minlength=len(known)) >= min_context] if len(known) else known)
+        deep_ctx = np.unique(np.concatenate(nodes)) if langs else np.zeros(0, np.int64)
         states = size * size + len(deep_ctx)
         # State of the last three symbols: their own node if a language has it, else that of the last two.
         deep = np.tile(np.arange(size * size, dtype=np.int32), size)
         deep[deep_ctx] = size * size + np.arange(len(deep_ctx), dtype=np.int32)
         bits = np.zeros((states * size, len(langs)), np.float32)
-        for k, (c0, c1, c2, ctx, sym) in enumerate(counts):
+        for k, (c0, c1, c2, ctx, sym, often) in enumerate(counts):
             base = _refine(c0[None, :], np.full((1, size), 8.0))
             first = _refine(c1, np.repeat(base, size, 0))
             second = _refine(c2, np.tile(first, (size, 1)))
             own = np.searchsorted(deep_ctx, ctx)
             hit = (own < len(deep_ctx)) & (deep_ctx[np.minimum(own, len(deep_ctx) - 1)] == ctx) if len(deep_ctx) else np.zeros(len(ctx), bool)
-            c3 = np.bincount(own[hit] * size + sym[hit], minlength=len(deep_ctx) * size).reshape(len(deep_ctx), size)
+            c3 = np.bincount(own[hit] * size + sym[hit], often[hit], minlength=len(deep_ctx) * size).reshape(len(deep_ctx), size)
             third = _refine(c3, second[deep_ctx % (size * size)])
             bits[:, k] = np.concatenate([second, third]).ravel()
         return Model(langs, symbol.astype(np.int32), deep, bits)
