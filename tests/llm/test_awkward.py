@@ -10,7 +10,7 @@ import corpus_pipeline
 from voxlake.llm.queries import QUERIES
 
 #: Names that operators give to columns of their own.
-CLASHES = ("score", "n_words", "kept", "rule", "weight", "probability", "sampled", "topic", "class", "salt", "text_key", "id_key", "spans", "fingerprint", "part", "sequence_id", "length", "stratum", "held_out", "lang_pred", "component_id")
+CLASHES = ("score", "n_words", "kept", "rule", "weight", "probability", "sampled", "topic", "class", "salt", "text_key", "id_key", "spans", "fingerprint", "part", "sequence_id", "length", "stratum", "held_out", "lang_pred", "component_id", "row", "size", "shard", "virtual_slot", "A", "E", "good", "toxic_lost", "runs", "start", "collapsed", "digest", "least")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -57,9 +57,14 @@ def test_awkward_rows(spark, awkward, name):
         firsts = [r for r in got if r["piece"] == 0]
         assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in firsts) == sorted((d is None, d or 0) for d, _ in documents)
         assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got) and max(r["offset"] + r["length"] for r in got) <= 2048
+    elif name.startswith("op12"):
+        parts = collections.Counter([None, "xx", "yy"][(d or 0) % 3] or "" for d, _ in documents)
+        assert len(got) == 600 * len(parts) and all(r["kept"] + r["removed"] <= parts[r["part"]] for r in got)
     else:
         assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted((d is None, d or 0) for d, _ in documents)
-        if not name.startswith("op1_"):  # there a row's follower counts too
+        if name.startswith("op11"):  # a row has a place of its own
+            assert len({(r["shard"], r["slot"]) for r in got}) == len(got)
+        elif not name.startswith("op1_"):  # there a row's follower counts too
             assert len({tuple(r) for r in got if r["doc_id"] == 7}) == 1
             assert len({tuple(r) for r in got if r["doc_id"] == 1}) <= 2
 

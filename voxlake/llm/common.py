@@ -88,6 +88,19 @@ def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> I
         lo = hi
 
 
+def pieces(text: bytes, limit: int = 2 * SLICE_BYTES) -> Iterator[bytes]:
+    """A text in pieces of ``limit`` bytes or a little more, cut at separators only."""
+    at = 0
+    while len(text) - at > limit:
+        cut = at + limit
+        while cut < len(text) and text[cut] not in SEPARATORS:
+            cut += 1
+        yield text[at:cut]
+        at = cut
+    if at < len(text):
+        yield text[at:] if at else text
+
+
 # ---------------------------------------------------------------- hashing
 
 _BASE = 0x9E3779B97F4A7C15 | 1
