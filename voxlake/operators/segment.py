@@ -1,7 +1,8 @@
 """Neighbourhood operators and segmentation over voxel tables.
 
 Masks are tables of their foreground voxels (z, y, x); dense fields have a row for every voxel.
-Filters are separable: one window per axis over dense lines, three shuffles in all.
+Filters are separable: one window per axis over dense lines, three shuffles in all. Components
+and distances work on packed tiles, in modules of their own.
 """
 
 from __future__ import annotations
@@ -15,11 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.coords import AXES, dense_grid
 from ..functions.scratch import materialize
-from ..functions.order import ranked
-from .graph import connected_components
-
-OFFSETS26 = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
-OFFSETS6 = [(0, 0, 1), (0, 1, 0), (1, 0, 0)]
+from .components import component_sizes, fill_cavities, label, remove_small  # noqa: F401
+from .distances import distance, signed_distance, squared_distance  # noqa: F401
 
 
 def densify(voxels: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
@@ -129,57 +127,6 @@ def detect_sheets(dense: DataFrame, dims: tuple[int, int, int], sigma_gradient:
     return sent.groupBy("tz", "ty", "tx").applyInPandas(run, "z int, y int, x int")
 
 
-# ---------------------------------------------------------------- components
-
-
-def linear_id(ny: int, nx: int) -> Column:
-    return (F.col("z").cast("long") * ny + F.col("y")) * nx + F.col("x")
-
-
-def _shift(mask: DataFrame, offsets) -> DataFrame:
-    """(id, z, y, x): every voxel's neighbours at the offsets, with the voxel's id."""
-    o = F.explode(F.array(*(F.struct(*(F.lit(v).alias(a) for a, v in zip(AXES, off, strict=True))) for off in offsets)))
-    return mask.withColumn("_o", o).select("id", *((F.col(a) + F.col(f"_o.{a}")).alias(a) for a in AXES))
-
-
-def label(mask: DataFrame, ny: int, nx: int, offsets=None) -> DataFrame:
-    """(z, y, x, root, label): connected components; labels from 1 in raster order of their first voxel.
-
-    Neighbours meet by equi-joins on half of the offsets (each pair once); a component's root is its
-    least linear index.
-    """
-    ids = materialize(mask.select(*AXES).withColumn("id", linear_id(ny, nx)), "mask")
-    links = _shift(ids, offsets or OFFSETS26).withColumnRenamed("id", "a").join(ids.withColumnRenamed("id", "b"), list(AXES)).select("a", "b")
-    found = connected_components(links)
-    rooted = ids.join(found, F.col("id") == F.col("node"), "left").select(*AXES, F.coalesce("component", "id").alias("root"))
-    roots = rooted.select("root").distinct()
-    order = ranked(roots, [F.col("root")], "label").withColumn("label", F.col("label").cast("int"))
-    return rooted.join(order, "root").select(*AXES, "root", "label")
-
-
-def component_sizes(labelled: DataFrame) -> DataFrame:
-    return labelled.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-
-
-def remove_small(mask: DataFrame, ny: int, nx: int, least: int) -> DataFrame:
-    """The mask without components of fewer than ``least`` voxels."""
-    labelled = materialize(label(mask, ny, nx).select(*AXES, "root"), "labels")
-    kept = labelled.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
-    return labelled.join(kept, "root", "left_semi").select(*AXES)
-
-
-def fill_cavities(mask: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
-    """The mask with every background component that doesn't reach the border filled (6-connected)."""
-    nz, ny, nx = dims
-    air = dense_grid(mask.sparkSession, *dims).join(mask, list(AXES), "left_anti")
-    labelled = materialize(label(air, ny, nx, OFFSETS6).select(*AXES, "root"), "air")
-    border = F.lit(False)
-    for a, n in zip(AXES, dims, strict=True):
-        border = border | (F.col(a) == 0) | (F.col(a) == n - 1)
-    open_ = labelled.where(border).select("root").distinct()
-    return mask.select(*AXES).unionByName(labelled.join(open_, "root", "left_anti").select(*AXES))
-
-
 # ---------------------------------------------------------------- morphology
 
 CUBE = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
@@ -244,57 +191,7 @@ def close(mask: DataFrame, radius: int, dims: tuple[int, int, int]) -> DataFrame
     return erode(dilate(mask, radius, dims), radius)
 
 
-# ---------------------------------------------------------------- distances
-
-FAR = 1e12
-
-
-def lower_envelope(f: np.ndarray) -> np.ndarray:
-    """min over j of f[j] + (i - j)^2 along the last axis, exact; stops once no longer reach can improve."""
-    out = f.copy()
-    n = f.shape[-1]
-    for d in range(1, n):
-        if d * d >= out.max():
-            break
-        np.minimum(out[..., d:], f[..., :-d] + d * d, out=out[..., d:])
-        np.minimum(out[..., :-d], f[..., d:] + d * d, out=out[..., :-d])
-    return out
-
-
-def squared_distance(mask: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
-    """(z, y, x, d2): exact squared distance of every voxel to the nearest set one; FAR if there is none.
-
-    Planes of constant z are transformed along x and y, then planes of constant y along z: two
-    shuffles, and a task holds one plane.
-    """
-    nz, ny, nx = dims
-    grid = dense_grid(mask.sparkSession, *dims)
-    field = grid.join(mask.select(*AXES, F.lit(1).alias("on")), list(AXES), "left").select(*AXES, F.when(F.col("on") == 1, 0.0).otherwise(FAR).alias("d2"))
-
-    def plane(a: str, na: int, b: str, nb: int, both: bool):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            f = np.full((na, nb), FAR)
-            f[pdf[a], pdf[b]] = pdf["d2"]
-            f = lower_envelope(f)
-            if both:
-                f = lower_envelope(f.T).T
-            return pdf.assign(d2=np.minimum(f[pdf[a], pdf[b]], FAR))
-
-        return run
-
-    schema = "z int, y int, x int, d2 double"
-    return field.groupBy("z").applyInPandas(plane("y", ny, "x", nx, True), schema).groupBy("y").applyInPandas(plane("x", nx, "z", nz, False), schema)
-
-
-def distance(mask: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
-    return squared_distance(mask, dims).select(*AXES, F.sqrt("d2").alias("d"))
-
-
-def signed_distance(mask: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
-    """(z, y, x, d): outside the distance to the mask, inside minus the distance to the background."""
-    air = dense_grid(mask.sparkSession, *dims).join(mask, list(AXES), "left_anti")
-    out, inner = squared_distance(mask, dims), squared_distance(air, dims).withColumnRenamed("d2", "i2")
-    return out.join(inner, list(AXES)).select(*AXES, F.when(F.col("d2") > 0, F.sqrt("d2")).otherwise(-F.sqrt("i2")).alias("d"))
+# ---------------------------------------------------------------- the whole
 
 
 def detect_pipeline(dense: DataFrame, dims: tuple[int, int, int], least: int = 20, **params) -> DataFrame:

@@ -18,6 +18,7 @@ from .register import query
 
 D = 16
 DIMS = (D, D, D)
+EDGE = 8  # of tiles, so that a small volume has several
 DENSE = f"vox AS ({vox_sql(D)}), g AS ({grid_sql(D, D, D)}), dense AS (SELECT z, y, x, coalesce(v, 0) AS v FROM g LEFT JOIN vox USING (z, y, x))"
 MASK = f"vox AS ({vox_sql(D)}), mask AS (SELECT z, y, x, (z * {D} + y) * {D} + x AS id FROM vox WHERE v >= 249)"
 INSIDE = f"z BETWEEN 0 AND {D - 1} AND y BETWEEN 0 AND {D - 1} AND x BETWEEN 0 AND {D - 1}"
@@ -130,17 +131,17 @@ labels AS (SELECT z, y, x, root, dense_rank() OVER (ORDER BY root) AS label FROM
 
 @query("p3_label_components", f"{LABELS} SELECT z, y, x, CAST(root AS BIGINT) AS root, CAST(label AS INTEGER) AS label FROM labels")
 def p3(spark, sf):
-    return P.label(mask(spark, sf), D, D)
+    return P.label(mask(spark, sf), D, D, EDGE)
 
 
 @query("g14_component_sizes", f"{LABELS} SELECT CAST(label AS INTEGER) AS label, count(*) AS size FROM labels GROUP BY label")
 def g14(spark, sf):
-    return P.component_sizes(P.label(mask(spark, sf), D, D))
+    return P.component_sizes(mask(spark, sf), D, D, EDGE)
 
 
 @query("p3_remove_small", f"{LABELS} SELECT z, y, x FROM labels WHERE root IN (SELECT root FROM labels GROUP BY root HAVING count(*) >= 3)")
 def p3b(spark, sf):
-    return P.remove_small(mask(spark, sf), D, D, 3)
+    return P.remove_small(mask(spark, sf), D, D, 3, EDGE)
 
 
 def _plug_sql(passes):
@@ -184,7 +185,7 @@ six(dz, dy, dx) AS (VALUES (0, 0, 1), (0, 1, 0), (1, 0, 0), (0, 0, -1), (0, -1,
 f AS (SELECT z, y, x FROM air WHERE z IN (0, {D - 1}) OR y IN (0, {D - 1}) OR x IN (0, {D - 1}) UNION SELECT e.z, e.y, e.x FROM f JOIN e ON e.z0 = f.z AND e.y0 = f.y AND e.x0 = f.x)
 SELECT z, y, x FROM g ANTI JOIN f USING (z, y, x)""")
 def p6(spark, sf):
-    return P.fill_cavities(vox(spark, sf, D).where("v >= 120").select(*AXES), DIMS)
+    return P.fill_cavities(vox(spark, sf, D).where("v >= 120").select(*AXES), DIMS, EDGE)
 
 
 _D2 = f"WITH {MASK}, g AS ({grid_sql(D, D, D)}), d AS (SELECT g.z, g.y, g.x, min((g.z - m.z) * (g.z - m.z) + (g.y - m.y) * (g.y - m.y) + (g.x - m.x) * (g.x - m.x)) AS d2 FROM g, mask m GROUP BY ALL)"
@@ -192,13 +193,13 @@ _D2 = f"WITH {MASK}, g AS ({grid_sql(D, D, D)}), d AS (SELECT g.z, g.y, g.x, min
 
 @query("p7_distance", f"{_D2} SELECT z, y, x, round(sqrt(d2), 4) AS d FROM d")
 def p7(spark, sf):
-    return P.distance(mask(spark, sf), DIMS).select(*AXES, F.round("d", 4).alias("d"))
+    return P.distance(mask(spark, sf), DIMS, EDGE).select(*AXES, F.round("d", 4).alias("d"))
 
 
 @query("p8_signed_distance", f"""{_D2}, air AS (SELECT g.* FROM g ANTI JOIN mask USING (z, y, x)), i AS (SELECT m.z, m.y, m.x, min((a.z - m.z) * (a.z - m.z) + (a.y - m.y) * (a.y - m.y) + (a.x - m.x) * (a.x - m.x)) AS i2 FROM mask m, air a GROUP BY ALL)
 SELECT d.z, d.y, d.x, round(CASE WHEN d2 > 0 THEN sqrt(d2) ELSE -sqrt(i2) END, 4) AS d FROM d LEFT JOIN i USING (z, y, x)""")
 def p8(spark, sf):
-    return P.signed_distance(mask(spark, sf), DIMS).select(*AXES, F.round("d", 4).alias("d"))
+    return P.signed_distance(mask(spark, sf), DIMS, EDGE).select(*AXES, F.round("d", 4).alias("d"))
 
 
 @query("p9_detect_pipeline", "SELECT CAST(9 + i // 324 AS INTEGER) AS z, CAST(1 + i // 18 % 18 AS INTEGER) AS y, CAST(1 + i % 18 AS INTEGER) AS x, CAST(9 * 400 + 20 + 1 AS BIGINT) AS root, CAST(1 AS INTEGER) AS label FROM range(648) t(i)")
