@@ -594,6 +594,35 @@ def test_code_lengths_are_exact():
     assert np.allclose(got, [ppm_by_hand(train[k], text) for k in ("xx", "yy")], rtol=1e-5)
 
 
+def test_code_lengths_by_pieces_and_rows(monkeypatch):
+    """Many rows, short and empty ones among them, in pieces smaller than a text; a tree cut down still gives PPM code lengths of fewer contexts."""
+    rng = random.Random(6)
+    train = {"xx": [bytes(rng.choice(b"abcde \n") for _ in range(900))], "yy": ["ж ѣ日本 щé".encode() * 20]}
+    model = langid.Model.learn(train, min_context=3)
+    rows = [bytes(rng.choice(b"abcxyz \xd0\xb6") for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 40]))) for _ in range(60)]
+    data, offsets = np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)])
+    want = np.array([[ppm_by_hand(train[k], r, least=3) for k in ("xx", "yy")] for r in rows])
+    assert np.allclose(model.code_lengths(data, offsets), want, rtol=1e-5)
+    monkeypatch.setattr(langid, "PIECE", 7)
+    assert np.allclose(model.code_lengths(data, offsets), want, rtol=1e-5)
+    small = langid.Model.learn(train, 3, cells=400)
+    assert sum(t.bits.size for t in small.trees) <= 400 < sum(t.bits.size for t in model.trees)
+    assert np.isfinite(small.code_lengths(data, offsets)).all()
+
+
+def test_size_of_many_languages():
+    """Sixty languages of 244 bytes each stay within ``cells``, and are told apart."""
+    rng = np.random.default_rng(2)
+    chance = [rng.permutation(np.arange(1, 245) ** -1.2) for _ in range(60)]
+    text = [rng.choice(244, 30_000, p=c / c.sum()).astype(np.uint8).tobytes() for c in chance]
+    model = langid.Model.learn({f"l{k:02}": [t] for k, t in enumerate(text)}, cells=4_000_000)
+    assert len(model.trees) == 60 and sum(t.bits.size for t in model.trees) <= 4_000_000
+    assert all(x.nbytes < 1 << 20 for t in model.trees for x in (t.row, t.state, t.bits))
+    asked = [rng.choice(244, 400, p=c / c.sum()).astype(np.uint8).tobytes() for c in chance]
+    cost = model.code_lengths(np.frombuffer(b"".join(asked), np.uint8), np.arange(61) * 400)
+    assert (cost.argmin(1) == np.arange(60)).mean() > 0.95
+
+
 def test_language_of_awkward_texts(spark, docs):
     model = langid.learn(docs.select("doc_id", "text", "lang"))
     out = langid.predict(clashing(docs), model)
@@ -672,6 +701,47 @@ def test_pairwise_ranking_recovers_an_order(spark, docs):
     assert quality_rank.score(empty(spark), model).count() == 0
 
 
+def test_quality_scores_do_not_depend_on_the_batch(spark, docs):
+    """The same rows alone, permuted and dealt otherwise have the same scores to the last bit."""
+    rng = np.random.default_rng(1)
+    good, bad = rng.normal(1, 1, (50, quality_rank.N_FEATURES)), rng.normal(-1, 1, (50, quality_rank.N_FEATURES))
+    model = quality_rank.Model.fit(good, bad)
+    x = rng.normal(0, 1, (200, quality_rank.N_FEATURES))
+    whole = model.raw(x)
+    assert [model.raw(x[k : k + 1])[0] for k in range(200)] == whole.tolist()
+    order = rng.permutation(200)
+    assert (model.raw(x[order]) == whole[order]).all() and (np.concatenate([model.raw(p) for p in np.array_split(x, 7)]) == whole).all()
+    once = {r["doc_id"]: r["score"] for r in quality_rank.score(docs, model).collect()}
+    again = {r["doc_id"]: r["score"] for r in quality_rank.score(docs.orderBy(F.desc("n_chars")).repartition(3), model).collect()}
+    assert once == again
+
+
+def test_quality_against_the_definition(spark, docs, texts):
+    """Score and verdict from features counted by hand, and the cut as the quantile of all labelled scores."""
+    rng = np.random.default_rng(9)
+    model = quality_rank.Model(rng.random(quality_rank.N_FEATURES), 0.5 + rng.random(quality_rank.N_FEATURES), rng.normal(0, 1, quality_rank.N_FEATURES), 0.3, 2.0, 0.7)
+    got = by_id(quality_rank.score(docs, model))
+    for k, t in enumerate(texts):
+        data = (t or "").encode()
+        f = [0.0] * quality_rank.N_FEATURES
+        if data:
+            words, lines = data.split(), data.split(b"\n")
+            lengths = [len(w) for w in words]
+            mean = sum(lengths) / max(len(words), 1)
+            upper, lower = sum(65 <= b <= 90 for b in data), sum(97 <= b <= 122 for b in data)
+            f[:256] = [math.sqrt(data.count(bytes([b])) / len(data)) for b in range(256)]
+            f[256:] = [math.log1p(len(words)), mean, math.sqrt(sum((n - mean) ** 2 for n in lengths) / len(words)) if words else 0.0, upper / max(upper + lower, 1), len(lines) / max(len(words), 1), 1 - len(set(lines)) / len(lines), sum(data.count(c.encode()) for c in "!#$%&*<>|") / max(len(words), 1)]
+        raw = sum(max(-8, min(8, (x - c) / s)) * w for x, c, s, w in zip(f, model.center, model.scale, model.weights, strict=True))
+        score = 1 / (1 + math.exp(-max(-40, min(40, (raw - 0.3) / 2.0 + math.log(0.7 / 0.3)))))
+        row = got[k * 3 + 1]
+        assert abs(row["score"] - score) < 1e-9 and row["predicted"] == int(row["score"] >= 0.7)
+    labelled = spark.createDataFrame([(q, float(v)) for q, v in zip(rng.integers(0, 2, 500).tolist(), rng.normal(0, 1, 500), strict=True)], "quality int, _raw double")
+    rows = labelled.collect()
+    share = sum(r["quality"] == 0 for r in rows) / 500
+    sides = np.quantile([r["_raw"] for r in rows], [share - 0.01, share + 0.01])
+    assert abs(quality_rank.calibrate(model, labelled).cut - sides.mean()) < 1e-12
+
+
 def test_quality_cut_follows_the_share_of_all_labels(spark, tmp_path, monkeypatch):
     """A tenth of the labels is bad and the classes overlap; the sample for the fit is half and half."""
     rng = random.Random(3)

@@ -6,8 +6,10 @@ known context, ``-log2(count / (total + distinct))`` if it was seen there, else
 ``-log2(distinct / (total + distinct))`` plus its cost in the next shorter context; below
 order 0 all 256 bytes cost 8 bits. Statistics don't change while a text is scored.
 
-The trees are compiled into one automaton (a state is the longest context that any
-language knows) with a table of code lengths, so a text is scored by two array lookups a byte.
+Each language's tree is compiled into an automaton of its own, over the bytes that it has: a state is the
+longest context that it knows, and three small tables lead from the last three bytes to the state and
+from state and byte to the code length. All that is kept is sparse, by contexts that occur, and ``cells``
+bounds the code lengths of all languages together; beyond it the rarest contexts are left out.
 """
 
 from __future__ import annotations
@@ -34,95 +36,128 @@ class Settings:
     """``sample_docs`` whole texts at most (and those within ``sample_bytes``) are learned from per
     language, chosen by a hash of doc_id among labelled documents of ``text_bytes`` at most; a language
     without such a text has its shortest ones, one at least; ``min_context`` is how often a
-    3-byte context must occur to become a node of the tree."""
+    3-byte context must occur to become a node of the tree; ``cells`` bounds the code lengths (4 bytes each) of all trees."""
 
     sample_docs: int = 300
     sample_bytes: int = 2_000_000
     text_bytes: int = 250_000
     min_context: int = 12
+    cells: int = 16_000_000
     score_bytes: int = 16
 
 
+NONE = 256  # stands before a text's start
+
+
+@dataclass
+class Tree:
+    """Tables of a language. ``symbol``: of every byte (and NONE), those it doesn't have being the last; ``row``: of the third and second last
+    symbol; ``state``: of that row and the last symbol; ``bits``: of that state and the byte."""
+
+    symbol: np.ndarray
+    row: np.ndarray
+    state: np.ndarray
+    bits: np.ndarray
+
+    @staticmethod
+    def grow(texts: list[np.ndarray], min_context: int, cells: int) -> Tree:
+        seen = np.zeros(256, bool)
+        for t in texts:
+            seen[t] = True
+        own = np.flatnonzero(seen)
+        size = len(own) + 1
+        symbol = np.full(257, size - 1, np.int32)
+        symbol[own] = np.arange(size - 1)
+        coded = [symbol[t].astype(np.int64) for t in texts]
+        # Sparse counts by order: contexts and their followers, each pair once.
+        pairs = []
+        for order in range(4):
+            codes = [np.zeros(0, np.int64)]
+            for s in coded:
+                if len(s) > order:
+                    code = s[: len(s) - order]
+                    for k in range(1, order + 1):
+                        code = code * size + s[k : len(s) - order + k]
+                    codes.append(code)
+            code, n = np.unique(np.concatenate(codes), return_counts=True)
+            pairs.append((code // size, code % size, n))
+
+        def often(order, least, most):
+            """Contexts that occur ``least`` times, the ``most`` frequent ones of them, ascending."""
+            context, _, n = pairs[order]
+            known, at = np.unique(context, return_inverse=True)
+            total = np.bincount(at, n, minlength=len(known)).astype(np.int64)
+            best = np.lexsort((known, -total))[: max(most, 0)]
+            return np.sort(known[best[total[best] >= least]])
+
+        room = cells // size - size
+        two = often(2, 1, room // 2)
+        three = often(3, min_context, room - len(two))
+        three = three[np.isin(three // size, two)]
+
+        def counts(order, known):
+            context, sym, n = pairs[order]
+            at = np.minimum(np.searchsorted(known, context), max(len(known) - 1, 0))
+            hit = known[at] == context if len(known) else np.zeros(len(context), bool)
+            return np.bincount(at[hit] * size + sym[hit], n[hit], minlength=len(known) * size).reshape(len(known), size)
+
+        zero = _refine(counts(0, np.zeros(1, np.int64)), np.full((1, size), 8.0))
+        one = _refine(counts(1, np.arange(size)), np.repeat(zero, size, 0))
+        # States: one of each last symbol, then the known contexts of two and of three.
+        of_two = np.tile(np.arange(size), (size, 1))
+        of_two[two // size, two % size] = size + np.arange(len(two))
+        second = _refine(counts(2, two), one[two % size])
+        shorter = np.concatenate([one, second])
+        third = _refine(counts(3, three), shorter[of_two[three // size % size, three % size]])
+        # Rows: the known contexts of two, then one of each symbol for all others that end in it.
+        row = np.tile(len(two) + np.arange(size), (size, 1))
+        row[two // size, two % size] = np.arange(len(two))
+        state = of_two[np.concatenate([two % size, np.arange(size)])]
+        state[np.searchsorted(two, three // size), three % size] = size + len(two) + np.arange(len(three))
+        return Tree(symbol, row.ravel().astype(np.int32), state.ravel().astype(np.int32), np.concatenate([shorter, third]).ravel().astype(np.float32))
+
+    def cost(self, own: np.ndarray, last: list[np.ndarray]) -> np.ndarray:
+        """Bits of each byte ``own``; ``last``: the bytes one, two and three before it."""
+        s, size = self.symbol, np.int32(self.symbol.max() + 1)
+        at = self.row[s[last[2]] * size + s[last[1]]]
+        at = self.state[at * size + s[last[0]]]
+        return self.bits[at * size + s[own]]
+
+
 class Model:
-    """Compiled context trees of the languages in ``langs``."""
+    """Context trees of the languages in ``langs``."""
 
-    def __init__(self, langs, symbol, deep, bits):
-        self.langs, self.symbol, self.deep, self.bits = langs, symbol, deep, bits
+    def __init__(self, langs: list[str], trees: list[Tree]):
+        self.langs, self.trees = langs, trees
 
     @staticmethod
-    def learn(texts: dict[str, list[bytes]], min_context: int = 12) -> Model:
+    def learn(texts: dict[str, list[bytes]], min_context: int = 12, cells: int = Settings.cells) -> Model:
         langs = sorted(texts)
-        seen = np.zeros(256, bool)
-        data = {}
-        for lang in langs:
-            data[lang] = [np.frombuffer(t, np.uint8) for t in texts[lang] if t]
-            for t in data[lang]:
-                seen[t] = True
-        known = np.flatnonzero(seen)
-        size = len(known) + 1  # the last symbol is any byte that no language has
-        symbol = np.full(256, size - 1, np.int64)
-        symbol[known] = np.arange(size - 1)
-
-        counts, kind = [], np.uint32 if size <= 256 else np.int64
-        for lang in langs:
-            c0, c1, c2 = (np.zeros(size**k, np.int32) for k in (1, 2, 3))
-            followed = []
-            for t in data[lang]:
-                s = symbol[t]
-                c0 += np.bincount(s, minlength=size).astype(np.int32)
-                if len(s) > 1:
-                    np.add.at(c1, s[:-1] * size + s[1:], 1)
-                if len(s) > 2:
-                    np.add.at(c2, (s[:-2] * size + s[1:-1]) * size + s[2:], 1)
-                if len(s) > 3:
-                    followed.append((((s[:-3] * size + s[1:-2]) * size + s[2:-1]) * size + s[3:]).astype(kind))
-            # Contexts of three with their followers, each once with its count: far fewer than bytes.
-            codes, often = np.unique(np.concatenate(followed) if followed else np.zeros(0, kind), return_counts=True)
-            counts.append((c0, c1.reshape(size, size), c2.reshape(size * size, size), codes.astype(np.int64) // size, codes.astype(np.int64) % size, often))
-
-        nodes = []
-        for *_, ctx, _, often in counts:
-            known, at = np.unique(ctx, return_inverse=True)
-            nodes.append(known[np.bincount(at, often, minlength=len(known)) >= min_context] if len(known) else known)
-        deep_ctx = np.unique(np.concatenate(nodes)) if langs else np.zeros(0, np.int64)
-        states = size * size + len(deep_ctx)
-        # State of the last three symbols: their own node if a language has it, else that of the last two.
-        deep = np.tile(np.arange(size * size, dtype=np.int32), size)
-        deep[deep_ctx] = size * size + np.arange(len(deep_ctx), dtype=np.int32)
-        bits = np.zeros((states * size, len(langs)), np.float32)
-        for k, (c0, c1, c2, ctx, sym, often) in enumerate(counts):
-            base = _refine(c0[None, :], np.full((1, size), 8.0))
-            first = _refine(c1, np.repeat(base, size, 0))
-            second = _refine(c2, np.tile(first, (size, 1)))
-            own = np.searchsorted(deep_ctx, ctx)
-            hit = (own < len(deep_ctx)) & (deep_ctx[np.minimum(own, len(deep_ctx) - 1)] == ctx) if len(deep_ctx) else np.zeros(len(ctx), bool)
-            c3 = np.bincount(own[hit] * size + sym[hit], often[hit], minlength=len(deep_ctx) * size).reshape(len(deep_ctx), size)
-            third = _refine(c3, second[deep_ctx % (size * size)])
-            bits[:, k] = np.concatenate([second, third]).ravel()
-        return Model(langs, symbol.astype(np.int32), deep, bits)
+        return Model(langs, [Tree.grow([np.frombuffer(t, np.uint8) for t in texts[k] if t], min_context, cells // len(langs)) for k in langs])
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of every row under every language, added up over pieces of PIECE bytes, so a long text needs no more memory."""
-        rows, langs = len(offsets) - 1, len(self.langs)
-        out = np.zeros((rows, langs))
-        if not len(data) or not langs:
+        rows = len(offsets) - 1
+        out = np.zeros((rows, len(self.langs)))
+        if not len(data):
             return out
-        size = np.int32(int(self.symbol.max()) + 1)
         for lo in range(0, len(data), PIECE):
             hi, lead = min(lo + PIECE, len(data)), min(lo, 3)
-            s = self.symbol[data[lo - lead : hi]]
+            s = data[lo - lead : hi]
             first, last = int(np.searchsorted(offsets, lo, side="right")) - 1, int(np.searchsorted(offsets, hi, side="left"))
             begin = offsets[first:last]
-            pos = np.arange(lo, hi) - np.repeat(begin, np.minimum(offsets[first + 1 : last + 1], hi) - np.maximum(begin, lo))
-            state = np.zeros(hi - lo, np.int32)
-            for back in (3, 2, 1):  # before a text's start stands the symbol that no language has
-                past = np.full(hi - lo, size - 1, np.int32)
-                know = np.flatnonzero(pos >= back)
-                past[know] = s[know + lead - back]
-                state = state * size + past
-            cost = self.bits[self.deep[state].astype(np.int64) * size + s[lead:]]
             some = np.flatnonzero(np.minimum(offsets[first + 1 : last + 1], hi) > np.maximum(begin, lo))
-            out[first + some] += np.add.reduceat(cost, np.maximum(begin[some], lo) - lo, axis=0, dtype=np.float64)
+            before = []
+            for back in (1, 2, 3):
+                past = np.full(hi - lo, NONE, np.int16)
+                past[max(back - lead, 0) :] = s[max(lead - back, 0) : len(s) - back]
+                for k in range(back):  # the first bytes of a text that begins here
+                    at = begin[some] + k
+                    past[at[(at >= lo) & (at < hi)] - lo] = NONE
+                before.append(past)
+            cuts = np.maximum(begin[some], lo) - lo
+            for k, tree in enumerate(self.trees):
+                out[first + some, k] += np.add.reduceat(tree.cost(s[lead:], before), cuts, dtype=np.float64)
         return out
 
 
@@ -171,8 +206,8 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> Model:
     # Rows that repeat a doc_id share its hash: of those one is learned from.
     for row in rows.where(wanted).groupBy("lang", "at").agg(F.min("text").alias("text")).orderBy("lang", "at").collect():
         texts.setdefault(row["lang"], []).append(row["text"].encode())
-    model = Model.learn(texts, settings.min_context)
-    give_back()  # counts of all contexts, several times the model
+    model = Model.learn(texts, settings.min_context, settings.cells)
+    give_back()  # counts of contexts, several times the model
     return model
 
 
@@ -224,10 +259,13 @@ def _has_letter(blob: bytes, a: int, b: int) -> bool:
 
 
 def op8_language(spark, sf_dir: str) -> DataFrame:
-    """The language of every document, learned outside the held-out fold; awkward rows as in ``predict``."""
+    """The language of every document, learned outside the held-out fold; awkward rows as in ``predict``.
+
+    A row without a doc_id is in no fold: it is not held out (false), and not learned from.
+    """
     docs = read_table(spark, sf_dir, "documents")
-    held_out = fold_bucket(F.col("doc_id"), 5) == 0
-    model = learn(docs.select("doc_id", "text", "lang").where(~held_out))
+    held_out = F.coalesce(fold_bucket(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = learn(docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & ~held_out))
     return predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text", "bits_per_byte")
 
 

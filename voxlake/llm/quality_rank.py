@@ -73,7 +73,9 @@ class Model:
     threshold: float
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.center) / self.scale).clip(-8, 8) @ self.weights
+        """Each row is summed by itself: a matrix product adds up in an order that depends on how many rows there are."""
+        parts = ((x - self.center) / self.scale).clip(-8, 8) * self.weights
+        return np.array([row.sum() for row in parts])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = (self.raw(x) - self.cut) / self.spread + np.log(self.threshold / (1 - self.threshold))
@@ -197,11 +199,12 @@ def op10_quality_rank(spark, sf_dir: str) -> DataFrame:
     """Score and prediction of every document, learned outside the held-out fold.
 
     Null and empty texts have zero features and the score that follows; long texts are taken whole; rows that
-    repeat are scored alike, each with a row. A doc_id with several labels counts by its least, one with several texts
-    by each. Without labels of both classes every score is 0.5. An empty table gives an empty result.
+    repeat are scored alike, each with a row, whatever they are read together with. A doc_id with several labels counts
+    by its least, one with several texts by each. A row without a doc_id is in no fold: it is not held out (false), and no
+    label meets it. Without labels of both classes every score is 0.5. An empty table gives an empty result.
     """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = fold_bucket(F.col("doc_id"), 4) == 2
+    held_out = F.coalesce(fold_bucket(F.col("doc_id"), 4) == 2, F.lit(False))
     settings = Settings()
     labels = read_table(spark, sf_dir, "labels").where(F.col("quality").isin(0, 1) & ~(fold_bucket(F.col("doc_id"), 4) == 2))
     labels = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
