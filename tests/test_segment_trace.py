@@ -1,5 +1,3 @@
-import itertools
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -107,67 +105,76 @@ def test_blur_keeps_a_constant(spark):
     assert all(abs(r["f"] - 50) < 1e-9 for r in P.gaussian_blur(field, 1.0, ["f"]).collect())
 
 
-# ---------------------------------------------------------------- solver and tracer
-
-
-@pytest.mark.parametrize("term,n", [(T.distance_term(2.0), 2), (T.straight_term(0.7), 3), (T.dirichlet_term(1.5), 3)])
-def test_gradients_match_finite_differences(term, n):
-    rng = np.random.default_rng(5)
-    for _ in range(5):
-        p = rng.normal(size=(n, 3)) * 2
-        _, jac = term(p)
-        for k, d in itertools.product(range(n), range(3)):
-            q = p.copy()
-            q[k, d] += 1e-6
-            up = term(q)[0]
-            q[k, d] -= 2e-6
-            assert abs((up - term(q)[0]) / 2e-6 - jac[k, d]) < 1e-4 * max(1, abs(jac[k, d]))
-
-
-def test_weighted_mean_and_frozen_blocks():
-    problem = T.Problem(np.array([[0.0]]))
-    for weight, target in ((1.0, 0.0), (2.0, 10.0)):
-        problem.add(lambda p, w=weight, t=target: (w * (p[0, 0] - t), np.array([[w]])), (0,))
-    problem.solve()
-    assert abs(problem.x[0, 0] - 8.0) < 1e-6
-    still = T.Problem(np.array([[3.0]]), np.array([True]))
-    assert still.solve() == (0.0, 0.0, 0)
-
-
-def test_cauchy_ignores_an_outlier():
-    problem = T.Problem(np.array([[0.0]]))
-    for target in (1.0, 1.1, 0.9, 1.0, 50.0):
-        problem.add(lambda p, t=target: (p[0, 0] - t, np.array([[1.0]])), (0,), 0.5)
-    problem.solve(100)
-    assert abs(problem.x[0, 0] - 1.0) < 0.2
-
-
-def test_a_plane_is_grown_exactly():
-    grid = np.full((7, 7, 3), np.nan)
-    for r, c in itertools.product(range(2, 5), range(2, 5)):
-        grid[r, c] = (10.0 * c, 10.0 * r, 0.0)
-    grown, added, rejected = T.grow(grid, 10.0)
-    want = np.array([[(10.0 * c, 10.0 * r, 0.0) for c in range(7)] for r in range(7)])
-    assert added == 40 and rejected == 0 and np.abs(grown - want).max() < 1e-3
-
-
-def test_the_distance_field_halves_the_error_on_a_cylinder():
-    """A patch of a cylinder grown with and without the field: geometry alone leaves the surface along its tangent."""
-    size, radius, unit, n = 160, 60.0, 8.0, 11
-    z, _, x = np.meshgrid(np.arange(size), np.arange(size), np.arange(size), indexing="ij")
-    field = T.Field((np.hypot(x - 80.0, z - 80.0) - radius).astype(np.float32))
-    seed = np.full((n, n, 3), np.nan)
-    for r, c in itertools.product(range(4, 7), range(4, 7)):
-        turn = (c - 5) * unit / radius
-        seed[r, c] = (80 + radius * np.cos(turn), 80 + (r - 5) * unit, 80 + radius * np.sin(turn))
+# ---------------------------------------------------------------- least squares and tracing
+
+
+def test_settled_points_and_an_outlier():
+    rng = np.random.default_rng(2)
+    truth = rng.normal(0, 20, (50, 3))
+    ways = np.concatenate([np.eye(3), [[-0.6, -0.8, 0], [1, 0, 0]]]) + rng.normal(0, 0.1, (50, 5, 3))
+    anchors = truth[:, None] + 7 * ways / np.linalg.norm(ways, axis=2, keepdims=True)
+    anchors[:, 4] += np.where(np.arange(50) % 2, 30.0, np.nan)[:, None]
+    p = T.settle(truth + rng.normal(0, 0.5, (50, 3)), anchors, 7.0, cauchy=0.05)
+    assert np.abs(p - truth).max() < 0.05
+    # The result is a minimum: no small step lowers the sum of squares that was asked for.
+    start = truth + 1.0
+    p = T.settle(start, anchors[:, :3], 7.0, start, 0.3)
+
+    def cost(q):
+        d = np.linalg.norm(q[:, None] - anchors[:, :3], axis=2)
+        return (np.where(d >= 7, d / 7 - 1, 7 / d - 1) ** 2).sum(1) + ((q - start) ** 2).sum(1) * 0.3**2 / 49
+
+    for k in range(3):
+        for sign in (-1, 1):
+            assert (cost(p) <= cost(p + sign * 0.01 * np.eye(3)[k]) + 1e-9).all()
+
+
+def test_a_field_is_sampled_and_its_zero_set_found(spark):
+    field = volume_from_function(spark, 24, 24, 24, F.lit(0)).select("z", "y", "x", F.sqrt(F.pow(F.col("x") - 11.5, 2) + F.pow(F.col("z") - 11.5, 2)).alias("d")).withColumn("d", F.col("d") - 8)
+    points = spark.createDataFrame([(1, 18.0, 5.5, 12.0), (2, 11.5, 3.0, 4.5), (3, 30.0, 0.0, 0.0)], "gid long, x double, y double, z double")
+    seen = {r["gid"]: r for r in T.field_at(points, field, (24, 24, 24), ["gid"]).collect()}
+    assert abs(seen[1]["f"] - (np.hypot(6.5, 0.5) - 8)) < 0.1 and seen[1]["g"]["x"] > 0.9 and seen[3]["f"] == 0 and seen[3]["g"]["y"] == 0
+    found = {r["gid"]: r for r in T.to_zero(points, field, (24, 24, 24), ["gid"]).collect()}
+    assert set(found) == {1, 2} and all(abs(np.hypot(r["x"] - 11.5, r["z"] - 11.5) - 8) < 0.05 for r in found.values())
+    patch = T.seed_patches(points.where("gid < 3"), field, (24, 24, 24), 2.0).collect()
+    assert len(patch) == 18 and all(abs(np.hypot(r["x"] - 11.5, r["z"] - 11.5) - 8) < 0.05 for r in patch)
+
+
+def cells_of(spark, points):
+    return spark.createDataFrame([(g, r, c, *map(float, p)) for (g, r, c), p in points.items()], "gid long, r int, c int, x double, y double, z double")
+
+
+def test_planes_grow_exactly_whatever_their_seed(spark):
+    flat = {0: lambda r, c: (10.0 * c, 10.0 * r, 0.0), 1: lambda r, c: (6.0 * c, 8.0 * c, 10.0 * r)}
+    seed = {(0, r, c): flat[0](r, c) for r in range(2, 4) for c in range(2, 4)} | {(1, r, c): flat[1](r, c) for r in range(0, 2) for c in range(5, 7)}
+    got = {(x["gid"], x["r"], x["c"]): (x["x"], x["y"], x["z"]) for x in T.grow(cells_of(spark, seed), 6, 7, 10.0).collect()}
+    assert set(got) == {(g, r, c) for g in (0, 1) for r in range(6) for c in range(7)}
+    assert max(np.abs(np.subtract(p, flat[g](r, c))).max() for (g, r, c), p in got.items()) < 1e-6
+
+
+def test_cells_with_a_wrong_spacing_are_not_accepted(spark):
+    """The sheet is torn: beyond its edge predictions fall on top of each other."""
+    seed = {(0, r, c): (10.0 * c, 10.0 * r, 0.0) for r in range(2) for c in range(2)} | {(0, r, 2): (40.0, 10.0 * r, 0.0) for r in range(2)}
+    strict = T.grow(cells_of(spark, seed), 2, 4, 10.0, T.Growth(accept=0.05, straight=50.0))
+    assert strict.count() == 6
+    loose = T.grow(cells_of(spark, seed), 2, 4, 10.0, T.Growth(accept=0, straight=50.0))
+    assert loose.count() == 8
+
+
+def test_a_field_halves_the_error_on_a_cylinder(spark):
+    """A patch of a cylinder grown with and without the field."""
+    size, radius, unit, n = 40, 14.0, 3.0, 7
+    field = volume_from_function(spark, size, size, size, F.lit(0)).select("z", "y", "x", (F.sqrt(F.pow(F.col("x") - 19.5, 2) + F.pow(F.col("z") - 19.5, 2)) - radius).alias("d"))
+    turn = lambda c: (c - 3) * unit / radius
+    seed = {(0, r, c): (19.5 + radius * np.cos(turn(c)), 19.5 + (r - 3) * unit, 19.5 + radius * np.sin(turn(c))) for r in range(2, 5) for c in range(2, 5)}
 
     def error(options, sdf):
-        grid, _, _ = T.grow(seed, unit, options, sdf)
-        assert not np.isnan(grid).any()
-        return np.abs(np.hypot(grid[..., 0] - 80, grid[..., 2] - 80) - radius).mean()
+        rows = T.grow(cells_of(spark, seed), n, n, unit, options, sdf, (size,) * 3).collect()
+        assert len(rows) == n * n
+        return np.mean([abs(np.hypot(r["x"] - 19.5, r["z"] - 19.5) - radius) for r in rows])
 
-    alone, held = error(T.Growth(accept=0), None), error(T.Growth(accept=0, volume=4.0), field)
-    assert held < 0.5 * alone and held < 3.0
+    alone, held = error(T.Growth(accept=0), None), error(T.Growth(accept=0), field)
+    assert held < 0.5 * alone and held < 0.3
 
 
 # ---------------------------------------------------------------- shading

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.coords import AXES
 from ..operators import aggregate as A
 from ..operators import segment as P
-from ..operators import trace as T
 from ..operators import volume as V
 from ..sources.volumes import grid_sql, read_table, volume_from_function, vox, vox_sql
 from .register import query
@@ -209,96 +208,8 @@ def p9(spark, sf):
     return P.detect_pipeline(_noisy_sheet(spark, sf, dims), dims, 20, value_low=80)
 
 
-# ---------------------------------------------------------------- solver and tracer
-
-
-@query("t2_distance_residual", """WITH p AS (SELECT p_partkey AS pid, p_size / 10.0e0 AS len FROM part)
-SELECT pid, round(CASE WHEN len < 1e-9 THEN 100.0e0 WHEN len >= 2 THEN len / 2 - 1 ELSE 2 / len - 1 END, 6) AS r FROM p""")
-def t2(spark, sf):
-    """The distance residual as a column over pairs of points."""
-    from ..sources.volumes import read_table
-
-    length = F.col("p_size") / 10.0
-    r = F.when(length < 1e-9, 100.0).when(length >= 2, length / 2 - 1).otherwise(2 / length - 1)
-    return read_table(spark, sf, "part").select(F.col("p_partkey").alias("pid"), F.round(r, 6).alias("r"))
-
-
-@query("t1_least_squares", "SELECT CAST(i % 8 AS BIGINT) AS gid, CAST(i // 8 AS INTEGER) AS k, (i // 8) * 10.0e0 AS x, true AS improved FROM range(40) t(i)")
-def t1(spark, sf):
-    """A chain of points between fixed ends for every group, solved in parallel: the solution is equal spacing."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        x = np.zeros((n, 3))
-        x[:, 0] = np.linspace(0, 10.0 * (n - 1), n) + np.where((np.arange(n) > 0) & (np.arange(n) < n - 1), 3.0, 0.0)
-        frozen = np.zeros(n, bool)
-        frozen[[0, -1]] = True
-        problem = T.Problem(x, frozen)
-        for k in range(n - 1):
-            problem.add(T.distance_term(10.0), (k, k + 1))
-        first, last, steps = problem.solve()
-        return pdf.sort_values("k").assign(x=problem.x[:, 0].round(3), improved=bool(last <= first))
-
-    rows = spark.range(40).select((F.col("id") % 8).alias("gid"), F.expr("id DIV 8").cast("int").alias("k"))
-    return rows.groupBy("gid").applyInPandas(run, "gid long, k int, x double, improved boolean")
-
-
-def _cells(spark, n_grids, rows, cols, seed):
-    cells = spark.range(n_grids * rows * cols).select(F.expr(f"id DIV {rows * cols}").alias("gid"), F.expr(f"(id DIV {cols}) % {rows}").cast("int").alias("r"), (F.col("id") % cols).cast("int").alias("c"))
-    inside = F.col("r").between(rows // 2 - seed // 2, rows // 2 + seed // 2) & F.col("c").between(cols // 2 - seed // 2, cols // 2 + seed // 2)
-    return cells.select("gid", "r", "c", F.when(inside, F.col("c") * 10.0).alias("x"), F.when(inside, F.col("r") * 10.0).alias("y"), F.when(inside, F.col("gid") * 5.0).alias("z"))
-
-
-@query("t5_grow_grids", """SELECT CAST(i // 49 AS BIGINT) AS gid, CAST(i // 7 % 7 AS INTEGER) AS r, CAST(i % 7 AS INTEGER) AS c, (i % 7) * 10.0e0 AS x, (i // 7 % 7) * 10.0e0 AS y, (i // 49) * 5.0e0 AS z FROM range(98) t(i)""")
-def t5(spark, sf):
-    """Two flat seeds grown to 7 x 7: the plane is filled exactly."""
-    grown = T.grow_grids(_cells(spark, 2, 7, 7, 3), 10.0, T.Growth(radius=2))
-    return grown.select("gid", "r", "c", *((F.round(a, 3) + F.lit(0.0)).alias(a) for a in "xyz"))
-
-
-@query("t8_trace_to_surface", """SELECT CAST(i // 7 AS INTEGER) AS gy, CAST(i % 7 AS INTEGER) AS gx, 0.0e0 AS pz, (i // 7) * 10.0e0 AS py, (i % 7) * 10.0e0 AS px, 2.0e0 AS depth FROM range(49) t(i)""")
-def t8(spark, sf):
-    return T.to_surface(t5(spark, sf).where("gid = 0"), 2.0)
-
-
-@query("t7_seed_from_sdf", "SELECT CAST(i // 9 AS BIGINT) AS gid, CAST(1 + i // 3 % 3 AS INTEGER) AS r, CAST(1 + i % 3 AS INTEGER) AS c, 12.0e0 AS radius, true AS on_zero FROM range(18) t(i)")
-def t7(spark, sf):
-    """A seed patch on a cylinder's zero set, made in a task from the signed distance of its chunk."""
-
-    def run(batches):
-        for pdf in batches:
-            z, _, x = np.meshgrid(np.arange(40), np.arange(40), np.arange(40), indexing="ij")
-            field = T.Field(np.hypot(x - 19.5, z - 19.5) - 12)
-            for gid in pdf["id"]:
-                grid = T.seed_patch(field, (33.0, 15.0 + gid, 19.0), (5, 5), 3.0)
-                r, c = np.nonzero(~np.isnan(grid[..., 0]))
-                at = grid[r, c]
-                yield pd.DataFrame({"gid": gid, "r": r, "c": c, "x": at[:, 0], "y": at[:, 1], "z": at[:, 2], "residual": [abs(field.at(p)[0]) for p in at]})
-
-    seeds = spark.range(2).mapInPandas(run, "gid long, r int, c int, x double, y double, z double, residual double")
-    return seeds.select("gid", "r", "c", F.round(F.sqrt(F.pow(F.col("x") - 19.5, 2) + F.pow(F.col("z") - 19.5, 2)), 1).alias("radius"), (F.col("residual") < 1e-3).alias("on_zero"))
-
-
 def _noisy_sheet(spark, sf, dims):
     """A flat sheet between z = 9 and 10 with the derived volume's values, a sixteenth of them, on top."""
     sheet = volume_from_function(spark, *dims, F.when(F.col("z").between(9, 10), 220).otherwise(40))
     noise = vox(spark, sf, dims[0]).select(*AXES, F.expr("v DIV 16").cast("int").alias("n"))
     return sheet.join(noise, list(AXES), "left").select(*AXES, (F.col("v") + F.coalesce("n", F.lit(0))).cast("int").alias("v"))
-
-
-@query("t10_trace_pipeline")
-def t10(spark, sf):
-    """Detect, signed distance, seed and grow over one chunk with a flat sheet."""
-    dims = (20, 20, 20)
-    found = P.remove_small(P.detect_sheets(_noisy_sheet(spark, sf, dims), dims, value_low=80), 20, 20, 50)
-    sdf = P.signed_distance(found, dims)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = np.zeros(dims)
-        data[pdf["z"], pdf["y"], pdf["x"]] = pdf["d"]
-        field = T.Field(data)
-        grid, _, _ = T.grow(T.seed_patch(field, (10.0, 10.0, 12.0), (5, 5), 3.0), 3.0, T.Growth(radius=2), field)
-        r, c = np.nonzero(~np.isnan(grid[..., 0]))
-        return pd.DataFrame({"r": r, "c": c, "x": grid[r, c, 0], "y": grid[r, c, 1], "z": grid[r, c, 2]})
-
-    return sdf.groupBy(F.expr("z DIV 256")).applyInPandas(run, "r int, c int, x double, y double, z double")
