@@ -80,28 +80,74 @@ def test_rate_target_is_within_its_limits(spark):
     assert 0.5 <= low <= high <= 24
 
 
+def table_of(spark, data):
+    return spark.createDataFrame([(*map(int, p), int(data[tuple(p)])) for p in np.argwhere(data)], "z int, y int, x int, v int")
+
+
 @pytest.mark.parametrize("codec", ["raw", "blosc"])
 def test_zarr_levels_read_as_chunks(spark, tmp_path, codec):
     data = ball(32)
     for lod, edge in ((0, 16), (1, 8)):
-        zarr2.write_level(str(tmp_path), lod, data[:: lod + 1, :: lod + 1, :: lod + 1], edge, codec, "/" if lod else ".")
-    assert zarr2.n_levels(str(tmp_path)) == 2 and zarr2.geometry(str(tmp_path))["grid"] == (2, 2, 2)
-    assert zarr2.locate(str(tmp_path), 1, 0, 1, 2) == "1/0/1/2"
+        part = data[:: lod + 1, :: lod + 1, :: lod + 1]
+        zarr2.write_level(table_of(spark, part), str(tmp_path), lod, part.shape, edge, codec, "/" if lod else ".", 600)
+    meta = zarr2.geometry(spark, str(tmp_path))
+    assert zarr2.n_levels(spark, str(tmp_path)) == 2 and meta["grid"] == (2, 2, 2)
+    assert zarr2.key_of(zarr2.geometry(spark, str(tmp_path), 1), 1, 0, 1, 2) == "1/0/1/2"
     level = zarr2.read_level(spark, str(tmp_path))
     got = np.zeros_like(data)
     for r in zarr2.voxels(level, 16).collect():
         got[r["z"], r["y"], r["x"]] = r["v"]
     assert (got == data).all()
     assert zarr2.read_pyramid(spark, str(tmp_path)).where("lod = 1").count() == 8
-    assert level.where("cz = 1 AND cx >= 1").count() == 2
+    assert zarr2.read_level(spark, str(tmp_path), 0, "cz = 1 AND cx >= 1").count() == 2
+    for box in ((3, 4, 5, 20, 9, 17), (15, 0, 0, 2, 32, 32), (-5, -5, 30, 8, 60, 8)):
+        rows, cost = zarr2.region(spark, str(tmp_path), *box)
+        here = tuple(slice(max(a, 0), a + n) for a, n in zip(box[:3], box[3:], strict=True))
+        want = {(z, y, x, int(data[z, y, x])) for z, y, x in np.argwhere(data).tolist() if all(s.start <= c < s.stop for c, s in zip((z, y, x), here, strict=True))}
+        assert {tuple(r) for r in rows.collect()} == want
+        if codec == "raw":
+            assert all(r["fetched"] < r["length"] for r in cost.where("key LIKE '0/0.%'").collect()) if box[0] else True
+
+
+def test_a_range_of_a_frame_reads_only_its_blocks():
+    data = np.random.default_rng(0).integers(0, 5, 10_000).astype(np.uint8).tobytes()
+    for frame in (zarr2.blosc_encode(data, 1000), struct_frame(data)):
+        for start, length in ((0, 1), (999, 2), (2500, 3100), (9_999, 1), (0, 10_000)):
+            spent = []
+
+            def read(a, n, frame=frame, spent=spent):
+                spent.append(n)
+                return frame[a : a + n]
+
+            assert zarr2.blosc_range(read, start, length) == data[start : start + length]
+            assert length > 2000 or sum(spent) < 3000
+
+
+def struct_frame(data):
+    """A frame that is stored whole."""
+    import struct
+
+    return struct.pack("<BBBBIII", 2, 1, 0x92, 1, len(data), 1000, 16 + len(data)) + data
+
+
+def test_planning_follows_what_is_stored(spark, tmp_path):
+    """A grid of 8 million chunks with two objects, one of them far out."""
+    rows = spark.createDataFrame([(0, 0, 0, 7), (1599, 3, 1590, 9)], "z int, y int, x int, v int")
+    assert zarr2.write_level(rows, str(tmp_path), 0, (1600, 1600, 1600), 8) == 2
+    assert zarr2.stored(spark, str(tmp_path)).count() == 2
+    meta = zarr2.geometry(spark, str(tmp_path))
+    got = zarr2.voxels(zarr2.fetched(zarr2.stored(spark, str(tmp_path)), str(tmp_path), meta), 8).drop("lod").collect()
+    assert {tuple(r) for r in got} == {(0, 0, 0, 7), (1599, 3, 1590, 9)}
+    assert zarr2.region(spark, str(tmp_path), 1590, 0, 1580, 20, 20, 20)[1].count() == 1
 
 
 def test_missing_zarr_chunk_is_air_and_a_short_one_fails(spark, tmp_path):
     data = np.zeros((16, 16, 16), np.uint8)
     data[8:, 8:, 8:] = 5
-    zarr2.write_level(str(tmp_path), 0, data, 8)
+    zarr2.write_level(table_of(spark, data), str(tmp_path), 0, data.shape, 8)
     states = {tuple(r)[1:4]: r["state"] for r in zarr2.read_level(spark, str(tmp_path)).collect()}
-    assert states[1, 1, 1] == 1 and states[0, 0, 0] == 2
+    assert states[1, 1, 1] == 1 and states[0, 0, 0] == 2 and len(states) == 8
+    (tmp_path / "0" / ".1.1.1.crc").unlink(missing_ok=True)
     (tmp_path / "0" / "1.1.1").write_bytes(b"short")
     with pytest.raises(Exception):
         zarr2.read_level(spark, str(tmp_path)).collect()

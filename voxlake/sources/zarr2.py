@@ -1,28 +1,30 @@
-"""Zarr v2 levels as a Spark data source: dense cubic chunks of bytes, raw or blosc with zstd.
+"""Zarr v2 levels: dense cubic chunks of bytes, raw or blosc with zstd.
 
-``spark.read.format("zarr2").option("lod", 0).load(path)`` gives (lod, cz, cy, cx, state, data).
-A missing chunk object is air (state 2, no data); an object that can't be read fails the task,
-so that it is tried again. Each chunk is an input partition of its own, and filters on cz, cy
-and cx prune chunks before any is fetched.
+A level is planned over a listing of its objects, so planning follows what is stored and never the grid.
+Coordinates are parsed from keys, filters on them drop rows of the listing, and tasks fetch what is left: whole
+chunks, or of each chunk the bytes that a box needs. A chunk without an object is air; an object that can't be
+read fails the task, so that it is tried again.
 """
 
 from __future__ import annotations
 
 import itertools
 import json
-import os
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from ..functions.coords import PRESENT, ZERO
+from ..functions.coords import AXES, PRESENT, ZERO, block_box, cells, dense_grid, shift_of
+from .objects import ArrowStore, exists, listing, small_text
 
 SCHEMA = "lod int, cz int, cy int, cx int, state int, data binary"
+ARROW = pa.schema([(n, pa.int32()) for n in ("lod", "cz", "cy", "cx", "state")] + [("data", pa.binary())])
+CHUNK = ["cz", "cy", "cx"]
 
 
 def read_meta(text: str) -> dict:
@@ -70,138 +72,99 @@ def blosc_encode(data: bytes, block: int = 1 << 16) -> bytes:
     return struct.pack("<BBBBIII", 2, 1, 0x90, 1, len(data), block, 16 + len(frame)) + frame
 
 
-class FileStore:
-    """Keyed objects under a path that Python can open; other stores have the same two methods."""
-
-    def __init__(self, root: str):
-        self.root = root.removeprefix("file://")
-
-    def get(self, key: str) -> bytes | None:
-        """An object's bytes; None if there is no such object. Other failures raise."""
-        try:
-            with open(os.path.join(self.root, key), "rb") as f:
-                return f.read()
-        except FileNotFoundError:
-            return None
-
-    def get_range(self, key: str, start: int, length: int) -> bytes | None:
-        try:
-            with open(os.path.join(self.root, key), "rb") as f:
-                f.seek(start)
-                return f.read(length)
-        except FileNotFoundError:
-            return None
-
-    def exists(self, key: str) -> bool:
-        return os.path.exists(os.path.join(self.root, key))
-
-
-#: Chunks that one task reads.
-CHUNKS_PER_TASK = 16
-
-
-class Chunks(InputPartition):
-    def __init__(self, cells: list[tuple[int, int, int]]):
-        self.cells = cells
-
-
-class ZarrReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.root, self.lod = options["path"], int(options.get("lod", "0"))
-        text = FileStore(self.root).get(f"{self.lod}/.zarray")
-        if text is None:
-            raise FileNotFoundError(f"{self.root}/{self.lod}/.zarray")
-        self.meta = read_meta(text.decode())
-        grid = [-(-n // self.meta["edge"]) for n in self.meta["shape"]]
-        self.ranges = [[0, n - 1] for n in grid]
-        self.stored_only = False
-
-    def pushFilters(self, filters):
-        """Comparisons of a chunk coordinate narrow the grid, and who asks for material alone gets no task for chunks
-        that aren't stored; the rest is left to Spark."""
-        for f in filters:
-            name = getattr(f, "attribute", ("",))[-1]
-            if name == "state" and isinstance(f, EqualTo) and f.value == PRESENT:
-                self.stored_only = True
-            if name in ("cz", "cy", "cx") and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, In)):
-                r = self.ranges[("cz", "cy", "cx").index(name)]
-                if isinstance(f, In):
-                    low, high = min(f.value), max(f.value)
-                else:
-                    low = {EqualTo: f.value, GreaterThan: f.value + 1, GreaterThanOrEqual: f.value}.get(type(f), r[0])
-                    high = {EqualTo: f.value, LessThan: f.value - 1, LessThanOrEqual: f.value}.get(type(f), r[1])
-                r[0], r[1] = max(r[0], low), min(r[1], high)
-            yield f
-
-    def partitions(self):
-        cells = list(itertools.product(*(range(lo, hi + 1) for lo, hi in self.ranges)))
-        if self.stored_only:
-            store = FileStore(self.root)
-            cells = [at for at in cells if store.exists(self.key(at))]
-        return [Chunks(cells[k : k + CHUNKS_PER_TASK]) for k in range(0, len(cells), CHUNKS_PER_TASK)]
-
-    def key(self, at) -> str:
-        return f"{self.lod}/" + self.meta["separator"].join(map(str, at))
-
-    def read(self, partition):
-        schema = pa.schema([(n, pa.int32()) for n in ("lod", "cz", "cy", "cx", "state")] + [("data", pa.binary())])
-        for at in partition.cells if partition is not None else ():
-            raw = FileStore(self.root).get(self.key(at))
-            data = None
-            if raw is not None:
-                data = raw if self.meta["codec"] == "raw" else blosc_decode(raw)
-                if len(data) != self.meta["edge"] ** 3:
-                    raise ValueError(f"chunk {at} has {len(data)} bytes")
-            state = PRESENT if data is not None and any(data) else ZERO
-            columns = [self.lod, *at, state, data if state == PRESENT else None]
-            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-class Zarr2(DataSource):
-    @classmethod
-    def name(cls):
-        return "zarr2"
-
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        return ZarrReader(self.options)
-
-
-def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(Zarr2)
-
-
-def geometry(root: str, lod: int = 0) -> dict:
-    """Shape, edge, codec and chunk grid of a level."""
-    text = FileStore(root).get(f"{lod}/.zarray")
+def blosc_range(read, start: int, length: int) -> bytes:
+    """Bytes start to start + length of a frame's contents; of the frame only its table and the blocks that hold them are read.
+
+    ``read(start, length)`` gives bytes of the frame.
+    """
+    header = read(0, 16)
+    _, _, flags, _, size, block, total = struct.unpack("<BBBBIII", header)
+    if flags & 0x05:
+        raise ValueError("shuffled frames are not supported")
+    if flags & 0x02:
+        return read(16 + start, length)
+    count = -(-size // block)
+    starts = [*struct.unpack(f"<{count}I", read(16, 4 * count)), total]
+    first, last = start // block, (start + length - 1) // block
+    body, out = read(starts[first], starts[last + 1] - starts[first]), []
+    for k in range(first, last + 1):
+        at, wanted = starts[k] - starts[first], min(block, size - k * block)
+        (n,) = struct.unpack_from("<I", body, at)
+        part = body[at + 4 : at + 4 + n]
+        out.append(part if n == wanted else zstandard.ZstdDecompressor().decompress(part, max_output_size=wanted))
+    return b"".join(out)[start - first * block :][:length]
+
+
+# ---------------------------------------------------------------- planning
+
+
+def geometry(spark: SparkSession, root: str, lod: int = 0) -> dict:
+    """Shape, edge, codec, separator and chunk grid of a level."""
+    text = small_text(spark, f"{root}/{lod}/.zarray")
     if text is None:
         raise FileNotFoundError(f"{root}/{lod}/.zarray")
-    meta = read_meta(text.decode())
+    meta = read_meta(text)
     return {**meta, "grid": tuple(-(-n // meta["edge"]) for n in meta["shape"])}
 
 
-def locate(root: str, lod: int, z: int, y: int, x: int) -> str:
+def key_of(meta: dict, lod: int, z: int, y: int, x: int) -> str:
     """The key of a chunk's object, without fetching it."""
-    return f"{lod}/" + geometry(root, lod)["separator"].join(map(str, (z, y, x)))
+    return f"{lod}/" + meta["separator"].join(map(str, (z, y, x)))
 
 
-def n_levels(root: str) -> int:
+def n_levels(spark: SparkSession, root: str) -> int:
     """Levels from 0 up to the first that is missing."""
-    return next(k for k in itertools.count() if not FileStore(root).exists(f"{k}/.zarray"))
+    return next(k for k in itertools.count() if not exists(spark, f"{root}/{k}/.zarray"))
+
+
+def stored(spark: SparkSession, root: str, lod: int = 0) -> DataFrame:
+    """(lod, cz, cy, cx, key, length) of a level's objects, from their listing alone."""
+    meta = geometry(spark, root, lod)
+    parts = F.split("key", "[.]" if meta["separator"] == "." else "/")
+    rows = listing(spark, f"{root}/{lod}").where(F.size(parts) == 3)
+    return rows.select(F.lit(lod).alias("lod"), *(parts[k].cast("int").alias(c) for k, c in enumerate(CHUNK)), F.concat(F.lit(f"{lod}/"), "key").alias("key"), "length")
+
 
+def missing(spark: SparkSession, root: str, lod: int = 0) -> DataFrame:
+    """(cz, cy, cx) of the grid's chunks that have no object; the grid is made by tasks."""
+    grid = dense_grid(spark, *geometry(spark, root, lod)["grid"]).toDF(*CHUNK)
+    return grid.join(stored(spark, root, lod).select(*CHUNK), CHUNK, "left_anti")
 
-def read_level(spark: SparkSession, root: str, lod: int = 0) -> DataFrame:
-    register(spark)
-    return spark.read.format("zarr2").option("lod", lod).load(root)
+
+# ---------------------------------------------------------------- reading
+
+
+def fetched(rows: DataFrame, root: str, meta: dict, opened=ArrowStore) -> DataFrame:
+    """Chunks (lod, cz, cy, cx, state, data) of rows of a listing, one in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        store = opened(root)
+        for batch in batches:
+            for *at, key in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                raw = store.get(key)
+                if raw is None:
+                    raise FileNotFoundError(f"{root}/{key} was listed and is gone")
+                data = raw if meta["codec"] == "raw" else blosc_decode(raw)
+                if len(data) != meta["edge"] ** 3:
+                    raise ValueError(f"chunk {key} has {len(data)} bytes")
+                state = PRESENT if np.frombuffer(data, np.uint8).any() else ZERO
+                columns = [*at, state, data if state == PRESENT else None]
+                yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
+
+    return rows.select("lod", *CHUNK, "key").mapInArrow(run, SCHEMA)
+
+
+def read_level(spark: SparkSession, root: str, lod: int = 0, where: str = "true") -> DataFrame:
+    """Chunks of a level, those without an object as air; ``where`` is a condition on cz, cy and cx that is put to the listing."""
+    meta = geometry(spark, root, lod)
+    air = missing(spark, root, lod).where(where).select(F.lit(lod).alias("lod"), *CHUNK, F.lit(ZERO).alias("state"), F.lit(None).cast("binary").alias("data"))
+    return fetched(stored(spark, root, lod).where(where), root, meta).unionByName(air)
 
 
 def read_pyramid(spark: SparkSession, root: str) -> DataFrame:
     """All levels; what is in none of them is air."""
     out = None
-    for lod in range(n_levels(root)):
+    for lod in range(n_levels(spark, root)):
         level = read_level(spark, root, lod)
         out = level if out is None else out.unionByName(level)
     return out
@@ -220,19 +183,68 @@ def voxels(chunks: DataFrame, edge: int) -> DataFrame:
     return chunks.where(F.col("state") == PRESENT).mapInArrow(run, "lod int, z int, y int, x int, v int")
 
 
-def write_level(root: str, lod: int, data: np.ndarray, edge: int, codec: str = "raw", separator: str = ".") -> None:
-    """A level from an array, chunks of air left out: for fixtures and small exports."""
-    at = os.path.join(root.removeprefix("file://"), str(lod))
-    os.makedirs(at, exist_ok=True)
+def region(spark: SparkSession, root: str, z0: int, y0: int, x0: int, dz: int, dy: int, dx: int, lod: int = 0, opened=ArrowStore) -> tuple[DataFrame, DataFrame]:
+    """Material voxels (z, y, x, v) of a box, and (key, length, fetched) of the objects it needs.
+
+    Of each chunk that the box touches only the bytes of its planes in the box are fetched: a range of a raw chunk, the
+    blocks that hold the range of a compressed one.
+    """
+    meta = geometry(spark, root, lod)
+    edge, box, size = meta["edge"], (z0, y0, x0), (dz, dy, dx)
+    touched = stored(spark, root, lod).where(block_box(*box, *size, edge, "c"))
+
+    def planes(store, key, at):
+        """Bytes of the chunk's planes in the box, and the first plane."""
+        lo, hi = max(z0 - at[0] * edge, 0), min(z0 + dz - at[0] * edge, edge)
+        start, length = lo * edge * edge, (hi - lo) * edge * edge
+        if meta["codec"] == "raw":
+            data = store.get_range(key, start, length)
+        else:
+            data = blosc_range(lambda a, n: store.get_range(key, a, n), start, length)
+        if data is None or len(data) != length:
+            raise ValueError(f"chunk {key} is short")
+        return np.frombuffer(data, np.uint8).reshape(hi - lo, edge, edge), lo
+
+    def cut(batches):
+        store = opened(root)
+        for batch in batches:
+            for *at, key in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                data, lo = planes(store, key, at)
+                k = np.nonzero(data)
+                p = [k[a] + at[a] * edge + (lo if a == 0 else 0) for a in range(3)]
+                ok = np.logical_and.reduce([(c >= b) & (c < b + n) for c, b, n in zip(p, box, size, strict=True)])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[ok].astype(np.int32)) for c in p), pa.array(data[k][ok].astype(np.int32))], names=[*AXES, "v"])
+
+    def cost(batches):
+        for batch in batches:
+            spent = []
+            for *at, key in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                store = opened(root)
+                planes(store, key, at)
+                spent.append(store.fetched)
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(4), pa.array(spent, pa.int64())], names=["key", "length", "fetched"])
+
+    keys = touched.select(*CHUNK, "key", "length")
+    return keys.mapInArrow(cut, "z int, y int, x int, v int"), keys.mapInArrow(cost, "key string, length long, fetched long")
+
+
+# ---------------------------------------------------------------- writing
+
+
+def write_level(rows: DataFrame, root: str, lod: int, shape: tuple[int, int, int], edge: int, codec: str = "raw", separator: str = ".", block: int = 1 << 16, opened=ArrowStore) -> int:
+    """Writes voxels (z, y, x, v) as a level, a task a chunk; chunks of air have no object. Returns the number of objects."""
+    shift_of(edge)  # a power of two
     compressor = None if codec == "raw" else {"id": "blosc", "cname": "zstd", "clevel": 3, "shuffle": 0}
-    with open(os.path.join(at, ".zarray"), "w") as f:
-        json.dump({"zarr_format": 2, "shape": data.shape, "chunks": [edge] * 3, "dtype": "|u1", "compressor": compressor, "fill_value": 0, "order": "C", "filters": None, "dimension_separator": separator}, f)
-    for z, y, x in itertools.product(*(range(-(-n // edge)) for n in data.shape)):
+    meta = {"zarr_format": 2, "shape": shape, "chunks": [edge] * 3, "dtype": "|u1", "compressor": compressor, "fill_value": 0, "order": "C", "filters": None, "dimension_separator": separator}
+    opened(root).put(f"{lod}/.zarray", json.dumps(meta).encode())
+
+    def put(key, chunk):
+        at = [k.as_py() for k in key]
         cube = np.zeros((edge,) * 3, np.uint8)
-        part = data[z * edge : (z + 1) * edge, y * edge : (y + 1) * edge, x * edge : (x + 1) * edge]
-        cube[: part.shape[0], : part.shape[1], : part.shape[2]] = part
-        if cube.any():
-            path = os.path.join(at, separator.join(map(str, (z, y, x))))
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path, "wb") as f:
-                f.write(cube.tobytes() if codec == "raw" else blosc_encode(cube.tobytes()))
+        cube[tuple(chunk.column(a).to_numpy() - k * edge for a, k in zip(AXES, at, strict=True))] = chunk.column("v").to_numpy()
+        data = cube.tobytes()
+        opened(root).put(key_of({"separator": separator}, lod, *at), data if codec == "raw" else blosc_encode(data, block))
+        return pa.table({"n": [1]})
+
+    placed = rows.where("v > 0").select(*AXES, "v", *cells("c", edge)).groupBy(*CHUNK).applyInArrow(put, "n long")
+    return placed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
