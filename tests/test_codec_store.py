@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from voxlake.operators import codec as B
+from voxlake.sources import one_file
 from voxlake.sources import surface_files as S
 from voxlake.sources import zarr2
 from voxlake.sources.store import Archive, Geometry, probe
@@ -169,7 +170,10 @@ def grid7x5(spark):
 
 
 def test_obj_grid_round_trip(spark, tmp_path):
-    (tmp_path / "grid.obj").write_text(S.obj_grid_text(grid7x5(spark), 7, 5))
+    S.save_obj_grid(grid7x5(spark).repartition(3), 7, 5, f"file://{tmp_path}/grid.obj")
+    lines = (tmp_path / "grid.obj").read_text().splitlines()
+    assert lines[0] == "# grid 7 5" and sum(x.startswith("v ") for x in lines) == 34 and sum(x.startswith("f ") for x in lines) == 2 * (24 - 4)
+    assert [p.name for p in tmp_path.iterdir() if p.is_file() and p.name.startswith("grid")] == ["grid.obj"]
     back = S.load_obj_grid(spark, f"file://{tmp_path}/grid.obj")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, grid7x5(spark).where("pz IS NOT NULL").collect()))
 
@@ -178,16 +182,54 @@ def test_obj_mesh_fans_counts_back_and_drops(spark, tmp_path):
     (tmp_path / "m.obj").write_text("v 0 0 0\nv 1 0 0\nv 1 1 0\nvn 0 0 1\nv 0 1 0\nf 1//1 2//1 3//1\nf -4 -3 -2 -1\nf 1 2 9\n")
     v, t = S.load_obj_mesh(spark, f"file://{tmp_path}/m.obj")
     assert v.count() == 4 and [tuple(r) for r in t.orderBy("tid").collect()] == [(0, 0, 1, 2), (1, 0, 1, 2), (2, 0, 2, 3)]
-    assert S.obj_mesh_text(v, t).count("\nf ") == 3
+    S.save_obj_mesh(v.repartition(3), t.repartition(2), f"file://{tmp_path}/again.obj")
+    assert (tmp_path / "again.obj").read_text() == "v 0 0 0\nv 1 0 0\nv 1 1 0\nv 0 1 0\nf 1 2 3\nf 1 2 3\nf 1 3 4\n"
+
+
+def test_a_text_in_many_splits_keeps_its_order(spark, tmp_path):
+    """Vertex numbers and relative indices over splits of 1,000 bytes."""
+    n = 700
+    (tmp_path / "m.obj").write_text("".join(f"v {k} {k}.5 -1\nf -1 {k + 1} {max(k, 1)}\n" for k in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        v, t = S.load_obj_mesh(spark, f"file://{tmp_path}/m.obj")
+        assert {r["vid"]: (r["x"], r["y"]) for r in v.collect()} == {k: (k, k + 0.5) for k in range(n)}
+        assert sorted(map(tuple, t.collect())) == [(k, k, k, max(k, 1) - 1) for k in range(n)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_parts_that_do_not_follow_each_other_fail(spark, tmp_path):
+    rows = spark.createDataFrame([(0, b"abc"), (3, b"d"), (5, b"e")], "offset long, data binary")
+    with pytest.raises(Exception):
+        one_file.write_file(rows, f"file://{tmp_path}/x")
+    assert not (tmp_path / "x").exists()
+    one_file.write_file(rows.where("offset < 5").repartition(4), f"file://{tmp_path}/x")
+    assert (tmp_path / "x").read_bytes() == b"abcd"
+
+
+def test_raw_box_round_trip(spark, tmp_path):
+    data = ball(16)
+    S.save_raw(table_of(spark, data), (2, -3, 4, 9, 10, 14), f"file://{tmp_path}/box.raw")
+    want = np.zeros((9, 10, 14), np.uint8)
+    want[:, 3:, :12] = data[2:11, :7, 4:]
+    assert (tmp_path / "box.raw").read_bytes() == want.tobytes()
+    got = {tuple(r) for r in S.load_raw(spark, f"file://{tmp_path}/box.raw", (9, 10, 14)).collect()}
+    assert got == {(*map(int, p), int(want[tuple(p)])) for p in np.argwhere(want)}
 
 
 def test_pixel_map_round_trip(spark, tmp_path):
-    (tmp_path / "map.vc").write_bytes(S.pixel_map_bytes(grid7x5(spark), 7, 5))
+    S.save_pixel_map(grid7x5(spark), 7, 5, f"file://{tmp_path}/map.vc")
+    head, _, body = (tmp_path / "map.vc").read_bytes().partition(b"<>\n")
+    assert b"width: 7\n" in head and len(body) == 35 * 48 and np.frombuffer(body, "<f8")[:3].tolist() == [100, 200, 50]
     back = S.load_pixel_map(spark, f"file://{tmp_path}/map.vc", 3.0)
     rows = {(r["gy"], r["gx"]): r for r in back.collect()}
     assert rows[1, 2]["pz"] is None and rows[1, 2]["depth"] == 0 and rows[4, 6]["px"] == 124.0 and rows[4, 6]["depth"] == 3.0
 
 
-def test_ppm(spark):
+def test_ppm(spark, tmp_path):
     image = spark.createDataFrame([(0, 0, 7), (0, 1, 9)], "i int, j int, val int")
-    assert S.ppm_bytes(image, 2, 1) == b"P6\n2 1\n255\n" + bytes([7, 7, 7, 9, 9, 9])
+    S.save_ppm(image, 2, 2, f"file://{tmp_path}/i.ppm")
+    assert (tmp_path / "i.ppm").read_bytes() == b"P6\n2 2\n255\n" + bytes([7, 7, 7, 9, 9, 9]) + bytes(6)
+    assert sorted(map(tuple, S.load_ppm(spark, f"file://{tmp_path}/i.ppm").collect())) == [(0, 0, 7, 7, 7), (0, 1, 9, 9, 9), (1, 0, 0, 0, 0), (1, 1, 0, 0, 0)]
