@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -5,9 +7,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from voxlake.operators import codec as B
+from voxlake.operators import codec
 from voxlake.sources import one_file
+from voxlake.sources import store as store_module
 from voxlake.sources import surface_files as S
 from voxlake.sources import zarr2
+from voxlake.streaming import pyramid_stream
 from voxlake.sources.store import Archive, Geometry, probe
 from voxlake.sources.volumes import volume_from_function
 
@@ -233,3 +238,90 @@ def test_ppm(spark, tmp_path):
     S.save_ppm(image, 2, 2, f"file://{tmp_path}/i.ppm")
     assert (tmp_path / "i.ppm").read_bytes() == b"P6\n2 2\n255\n" + bytes([7, 7, 7, 9, 9, 9]) + bytes(6)
     assert sorted(map(tuple, S.load_ppm(spark, f"file://{tmp_path}/i.ppm").collect())) == [(0, 0, 7, 7, 7), (0, 1, 9, 9, 9), (1, 0, 0, 0, 0), (1, 1, 0, 0, 0)]
+
+
+def small_store(spark, tmp_path, name="store", nlods=1, quality=0.01):
+    return store_module.Archive.create(spark, f"file://{tmp_path}/{name}", store_module.Geometry(32, 32, 32, 8, 16, quality, 0, nlods))
+
+
+def voxels_of(df):
+    return {tuple(r) for r in df.select("z", "y", "x", "v").collect()}
+
+
+def test_residuals_make_a_lossy_store_exact(spark, tmp_path):
+    data = np.where(ball(32) > 0, np.random.default_rng(3).integers(1, 255, (32, 32, 32)), 0).astype(np.uint8)
+    want = {(*map(int, p), int(data[tuple(p)])) for p in np.argwhere(data)}
+    lossy, exact = small_store(spark, tmp_path, "lossy", quality=40.0), small_store(spark, tmp_path, "exact", quality=40.0)
+    lossy.append(table_of(spark, data))
+    exact.append(table_of(spark, data), exact=True)
+    assert voxels_of(lossy.region(0, 0, 0, 32, 32, 32)) != want and voxels_of(exact.region(0, 0, 0, 32, 32, 32)) == want
+    row = exact.blocks().selectExpr("sum(octet_length(residual)) r", "sum(octet_length(payload)) p", "count(*) n").first()
+    assert 0 < row["r"] < 6 * 512 * row["n"] and exact.verify().count() == 0
+    for off in (np.zeros((4, 4, 4), int), np.arange(-32, 32).reshape(4, 4, 4)):
+        body = codec.residual_bytes(off)
+        assert (body is None) == (not off.any())
+        if body is not None:
+            assert (codec.add_residual(np.full((4, 4, 4), 100, np.uint8), body) == 100 + off).all()
+
+
+def test_chained_hash_counts_order_and_contents(spark, tmp_path):
+    base = [(0, 0, 0, b"a", 1.0), (0, 0, 1, b"bc", 1.0), (0, 1, 0, None, 1.0)]
+
+    def hash_of(rows, nibbles):
+        blocks = spark.createDataFrame([(0, *r) for r in rows], "cz int, bz int, by int, bx int, payload binary, quality double").withColumn("residual", F.lit(None).cast("binary"))
+        parts = store_module.block_parts(blocks, ["cz"])
+        return parts.withColumn("nibbles", F.create_map(*(F.lit(x) for kv in nibbles.items() for x in kv))).select(store_module.chunk_hash()).first()[0]
+
+    first = hash_of(base, {0: 3})
+    assert hash_of(base[::-1], {0: 3}) == first
+    swapped = [(0, 0, 0, b"bc", 1.0), (0, 0, 1, b"a", 1.0), base[2]]
+    others = [hash_of(swapped, {0: 3}), hash_of(base, {0: 4}), hash_of(base, {1: 3}), hash_of(base[:2], {0: 3}), hash_of([(*base[0][:4], 2.0), *base[1:]], {0: 3}), hash_of([(0, 0, 0, b"ab", 1.0), (0, 0, 1, b"c", 1.0), base[2]], {0: 3})]
+    assert len({first, *others}) == 7
+
+
+def test_pyramid_upkeep_equals_a_rebuild_by_stream(spark, tmp_path):
+    """Three batches of changed chunks through a stream; after all, every level is that of a store built at once."""
+    rng = np.random.default_rng(5)
+    data = np.where(rng.random((32, 32, 32)) < 0.4, rng.integers(1, 255, (32, 32, 32)), 0)
+    kept = small_store(spark, tmp_path, "kept", 3)
+    now, feed, states = data.copy(), tmp_path / "feed", []
+    every = np.argwhere(np.ones_like(data))
+    for k, (region, change) in enumerate(((np.s_[:], lambda a: a), (np.s_[:16, :16], lambda a: a // 2), (np.s_[16:, :, 16:], lambda a: a * 0))):
+        mask = np.zeros_like(data, bool)
+        mask[region] = True
+        now[region] = change(now[region])
+        rows = [(*map(int, p), int(now[tuple(p)])) for p in every if mask[tuple(p)]]
+        spark.createDataFrame(rows, "z int, y int, x int, v int").coalesce(1).write.mode("append").parquet(f"file://{feed}")
+        progress = pyramid_stream.Progress(states.append)
+        spark.streams.addListener(progress)
+        stream = spark.readStream.schema("z int, y int, x int, v int").parquet(f"file://{feed}")
+        query = pyramid_stream.keep_up(stream, kept.path, f"file://{tmp_path}/checkpoint")
+        assert query.awaitTermination(120)
+        whole = small_store(spark, tmp_path, f"whole{k}", 3)
+        whole.build(spark.createDataFrame([(*map(int, p), int(now[tuple(p)])) for p in every], "z int, y int, x int, v int"))
+        for lod in range(3):
+            assert voxels_of(kept.region(0, 0, 0, 32, 32, 32, lod)) == voxels_of(whole.region(0, 0, 0, 32, 32, 32, lod)), (k, lod)
+        for _ in range(100):
+            if len(states) > k:
+                break
+            time.sleep(0.1)
+        spark.streams.removeListener(progress)
+        assert states[k]["changes"] == {"voxels": len(rows), "material": sum(r[3] > 0 for r in rows)}
+    # The last change reached four chunks of level 0, one of level 1 (of two levels above, all are one).
+    newest = kept.chunks().where("lod = 0").groupBy("version").count().orderBy("version").collect()
+    assert [r["count"] for r in newest] == [2, 2, 4]
+
+
+def test_observed_counts(spark, tmp_path):
+    data = ball(32)
+    store = small_store(spark, tmp_path)
+    store.append(table_of(spark, data))
+    seen = store.observed_decode().first()
+    sizes = store.blocks().selectExpr("count(*) n", "sum(octet_length(payload)) b").first()
+    assert (seen["blocks"], seen["bytes"], seen["errors"], seen["decoded"], seen["voxels"]) == (sizes["n"], sizes["b"], 0, sizes["n"], (data > 0).sum())
+
+
+def test_versions_ascend_within_a_process(spark, tmp_path):
+    store = small_store(spark, tmp_path)
+    got = [store._next_version() for _ in range(1000)]
+    assert got == sorted(set(got))

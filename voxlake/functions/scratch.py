@@ -26,15 +26,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all tables of this session. Frames that were made from them can't be read afterwards, so write results first."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(session_dir(spark))
-    at.getFileSystem(conf).delete(at, True)
+    _delete(spark, session_dir(spark))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write as Parquet and read back: cuts the lineage of iterations and is computed once for several readers."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes materialized tables that nothing is made from any more: what was, has been written itself."""
+    for table in tables:
+        path = getattr(table, "_scratch", None)
+        if path is not None:
+            _delete(table.sparkSession, path)

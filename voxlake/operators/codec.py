@@ -168,6 +168,27 @@ def unpack_blocks(blocks: DataFrame, edge: int = 16) -> DataFrame:
     return blocks.select("bz", "by", "bx", "data").mapInArrow(run, "z int, y int, x int, v int")
 
 
+def byte_pairs(blocks: DataFrame) -> DataFrame:
+    """(v, u): bytes of ``data`` and ``decoded`` side by side."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                pair = [np.frombuffer(b"".join(batch.column(c).slice(k, 256).to_pylist()), np.uint8).astype(np.int32) for c in range(2)]
+                yield pa.RecordBatch.from_arrays([pa.array(p) for p in pair], names=["v", "u"])
+
+    return blocks.select("data", "decoded").mapInArrow(run, "v int, u int")
+
+
+def quality_metrics(pairs: DataFrame) -> DataFrame:
+    """One row (psnr, ssim) of voxel pairs (v, u): over all of them, SSIM with its usual constants for 255 levels."""
+    t = pairs.agg(F.avg(F.pow(F.col("v") - F.col("u"), 2)).alias("mse"), F.avg("v").alias("a"), F.avg("u").alias("b"), F.var_pop("v").alias("va"), F.var_pop("u").alias("vb"), F.covar_pop("v", "u").alias("c"))
+    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+    a, b = F.col("a"), F.col("b")
+    ssim = (2 * a * b + c1) * (2 * F.col("c") + c2) / ((a * a + b * b + c1) * (F.col("va") + F.col("vb") + c2))
+    return t.select(F.round(10 * F.log10(65025 / F.col("mse")), 1).alias("psnr"), F.round(ssim, 2).alias("ssim"))
+
+
 def _per_batch(df: DataFrame, column: str, out: str, convert, edge: int) -> DataFrame:
     others = [c for c in df.columns if c != column]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != column] + [f"{out} binary"])
@@ -192,23 +213,72 @@ def decode(blocks: DataFrame, codec: Codec, edge: int = 16) -> DataFrame:
     return _per_batch(blocks, "payload", "data", lambda v: [b.tobytes() for b in decode_blocks(v, codec, edge)], edge)
 
 
-def decode_mixed(blocks: DataFrame, max_error: int = 0, edge: int = 16) -> DataFrame:
-    """``payload`` becomes ``data``, each block by the quality in its row, however many qualities there are."""
+def residual_bytes(off: np.ndarray) -> bytes | None:
+    """What a decoded block lacks, sparsely: gaps between positions and values as floats; None if nothing."""
+    flat = off.ravel()
+    at = np.flatnonzero(flat)
+    if not len(at):
+        return None
+    return zstandard.ZstdCompressor(level=3).compress(np.diff(at, prepend=0).astype("<u2").tobytes() + flat[at].astype("<f4").tobytes())
+
+
+def add_residual(block: np.ndarray, body: bytes) -> np.ndarray:
+    """A decoded block with its residual added."""
+    raw = zstandard.ZstdDecompressor().decompress(body)
+    n = len(raw) // 6
+    out = block.astype(np.float64).ravel()
+    out[np.frombuffer(raw, "<u2", n).astype(np.int64).cumsum()] += np.frombuffer(raw, "<f4", n, 2 * n)
+    return np.clip(out, 0, 255).astype(np.uint8).reshape(block.shape)
+
+
+def encode_exact(blocks: DataFrame, codec: Codec, edge: int = 16) -> DataFrame:
+    """(bz, by, bx, payload, residual): a lossy payload, and beside it what makes the block exact."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 128):
+                small = batch.slice(k, 128)
+                data = np.frombuffer(b"".join(small.column(3).to_pylist()), np.uint8).reshape(-1, edge, edge, edge)
+                payload = encode_blocks(data, codec)
+                back = decode_blocks(payload, codec, edge)
+                residual = [residual_bytes(a.astype(np.int16) - b) for a, b in zip(data, back, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(small.column(c) for c in range(3)), pa.array(payload, pa.binary()), pa.array(residual, pa.binary())], names=["bz", "by", "bx", "payload", "residual"])
+
+    return blocks.select("bz", "by", "bx", "data").mapInArrow(run, "bz int, by int, bx int, payload binary, residual binary")
+
+
+def decode_mixed(blocks: DataFrame, max_error: int = 0, edge: int = 16, tolerant: bool = False) -> DataFrame:
+    """``payload`` becomes ``data``, each block by the quality in its row, however many qualities there are; a residual beside it is added.
+
+    A damaged payload raises, or with ``tolerant`` has null data.
+    """
+
+    def one_by_one(payload, codec):
+        out = []
+        for p in payload:
+            try:
+                out.append(decode_blocks([p], codec, edge)[0])
+            except (ValueError, struct.error, zstandard.ZstdError):
+                out.append(None)
+        return out
 
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
                 small = batch.slice(k, 128)
                 quality = small.column(3).to_numpy(zero_copy_only=False)
-                payload = small.column(4).to_pylist()
+                payload, residual = small.column(4).to_pylist(), small.column(5).to_pylist()
                 data: list = [None] * len(payload)
                 for q in np.unique(quality):
                     at = np.flatnonzero(quality == q)
-                    for i, block in zip(at.tolist(), decode_blocks([payload[i] for i in at], Codec.of(float(q), max_error), edge), strict=True):
-                        data[i] = block.tobytes()
+                    codec, some = Codec.of(float(q), max_error), [payload[i] for i in at]
+                    for i, block in zip(at.tolist(), one_by_one(some, codec) if tolerant else decode_blocks(some, codec, edge), strict=True):
+                        if block is not None:
+                            data[i] = (block if residual[i] is None else add_residual(block, residual[i])).tobytes()
                 yield pa.RecordBatch.from_arrays([*(small.column(c) for c in range(3)), pa.array(data, pa.binary())], names=["bz", "by", "bx", "data"])
 
-    return blocks.select("bz", "by", "bx", "quality", "payload").mapInArrow(run, "bz int, by int, bx int, data binary")
+    residual = F.col("residual") if "residual" in blocks.columns else F.lit(None).cast("binary")
+    return blocks.select("bz", "by", "bx", "quality", "payload", residual.alias("residual")).mapInArrow(run, "bz int, by int, bx int, data binary")
 
 
 def quality_for_ratio(blocks: DataFrame, codec: Codec, ratio: float, edge: int = 16) -> float:

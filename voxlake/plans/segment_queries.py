@@ -8,11 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions.coords import AXES
+from ..functions.coords import AXES, dense_grid
 from ..operators import aggregate as A
 from ..operators import segment as P
 from ..operators import volume as V
-from ..sources.volumes import grid_sql, read_table, volume_from_function, vox, vox_sql
+from ..sources.volumes import grid_sql, read_table, vox, vox_sql
 from .register import query
 
 D = 16
@@ -201,15 +201,17 @@ def p8(spark, sf):
     return P.signed_distance(mask(spark, sf), DIMS, EDGE).select(*AXES, F.round("d", 4).alias("d"))
 
 
-@query("p9_detect_pipeline", "SELECT CAST(9 + i // 324 AS INTEGER) AS z, CAST(1 + i // 18 % 18 AS INTEGER) AS y, CAST(1 + i % 18 AS INTEGER) AS x, CAST(9 * 400 + 20 + 1 AS BIGINT) AS root, CAST(1 AS INTEGER) AS label FROM range(648) t(i)")
+@query("p9_detect_pipeline", """WITH k AS (SELECT 6 + count(*) % 7 AS k FROM part)
+SELECT CAST(k + i // 324 AS INTEGER) AS z, CAST(1 + i // 18 % 18 AS INTEGER) AS y, CAST(1 + i % 18 AS INTEGER) AS x, CAST(k * 400 + 20 + 1 AS BIGINT) AS root, CAST(1 AS INTEGER) AS label FROM range(648) t(i), k""")
 def p9(spark, sf):
-    """A noisy flat sheet, from the volume to one labelled component."""
+    """A noisy flat sheet whose place follows from the parts, from the volume to one labelled component."""
     dims = (20, 20, 20)
     return P.detect_pipeline(_noisy_sheet(spark, sf, dims), dims, 20, value_low=80)
 
 
 def _noisy_sheet(spark, sf, dims):
-    """A flat sheet between z = 9 and 10 with the derived volume's values, a sixteenth of them, on top."""
-    sheet = volume_from_function(spark, *dims, F.when(F.col("z").between(9, 10), 220).otherwise(40))
+    """A flat sheet of two planes with the derived volume's values, a sixteenth of them, on top; it lies from 6 + the number of parts modulo 7 on."""
+    place = read_table(spark, sf, "part").agg((6 + F.count(F.lit(1)) % 7).cast("int").alias("k"))
+    sheet = dense_grid(spark, *dims).join(F.broadcast(place)).select(*AXES, F.when(F.col("z").between(F.col("k"), F.col("k") + 1), 220).otherwise(40).alias("v"))
     noise = vox(spark, sf, dims[0]).select(*AXES, F.expr("v DIV 16").cast("int").alias("n"))
     return sheet.join(noise, list(AXES), "left").select(*AXES, (F.col("v") + F.coalesce("n", F.lit(0))).cast("int").alias("v"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scratch import scratch_path
-from ..sources.store import Archive, Geometry
+from ..functions.coords import AXES
+from ..functions.scratch import materialize, scratch_path
+from ..sources.store import CHUNK_KEYS, Archive, Geometry
 from ..operators import volume as V
 from ..sources.volumes import grid_sql, read_table, vox, vox_sql
 from .register import query
@@ -102,9 +103,85 @@ def a27(spark, sf):
     return _archive(spark, sf).export_order().select("bz", "by", "bx", F.col("position").cast("int").alias("position"))
 
 
-@query("c15_verify_store", "SELECT CAST(0 AS BIGINT) AS n_corrupt")
+def damaged(spark, sf):
+    """A copy of the store in which, by rule, payloads are cut short, blocks are gone, and qualities are other than written."""
+    store = _archive(spark, sf)
+    other = Archive.create(spark, scratch_path(spark, "damaged"), store.geometry)
+    other.copy_from(store)
+    rule = (F.col("bz") * 7 + F.col("by") * 3 + F.col("bx")) % 11
+    blocks = other.blocks()
+    cut = F.expr("substring(payload, 1, octet_length(payload) - 3)")
+    broken = blocks.where(rule != 1).withColumns({"payload": F.when(rule == 0, cut).otherwise(F.col("payload")), "quality": F.when(rule == 2, F.col("quality") * 2).otherwise(F.col("quality"))})
+    broken = materialize(broken, "broken")
+    out = Archive.create(spark, scratch_path(spark, "damaged"), store.geometry)
+    out._write_blocks(broken)
+    other.chunks().select(*CHUNK_KEYS, "version", "state", "nibbles", "hash").write.mode("append").parquet(f"{out.path}/chunks")
+    return out
+
+
+BLOCKS = f"{VOX64}, b AS (SELECT DISTINCT z // 16 AS bz, y // 16 AS by_, x // 16 AS bx FROM vox WHERE v > 0), r AS (SELECT *, (bz * 7 + by_ * 3 + bx) % 11 AS rule FROM b)"
+
+
+@query("c15_verify_store", f"{BLOCKS} SELECT DISTINCT CAST(0 AS INTEGER) AS lod, CAST(bz // 2 AS INTEGER) AS cz, CAST(by_ // 2 AS INTEGER) AS cy, CAST(bx // 2 AS INTEGER) AS cx FROM r WHERE rule <= 2")
 def c15(spark, sf):
-    return _archive(spark, sf).verify().agg(F.count(F.lit(1)).alias("n_corrupt"))
+    """Exactly the chunks that were damaged, found by their chained hashes; some of the damage decodes."""
+    return damaged(spark, sf).verify()
+
+
+@query("c2_failed_reads", f"{BLOCKS} SELECT CAST(bz AS INTEGER) AS bz, CAST(by_ AS INTEGER) AS by, CAST(bx AS INTEGER) AS bx, CAST(CASE WHEN rule = 0 THEN -1 ELSE 1 END AS INTEGER) AS state FROM r WHERE rule <> 1")
+def c2_failed(spark, sf):
+    """Blocks that are there (1) and blocks whose read fails (-1): damage is told apart from absence."""
+    return damaged(spark, sf).read_states()
+
+
+@query("s12_observed_run", f"{BLOCKS} SELECT count(*) FILTER (rule <> 1) AS blocks, count(*) FILTER (rule = 0) AS errors, CAST(count(*) FILTER (rule > 1) AS BIGINT) AS decoded FROM r")
+def s12_observed(spark, sf):
+    """What one pass over a damaged store saw, observed while it ran."""
+    return damaged(spark, sf).observed_decode().select("blocks", "errors", "decoded")
+
+
+@query("u1_voxel_sink", f"{VOX64} SELECT z, y, x, v FROM vox WHERE v > 0 AND z < 32")
+def u1(spark, sf):
+    """Voxels emitted block by block by a table function in SQL, over a partitioned table argument."""
+    from ..sources.sinks import voxel_rows
+
+    store = _archive(spark, sf)
+    return voxel_rows(store.decoded(store.blocks().where("cz = 0")), store.geometry.block)
+
+
+@query("b14_stored_hash", f"{VOX64} SELECT DISTINCT CAST(z // 32 AS INTEGER) AS cz, CAST(y // 32 AS INTEGER) AS cy, CAST(x // 32 AS INTEGER) AS cx FROM vox WHERE v = 251")
+def b14_stored(spark, sf):
+    """Chunks whose stored hash differs between a volume and one in which 251 has become 250."""
+    one = _archive(spark, sf)
+    other = Archive.create(spark, scratch_path(spark, "changed"), one.geometry)
+    other.append(vox(spark, sf, 64).withColumn("v", F.when(F.col("v") == 251, 250).otherwise(F.col("v"))))
+    keys = ["cz", "cy", "cx"]
+    return one.chunks().select(*keys, "hash").join(other.chunks().select(*keys, F.col("hash").alias("now")), keys).where("hash <> now").select(*keys)
+
+
+@query("b6b_exact_residuals", f"{VOX64} SELECT z, y, x, v FROM vox WHERE v > 0")
+def b6b(spark, sf):
+    """A store of low quality with residuals: the volume comes back exactly."""
+    store = Archive.create(spark, scratch_path(spark, "exact"), Geometry(64, 64, 64, 16, 32, 24.0))
+    store.append(vox(spark, sf, 64), exact=True)
+    return store.region(0, 0, 0, 64, 64, 64)
+
+
+_STEP = "SELECT z // 2 AS z, y // 2 AS y, x // 2 AS x, (CAST(sum(v) AS BIGINT) + count(*) // 2) // count(*) AS v FROM {0} WHERE v > 0 GROUP BY 1, 2, 3"
+
+
+@query("g2_pyramid_upkeep", f"""{VOX64}, a AS (SELECT z, y, x, CASE WHEN z < 32 AND y < 32 THEN greatest(v - 100, 0) WHEN z >= 48 AND x < 16 THEN 0 WHEN z >= 32 AND x < 32 AND v > 0 THEN 255 - v // 2 ELSE v END AS v FROM vox),
+l1 AS ({_STEP.format("a")}), l2 AS ({_STEP.format("l1")})
+SELECT CAST(1 AS INTEGER) AS lod, CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(v AS INTEGER) AS v FROM l1 UNION ALL SELECT 2, CAST(z AS INTEGER), CAST(y AS INTEGER), CAST(x AS INTEGER), CAST(v AS INTEGER) FROM l2""")
+def g2_upkeep(spark, sf):
+    """Levels after three appends, of which the second and third change some chunks: kept up chunk by chunk, never built anew."""
+    store = Archive.create(spark, scratch_path(spark, "upkeep"), Geometry(64, 64, 64, 8, 16, LOSSLESS, 0, 3))
+    volume = vox(spark, sf, 64)
+    store.update(volume)
+    store.update(volume.where("z < 32 AND y < 32").withColumn("v", F.greatest(F.col("v") - 100, F.lit(0))))
+    third = volume.where("z >= 32 AND x < 32")
+    store.update(third.withColumn("v", F.expr("CASE WHEN z >= 48 AND x < 16 THEN 0 WHEN v > 0 THEN 255 - v DIV 2 ELSE v END").cast("int")))
+    return store.region(0, 0, 0, 64, 64, 64, 1).select(F.lit(1).alias("lod"), *AXES, "v").unionByName(store.region(0, 0, 0, 64, 64, 64, 2).select(F.lit(2).alias("lod"), *AXES, "v"))
 
 
 @query("c5_block_bytes")

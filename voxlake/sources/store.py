@@ -1,17 +1,17 @@
 """The archive: an appendable Parquet store of encoded blocks with metadata.
 
 Layout of a store directory: ``meta/`` holds versions of one row (dims, edges, quality, number of
-levels, free text), ``blocks/`` rows (lod, cz, cy, cx, version, bz, by, bx, quality, payload), and
-``chunks/`` a row per appended chunk with its state. Data is partitioned by ``lod`` and sorted by the
+levels, free text), ``blocks/`` rows (lod, cz, cy, cx, version, bz, by, bx, quality, payload, residual), and
+``chunks/`` a row per appended chunk with its state, its fraction map and a hash chained over all its parts. Data is partitioned by ``lod`` and sorted by the
 chunk's Morton number, so a box prunes files by their statistics. The newest version of a chunk wins.
 """
 
 from __future__ import annotations
 
-import uuid
+import time
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coords import ABSENT, AXES, PRESENT, ZERO, block_box, cell_of, dense_grid, morton, shift_of, voxel_box
@@ -22,6 +22,8 @@ from ..operators.volume import block_stats
 
 META = "nz int, ny int, nx int, block int, chunk int, quality double, max_error int, nlods int, codec int, metadata string, written long"
 CHUNK_KEYS = ["lod", "cz", "cy", "cx"]
+CHUNK_SQL = "lod int, cz int, cy int, cx int, version long, state int, nibbles map<int, int>, hash long"
+BLOCK_SQL = "cz int, cy int, cx int, version long, bz int, by int, bx int, quality double, payload binary, residual binary, lod int"
 META_LIMIT = 128 * 1024
 
 
@@ -43,6 +45,8 @@ class Geometry:
 
 
 class Archive:
+    _last = 0
+
     def __init__(self, spark: SparkSession, path: str, geometry: Geometry):
         self.spark, self.path, self.geometry = spark, path.rstrip("/"), geometry
         self.codec = B.Codec.of(geometry.quality, geometry.max_error)
@@ -89,16 +93,19 @@ class Archive:
 
     # -- writing
 
-    def append(self, voxels: DataFrame, lod: int = 0, quality: float | None = None, version: int | None = None) -> None:
-        """Adds every chunk of ``voxels`` (z, y, x, v) of a level; chunks of air alone are recorded as such.
+    def append(self, voxels: DataFrame, lod: int = 0, quality: float | None = None, version: int | None = None, exact: bool = False) -> None:
+        """Adds every chunk of ``voxels`` (z, y, x, v) of a level; chunks of air alone are recorded as such. With ``exact`` each
+        block's residual is stored beside its payload, and it comes back as it was.
 
         Blocks are gathered by one grouping, encoded in Arrow batches and written with the commit
         protocol of the file writer; a chunk is visible once its row in ``chunks/`` is.
         """
         g, codec = self.geometry, B.Codec.of(quality, self.geometry.max_error) if quality is not None else self.codec
         version = version if version is not None else self._next_version()
-        coded = materialize(B.encode(B.pack_blocks(voxels, g.block), codec, g.block), "coded")  # a range partitioner looks at its rows twice
-        self._write_blocks(coded.select(F.lit(lod).alias("lod"), *self._chunk_of_block(), F.lit(version).alias("version"), "bz", "by", "bx", F.lit(float(codec.quality)).alias("quality"), "payload"))
+        packed = B.pack_blocks(voxels, g.block)
+        coded = B.encode_exact(packed, codec, g.block) if exact else B.encode(packed, codec, g.block).withColumn("residual", F.lit(None).cast("binary"))
+        coded = materialize(coded.withColumn("quality", F.lit(float(codec.quality))), "coded")  # a range partitioner looks at its rows twice
+        self._write_blocks(coded.select(F.lit(lod).alias("lod"), *self._chunk_of_block(), F.lit(version).alias("version"), "bz", "by", "bx", "quality", "payload", "residual"))
         state = F.when(F.max("v") > 0, PRESENT).otherwise(ZERO).alias("state")
         chunks = voxels.groupBy(*(cell_of(a, g.chunk).alias(f"c{a}") for a in AXES)).agg(state)
         # The fraction map: a nibble for each block with material, as many as a chunk has blocks at most.
@@ -106,8 +113,8 @@ class Archive:
         inside = (F.pmod("bz", F.lit(per)) * per + F.pmod("by", F.lit(per))) * per + F.pmod("bx", F.lit(per))
         nibbles = block_stats(voxels, g.block).where("present").select(*self._chunk_of_block(), F.struct(inside.cast("int").alias("k"), "nibble").alias("e"))
         nibbles = nibbles.groupBy("cz", "cy", "cx").agg(F.map_from_entries(F.collect_list("e")).alias("nibbles"))
-        chunks = chunks.join(nibbles, ["cz", "cy", "cx"], "left")
-        chunks.select(F.lit(lod).alias("lod"), "cz", "cy", "cx", F.lit(version).alias("version"), "state", "nibbles").write.mode("append").parquet(f"{self.path}/chunks")
+        chunks = chunks.join(nibbles, ["cz", "cy", "cx"], "left").join(block_parts(coded.select("*", *self._chunk_of_block()), ["cz", "cy", "cx"]), ["cz", "cy", "cx"], "left")
+        chunks.select(F.lit(lod).alias("lod"), "cz", "cy", "cx", F.lit(version).alias("version"), "state", "nibbles", chunk_hash().alias("hash")).write.mode("append").parquet(f"{self.path}/chunks")
 
     def build(self, voxels: DataFrame) -> None:
         """All levels of detail of a volume."""
@@ -126,7 +133,25 @@ class Archive:
                 blocks, chunks = (d.where(F.col(f"c{a}").between(lo, hi - 1)) for d in (blocks, chunks))
         version = self._next_version()
         self._write_blocks(blocks.withColumn("version", F.lit(version)))
-        chunks.withColumn("version", F.lit(version)).select(*CHUNK_KEYS, "version", "state", "nibbles").write.mode("append").parquet(f"{self.path}/chunks")
+        chunks.withColumn("version", F.lit(version)).select(*CHUNK_KEYS, "version", "state", "nibbles", "hash").write.mode("append").parquet(f"{self.path}/chunks")
+
+    def update(self, voxels: DataFrame) -> None:
+        """Appends chunks at level 0 and carries the change upwards: of each level above only the chunks over changed ones are
+        made anew, from the stored blocks below them.
+        """
+        from ..operators.aggregate import decimate
+
+        voxels = materialize(voxels.select(*AXES, "v"), "update")
+        self.append(voxels)
+        dirty = voxels.select(*(cell_of(a, self.geometry.chunk).alias(f"c{a}") for a in AXES)).distinct()
+        for lod in range(1, self.geometry.nlods):
+            above = [F.shiftright(c, 1).alias(c) for c in CHUNK_KEYS[1:]]
+            dirty = materialize(dirty.select(*above).distinct(), "dirty")
+            below = self.blocks().where(F.col("lod") == lod - 1)
+            below = below.join(dirty.toDF("dz", "dy", "dx"), [F.shiftright(f"c{a}", 1) == F.col(f"d{a}") for a in AXES], "left_semi")
+            # A voxel of air a chunk, so that one without material is recorded too.
+            corner = dirty.select(*((F.col(f"c{a}") * self.geometry.chunk).cast("int").alias(a) for a in AXES), F.lit(0).alias("v"))
+            self.append(decimate(self.decode(below)).select(*AXES, "v").unionByName(corner), lod)
 
     def append_target(self, voxels: DataFrame, ratio: float, lod: int = 0) -> float:
         """Appends at the quality that should reach a compression ratio, by a sample of blocks on a diagonal; returns it."""
@@ -150,15 +175,14 @@ class Archive:
         return [F.shiftright(f"b{a}", s).alias(f"c{a}") for a in AXES]
 
     def _write_blocks(self, rows: DataFrame) -> None:
-        cols = [*CHUNK_KEYS, "version", "bz", "by", "bx", "quality", "payload"]
+        cols = [*CHUNK_KEYS, "version", "bz", "by", "bx", "quality", "payload", "residual"]
         code = morton(F.col("cz"), F.col("cy"), F.col("cx"))
         rows.select(*cols, code.alias("code")).repartitionByRange(F.desc("lod"), "code").sortWithinPartitions(F.desc("lod"), "code", "bz", "by", "bx").drop("code").write.mode("append").partitionBy("lod").parquet(f"{self.path}/blocks")
 
     def _next_version(self) -> int:
-        """Versions ascend by time of writing; a random tail keeps two writers apart."""
-        import time
-
-        return int(time.time() * 1000) << 10 | uuid.uuid4().int & 1023
+        """Versions ascend by time of writing, and always within a process."""
+        Archive._last = max(time.time_ns(), Archive._last + 1)
+        return Archive._last
 
     # -- reading
 
@@ -168,12 +192,12 @@ class Archive:
         return at.getFileSystem(conf).exists(at)
 
     def chunks(self) -> DataFrame:
-        """The newest row of every chunk (lod, cz, cy, cx, version, state, nibbles)."""
-        schema = "lod int, cz int, cy int, cx int, version long, state int, nibbles map<int, int>"
+        """The newest row of every chunk (lod, cz, cy, cx, version, state, nibbles, hash)."""
+        schema = CHUNK_SQL
         if not self._exists("chunks"):
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).parquet(f"{self.path}/chunks")
-        return rows.groupBy(*CHUNK_KEYS).agg(F.max("version").alias("version"), F.max_by("state", "version").alias("state"), F.max_by("nibbles", "version").alias("nibbles"))
+        return rows.groupBy(*CHUNK_KEYS).agg(F.max("version").alias("version"), F.max_by("state", "version").alias("state"), F.max_by("nibbles", "version").alias("nibbles"), F.max_by("hash", "version").alias("hash"))
 
     def fractions(self, lod: int = 0) -> DataFrame:
         """(bz, by, bx, fraction) of blocks with material, from the stored maps alone: no block is read."""
@@ -189,7 +213,7 @@ class Archive:
 
     def blocks(self) -> DataFrame:
         """Blocks of the newest version of every chunk. Filters on lod, chunk and block reach the scan."""
-        schema = "cz int, cy int, cx int, version long, bz int, by int, bx int, quality double, payload binary, lod int"
+        schema = BLOCK_SQL
         if not self._exists("blocks"):
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).parquet(f"{self.path}/blocks")
@@ -203,7 +227,26 @@ class Archive:
 
     def decode(self, blocks: DataFrame) -> DataFrame:
         """(z, y, x, v) of encoded blocks, each by the quality it was written with."""
-        return B.unpack_blocks(B.decode_mixed(blocks, self.geometry.max_error, self.geometry.block), self.geometry.block)
+        return B.unpack_blocks(self.decoded(blocks), self.geometry.block)
+
+    def decoded(self, blocks: DataFrame) -> DataFrame:
+        """(bz, by, bx, data) of encoded blocks."""
+        return B.decode_mixed(blocks, self.geometry.max_error, self.geometry.block)
+
+    def observed_decode(self, lod: int = 0) -> DataFrame:
+        """One row of what a pass over a level saw: blocks, bytes of payloads, damaged blocks, decoded ones and voxels with material.
+
+        All are observed in the same job, by its own tasks; nothing is read or decoded for the counts.
+        """
+        scan, decode, out = (Observation(f"{n}-{self._next_version()}") for n in ("scan", "decode", "voxels"))
+        rows = self.blocks().where(F.col("lod") == lod)
+        rows = rows.observe(scan, F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum(F.octet_length("payload").cast("long")), F.lit(0)).alias("bytes"))
+        data = B.decode_mixed(rows, self.geometry.max_error, self.geometry.block, tolerant=True)
+        data = data.observe(decode, F.count_if(F.col("data").isNull()).alias("errors"), F.count_if(F.col("data").isNotNull()).alias("decoded"))
+        voxels = B.unpack_blocks(data.where("data IS NOT NULL"), self.geometry.block).observe(out, F.count(F.lit(1)).alias("voxels"))
+        materialize(voxels, "observed")
+        seen = scan.get | decode.get | out.get
+        return self.spark.range(1).select(*(F.lit(seen[n]).cast("long").alias(n) for n in ("blocks", "bytes", "errors", "decoded", "voxels")))
 
     def region(self, z0: int, y0: int, x0: int, dz: int, dy: int, dx: int, lod: int = 0) -> DataFrame:
         """Material voxels of a box: only the blocks that it touches are read and decoded."""
@@ -212,25 +255,15 @@ class Archive:
         return self.decode(touched).where(voxel_box(z0, y0, x0, dz, dy, dx))
 
     def verify(self) -> DataFrame:
-        """Chunks that are recorded as present but have no block, or a block whose payload doesn't decode."""
-        edge = self.geometry.block
-
-        def run(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                bad = []
-                for payload, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                    try:
-                        B.decode_blocks([payload], B.Codec.of(q), edge)
-                        bad.append(False)
-                    except Exception:  # any damage counts
-                        bad.append(True)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(bad)], names=[*CHUNK_KEYS, "bad"])
-
-        checked = self.blocks().select(*CHUNK_KEYS, "payload", "quality").mapInArrow(run, "lod int, cz int, cy int, cx int, bad boolean")
-        per = checked.groupBy(*CHUNK_KEYS).agg(F.max("bad").alias("bad"))
-        return self.chunks().where(F.col("state") == PRESENT).join(per, CHUNK_KEYS, "left").where(F.coalesce("bad", F.lit(True))).select(*CHUNK_KEYS)
+        """Chunks whose stored blocks don't have the hash that was stored with the chunk: changed, added or missing, whether or not
+        they decode. Nothing is decoded."""
+        now = self.chunks().join(block_parts(self.blocks(), CHUNK_KEYS), CHUNK_KEYS, "left")
+        return now.where(~chunk_hash().eqNullSafe(F.col("hash"))).select(*CHUNK_KEYS)
+
+    def read_states(self, lod: int = 0) -> DataFrame:
+        """(bz, by, bx, state) of stored blocks: PRESENT, or -1 where the payload can't be decoded. What has no row is absent."""
+        rows = B.decode_mixed(self.blocks().where(F.col("lod") == lod), self.geometry.max_error, self.geometry.block, tolerant=True)
+        return rows.select("bz", "by", "bx", F.when(F.col("data").isNull(), -1).otherwise(PRESENT).alias("state"))
 
     def export_order(self) -> DataFrame:
         """Blocks with their position in an export: coarsest level first, then Morton order."""
@@ -238,6 +271,22 @@ class Archive:
         return ranked(coded, [F.desc("lod"), F.col("code"), F.col("bz"), F.col("by"), F.col("bx")], "position").withColumn("position", F.col("position") - 1)
 
 
+def block_parts(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, parts): place, length and hash of every block of a chunk, in their order. A chunk has a bounded number of them."""
+    own = F.xxhash64("quality", "payload", "residual")
+    length = F.coalesce(F.octet_length("payload"), F.lit(0)) + F.coalesce(F.octet_length("residual"), F.lit(0))
+    return blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bz", "by", "bx", length.alias("length"), own.alias("own")))).alias("parts"))
+
+
+def chunk_hash() -> Column:
+    """A hash chained over a chunk's fraction map, its blocks' places, their lengths and their contents, one after the other: each is
+    the seed of the next, so the order counts. From columns nibbles and parts."""
+    fractions = F.sort_array(F.coalesce(F.map_entries("nibbles"), F.expr("CAST(array() AS array<struct<key: int, value: int>>)")))
+    parts = F.coalesce("parts", F.expr("CAST(array() AS array<struct<bz: int, by: int, bx: int, length: int, own: bigint>>)"))
+    head = F.xxhash64(F.xxhash64(F.xxhash64(fractions), F.transform(parts, lambda p: F.struct(p["bz"], p["by"], p["bx"]))), F.transform(parts, lambda p: p["length"]))
+    return F.aggregate(parts, head, lambda seed, p: F.xxhash64(seed, p["own"]))
+
+
 def probe(spark: SparkSession, path: str) -> Geometry:
     """Dims, levels and quality of a store, without reading a block."""
     return Archive.open(spark, path).geometry
