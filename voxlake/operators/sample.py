@@ -66,8 +66,8 @@ def as_u8(sampled: DataFrame) -> DataFrame:
     return sampled.withColumn("f", to_u8(F.col("f")))
 
 
-def lod_fallback(points: DataFrame, levels: DataFrame, resident: DataFrame, keys: list[str], n_lods: int, edge: int, lod: int = 0) -> DataFrame:
-    """(keys, lod, f): the nearest voxel at the finest level from ``lod`` whose block is resident; no level, 0.
+def lod_fallback(points: DataFrame, levels: DataFrame, resident: DataFrame, keys: list[str], n_lods: int, edge: int, lod: int = 0, trilinear: bool = False) -> DataFrame:
+    """(keys, lod, f): the nearest voxel, or the trilinear value, at the finest level from ``lod`` whose block is resident; no level, 0.
 
     ``levels`` is (lod, z, y, x, v), ``resident`` (lod, bz, by, bx).
     """
@@ -81,7 +81,8 @@ def lod_fallback(points: DataFrame, levels: DataFrame, resident: DataFrame, keys
     keyed = scaled.select(*keys, "lod", *(F.col(f"q{a}").alias(f"p{a}") for a in AXES), *(cell_of(F.greatest(F.floor(f"q{a}"), F.lit(0)).cast("int"), edge).alias(f"b{a}") for a in AXES))
     have = keyed.join(resident, ["lod", "bz", "by", "bx"], "left_semi")
     best = have.groupBy(*keys).agg(F.min(F.struct("lod", "pz", "py", "px")).alias("b")).select(*keys, "b.*")
-    found = _nearest(best.withColumns({f"p{a}": F.greatest(f"p{a}", F.lit(0.0)) for a in AXES}), levels, ["lod"]).select(*keys, "lod", "f")
+    best = best.withColumns({f"p{a}": F.greatest(f"p{a}", F.lit(0.0)) for a in AXES})
+    found = sample(best, levels, keys, trilinear, ["lod"])
     return points.select(*keys).join(found, keys, "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
 
 

@@ -77,6 +77,20 @@ def j7(spark, sf):
     return J.lod_fallback(points(spark, sf), lv, resident(lv), ["pid"], 3, 4)
 
 
+@query("j7_trilinear_fallback", f"""{VOX32}, {POINTS}, {levels_sql()},
+e AS (SELECT pid, lod, (pz + 0.5) / (1 << lod) - 0.5 AS pz, (py + 0.5) / (1 << lod) - 0.5 AS py, (px + 0.5) / (1 << lod) - 0.5 AS px FROM points, (SELECT unnest([0, 1, 2]) AS lod) t),
+h AS (SELECT e.* FROM e SEMI JOIN resident r ON r.lod = e.lod AND r.bz = CAST(greatest(floor(pz), 0) AS INTEGER) // 4 AND r.by_ = CAST(greatest(floor(py), 0) AS INTEGER) // 4 AND r.bx = CAST(greatest(floor(px), 0) AS INTEGER) // 4),
+b AS (SELECT pid, min(lod) AS lod, arg_min(pz, lod) AS pz, arg_min(py, lod) AS py, arg_min(px, lod) AS px FROM h GROUP BY pid),
+t AS (SELECT pid, lod, greatest(pz, 0) AS pz, greatest(py, 0) AS py, greatest(px, 0) AS px FROM b),
+c AS (SELECT t.pid, t.lod, abs(1 - dz - (pz - floor(pz))) * abs(1 - dy - (py - floor(py))) * abs(1 - dx - (px - floor(px))) AS w, floor(pz) + dz AS z, floor(py) + dy AS y, floor(px) + dx AS x
+  FROM t, (SELECT i // 4 AS dz, i // 2 % 2 AS dy, i % 2 AS dx FROM range(8) r(i))),
+s AS (SELECT pid, c.lod, sum(w * coalesce(v, 0)) AS f FROM c LEFT JOIN levels l ON l.lod = c.lod AND l.z = c.z AND l.y = c.y AND l.x = c.x GROUP BY 1, 2)
+SELECT p.pid, CAST(s.lod AS INTEGER) AS lod, round(CAST(coalesce(f, 0) AS DOUBLE), 6) AS f FROM points p LEFT JOIN s USING (pid)""")
+def j7_trilinear(spark, sf):
+    lv = levels(spark, sf)
+    return J.lod_fallback(points(spark, sf), lv, resident(lv), ["pid"], 3, 4, trilinear=True).withColumn("f", F.round("f", 6))
+
+
 @query("j8_best_lod", f"""{VOX32}, {levels_sql()}, b AS (SELECT DISTINCT CAST(z // 4 AS INTEGER) AS z0, CAST(y // 4 AS INTEGER) AS y0, CAST(x // 4 AS INTEGER) AS x0 FROM vox)
 SELECT z0, y0, x0, CAST(coalesce(min(r.lod), -1) AS INTEGER) AS lod FROM b LEFT JOIN resident r ON r.bz = z0 >> r.lod AND r.by_ = y0 >> r.lod AND r.bx = x0 >> r.lod GROUP BY z0, y0, x0""")
 def j8(spark, sf):

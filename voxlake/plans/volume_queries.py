@@ -252,3 +252,12 @@ def c2(spark, sf):
     return c3(spark, sf).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("c14_structure", f"""{VOX64}, b AS (SELECT DISTINCT z // 16 AS bz, y // 16 AS by_, x // 16 AS bx FROM vox WHERE v > 0)
+SELECT CAST(CASE WHEN by_ = 2 THEN -1 ELSE bz END AS INTEGER) AS bz, CAST(by_ AS INTEGER) AS by, CAST(bx AS INTEGER) AS bx, CAST(CASE WHEN bx = 1 THEN 4000 ELSE 4096 END AS INTEGER) AS n_bytes FROM b WHERE by_ = 2 OR bx = 1""")
+def c14(spark, sf):
+    """Packed blocks that can't be right: some are cut short, some have a number below 0."""
+    from ..operators.codec import pack_blocks
+
+    blocks = pack_blocks(vox(spark, sf, 64))
+    wrong = blocks.withColumns({"bz": F.when(F.col("by") == 2, -1).otherwise(F.col("bz")), "data": F.when(F.col("bx") == 1, F.expr("substring(data, 1, 4000)")).otherwise(F.col("data"))})
+    return V.structure_ok(wrong, 16).select("bz", "by", "bx", F.octet_length("data").alias("n_bytes"))

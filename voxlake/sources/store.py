@@ -178,6 +178,13 @@ class Archive:
         cols = [*CHUNK_KEYS, "version", "bz", "by", "bx", "quality", "payload", "residual"]
         code = morton(F.col("cz"), F.col("cy"), F.col("cx"))
         rows.select(*cols, code.alias("code")).repartitionByRange(F.desc("lod"), "code").sortWithinPartitions(F.desc("lod"), "code", "bz", "by", "bx").drop("code").write.mode("append").partitionBy("lod").parquet(f"{self.path}/blocks")
+        # Which chunks lie in which of the new files: their Morton interval and their box.
+        version = rows.select(F.max("version")).first()[0]
+        if version is not None:
+            new = self.spark.read.schema(BLOCK_SQL).parquet(f"{self.path}/blocks").where(F.col("version") == version)
+            ends = [f(c).alias(f"{c}_{n}") for c in ("code", *CHUNK_KEYS[1:]) for n, f in (("lo", F.min), ("hi", F.max))]
+            new = new.select("lod", F.col("_metadata.file_path").alias("file"), *CHUNK_KEYS[1:], code.alias("code"))
+            new.groupBy("lod", "file").agg(*ends).coalesce(1).write.mode("append").parquet(f"{self.path}/files")
 
     def _next_version(self) -> int:
         """Versions ascend by time of writing, and always within a process."""
@@ -219,6 +226,29 @@ class Archive:
         rows = self.spark.read.schema(schema).parquet(f"{self.path}/blocks")
         return rows.join(self.chunks().select(*CHUNK_KEYS, "version"), [*CHUNK_KEYS, "version"], "left_semi")
 
+    def files(self) -> DataFrame:
+        """(lod, file, and the least and greatest Morton number and coordinates of its chunks) of all files of blocks."""
+        ends = ", ".join(f"{c}_{n} {'long' if c == 'code' else 'int'}" for c in ("code", "cz", "cy", "cx") for n in ("lo", "hi"))
+        return self.spark.read.schema(f"lod int, file string, {ends}").parquet(f"{self.path}/files")
+
+    def near(self, lod: int, z0: int, y0: int, x0: int, dz: int, dy: int, dx: int) -> DataFrame:
+        """Blocks of a level in the files that can hold chunks of a box: files are chosen by the table of their contents, before the scan."""
+        if not self._exists("files"):
+            return self.blocks().where(F.col("lod") == lod)
+        s = shift_of(self.geometry.chunk)
+        first = [max(lo, 0) >> s for lo in (z0, y0, x0)]
+        last = [(lo + n - 1) >> s for lo, n in zip((z0, y0, x0), (dz, dy, dx), strict=True)]
+        holds = F.col("lod") == lod
+        for c, lo, hi in zip(CHUNK_KEYS[1:], first, last, strict=True):
+            holds = holds & (F.col(f"{c}_hi") >= lo) & (F.col(f"{c}_lo") <= hi)
+        # Morton numbers ascend in every coordinate, so those of a box lie between its corners'.
+        holds = holds & (F.col("code_hi") >= morton(*map(F.lit, first))) & (F.col("code_lo") <= morton(*(F.lit(max(k, 0)) for k in last)))
+        found = [r["file"] for r in self.files().where(holds).select("file").distinct().collect()]
+        if not found:
+            return self.blocks().where("false")
+        rows = self.spark.read.schema(BLOCK_SQL).option("basePath", f"{self.path}/blocks").parquet(*found)
+        return rows.join(self.chunks().select(*CHUNK_KEYS, "version"), [*CHUNK_KEYS, "version"], "left_semi")
+
     def coverage(self, lod: int = 0) -> DataFrame:
         g = self.geometry
         dims = [-(-(n >> lod) // g.chunk) or 1 for n in (g.nz, g.ny, g.nx)]
@@ -251,7 +281,7 @@ class Archive:
     def region(self, z0: int, y0: int, x0: int, dz: int, dy: int, dx: int, lod: int = 0) -> DataFrame:
         """Material voxels of a box: only the blocks that it touches are read and decoded."""
         g = self.geometry
-        touched = self.blocks().where(F.col("lod") == lod).where(block_box(z0, y0, x0, dz, dy, dx, g.chunk, "c")).where(block_box(z0, y0, x0, dz, dy, dx, g.block))
+        touched = self.near(lod, z0, y0, x0, dz, dy, dx).where(block_box(z0, y0, x0, dz, dy, dx, g.chunk, "c")).where(block_box(z0, y0, x0, dz, dy, dx, g.block))
         return self.decode(touched).where(voxel_box(z0, y0, x0, dz, dy, dx))
 
     def verify(self) -> DataFrame:
