@@ -85,10 +85,10 @@ t AS (SELECT pid, lod, greatest(pz, 0) AS pz, greatest(py, 0) AS py, greatest(px
 c AS (SELECT t.pid, t.lod, abs(1 - dz - (pz - floor(pz))) * abs(1 - dy - (py - floor(py))) * abs(1 - dx - (px - floor(px))) AS w, floor(pz) + dz AS z, floor(py) + dy AS y, floor(px) + dx AS x
   FROM t, (SELECT i // 4 AS dz, i // 2 % 2 AS dy, i % 2 AS dx FROM range(8) r(i))),
 s AS (SELECT pid, c.lod, sum(w * coalesce(v, 0)) AS f FROM c LEFT JOIN levels l ON l.lod = c.lod AND l.z = c.z AND l.y = c.y AND l.x = c.x GROUP BY 1, 2)
-SELECT p.pid, CAST(s.lod AS INTEGER) AS lod, round(CAST(coalesce(f, 0) AS DOUBLE), 6) AS f FROM points p LEFT JOIN s USING (pid)""")
+SELECT p.pid, CAST(s.lod AS INTEGER) AS lod, round(CAST(coalesce(f, 0) AS DOUBLE) + 1e-8, 6) AS f FROM points p LEFT JOIN s USING (pid)""")
 def j7_trilinear(spark, sf):
     lv = levels(spark, sf)
-    return J.lod_fallback(points(spark, sf), lv, resident(lv), ["pid"], 3, 4, trilinear=True).withColumn("f", F.round("f", 6))
+    return J.lod_fallback(points(spark, sf), lv, resident(lv), ["pid"], 3, 4, trilinear=True).withColumn("f", F.round(F.col("f") + 1e-8, 6))  # many values lie halfway between two of six digits
 
 
 @query("j8_best_lod", f"""{VOX32}, {levels_sql()}, b AS (SELECT DISTINCT CAST(z // 4 AS INTEGER) AS z0, CAST(y // 4 AS INTEGER) AS y0, CAST(x // 4 AS INTEGER) AS x0 FROM vox)
