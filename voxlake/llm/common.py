@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scratch import materialize, shared_dir  # noqa: F401
+from ..functions.scratch import discard, materialize, shared_dir  # noqa: F401
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 19

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, ROW_SQL, U64, hot_keys, keyed, lookup, map_arrow, materialize, mix, read_table, shingle_hashes, shuffle_partitions, slices, text_buffers
+from .common import ROW, ROW_SQL, U64, discard, hot_keys, keyed, lookup, map_arrow, materialize, mix, read_table, shingle_hashes, shuffle_partitions, slices, text_buffers
 from ..operators.graph import connected_components
 
 U32 = np.uint32
@@ -44,6 +44,7 @@ STAGE_PERCENT = 80
 #: Buckets of so many members are compared pair by pair, larger ones by a leader for so many rounds.
 SMALL_BUCKET = 32
 LED_ROUNDS = 1
+BLOCK_MEMBERS = 8192
 
 
 @dataclass(frozen=True)
@@ -205,7 +206,9 @@ def compared(docs: DataFrame, classes: DataFrame, stars: DataFrame, settings: Se
                     cols = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 5 + [pa.bool_()], strict=True)), _lists(lists)], names=["leader", "class", "m", "n", "both", "deep", "apart"])
 
-    return materialize(map_arrow(sets, meet, MET), "op7-met")
+    out = materialize(map_arrow(sets, meet, MET), "op7-met")
+    discard(stars)
+    return out
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -236,9 +239,10 @@ def _buckets(met: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     named = met.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = materialize(named.select("leader", "class", "n", "component", "apart", F.size("apart").alias("size")), "op7-named")
     total = named.count()
-    open_ = named.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leader")
-    parts = lookup(named, materialize(open_, "op7-open"), ["leader"], hot_keys(named, ["leader"], total)).withColumn("e", F.explode("apart")).drop("apart")
+    open_ = materialize(named.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leader"), "op7-open")
+    parts = lookup(named, open_, ["leader"], hot_keys(named, ["leader"], total)).withColumn("e", F.explode("apart")).drop("apart")
     parts = materialize(parts, "op7-parts")
+    discard(named, open_)
     # An element of one member alone meets no other, but it takes its place among the least frequent.
     often = materialize(parts.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "op7-often")
     most = parts.count()
@@ -246,7 +250,9 @@ def _buckets(met: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     own = Window.partitionBy("leader", "class")
     listed = shared.withColumn("k", F.row_number().over(own.orderBy("c", "e"))).withColumn("rest", F.count(F.lit(1)).over(own) - F.col("k"))
     prefix = F.floor(F.col("n") * (100 - percent) / percent) + 1
-    return materialize(listed.where(F.col("size") - F.col("rest") <= prefix).select("leader", "e", "class", "n", "component", "size", "rest"), "op7-prefix")
+    out = materialize(listed.where(F.col("size") - F.col("rest") <= prefix).select("leader", "e", "class", "n", "component", "size", "rest"), "op7-prefix")
+    discard(parts, often)
+    return out
 
 
 def _next_stars(prefix: DataFrame, percent: int, lead: bool) -> DataFrame:
@@ -255,8 +261,9 @@ def _next_stars(prefix: DataFrame, percent: int, lead: bool) -> DataFrame:
     buckets = materialize(buckets.where("lo < hi").select("leader", "e", "first", "c"), "op7-buckets")
     large = (F.col("c") > SMALL_BUCKET) if lead else F.lit(False)
     hot = buckets.where(F.col("c") * 10_000 >= max(prefix.count(), 10_000)).select("leader", "e")
-    # A bucket's pairs are found in blocks of about a thousand of its members, each by a task of its own.
-    blocks = F.floor(F.col("c") / 1024) + 1
+    # A bucket's pairs are found in blocks of its members, each by a task of its own. A member is sent to all blocks of its
+    # bucket, so their number is kept small: no row is sent twice below BLOCK_MEMBERS.
+    blocks = F.floor(F.col("c") / BLOCK_MEMBERS) + 1
     few = lookup(prefix, buckets.where(~large).select("leader", "e", blocks.alias("blocks")), ["leader", "e"], hot)
     p = few.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))).alias("p")
     q = few.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("q")
@@ -290,15 +297,20 @@ def _groups(docs: DataFrame, settings: Settings) -> DataFrame:
     labels = None
     for lead in [True] * LED_ROUNDS + [False, False]:
         met = compared(docs, classes, stars, settings)
+        discard(stars)
         found = met.where(100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))).select(F.col("leader").alias("a"), F.col("class").alias("b"))
         if labels is None:
             labels = materialize(connected_components(found), "op7-labels")
         elif not found.isEmpty():  # the components so far are stars already
-            labels = materialize(connected_components(found.unionByName(labels.toDF("a", "b"))), "op7-labels")
+            before, labels = labels, materialize(connected_components(found.unionByName(labels.toDF("a", "b"))), "op7-labels")
+            discard(before)
         deep = met.where("deep")
         if deep.isEmpty():
             break
-        stars = materialize(_next_stars(_buckets(deep, labels, percent), percent, lead), "op7-next")
+        prefix = _buckets(deep, labels, percent)
+        discard(met)
+        stars = materialize(_next_stars(prefix, percent, lead), "op7-next")
+        discard(prefix)
         if stars.isEmpty():
             break
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, ROW_SQL, SLICE_BYTES, U64, keyed, lookup, map_arrow, materialize, mix, prefix_hashes, prime_powers, prime_prefixes, range_hashes, read_table, shuffle_partitions, slices, text_buffers, times
+from .common import ROW, ROW_SQL, SLICE_BYTES, U64, discard, keyed, lookup, map_arrow, materialize, mix, prefix_hashes, prime_powers, prime_prefixes, range_hashes, read_table, shuffle_partitions, slices, text_buffers, times
 
 LENGTH = 200
 GRAM = 32
@@ -372,6 +372,7 @@ def repeated_spans(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame
     keys = materialize(keys.where("n > 1 OR twice"), "op2-keys")
     # Runs of a frequent key are many, but narrow; a skewed join splits them.
     shared = materialize(run_table(docs).join(keys.select("key"), "key", "left_semi"), "op2-runs")
+    discard(keys)
 
     out = None
     same = ["key", "hi", "lo"]
@@ -381,7 +382,8 @@ def repeated_spans(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame
         total = max(shared.count(), 1000)
         # Places that weigh more than one were removed as a whole before.
         whole = lookup(shared.where("weight = 1"), contents.where("weight > 1").select(*same), same, contents.where(F.col("n") * 1000 >= total).select(*same))
-        whole = whole.select(*ROW, "start", (F.col("start") + F.col("suffixes") + (LENGTH - 1)).alias("end"))
+        whole = materialize(whole.select(*ROW, "start", (F.col("start") + F.col("suffixes") + (LENGTH - 1)).alias("end")), "op2-whole")
+        discard(shared)  # the largest table; only texts and contents are needed from here on
         groups = contents.groupBy("key").agg(F.count(F.lit(1)).alias("distinct"), F.min("weight").alias("least"), F.max("twice").alias("any_twice"))
         groups = materialize(groups.where("least = 1 AND (distinct > 1 OR any_twice)").select("key", "distinct"), "op2-groups")
         often = groups.where(F.col("distinct") * 1000 >= max(contents.count(), 1000)).select("key")
@@ -389,11 +391,14 @@ def repeated_spans(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame
         few = sorted_spans(fetched(docs, wanted.where(F.col("distinct") <= group_limit)))
         # Spans of a document's runs are many and narrow; what the groups gave is written once.
         found = materialize(whole.unionByName(few), "op2-spans")
+        discard(whole)
         out = found if out is None else out.unionByName(found)
         large = groups.where(F.col("distinct") > group_limit)
         if width is None or large.isEmpty():
             break
         shared = materialize(split_contents(fetched(docs, wanted.where(F.col("distinct") > group_limit)), width), "op2-runs")
+        discard(contents, groups)
+    discard(contents, groups)
     return out
 
 
