@@ -134,7 +134,8 @@ def format_segments(conversations: DataFrame, template: Template = CHATML) -> Da
     """Segments (conv_id, seq, turn, text, loss, in_order): the formatted corpus, three rows a turn.
 
     Rows with a null conv_id form one conversation. Out-of-order turns are formatted and flagged,
-    never dropped; once a conversation is out of order it stays so.
+    never dropped; once a conversation is out of order it stays so. Null texts and roles are empty; turns of equal number keep the
+    order of role and text, and rows that repeat are turns each. Texts of any length are whole; an empty table has no segments.
     """
 
     def run(batches):
@@ -166,7 +167,10 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def read_back(segments_df: DataFrame, template: Template = CHATML) -> DataFrame:
-    """Digests of each conversation, read from its segments (which must come in order, conversation by conversation)."""
+    """Digests of each conversation, read from its segments (which must come in order, conversation by conversation).
+
+    What the segments hold of awkward rows is read as it is; no segments give no rows.
+    """
 
     def run(batches):
         out, last, reader, fits = [], object(), None, True

@@ -65,7 +65,8 @@ def merged_sketches(docs: DataFrame, group: str, k: int = K, size: int = SHINGLE
 
     Each task merges what it sees of a group; parts are then merged in two steps, by group and a salt and by group, so
     a group that holds most rows is no burden to one task. ``sketch`` is encoded like a document's. Null texts count
-    as empty; a null group is a group; an empty table gives none.
+    as empty; a null group is a group; an empty table gives none. A sketch is a set, so repeated rows and ties change nothing; long texts are
+    taken whole, and other columns don't matter.
     """
     n = shuffle_partitions(docs.sparkSession)
 

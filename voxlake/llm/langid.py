@@ -273,7 +273,8 @@ def identify_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a recognised language go; the columns stay as they are.
 
     Null texts and texts without a letter go; the rest as in ``predict``. Without any labelled document nothing
-    can be recognised, and all go. Columns named like the verdict's are kept as they are.
+    can be recognised, and all go. Columns named like the verdict's are kept as they are. Rows that repeat stay or go together, null ids
+    don't matter, and an empty table stays empty.
     """
     model = learn(docs.select("doc_id", "text", "lang"))
     scored = predict(docs.select(F.struct(*docs.columns).alias("_doc"), "text"), model)

@@ -130,7 +130,11 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the sampled documents, with their columns as they are; awkward rows as in the module's header."""
+    """Pipeline stage: the sampled documents, with their columns as they are; awkward rows as in the module's header.
+
+    Columns named like the operator's own (topic, weight, probability, ...) are carried in a struct and don't matter. Documents draw by a
+    hash of their id, so rows alike in it are taken or left together, and a draw equal to the probability is left.
+    """
     cells = materialize(rake(materialize(cell_sizes(described(docs)), "mix-cells")), "mix-weights")
     names = docs.columns
     tokens = token_count(F.col("text"))

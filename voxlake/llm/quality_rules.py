@@ -7,7 +7,8 @@ exact (Clopper-Pearson) upper bound of the binomial. The error probability ``del
 by the number of rules and strata (Bonferroni); within a sequence the fixed order needs no
 further share. Each rule may reject ``alpha`` divided by the number of rules, so by the union of the
 rules: with probability 1 - delta, of no stratum are more than ``alpha`` of the good documents
-rejected. A rule without enough labels in a stratum gets no cutoff there, and rejects nothing.
+rejected. That holds among the documents that pass the base rule, which has no cutoff to choose. A rule without enough labels in
+a stratum gets no cutoff there, and rejects nothing. A document whose feature equals the cutoff is kept.
 """
 
 from __future__ import annotations
