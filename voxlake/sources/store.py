@@ -116,13 +116,13 @@ class Archive:
         chunks = chunks.join(nibbles, ["cz", "cy", "cx"], "left").join(block_parts(coded.select("*", *self._chunk_of_block()), ["cz", "cy", "cx"]), ["cz", "cy", "cx"], "left")
         chunks.select(F.lit(lod).alias("lod"), "cz", "cy", "cx", F.lit(version).alias("version"), "state", "nibbles", chunk_hash().alias("hash")).write.mode("append").parquet(f"{self.path}/chunks")
 
-    def build(self, voxels: DataFrame) -> None:
-        """All levels of detail of a volume."""
+    def build(self, voxels: DataFrame, exact: bool = False) -> None:
+        """All levels of detail of a volume; with ``exact`` each comes back as it was."""
         from ..operators.aggregate import decimate
 
         for lod in range(self.geometry.nlods):
             voxels = materialize(voxels, "level")  # written once: its blocks, its chunks and the next level come from it
-            self.append(voxels, lod)
+            self.append(voxels, lod, exact=exact)
             voxels = decimate(voxels)
 
     def copy_from(self, other: Archive, box: tuple[int, ...] | None = None) -> None:
@@ -135,14 +135,14 @@ class Archive:
         self._write_blocks(blocks.withColumn("version", F.lit(version)))
         chunks.withColumn("version", F.lit(version)).select(*CHUNK_KEYS, "version", "state", "nibbles", "hash").write.mode("append").parquet(f"{self.path}/chunks")
 
-    def update(self, voxels: DataFrame) -> None:
+    def update(self, voxels: DataFrame, exact: bool = False) -> None:
         """Appends chunks at level 0 and carries the change upwards: of each level above only the chunks over changed ones are
         made anew, from the stored blocks below them.
         """
         from ..operators.aggregate import decimate
 
         voxels = materialize(voxels.select(*AXES, "v"), "update")
-        self.append(voxels)
+        self.append(voxels, exact=exact)
         dirty = voxels.select(*(cell_of(a, self.geometry.chunk).alias(f"c{a}") for a in AXES)).distinct()
         for lod in range(1, self.geometry.nlods):
             above = [F.shiftright(c, 1).alias(c) for c in CHUNK_KEYS[1:]]
@@ -151,7 +151,7 @@ class Archive:
             below = below.join(dirty.toDF("dz", "dy", "dx"), [F.shiftright(f"c{a}", 1) == F.col(f"d{a}") for a in AXES], "left_semi")
             # A voxel of air a chunk, so that one without material is recorded too.
             corner = dirty.select(*((F.col(f"c{a}") * self.geometry.chunk).cast("int").alias(a) for a in AXES), F.lit(0).alias("v"))
-            self.append(decimate(self.decode(below)).select(*AXES, "v").unionByName(corner), lod)
+            self.append(decimate(self.decode(below)).select(*AXES, "v").unionByName(corner), lod, exact=exact)
 
     def append_target(self, voxels: DataFrame, ratio: float, lod: int = 0) -> float:
         """Appends at the quality that should reach a compression ratio, by a sample of blocks on a diagonal; returns it."""
