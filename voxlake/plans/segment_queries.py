@@ -12,6 +12,7 @@ from ..functions.coords import AXES, dense_grid
 from ..operators import aggregate as A
 from ..operators import segment as P
 from ..operators import volume as V
+from ..operators.distances import FAR
 from ..sources.volumes import grid_sql, read_table, vox, vox_sql
 from .register import query
 
@@ -195,9 +196,11 @@ def p7(spark, sf):
     return P.distance(mask(spark, sf), DIMS, EDGE).select(*AXES, F.round("d", 4).alias("d"))
 
 
-@query("p8_signed_distance", f"""{_D2}, air AS (SELECT g.* FROM g ANTI JOIN mask USING (z, y, x)), i AS (SELECT m.z, m.y, m.x, min((a.z - m.z) * (a.z - m.z) + (a.y - m.y) * (a.y - m.y) + (a.x - m.x) * (a.x - m.x)) AS i2 FROM mask m, air a GROUP BY ALL)
+@query("p8_signed_distance", f"""WITH {MASK}, g AS ({grid_sql(D, D, D)}), d AS (SELECT g.z, g.y, g.x, coalesce(min((g.z - m.z) * (g.z - m.z) + (g.y - m.y) * (g.y - m.y) + (g.x - m.x) * (g.x - m.x)), {FAR!r}) AS d2 FROM g LEFT JOIN mask m ON true GROUP BY ALL),
+air AS (SELECT g.* FROM g ANTI JOIN mask USING (z, y, x)), i AS (SELECT m.z, m.y, m.x, coalesce(min((a.z - m.z) * (a.z - m.z) + (a.y - m.y) * (a.y - m.y) + (a.x - m.x) * (a.x - m.x)), {FAR!r}) AS i2 FROM mask m LEFT JOIN air a ON true GROUP BY ALL)
 SELECT d.z, d.y, d.x, round(CASE WHEN d2 > 0 THEN sqrt(d2) ELSE -sqrt(i2) END, 4) AS d FROM d LEFT JOIN i USING (z, y, x)""")
 def p8(spark, sf):
+    """Of a volume that is all mask or all air every distance to the other is sqrt(FAR)."""
     return P.signed_distance(mask(spark, sf), DIMS, EDGE).select(*AXES, F.round("d", 4).alias("d"))
 
 
