@@ -101,14 +101,14 @@ def ranges(spark, sf):
 
 
 @query("s11_coalesce_ranges", f"""WITH {RANGES}, r AS (SELECT *, max(start + length) OVER (PARTITION BY file ORDER BY start, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ranges),
-s AS (SELECT *, sum(CASE WHEN start <= reach + 2000 THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY start, length ROWS UNBOUNDED PRECEDING) AS run FROM r)
+s AS (SELECT *, sum(CASE WHEN start <= reach + 2000 THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY start, length RANGE UNBOUNDED PRECEDING) AS run FROM r)
 SELECT file, min(start) AS run_start, max(start + length) AS run_end, count(*) AS n FROM s GROUP BY file, run""")
 def s11(spark, sf):
     return S.coalesce_ranges(ranges(spark, sf), ["file"], 2000)
 
 
 @query("s11_coalesce_ranges_capped", f"""WITH RECURSIVE {RANGES}, r AS (SELECT *, max(start + length) OVER (PARTITION BY file ORDER BY start, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ranges),
-s AS (SELECT *, sum(CASE WHEN start <= reach + 2000 THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY start, length ROWS UNBOUNDED PRECEDING) AS run FROM r),
+s AS (SELECT *, sum(CASE WHEN start <= reach + 2000 THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY start, length RANGE UNBOUNDED PRECEDING) AS run FROM r),
 k AS (SELECT file, run, start, start + length AS stop, row_number() OVER (PARTITION BY file, run ORDER BY start, length) AS k FROM s),
 f AS (SELECT file, run, k, start AS first, stop AS last, 1 AS part FROM k WHERE k = 1 UNION ALL
   SELECT k.file, k.run, k.k, CASE WHEN k.stop - f.first <= 20000 THEN f.first ELSE k.start END, CASE WHEN k.stop - f.first <= 20000 THEN greatest(f.last, k.stop) ELSE k.stop END, f.part + CASE WHEN k.stop - f.first <= 20000 THEN 0 ELSE 1 END
