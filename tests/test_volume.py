@@ -187,3 +187,31 @@ def test_ranks_over_ranges_are_those_of_one_window(spark):
         total += r["v"]
         want[r["k"]] = (at, total)
     assert got == want
+
+
+def test_trilinear_points_meet_a_cell_once_and_invalid_ones_are_spread(spark):
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 256, (5, 5, 5))
+    v = spark.createDataFrame([(*map(int, p), int(a[tuple(p)])) for p in np.argwhere(a > -1)], "z int, y int, x int, v int")
+    at = [(k, *map(float, rng.uniform(-1, 5, 3))) for k in range(300)] + [(300, float("nan"), 1.0, 1.0), (301, 2.0, 3.0, 4.0)]
+    points = spark.createDataFrame(at, "pid long, pz double, py double, px double")
+    found = J.sample(points, v, ["pid"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan.split("Join")[1].split("Aggregate")[0] and plan.index("Join") < plan.index("Aggregate")
+    wide = np.pad(a, ((0, 2),) * 3)
+    for r in found.collect():
+        p = np.array(at[r["pid"]][1:])
+        want = 0.0
+        if (p >= 0).all():
+            low = np.floor(p).astype(int)
+            for d in np.ndindex(2, 2, 2):
+                want += np.prod(np.where(d, p - low, 1 - (p - low))) * wide[tuple(low + d)]
+        assert abs(r["f"] - want) < 1e-9
+
+
+def test_crops_are_unrolled_without_a_row_through_python(spark):
+    v = spark.createDataFrame([(0, 0, 0, 200), (3, 3, 3, 255)], "z int, y int, x int, v int")
+    boxes = spark.range(9).select(F.col("id").alias("box_id"), *(F.lit(0).alias(c) for c in ("z0", "y0", "x0")))
+    got = V.regions(v, boxes, 4, 4, 4, 4)
+    assert got._jdf.queryExecution().optimizedPlan().toString().index("Generate") < got._jdf.queryExecution().optimizedPlan().toString().index("MapInArrow")
+    assert {(r["z"], r["v"]) for r in got.collect()} == {(0, 200), (3, 255)} and got.count() == 18

@@ -27,34 +27,37 @@ def _nearest(points: DataFrame, voxels: DataFrame, extra: list[str]) -> DataFram
     return keyed.join(found, [*extra, *AXES], "left").drop(*AXES).withColumn("f", F.coalesce("f", F.lit(0.0)))
 
 
-def corner_weights() -> Column:
-    """The eight voxels around a point with their trilinear weights, as an array of (z, y, x, corner, w)."""
-    out = []
-    for k in range(8):
-        d = dict(zip(AXES, (k >> 2 & 1, k >> 1 & 1, k & 1), strict=True))
-        w = F.lit(1.0)
-        for a in AXES:
-            frac = F.col(f"p{a}") - F.floor(f"p{a}")
-            w = w * (frac if d[a] else 1.0 - frac)
-        out.append(F.struct(*((F.floor(f"p{a}").cast("int") + d[a]).alias(a) for a in AXES), F.lit(k).alias("_corner"), w.alias("w")))
-    return F.array(*out)
+CORNERS = [dict(zip(AXES, (k >> 2 & 1, k >> 1 & 1, k & 1), strict=True)) for k in range(8)]
+
+
+def voxel_cells(voxels: DataFrame, extra: list[str]) -> DataFrame:
+    """(extra, _z, _y, _x, v0..v7): a row a cell between voxels of material, with the values at its corners; null for air."""
+    sent = F.array(*(F.struct(*((F.col(a) - d[a]).alias(f"_{a}") for a in AXES), F.lit(k).alias("_corner")) for k, d in enumerate(CORNERS)))
+    rows = voxels.where("v > 0").select(*extra, "v", F.explode(sent).alias("c")).select(*extra, "v", "c.*").where("least(_z, _y, _x) >= 0")
+    return rows.groupBy(*extra, "_z", "_y", "_x").agg(*(F.max(F.when(F.col("_corner") == k, F.col("v"))).alias(f"v{k}") for k in range(8)))
 
 
 def _trilinear(points: DataFrame, voxels: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
+    """A point meets its cell once; what a task holds follows its points, not eight rows for each and their groups."""
     ok = valid_point()
-    around = points.select(*keys, *extra, F.explode(F.when(ok, corner_weights()).otherwise(F.array(F.struct(*(F.lit(-1).alias(a) for a in AXES), F.lit(0).alias("_corner"), F.lit(0.0).alias("w"))))).alias("c"))
-    around = around.select(*keys, *extra, "c.*").where((F.col("w") > 0) | (F.col("z") < 0))
-    found = voxels.where("v > 0").select(*extra, *AXES, "v")
-    joined = around.join(found, [*extra, *AXES], "left")
-    # The corners are added in their order, so the sum doesn't depend on how rows were shuffled.
-    term = F.col("w") * F.coalesce("v", F.lit(0))
-    return joined.groupBy(*keys, *extra).agg(sum((F.coalesce(F.max(F.when(F.col("_corner") == k, term)), F.lit(0.0)) for k in range(1, 8)), F.coalesce(F.max(F.when(F.col("_corner") == 0, term)), F.lit(0.0))).alias("f"))
+    # Points that give 0 are spread over keys that no cell has.
+    nowhere = -1 - F.pmod(F.xxhash64(*keys), F.lit(1 << 20)).cast("int")
+    placed = points.select(*keys, *extra, *(F.when(ok, F.col(f"p{a}") - F.floor(f"p{a}")).alias(f"_f{a}") for a in AXES), *(F.when(ok, F.floor(f"p{a}").cast("int")).otherwise(nowhere).alias(f"_{a}") for a in AXES))
+    met = placed.join(voxel_cells(voxels, extra), [*extra, "_z", "_y", "_x"], "left")
+    total = None
+    for k, d in enumerate(CORNERS):
+        w = F.lit(1.0)
+        for a in AXES:
+            w = w * (F.col(f"_f{a}") if d[a] else 1.0 - F.col(f"_f{a}"))
+        term = F.when(F.col(f"v{k}").isNotNull(), w * F.col(f"v{k}")).otherwise(F.lit(0.0))
+        total = term if total is None else total + term
+    return met.select(*keys, *extra, total.alias("f"))
 
 
 def sample(points: DataFrame, voxels: DataFrame, keys: list[str], trilinear: bool = True, extra: list[str] | None = None) -> DataFrame:
     """(keys, f): the value at every point (pz, py, px). ``extra`` are further join columns, such as lod.
 
-    Corners of weight 0 aren't looked up: a point on the lattice costs one lookup, not eight.
+    A point costs one lookup: of its voxel, or of its cell with the values at all corners.
     """
     extra = extra or []
     if trilinear:
