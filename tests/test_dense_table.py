@@ -32,3 +32,11 @@ def test_the_capped_runs_of_tied_ranges_don_t_depend_on_their_order(dense):
     con = connect(dense[True])
     for name in ("s11_coalesce_ranges", "s11_coalesce_ranges_capped"):
         assert con.execute(f"SELECT count(*), min(n), max(n), max(run_end - run_start) FROM ({SQL[name]})").fetchone() == (256, 1024, 1024, 500)
+
+
+@pytest.mark.parametrize("name", ["s11_coalesce_ranges", "s11_coalesce_ranges_capped"])
+def test_equal_ranges_are_in_one_run(spark, tmp_path, name):
+    """Sparse ranges of which many are equal, in no order: a running sum by rows leaves one of two equals in the run before."""
+    lines = "SELECT CAST(hash(i) % 20000 AS BIGINT) * 4 AS l_orderkey, CAST(hash(i + 7) % 4 AS BIGINT) AS l_suppkey, CAST(1 + hash(i * 3) % 2 AS DOUBLE) AS l_quantity FROM range(60000) t(i)"
+    duckdb.execute(f"COPY ({lines}) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    assert_same(QUERIES[name](spark, str(tmp_path)), connect(str(tmp_path)), SQL[name])

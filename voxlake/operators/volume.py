@@ -51,7 +51,8 @@ def regions(voxels: DataFrame, boxes: DataFrame, dz: int, dy: int, dx: int, edge
     """Material voxels of many equal boxes (box_id, z0, y0, x0), in box coordinates.
 
     Each box names the blocks it touches. The boxes of a block are gathered, in salted lists of PAIRS or so where many meet one, and
-    meet its packed bytes by an equi-join: a block is sent once a list, and no row is made for a voxel outside a box.
+    meet its packed bytes by an equi-join: a block is sent once a list. Boxes are then unrolled into their lines and voxels by one
+    pipeline of generated code, and no row is made for a voxel outside a box.
     """
     from .codec import pack_blocks
 
@@ -64,42 +65,24 @@ def regions(voxels: DataFrame, boxes: DataFrame, dz: int, dy: int, dx: int, edge
     keys = ["bz", "by", "bx"]
     salt = F.pmod(F.xxhash64("box_id", "z0", "y0", "x0"), F.lit(salts)).alias("salt")
     lists = touched.groupBy(*keys, salt).agg(F.collect_list(F.struct("box_id", "z0", "y0", "x0")).alias("boxes"))
-    met = lists.join(pack_blocks(voxels, edge), keys).select(*keys, "data", "boxes")
-    box_type = dict(boxes.dtypes)["box_id"]
-
-    def run(batches):
-        for batch in batches:
-            lengths = batch.column(4).value_lengths().to_numpy(zero_copy_only=False)
-            flat = batch.column(4).flatten()
-            row = np.repeat(np.arange(batch.num_rows), lengths)
-            block = [batch.column(k).to_numpy(zero_copy_only=False) * edge for k in range(3)]
-            for lo in range(0, len(row), PAIRS):
-                part = flat.slice(lo, PAIRS)
-                some = row[lo : lo + PAIRS]
-                first = int(some[0])
-                data = np.frombuffer(b"".join(batch.column(3).slice(first, int(some[-1]) - first + 1).to_pylist()), np.uint8).reshape(-1, edge**3)
-                shift = [part.field(1 + k).to_numpy(zero_copy_only=False) - block[k][some] for k in range(3)]
-                pair, at = cut(shift, (dz, dy, dx), edge)
-                v = data[some[pair] - first, (at[0] * edge + at[1]) * edge + at[2]]
-                keep = np.flatnonzero(v)
-                pair = pair[keep]
-                where = [pa.array((a[keep] - k[pair]).astype(np.int32)) for a, k in zip(at, shift, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.field(0).take(pa.array(pair)), *where, pa.array(v[keep].astype(np.int32))], names=["box_id", *AXES, "v"])
-
-    return met.mapInArrow(run, f"box_id {box_type}, z int, y int, x int, v int")
-
-
-def cut(shift: list[np.ndarray], dims: tuple[int, int, int], edge: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Places of a block that boxes starting at ``shift`` from its origin hold: (box, [z, y, x]), one entry a voxel."""
-    low = [np.maximum(k, 0) for k in shift]
-    size = [np.maximum(np.minimum(k + n, edge) - lo, 0) for k, n, lo in zip(shift, dims, low, strict=True)]
-    count = size[0] * size[1] * size[2]
-    pair = np.repeat(np.arange(len(count)), count)
-    i = np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)
-    sy, sx = size[1][pair], size[2][pair]
-    plane, x = np.divmod(i, sx)
-    z, y = np.divmod(plane, sy)
-    return pair, [c + lo[pair] for c, lo in zip((z, y, x), low, strict=True)]
+    values = pack_blocks(voxels, edge).mapInArrow(_as_arrays, "bz int, by int, bx int, data array<tinyint>")
+    out = lists.join(values, keys).select(*keys, "data", F.explode("boxes").alias("box")).select(*keys, "data", "box.*")
+    for a, n in zip(AXES, (dz, dy, dx), strict=True):
+        first = F.col(f"b{a}") * edge
+        within = F.sequence(F.greatest(f"{a}0", first), F.least(F.col(f"{a}0") + (n - 1), first + (edge - 1)))
+        out = out.withColumn(a, F.explode(within))
+    z, y, x = (F.col(a) - F.col(f"b{a}") * edge for a in AXES)
+    out = out.withColumn("v", F.get("data", (z * edge + y) * edge + x).cast("int").bitwiseAND(F.lit(255))).where("v > 0")
+    return out.select("box_id", *((F.col(a) - F.col(f"{a}0")).alias(a) for a in AXES), "v")
+
+
+def _as_arrays(batches):
+    """Packed blocks with their bytes as numbers; 128 to 255 come as negative ones."""
+    for batch in batches:
+        data = batch.column(3)
+        flat = pa.array(np.frombuffer(b"".join(data.to_pylist()), np.int8))
+        ends = np.concatenate([[0], np.cumsum([len(d) for d in data.to_pylist()])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["bz", "by", "bx", "data"])
 
 
 def block_stats(voxels: DataFrame, edge: int) -> DataFrame:
