@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -166,6 +167,29 @@ def test_suffix_dedup_query(spark, docs, texts, tmp_path):
     assert {d: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for d, r in got.items()} == {k * 3 + 1: w for k, w in enumerate(want)}
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for k in range(files.size()) if (n := files.apply(k).getName()).startswith("shuffle_")}
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    before, name = shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    conf = spark.conf.get(name)
+    table = common.materialize(spark.range(20_000).groupBy((F.col("id") % 997).alias("k")).count(), "test")
+    until = time.time() + 10
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left and table.count() == 997 and spark.conf.get(name) == conf
+
+
+def test_texts_that_join_with_nothing_are_not_shuffled(spark):
+    rows = common.keyed(spark.createDataFrame([(d, f"text {d}") for d in [None, *range(3000)]], "doc_id long, text string"))
+    wanted = rows.where("no_id OR id_key % 100 = 7").select(*common.ROW)
+    got = common.may_hold(rows, wanted)
+    assert got.columns == rows.columns and got.join(wanted, list(common.ROW), "left_semi").count() == 31
+    assert got.count() < 40 and common.may_hold(rows, wanted.limit(0)).count() == 0
+
+
 def thue_morse_pair():
     """Two texts of 65,536 bytes that share no 200 bytes, but whose polynomial hashes modulo 2**64 are the same."""
     rng = random.Random(11)

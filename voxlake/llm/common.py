@@ -222,6 +222,20 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame, h
     return there.unionByName(rows.join(hot, keys, "left_anti").join(table.join(hot, keys, "left_anti"), keys, how))
 
 
+#: Bits of the filter of ``may_hold``, 64 a row: the table that is broadcast has 2**18 rows at any input size.
+FILTER_BITS = 1 << 24
+
+
+def may_hold(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """The ``rows`` whose ROW has the hash of one in ``table``, so all that join with it and few others: texts that join
+    with nothing are not shuffled."""
+    at = F.pmod(F.xxhash64(*ROW), F.lit(FILTER_BITS))
+    own = {"_word": F.shiftright(at, 6), "_bit": F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({', '.join(ROW)}), {FILTER_BITS}) % 64 AS INT))")}
+    marks = table.select(*(c.alias(n) for n, c in own.items())).groupBy("_word").agg(F.bit_or("_bit").alias("_mask"))
+    there = F.broadcast(marks).withColumnRenamed("_word", "_at")
+    return rows.withColumns(own).join(there, (F.col("_word") == F.col("_at")) & (F.col("_mask").bitwiseAND(F.col("_bit")) != 0), "left_semi").drop(*own)
+
+
 # ---------------------------------------------------------------- words and shingles
 
 

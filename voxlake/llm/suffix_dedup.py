@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, ROW_SQL, SLICE_BYTES, U64, discard, keyed, lookup, map_arrow, materialize, mix, prefix_hashes, prime_powers, prime_prefixes, range_hashes, read_table, shuffle_partitions, slices, text_buffers, times
+from .common import ROW, ROW_SQL, SLICE_BYTES, U64, discard, keyed, lookup, map_arrow, materialize, may_hold, mix, prefix_hashes, prime_powers, prime_prefixes, range_hashes, read_table, shuffle_partitions, slices, text_buffers, times
 
 LENGTH = 200
 GRAM = 32
@@ -323,7 +323,7 @@ def fetched(docs: DataFrame, contents: DataFrame) -> DataFrame:
     """``contents`` (key, *ROW, start, suffixes, weight) with their bytes, by one join with the texts."""
     # A document has no more runs than bytes.
     by_doc = contents.groupBy(*ROW).agg(F.collect_list(F.struct("key", "start", "suffixes", "weight")).alias("runs"))
-    rows = docs.select(*ROW, "text").join(by_doc, list(ROW)).select(*ROW, "runs", F.col("text").cast("binary").alias("body"))
+    rows = may_hold(docs.select(*ROW, "text"), contents).join(by_doc, list(ROW)).select(*ROW, "runs", F.col("text").cast("binary").alias("body"))
 
     def run(batches):
         for batch in batches:
