@@ -557,6 +557,28 @@ def test_near_threshold_groups_lose_no_link(spark):
     assert {d: (r["n_shingles"], r["component_id"], r["kept"]) for d, r in got.items()} == components_by_brute_force(rows)
 
 
+def test_prefix_rows_of_a_family_follow_its_size(spark, monkeypatch):
+    """A family of near copies, of which most are linked: a member's rows don't grow with the number of its leaders."""
+    rng = random.Random(9)
+    base, rows = [f"b{k}" for k in range(150)], []
+    for d in range(400):
+        w = list(base)
+        for k in rng.sample(range(150), rng.choice([1, 2, 3, 4, 6, 8])):
+            w[k] = f"e{rng.randrange(60)}"
+        rows.append((d, " ".join(w)))
+    made, materialize = collections.Counter(), minhash.materialize
+
+    def counted(df, name):
+        out = materialize(df, name)
+        made[name] += out.count() if name == "op7-prefix" else 0
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {d: (r["n_shingles"], r["component_id"], r["kept"]) for d, r in got.items()} == components_by_brute_force(rows)
+    assert made["op7-prefix"] < 40 * len(rows)
+
+
 def test_near_duplicate_stage_links_from_80_percent(spark, docs, texts):
     """The stage keeps what brute force keeps at 80; the pair of 0.80 to 0.849 in it is none at 85."""
     words = [f"p{k}" for k in range(204)]

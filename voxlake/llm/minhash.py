@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, ROW_SQL, U64, discard, hot_keys, keyed, lookup, map_arrow, materialize, mix, read_table, shingle_hashes, shuffle_partitions, slices, text_buffers
+from .common import ROW, ROW_SQL, U64, discard, hot_keys, keyed, lookup, map_arrow, materialize, may_hold, mix, read_table, shingle_hashes, shuffle_partitions, slices, text_buffers
 from ..operators.graph import connected_components
 
 U32 = np.uint32
@@ -152,8 +152,8 @@ def compared(docs: DataFrame, classes: DataFrame, stars: DataFrame, settings: Se
     sends = stars.select("leader", "salt", F.lit(True).alias("member"), "class", "deep").unionByName(lead)
     # A class has a leader a bucket at most, a leader as many copies as there are partitions.
     sends = sends.groupBy("class").agg(F.collect_list(F.struct("leader", "salt", "member", "deep")).alias("to"))
-    wanted = sends.join(classes.select("class", "set_hi", "set_lo", "ref.*"), "class")
-    texts = docs.join(wanted, list(ROW)).select("class", "set_hi", "set_lo", "to", "text")
+    wanted = materialize(sends.join(classes.select("class", "set_hi", "set_lo", "ref.*"), "class"), "op7-wanted")
+    texts = may_hold(docs, wanted).join(wanted, list(ROW)).select("class", "set_hi", "set_lo", "to", "text")
 
     def make(batches):
         for batch in batches:
@@ -207,7 +207,7 @@ def compared(docs: DataFrame, classes: DataFrame, stars: DataFrame, settings: Se
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 5 + [pa.bool_()], strict=True)), _lists(lists)], names=["leader", "class", "m", "n", "both", "deep", "apart"])
 
     out = materialize(map_arrow(sets, meet, MET), "op7-met")
-    discard(stars)
+    discard(stars, wanted)
     return out
 
 
@@ -227,6 +227,24 @@ def _band_stars(classes: DataFrame, n_classes: int) -> DataFrame:
     return lookup(keys, buckets.select("key", "leader"), ["key"], hot).where("class <> leader").select("leader", "class").distinct()
 
 
+def _headed(stars: DataFrame, labels: DataFrame, n_classes: int) -> DataFrame:
+    """(leader, class, deep): the members of all leaders of a component under one of its classes, where they are in different components.
+
+    A text has up to a leader a band, and in a large group of near copies most of them are linked. Two members of a leader stay
+    together under any name that the leader is given, and ``_buckets`` holds for any class as leader.
+    """
+    named = labels.toDF("leader", "head")
+    headed = lookup(stars.select("leader", "class"), named, ["leader"], hot_keys(stars, ["leader"], max(stars.count(), 1)), "left")
+    headed = headed.select(F.coalesce("head", "leader").alias("leader"), "class").where("class <> leader").distinct()
+    own = headed.join(labels.toDF("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    own = materialize(own, "op7-headed")
+    open_ = own.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leader")
+    out = lookup(own.select("leader", "class"), open_, ["leader"], hot_keys(own, ["leader"], n_classes))
+    out = materialize(out.withColumn("deep", F.lit(True)), "op7-stars")
+    discard(own)
+    return out
+
+
 def _buckets(met: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(leader, e, class, n, size, rest, component): members of a leader that share shingle e and may be linked.
 
@@ -293,17 +311,24 @@ def _groups(docs: DataFrame, settings: Settings) -> DataFrame:
     classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "op7-classes")
     n_classes = classes.count()
 
-    stars = materialize(_band_stars(classes, n_classes).withColumn("deep", F.lit(True)), "op7-stars")
-    labels = None
-    for lead in [True] * LED_ROUNDS + [False, False]:
+    stars = materialize(_band_stars(classes, n_classes).withColumn("deep", F.lit(False)), "op7-stars")
+    banded, labels = stars, None
+    for lead in [None] + [True] * LED_ROUNDS + [False, False]:
         met = compared(docs, classes, stars, settings)
-        discard(stars)
+        if stars is not banded:
+            discard(stars)
         found = met.where(100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))).select(F.col("leader").alias("a"), F.col("class").alias("b"))
         if labels is None:
             labels = materialize(connected_components(found), "op7-labels")
         elif not found.isEmpty():  # the components so far are stars already
             before, labels = labels, materialize(connected_components(found.unionByName(labels.toDF("a", "b"))), "op7-labels")
             discard(before)
+        if lead is None:
+            stars = _headed(banded, labels, n_classes)
+            discard(met, banded)
+            if stars.isEmpty():
+                break
+            continue
         deep = met.where("deep")
         if deep.isEmpty():
             break
