@@ -579,6 +579,36 @@ def test_prefix_rows_of_a_family_follow_its_size(spark, monkeypatch):
     assert made["op7-prefix"] < 40 * len(rows)
 
 
+def test_tables_of_a_template_follow_its_size(spark, monkeypatch):
+    """Documents that each hold most lines of a template are in many common buckets, yet few are linked: no table has a row a pair and shingle."""
+    rng = random.Random(12)
+    lines = [" ".join(f"t{k}w{j}" for j in range(8)) for k in range(80)]
+    rows = [(d, "\n".join(lines[k] for k in sorted(rng.sample(range(80), 64)))) for d in range(140)]
+    rows += [(1000 + d, rows[d][1] + f" and more of {d}") for d in range(0, 140, 7)]
+    made, materialize = collections.Counter(), minhash.materialize
+
+    def counted(df, name):
+        out = materialize(df, name)
+        made[name] = max(made[name], out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {d: (r["n_shingles"], r["component_id"], r["kept"]) for d, r in got.items()} == components_by_brute_force(rows)
+    assert max(made.values()) <= 64 * len(rows)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(6)
+    for n in (1, 40, 700, 20_000):
+        shared, own, other = (rng.integers(0, 2**63, k).astype(np.uint64) for k in (n, n // 8, n // 9))
+        for bits in (minhash.SKETCH_BITS, minhash.WIDE_BITS):
+            one, two = (minhash.sketch(np.concatenate([shared, x]), bits) for x in (own, other))
+            assert one.dtype == np.int64 and len(one) == bits // 64
+            apart = int(np.unpackbits((one ^ two).view(np.uint8)).sum())
+            assert apart <= len(own) + len(other) and (apart - len(own) - len(other)) % 2 == 0
+
+
 def test_near_duplicate_stage_links_from_80_percent(spark, docs, texts):
     """The stage keeps what brute force keeps at 80; the pair of 0.80 to 0.849 in it is none at 85."""
     words = [f"p{k}" for k in range(204)]

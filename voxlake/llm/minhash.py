@@ -9,12 +9,10 @@ link is confirmed on the full shingle sets. Components of links are the groups.
 Identity. Documents of equal shingle sets, compared by 128-bit digests, form a class, whatever their
 doc_ids; all that follows works on classes. A group of exact copies of any size is one class.
 
-Candidates. Members of a band bucket are compared with the bucket's leader: a linear number of
-pairs. Members of one leader that are in different components afterwards can be linked only if they
-share a shingle that sets both apart from the leader (see ``_buckets``). Those of the least frequent
-of them form new buckets: small ones are compared pair by pair, a large one gets a leader of its
-own first, and what is then left of it is compared pair by pair, in blocks. Pairs whose remaining
-lists or sizes rule a link out are not formed; all these filters are exact, so no link is lost. With 32 bands of 6 rows two documents at the query's threshold of 0.85
+Candidates. Members of a band bucket are compared with two leaders of the bucket: a linear number of
+pairs. What is left are buckets whose members are in different components afterwards; of those every pair of
+different components is formed. Both steps take only pairs whose sketches allow a link (see ``sketch``): the filter is exact,
+so no link is lost, and few pairs pass it that are not linked. With 32 bands of 6 rows two documents at the query's threshold of 0.85
 miss every bucket with probability 3e-7, two at the stage's threshold of 0.8 with 6e-5.
 
 Skew. Whatever is joined by a key that many rows can share (a band, a leader, a class) takes the
@@ -30,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ROW, ROW_SQL, U64, discard, hot_keys, keyed, lookup, map_arrow, materialize, may_hold, mix, read_table, shingle_hashes, shuffle_partitions, slices, text_buffers
@@ -41,9 +39,11 @@ RING_BITS = 20
 RING = 1 << RING_BITS
 #: Least similarity of a link in the pipeline, in percent; the query has the default of Settings.
 STAGE_PERCENT = 80
-#: Buckets of so many members are compared pair by pair, larger ones by a leader for so many rounds.
-SMALL_BUCKET = 32
-LED_ROUNDS = 1
+#: Bits of the sketch of every set, and of the wider one that sets of more than WIDE_FROM shingles have too.
+SKETCH_BITS = 1 << 10
+WIDE_BITS = 1 << 13
+WIDE_FROM = 512
+#: Members of a bucket that one task pairs with all others of it.
 BLOCK_MEMBERS = 8192
 
 
@@ -101,7 +101,19 @@ def digest(shingles: np.ndarray) -> np.ndarray:
     return np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
 
 
-SIGNED = f"{ROW_SQL}, n_shingles long, set_hi long, set_lo long, bands array<long>"
+def sketch(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """The parity of the number of shingles in each of ``bits`` bins, as longs.
+
+    A shingle that only one of two sets has changes one bit, so the sketches of the two differ in no more bits than the
+    sets differ in shingles.
+    """
+    odd = np.bincount((shingles & U64(bits - 1)).view(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+SKETCHES = ["n_shingles", "narrow", "wide"]
+SIGNED = f"{ROW_SQL}, n_shingles long, set_hi long, set_lo long, bands array<long>, narrow array<long>, wide array<long>"
+NONE = np.zeros(0, np.int64)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -109,19 +121,21 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def signatures(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Per row of ``keyed`` documents the size and digest of its shingle set and its band keys (none for an empty set)."""
+    """Per row of ``keyed`` documents the size and digest of its shingle set, its band keys and its sketches (none for an empty set)."""
 
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(3))
             for lo, hi, part, off in slices(data, offsets):
-                sizes, codes, bands = [], [], []
+                sizes, codes, bands, narrow, wide = [], [], [], [], []
                 for h in shingle_hashes(part, off, settings.shingle_words):
                     sizes.append(len(h)), codes.append(digest(h))
-                    bands.append(band_keys(signature(h, settings), settings) if len(h) else np.zeros(0, np.int64))
+                    bands.append(band_keys(signature(h, settings), settings) if len(h) else NONE)
+                    narrow.append(sketch(h, SKETCH_BITS) if len(h) else NONE)
+                    wide.append(sketch(h, WIDE_BITS) if len(h) > WIDE_FROM else NONE)
                 codes = np.array(codes).reshape(-1, 2)
                 keys = [batch.column(k).slice(lo, hi - lo) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(sizes, pa.int64()), pa.array(codes[:, 0]), pa.array(codes[:, 1]), _lists(bands)], names=[*ROW, "n_shingles", "set_hi", "set_lo", "bands"])
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(sizes, pa.int64()), pa.array(codes[:, 0]), pa.array(codes[:, 1]), _lists(bands), _lists(narrow), _lists(wide)], names=[*ROW, "n_shingles", "set_hi", "set_lo", "bands", "narrow", "wide"])
 
     return map_arrow(docs.select(*ROW, "text"), run, SIGNED)
 
@@ -136,22 +150,20 @@ def _salted(stars: DataFrame) -> DataFrame:
     return stars.join(F.broadcast(hot), "leader", "left").withColumn("salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
 
 
-SET_ROWS = pa.schema([("leader", pa.int64()), ("salt", pa.int32()), ("member", pa.bool_()), ("class", pa.int64()), ("deep", pa.bool_()), ("shingles", pa.binary())])
-MET = "leader long, class long, m long, n long, both long, deep boolean, apart array<long>"
+SET_ROWS = pa.schema([("leader", pa.int64()), ("salt", pa.int32()), ("member", pa.bool_()), ("class", pa.int64()), ("shingles", pa.binary())])
+MET = "leader long, class long, m long, n long, both long"
 
 
 def compared(docs: DataFrame, classes: DataFrame, stars: DataFrame, settings: Settings) -> DataFrame:
-    """(leader, class, m, n, both, deep, apart): sizes and overlap of the sets of every star, and for deep ones what
-    is in one set alone.
+    """(leader, class, m, n, both): sizes and overlap of the sets of every star.
 
     The sets are made anew from a text of each class, one join with the texts for all of them; each is
     then sent to the leaders it is compared with.
     """
     stars = materialize(_salted(stars), "op7-stars")
-    lead = stars.groupBy("leader", "salt").agg(F.max("deep").alias("deep")).select("leader", "salt", F.lit(False).alias("member"), F.col("leader").alias("class"), "deep")
-    sends = stars.select("leader", "salt", F.lit(True).alias("member"), "class", "deep").unionByName(lead)
-    # A class has a leader a bucket at most, a leader as many copies as there are partitions.
-    sends = sends.groupBy("class").agg(F.collect_list(F.struct("leader", "salt", "member", "deep")).alias("to"))
+    lead = stars.select("leader", "salt").distinct().select("leader", "salt", F.lit(False).alias("member"), F.col("leader").alias("class"))
+    sends = stars.select("leader", "salt", F.lit(True).alias("member"), "class").unionByName(lead)
+    sends = sends.groupBy("class").agg(F.collect_list(F.struct("leader", "salt", "member")).alias("to"))
     wanted = materialize(sends.join(classes.select("class", "set_hi", "set_lo", "ref.*"), "class"), "op7-wanted")
     texts = may_hold(docs, wanted).join(wanted, list(ROW)).select("class", "set_hi", "set_lo", "to", "text")
 
@@ -166,7 +178,7 @@ def compared(docs: DataFrame, classes: DataFrame, stars: DataFrame, settings: Se
                         continue
                     body = h.tobytes()
                     for s in to:
-                        out.append((s["leader"], s["salt"], s["member"], name, s["deep"], body))
+                        out.append((s["leader"], s["salt"], s["member"], name, body))
                         size += len(body)
                         if size > 1 << 22:
                             yield _rows(out, SET_ROWS)
@@ -174,15 +186,15 @@ def compared(docs: DataFrame, classes: DataFrame, stars: DataFrame, settings: Se
                 if out:
                     yield _rows(out, SET_ROWS)
 
-    sets = map_arrow(texts, make, "leader long, salt int, member boolean, class long, deep boolean, shingles binary")
+    sets = map_arrow(texts, make, "leader long, salt int, member boolean, class long, shingles binary")
     sets = sets.repartition(shuffle_partitions(docs.sparkSession), "leader", "salt").sortWithinPartitions("leader", "salt", "member", "class")
 
     def meet(batches):
         at, own, last = None, None, None
         for batch in batches:
             for small in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-                out, lists = [], []
-                for leader, salt, member, name, deep, body in zip(*(small.column(k).to_pylist() for k in range(6)), strict=True):
+                out = []
+                for leader, salt, member, name, body in zip(*(small.column(k).to_pylist() for k in range(5)), strict=True):
                     h = np.frombuffer(body, U64)
                     if not member:
                         at, own, last = (leader, salt), h, None
@@ -193,18 +205,9 @@ def compared(docs: DataFrame, classes: DataFrame, stars: DataFrame, settings: Se
                         continue
                     last = name
                     place = np.minimum(np.searchsorted(own, h), len(own) - 1)
-                    hit = own[place] == h
-                    both = int(hit.sum())
-                    out.append((leader, name, len(own), len(h), both, deep))
-                    if deep:
-                        left = np.ones(len(own), bool)
-                        left[place[hit]] = False
-                        lists.append(np.concatenate([h[~hit], own[left]]).view(np.int64))
-                    else:
-                        lists.append(np.zeros(0, np.int64))
+                    out.append((leader, name, len(own), len(h), int((own[place] == h).sum())))
                 if out:
-                    cols = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 5 + [pa.bool_()], strict=True)), _lists(lists)], names=["leader", "class", "m", "n", "both", "deep", "apart"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["leader", "class", "m", "n", "both"])
 
     out = materialize(map_arrow(sets, meet, MET), "op7-met")
     discard(stars, wanted)
@@ -218,84 +221,65 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 # ---------------------------------------------------------------- candidates
 
 
+def _may_link(percent: int) -> Column:
+    """False of rows p and q (SKETCHES) whose sets can't be linked: linked sets of n and m shingles differ in
+    (n + m) (100 - percent) / (100 + percent) shingles at most, and their sketches in no more bits."""
+    n, m = F.col("p.n_shingles"), F.col("q.n_shingles")
+    similar = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    most = (n + m) * (100 - percent)
+    bits = sum((F.bit_count(F.col("p.narrow")[k].bitwiseXOR(F.col("q.narrow")[k])) for k in range(1, SKETCH_BITS // 64)), F.bit_count(F.col("p.narrow")[0].bitwiseXOR(F.col("q.narrow")[0])))
+    more = F.aggregate(F.zip_with("p.wide", "q.wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, b: s + b)
+    return similar & (bits * (100 + percent) <= most) & ((F.size("p.wide") != F.size("q.wide")) | (more * (100 + percent) <= most))
+
+
 def _band_stars(classes: DataFrame, n_classes: int) -> DataFrame:
-    """(leader, class): every class with the least class of each of its band buckets."""
+    """(leader, class): every class with two classes of each of its band buckets, the least one and one by chance.
+
+    A leader that most of a bucket is not linked to would leave all their pairs to ``_open_pairs``; two of them seldom do.
+    """
     keys = classes.select("class", F.explode("bands").alias("key"))
-    buckets = materialize(keys.groupBy("key").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1"), "op7-buckets")
+    buckets = keys.groupBy("key").agg(F.min("class").alias("least"), F.min_by("class", F.xxhash64("class", "key")).alias("any"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = materialize(buckets, "op7-buckets")
     # A class has a row a band, so frequent buckets are few.
     hot = buckets.where(F.col("size") * 1000 >= max(n_classes, 1000)).select("key")
-    return lookup(keys, buckets.select("key", "leader"), ["key"], hot).where("class <> leader").select("leader", "class").distinct()
+    led = buckets.select("key", F.when(F.col("size") > 2, F.array("least", "any")).otherwise(F.array("least")).alias("leaders"))
+    return lookup(keys, led, ["key"], hot).select(F.explode("leaders").alias("leader"), "class").where("class <> leader").distinct()
 
 
-def _headed(stars: DataFrame, labels: DataFrame, n_classes: int) -> DataFrame:
-    """(leader, class, deep): the members of all leaders of a component under one of its classes, where they are in different components.
+def _likely(stars: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The stars whose sketches allow a link."""
+    sets = classes.select("class", *SKETCHES)
+    p = sets.select(F.col("class").alias("leader"), F.struct(*SKETCHES).alias("p"))
+    of = stars.join(sets.select("class", F.struct(*SKETCHES).alias("q")), "class")
+    return lookup(of, p, ["leader"], hot_keys(stars, ["leader"], max(stars.count(), 1))).where(_may_link(percent)).select("leader", "class")
 
-    A text has up to a leader a band, and in a large group of near copies most of them are linked. Two members of a leader stay
-    together under any name that the leader is given, and ``_buckets`` holds for any class as leader.
-    """
-    named = labels.toDF("leader", "head")
-    headed = lookup(stars.select("leader", "class"), named, ["leader"], hot_keys(stars, ["leader"], max(stars.count(), 1)), "left")
-    headed = headed.select(F.coalesce("head", "leader").alias("leader"), "class").where("class <> leader").distinct()
-    own = headed.join(labels.toDF("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    own = materialize(own, "op7-headed")
-    open_ = own.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leader")
-    out = lookup(own.select("leader", "class"), open_, ["leader"], hot_keys(own, ["leader"], n_classes))
-    out = materialize(out.withColumn("deep", F.lit(True)), "op7-stars")
-    discard(own)
-    return out
 
+def _open_pairs(stars: DataFrame, classes: DataFrame, labels: DataFrame, n_classes: int, percent: int) -> DataFrame:
+    """(leader, class): all pairs of a band bucket that are in different components and whose sketches allow a link.
 
-def _buckets(met: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(leader, e, class, n, size, rest, component): members of a leader that share shingle e and may be linked.
-
-    Let x and y be linked, and x' and y' be what sets them apart from the leader. A shingle in which x and y differ is in
-    one of x' and y' alone. If x' and y' have nothing in common, the leader lies between x and y, and both are
-    linked to it. So linked members of different components share some of x' and y', and as they differ in
-    k = n (100 - percent) / percent shingles at most, the k + 1 least frequent of x' meet the k + 1 least frequent
-    of y' (prefix filter).
+    A bucket of more than one component is among those of a leader with members of more than one, so the buckets
+    of other leaders are not made again.
     """
-    named = met.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    named = materialize(named.select("leader", "class", "n", "component", "apart", F.size("apart").alias("size")), "op7-named")
-    total = named.count()
-    open_ = materialize(named.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leader"), "op7-open")
-    parts = lookup(named, open_, ["leader"], hot_keys(named, ["leader"], total)).withColumn("e", F.explode("apart")).drop("apart")
-    parts = materialize(parts, "op7-parts")
-    discard(named, open_)
-    # An element of one member alone meets no other, but it takes its place among the least frequent.
-    often = materialize(parts.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "op7-often")
-    most = parts.count()
-    shared = lookup(parts, often, ["leader", "e"], often.where(F.col("c") * 10_000 >= max(most, 10_000)).select("leader", "e"))
-    own = Window.partitionBy("leader", "class")
-    listed = shared.withColumn("k", F.row_number().over(own.orderBy("c", "e"))).withColumn("rest", F.count(F.lit(1)).over(own) - F.col("k"))
-    prefix = F.floor(F.col("n") * (100 - percent) / percent) + 1
-    out = materialize(listed.where(F.col("size") - F.col("rest") <= prefix).select("leader", "e", "class", "n", "component", "size", "rest"), "op7-prefix")
-    discard(parts, often)
-    return out
-
-
-def _next_stars(prefix: DataFrame, percent: int, lead: bool) -> DataFrame:
-    """(leader, class, deep): pairs of buckets, and with ``lead`` large buckets' members with a leader of their own (deep)."""
-    buckets = prefix.groupBy("leader", "e").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    buckets = materialize(buckets.where("lo < hi").select("leader", "e", "first", "c"), "op7-buckets")
-    large = (F.col("c") > SMALL_BUCKET) if lead else F.lit(False)
-    hot = buckets.where(F.col("c") * 10_000 >= max(prefix.count(), 10_000)).select("leader", "e")
+    own = stars.unionByName(stars.select("leader", F.col("leader").alias("class")).distinct())
+    own = own.join(labels.toDF("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    own = materialize(own, "op7-led")
+    mixed = [F.min("component").alias("lo"), F.max("component").alias("hi")]
+    open_ = own.groupBy("leader").agg(*mixed).where("lo < hi").select("leader")
+    members = lookup(own, open_, ["leader"], hot_keys(own, ["leader"], max(n_classes, 1))).select("class", "component").distinct()
+    keys = materialize(members.join(classes.select("class", "bands"), "class").select("class", "component", F.explode("bands").alias("key")), "op7-keys")
+    buckets = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *mixed).where("lo < hi").select("key", "c"), "op7-buckets")
+    hot = buckets.where(F.col("c") * 1000 >= max(n_classes, 1000)).select("key")
     # A bucket's pairs are found in blocks of its members, each by a task of its own. A member is sent to all blocks of its
     # bucket, so their number is kept small: no row is sent twice below BLOCK_MEMBERS.
-    blocks = F.floor(F.col("c") / BLOCK_MEMBERS) + 1
-    few = lookup(prefix, buckets.where(~large).select("leader", "e", blocks.alias("blocks")), ["leader", "e"], hot)
+    few = lookup(keys, buckets.select("key", (F.floor(F.col("c") / BLOCK_MEMBERS) + 1).alias("blocks")), ["key"], hot)
+    few = few.join(classes.select("class", *SKETCHES), "class")
     p = few.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))).alias("p")
     q = few.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("q")
-    on = (F.col("p.leader") == F.col("q.leader")) & (F.col("p.e") == F.col("q.e")) & (F.col("p.block") == F.col("q.block")) & (F.col("p.class") < F.col("q.class")) & (F.col("p.component") != F.col("q.component"))
-    # Where x and y first meet, what is left of both lists must still suffice for their overlap.
-    n, m = F.col("p.n"), F.col("q.n")
-    k = F.floor(F.least(n, m) * (100 - percent) / percent)
-    enough = 2 * (1 + F.least("p.rest", "q.rest")) >= F.col("p.size") + F.col("q.size") - k
-    similar = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    out = p.join(q, on & enough & similar).select(F.col("p.class").alias("leader"), F.col("q.class").alias("class"), F.lit(False).alias("deep"))
-    if lead:
-        led = lookup(prefix, buckets.where(large).select("leader", "e", "first"), ["leader", "e"], hot)
-        out = out.unionByName(led.where("class <> first").select(F.col("first").alias("leader"), "class", F.lit(True).alias("deep")))
-    return out.groupBy("leader", "class").agg(F.max("deep").alias("deep"))
+    on = (F.col("p.key") == F.col("q.key")) & (F.col("p.block") == F.col("q.block")) & (F.col("p.class") < F.col("q.class")) & (F.col("p.component") != F.col("q.component"))
+    out = p.join(q, on & _may_link(percent)).select(F.col("p.class").alias("leader"), F.col("q.class").alias("class")).distinct()
+    out = materialize(out, "op7-pairs")
+    discard(own, keys, buckets)
+    return out
 
 
 def _groups(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -307,37 +291,23 @@ def _groups(docs: DataFrame, settings: Settings) -> DataFrame:
     signed = materialize(signatures(docs, settings), "op7-signatures")
     filled = signed.where("n_shingles > 0")
     same = ["set_hi", "set_lo"]
-    classes = filled.groupBy(*same).agg(F.min(F.struct("no_id", "id_key", "text_key")).alias("ref"), F.count(F.lit(1)).alias("n_rows"), F.first("bands").alias("bands"))
+    classes = filled.groupBy(*same).agg(F.min(F.struct("no_id", "id_key", "text_key")).alias("ref"), F.count(F.lit(1)).alias("n_rows"), *(F.first(c).alias(c) for c in ("bands", *SKETCHES)))
     classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "op7-classes")
     n_classes = classes.count()
 
-    stars = materialize(_band_stars(classes, n_classes).withColumn("deep", F.lit(False)), "op7-stars")
-    banded, labels = stars, None
-    for lead in [None] + [True] * LED_ROUNDS + [False, False]:
+    def linked(stars: DataFrame) -> DataFrame:
         met = compared(docs, classes, stars, settings)
-        if stars is not banded:
-            discard(stars)
-        found = met.where(100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))).select(F.col("leader").alias("a"), F.col("class").alias("b"))
-        if labels is None:
-            labels = materialize(connected_components(found), "op7-labels")
-        elif not found.isEmpty():  # the components so far are stars already
-            before, labels = labels, materialize(connected_components(found.unionByName(labels.toDF("a", "b"))), "op7-labels")
-            discard(before)
-        if lead is None:
-            stars = _headed(banded, labels, n_classes)
-            discard(met, banded)
-            if stars.isEmpty():
-                break
-            continue
-        deep = met.where("deep")
-        if deep.isEmpty():
-            break
-        prefix = _buckets(deep, labels, percent)
-        discard(met)
-        stars = materialize(_next_stars(prefix, percent, lead), "op7-next")
-        discard(prefix)
-        if stars.isEmpty():
-            break
+        return met.where(100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))).select(F.col("leader").alias("a"), F.col("class").alias("b"))
+
+    banded = materialize(_band_stars(classes, n_classes), "op7-stars")
+    likely = materialize(_likely(banded, classes, percent), "op7-likely")
+    labels = materialize(connected_components(linked(likely)), "op7-labels")
+    pairs = _open_pairs(banded, classes, labels, n_classes, percent)
+    discard(banded, likely)
+    if not pairs.isEmpty():  # the components so far are stars already
+        before, labels = labels, materialize(connected_components(linked(pairs).unionByName(labels.toDF("a", "b"))), "op7-labels")
+        discard(before)
+    discard(pairs)
 
     # Least doc_id of each component, by way of its classes; a component of one class has its own.
     first = F.when(~F.col("ref.no_id"), F.col("ref.id_key")).alias("first")
@@ -346,7 +316,7 @@ def _groups(docs: DataFrame, settings: Settings) -> DataFrame:
     least = materialize(member.groupBy("component").agg(F.min("first").alias("component_id")), "op7-least")
     member = materialize(lookup(member, least, ["component"], hot_keys(member, ["component"], n_classes)), "op7-members")
     hot = member.where(F.col("n_rows") * 1000 >= max(signed.count(), 1000)).select(*same)
-    grouped = lookup(filled.drop("bands"), member.drop("n_rows", "first"), same, hot)
+    grouped = lookup(filled.drop("bands", "narrow", "wide"), member.drop("n_rows", "first"), same, hot)
     own = F.when(~F.col("no_id"), F.col("id_key"))
     return grouped.unionByName(signed.where("n_shingles = 0").select(*ROW, "n_shingles", *same, F.lit(None).cast("long").alias("class"), F.lit(None).cast("long").alias("component"), own.alias("component_id")))
 
