@@ -158,3 +158,28 @@ def test_a_block_that_all_boxes_meet(spark):
     boxes = spark.range(5000).select(F.col("id").alias("box_id"), *(F.lit(0).alias(c) for c in ("z0", "y0", "x0")))
     got = V.regions(v, boxes, 2, 2, 2, 4)
     assert got.count() == 5000 and got.where("v = 9 AND z = 0 AND y = 0 AND x = 0").count() == 5000
+
+
+def test_a_crop_is_one_row_until_it_is_unrolled(spark, monkeypatch):
+    """Crops are neither copied to all blocks that they touch nor gathered; a block where many start is dealt over tasks."""
+    monkeypatch.setattr(V, "UNROLLED", 64 * 50, raising=False)
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 3, (16, 16, 16)) * 120
+    v = spark.createDataFrame([(*map(int, p), int(a[tuple(p)])) for p in np.argwhere(a > 0)], "z int, y int, x int, v int")
+    at = np.concatenate([rng.integers(0, 4, (900, 3)), rng.integers(-4, 16, (300, 3))])
+    boxes = spark.createDataFrame([(k, *map(int, p)) for k, p in enumerate(at)], "box_id long, z0 int, y0 int, x0 int")
+    got = V.regions(v, boxes, 4, 4, 4, 4)
+
+    def nodes(plan):
+        yield plan
+        for k in range(plan.children().size()):
+            yield from nodes(plan.children().apply(k))
+
+    met = next(n for n in nodes(got._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join")
+    assert not {"Generate", "Aggregate"} & {n.nodeName() for n in nodes(met.children().apply(0))}
+    wide = np.zeros((24, 24, 24), int)
+    wide[4:20, 4:20, 4:20] = a
+    want = [(k, *map(int, p), int(box[tuple(p)])) for k, q in enumerate(at) for box in (wide[tuple(slice(c + 4, c + 8) for c in q)],) for p in np.argwhere(box)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    tasks = got.groupBy(F.spark_partition_id()).agg(F.count_distinct("box_id").alias("n")).agg(F.max("n")).first()[0]
+    assert tasks < 450

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coords import ABSENT, AXES, PRESENT, ZERO, cell_of, cells, dense_grid, shift_of, voxel_box
+from ..functions.scratch import materialize
 
 MASK64 = (1 << 64) - 1
 
@@ -44,45 +45,78 @@ def region(voxels: DataFrame, z0: int, y0: int, x0: int, dz: int, dy: int, dx: i
     return grid.join(found, list(AXES), "left").select(*AXES, F.coalesce("v", F.lit(0)).alias("v"))
 
 
-PAIRS = 2048
+#: Voxels of boxes that a task unrolls, or so.
+UNROLLED = 1 << 24
 
 
 def regions(voxels: DataFrame, boxes: DataFrame, dz: int, dy: int, dx: int, edge: int) -> DataFrame:
     """Material voxels of many equal boxes (box_id, z0, y0, x0), in box coordinates.
 
-    Each box names the blocks it touches. The boxes of a block are gathered, in salted lists of PAIRS or so where many meet one, and
-    meet its packed bytes by an equi-join: a block is sent once a list. Boxes are then unrolled into their lines and voxels by one
-    pipeline of generated code, and no row is made for a voxel outside a box.
+    Boxes are cut into pieces of at most a block's edge. A block is packed with as much of the blocks above it as a piece that
+    starts in it can reach, so a piece meets one row of bytes by an equi-join, and what is shuffled is a row a piece. Blocks where
+    more pieces start than a task should unroll are dealt over salts, the others are sent once. A piece is then unrolled by
+    generated code.
     """
+    spark, dims = voxels.sparkSession, (dz, dy, dx)
+    size = [min(n, edge) for n in dims]
+    pieces = boxes.select("box_id", "z0", "y0", "x0")
+    for a, n in zip(AXES, dims, strict=True):
+        # The piece's first place in the box.
+        pieces = pieces.withColumn(f"p{a}", F.lit(0) if n <= edge else F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(edge))))
+    keys = ["bz", "by", "bx"]
+    pieces = pieces.withColumns({f"b{a}": cell_of(F.col(f"{a}0") + F.col(f"p{a}"), edge) for a in AXES})
+    # A block's pieces, as many as a task should have at most.
+    most = max(UNROLLED // math.prod(size), 1)
+    counts = materialize(pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "pieces")
+    salts = F.ceil(F.col("n") / most).cast("int")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // most))
+    # No more rows than the pieces fill tasks.
+    hot = F.broadcast(counts.where(F.col("n") > most).select(*keys, salts.alias("salts")))
+    salt = F.pmod(F.xxhash64("box_id", "z0", "y0", "x0"), F.coalesce("salts", F.lit(1))).cast("int")
+    dealt = pieces.join(hot, keys, "left").select("box_id", *(f"p{a}" for a in AXES), *((F.col(f"{a}0") + F.col(f"p{a}") - F.col(f"b{a}") * edge).alias(f"o{a}") for a in AXES), *keys, salt.alias("salt"))
+    sent = _with_halo(voxels, counts, edge, size).select(*keys, "data", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    # The rows of a task are few, what it makes of them are many: the number of tasks can't be left to the rows' bytes.
+    out = dealt.repartition(parts, *keys, "salt").join(sent.repartition(parts, *keys, "salt").hint("merge"), [*keys, "salt"])
+    wide = [edge + n - 1 for n in size]
+    for a, n, most in zip(AXES, dims, size, strict=True):
+        last = F.lit(n - 1) if n <= edge else F.least(F.lit(n - 1) - F.col(f"p{a}"), F.lit(most - 1))
+        out = out.withColumn(f"i{a}", F.explode(F.sequence(F.lit(0), last)))
+    z, y, x = (F.col(f"o{a}") + F.col(f"i{a}") for a in AXES)
+    out = out.withColumn("v", F.get("data", (z * wide[1] + y) * wide[2] + x).cast("int").bitwiseAND(F.lit(255))).where("v > 0")
+    return out.select("box_id", *((F.col(f"p{a}") + F.col(f"i{a}")).alias(a) for a in AXES), "v")
+
+
+def _with_halo(voxels: DataFrame, wanted: DataFrame, edge: int, size: list[int]) -> DataFrame:
+    """(bz, by, bx, n, data): bytes of ``wanted`` blocks (bz, by, bx, n) and of what lies up to ``size`` - 1 beyond them, as numbers;
+    128 to 255 come as negative ones. Blocks that have no material there have no row."""
     from .codec import pack_blocks
 
-    s = shift_of(edge)
-    touched = boxes.select("box_id", "z0", "y0", "x0")
-    for a, n in zip(AXES, (dz, dy, dx), strict=True):
-        touched = touched.withColumn(f"b{a}", F.explode(F.sequence(F.shiftright(f"{a}0", s), F.shiftright(F.col(f"{a}0") + (n - 1), s))))
-    per_box = math.prod(-(-n // edge) + 1 for n in (dz, dy, dx))
-    salts = max(1, boxes.count() * per_box // PAIRS)
+    wide = [edge + n - 1 for n in size]
+    sides = [d for d in ((k >> 2 & 1, k >> 1 & 1, k & 1) for k in range(8)) if all(w > edge or not up for w, up in zip(wide, d, strict=True))]
+    to = F.explode(F.array(*(F.struct(*((F.col(f"b{a}") - up).alias(f"b{a}") for a, up in zip(AXES, d, strict=True)), F.lit(4 * d[0] + 2 * d[1] + d[2]).alias("side")) for d in sides)))
+    moved = pack_blocks(voxels, edge).select(to.alias("to"), "data").select("to.*", "data")
     keys = ["bz", "by", "bx"]
-    salt = F.pmod(F.xxhash64("box_id", "z0", "y0", "x0"), F.lit(salts)).alias("salt")
-    lists = touched.groupBy(*keys, salt).agg(F.collect_list(F.struct("box_id", "z0", "y0", "x0")).alias("boxes"))
-    values = pack_blocks(voxels, edge).mapInArrow(_as_arrays, "bz int, by int, bx int, data array<tinyint>")
-    out = lists.join(values, keys).select(*keys, "data", F.explode("boxes").alias("box")).select(*keys, "data", "box.*")
-    for a, n in zip(AXES, (dz, dy, dx), strict=True):
-        first = F.col(f"b{a}") * edge
-        within = F.sequence(F.greatest(f"{a}0", first), F.least(F.col(f"{a}0") + (n - 1), first + (edge - 1)))
-        out = out.withColumn(a, F.explode(within))
-    z, y, x = (F.col(a) - F.col(f"b{a}") * edge for a in AXES)
-    out = out.withColumn("v", F.get("data", (z * edge + y) * edge + x).cast("int").bitwiseAND(F.lit(255))).where("v > 0")
-    return out.select("box_id", *((F.col(a) - F.col(f"{a}0")).alias(a) for a in AXES), "v")
-
-
-def _as_arrays(batches):
-    """Packed blocks with their bytes as numbers; 128 to 255 come as negative ones."""
-    for batch in batches:
-        data = batch.column(3)
-        flat = pa.array(np.frombuffer(b"".join(data.to_pylist()), np.int8))
-        ends = np.concatenate([[0], np.cumsum([len(d) for d in data.to_pylist()])]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["bz", "by", "bx", "data"])
+    lists = moved.join(wanted.select(*keys, "n"), keys).groupBy(*keys, "n").agg(F.collect_list(F.struct("side", "data")).alias("blocks"))
+    each = max((1 << 26) // math.prod(wide), 1)
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, each):
+                small = batch.slice(lo, each)
+                blocks = small.column(4)
+                out = np.zeros((small.num_rows, *wide), np.int8)
+                row = np.repeat(np.arange(small.num_rows), blocks.value_lengths().to_numpy(zero_copy_only=False))
+                flat = blocks.flatten()
+                for k, side, data in zip(row, flat.field(0).to_pylist(), flat.field(1), strict=True):
+                    at = [up * edge for up in (side >> 2 & 1, side >> 1 & 1, side & 1)]
+                    end = [min(a + edge, w) for a, w in zip(at, wide, strict=True)]
+                    block = np.frombuffer(data.as_buffer(), np.int8).reshape(edge, edge, edge)
+                    out[(k, *map(slice, at, end))] = block[tuple(slice(0, b - a) for a, b in zip(at, end, strict=True))]
+                ends = np.arange(small.num_rows + 1, dtype=np.int32) * math.prod(wide)
+                yield pa.RecordBatch.from_arrays([*(small.column(k) for k in range(4)), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))], names=[*keys, "n", "data"])
+
+    return lists.mapInArrow(run, "bz int, by int, bx int, n bigint, data array<tinyint>")
 
 
 def block_stats(voxels: DataFrame, edge: int) -> DataFrame:
